@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meridia.llm.licenses import op8_license_scans
 from meridia.llm.media import op7_media_columns
+from meridia.llm.secrets import op10_secret_ownership
 from meridia.llm.sharding import op4_hash_tree_sharding
 
 
@@ -14,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_hash_tree_sharding": op4_hash_tree_sharding,
         "op7_media_columns": op7_media_columns,
+        "op8_license_scans": op8_license_scans,
+        "op10_secret_ownership": op10_secret_ownership,
     }
 
 
