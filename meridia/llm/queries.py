@@ -10,10 +10,12 @@ from meridia.llm.licenses import op8_license_scans
 from meridia.llm.media import op7_media_columns
 from meridia.llm.secrets import op10_secret_ownership
 from meridia.llm.sharding import op4_hash_tree_sharding
+from meridia.llm.substrings import op3_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_hash_tree_sharding": op4_hash_tree_sharding,
         "op7_media_columns": op7_media_columns,
         "op8_license_scans": op8_license_scans,
