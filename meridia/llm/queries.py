@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meridia.llm.licenses import op8_license_scans
 from meridia.llm.media import op7_media_columns
+from meridia.llm.ngrams import op1_ngram_jaccard_join
 from meridia.llm.packing import op2_best_fit_packing
 from meridia.llm.secrets import op10_secret_ownership
 from meridia.llm.sharding import op4_hash_tree_sharding
@@ -16,6 +17,7 @@ from meridia.llm.substrings import op3_substring_dedup
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_hash_tree_sharding": op4_hash_tree_sharding,
