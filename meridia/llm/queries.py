@@ -10,6 +10,7 @@ from meridia.llm.licenses import op8_license_scans
 from meridia.llm.media import op7_media_columns
 from meridia.llm.ngrams import op1_ngram_jaccard_join
 from meridia.llm.packing import op2_best_fit_packing
+from meridia.llm.quality import op6_quality_classifier
 from meridia.llm.secrets import op10_secret_ownership
 from meridia.llm.sharding import op4_hash_tree_sharding
 from meridia.llm.substrings import op3_substring_dedup
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_hash_tree_sharding": op4_hash_tree_sharding,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_media_columns": op7_media_columns,
         "op8_license_scans": op8_license_scans,
         "op10_secret_ownership": op10_secret_ownership,
