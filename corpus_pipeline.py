@@ -1,15 +1,72 @@
-"""The corpus pipeline: its stages, in order, and their run over ``documents``."""
+"""The corpus pipeline: its stages, in order, and their run over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meridia.llm import mixing, ngrams, packing, quality, secrets
+from meridia.llm._shared import read_table, settle, ship
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    ship(spark)
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one of smallest id."""
+    ship(spark)
+    return ngrams.keep_first(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets that look live are masked in their texts and n_chars follows."""
+    return secrets.mask_live(docs)
 
-STAGES = []
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by calibrated probabilities stay."""
+    ship(spark)
+    return mixing.sample_mixture(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, as pieces of packed sequences."""
+    ship(spark)
+    return packing.pack_documents(docs, packing.default_tokenizer())
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("source_mixing", source_mixing),
+    ("packing", sequence_packing),
+]
+
+# Stages fit a model, rake weights and tokenise: SQL cannot state them; tests/llm/test_pipeline.py does it by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def count_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stage, rows, characters) after each stage that keeps documents: what a run report shows."""
+    docs = read_table(spark, sf_dir, "documents")
+    report = None
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+        line = docs.agg(F.lit(name).alias("stage"), F.count("*").alias("rows"), F.sum(F.length("text")).alias("characters"))
+        report = line if report is None else report.union(line)
+    return report

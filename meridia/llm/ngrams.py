@@ -226,7 +226,8 @@ def _class_links(alive: DataFrame, percent: int) -> DataFrame:
 
 
 def ngram_join(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = SHINGLE, percent: int = PERCENT, shape: Shape | None = None
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = SHINGLE, percent: int = PERCENT, shape: Shape | None = None,
+    keep_keys: bool = False,
 ) -> DataFrame:
     """(id, n_shingles, component): each row's set size and the smallest id that links reach, itself included.
 
@@ -234,6 +235,7 @@ def ngram_join(
     and blank texts have no shingles and no links. Rows that repeat an id and a text are one document; a row without
     id gets an id beyond all others while joining and reports null as its own component unless a link reaches a
     smaller id. Empty tables give no rows. Only the two columns are read.
+    With ``keep_keys`` the joining ids are returned, as doc and component, without nulls.
     """
     shape = shape or Shape()
     rows = docs.select(document_key(id_column, text_column).alias("doc"), F.col(text_column).alias("text"))
@@ -250,10 +252,24 @@ def ngram_join(
     )
     out = digests.join(named, ["h1", "h2"], "left")
     smallest = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
+    if keep_keys:
+        return out.select("doc", F.col("n").alias("n_shingles"), smallest.alias("component"))
     known = lambda c: F.when(c < F.lit(1 << 62), c)
     return out.select(known(F.col("doc")).alias("id"), F.col("n").alias("n_shingles"), known(smallest).alias("component"))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that head their component: one document of each group stays, all columns as they are.
+
+    Of rows that repeat an id and a text one stays. Rows without any word are linked with nothing and all stay.
+    """
+    heads = ngram_join(docs, keep_keys=True).where("doc = component").select("doc").distinct()
+    keyed = docs.withColumn("__doc", document_key("doc_id", "text"))
+    kept = keyed.join(heads.withColumnRenamed("doc", "__doc"), "__doc", "left_semi")
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.where(wordless).union(kept.where(~wordless).dropDuplicates(["__doc"])).select(*docs.columns)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join(read_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

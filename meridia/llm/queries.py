@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meridia.llm.embeddings import op5_spherical_cap_dedup
 from meridia.llm.licenses import op8_license_scans
 from meridia.llm.media import op7_media_columns
+from meridia.llm.mixing import op9_raked_mixing
 from meridia.llm.ngrams import op1_ngram_jaccard_join
 from meridia.llm.packing import op2_best_fit_packing
 from meridia.llm.quality import op6_quality_classifier
@@ -22,9 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_hash_tree_sharding": op4_hash_tree_sharding,
+        "op5_spherical_cap_dedup": op5_spherical_cap_dedup,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_media_columns": op7_media_columns,
         "op8_license_scans": op8_license_scans,
+        "op9_raked_mixing": op9_raked_mixing,
         "op10_secret_ownership": op10_secret_ownership,
     }
 

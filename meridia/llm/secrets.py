@@ -143,5 +143,31 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     )
 
 
+def mask_live(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """All rows of ``docs`` with every occurrence of their live-looking values masked; n_chars follows the text.
+
+    Texts in which no pattern matches pass as they are; only the others are joined to their values, by id and text.
+    """
+    any_pattern = F.coalesce(F.col("text").rlike("|".join(f"(?:{p})" for _, p, *_ in PATTERNS)), F.lit(False))
+    key = F.xxhash64("doc_id", "text")
+    suspect = docs.where(any_pattern).withColumn("__key", key)
+    cut = settle(
+        cut_texts(
+            suspect.withColumns({"__o": F.coalesce("source", F.lit("")), "__r": F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))}),
+            "__key", "text", ["__o", "__r"],
+        ).dropDuplicates(["__key"]),
+        "pieces",
+    )
+    judged = judged_candidates(cut, "__key", "__o", "__r").where("verdict = 'live'")
+    values = judged.groupBy("__key").agg(F.sort_array(F.collect_set("value"), asc=False).alias("__values"))
+    masked = suspect.join(values, "__key", "left")
+    text = F.aggregate("__values", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask)))
+    masked = masked.withColumn("text", F.coalesce(text, "text"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        masked = masked.withColumn("n_chars", F.when(F.col("__values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return docs.where(~any_pattern).select(*docs.columns).unionByName(masked.select(*docs.columns))
+
+
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
