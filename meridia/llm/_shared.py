@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -67,6 +68,12 @@ def drop_settled(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of DataFrames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, nulls kept."""
     if pa.types.is_large_string(column.type):
@@ -74,7 +81,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def text_batches(texts: list[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def text_batches(texts: list[bytes], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` bytes, whole texts each: what numpy holds at once stays bounded."""
     start, size = 0, 0
     for i, t in enumerate(texts):

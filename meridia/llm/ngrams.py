@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm._shared import (
-    components, drop_settled, lower_ascii, mix64, read_table, settle, signed, text_batches, utf8, window_hashes, word_hashes,
+    components, free_shuffles, lower_ascii, mix64, read_table, settle, signed, text_batches, utf8, window_hashes, word_hashes,
 )
 from meridia.llm.sketch import PartitionSketch, Repeats, Shape, broadcast_repeats, merge_parts
 from meridia.llm.substrings import document_key
@@ -241,6 +241,7 @@ def ngram_join(
     rows = docs.select(document_key(id_column, text_column).alias("doc"), F.col(text_column).alias("text"))
     first = settle(rows.select("doc", "text").mapInArrow(_digest_and_sketch(n, shape), _PASS1), "digests")
     load = broadcast_repeats(merge_parts(first.where("part is not null").select("part", "payload"), shape, True), shape, True)
+    free_shuffles(docs.sparkSession)
     digests = first.where("part is null").select("doc", "n", "h1", "h2")
     alive = settle(rows.select("doc", "text").mapInArrow(_index(n, percent, load), _ALIVE), "alive")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_AT_ONCE = 4_000_000  # hashes that a partition gathers before it sends them
+ROWS_AT_ONCE = 2_000_000  # hashes that a partition gathers before it sends them
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,7 @@ class PartitionSketch:
 
     def __init__(self, shape: Shape):
         self.shape, self.held, self.n = shape, [], 0
+        _LOADED.clear()  # of an earlier query
 
     def add(self, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
         self.held.append(hashes)
@@ -167,7 +168,7 @@ def merge_parts(parts: DataFrame, shape: Shape, with_counts: bool) -> DataFrame:
 def broadcast_repeats(merged: DataFrame, shape: Shape, with_counts: bool) -> Callable[[], Repeats]:
     """Broadcast a merged sketch. At most 2 * 2**log2_width / 8 bytes pass the driver, compressed; each Python
     worker unpacks them once and keeps them for later tasks of the same query."""
-    rows = [(r.part, bytes(r.bits), bytes(r.coarse)) for r in merged.toLocalIterator(prefetchPartitions=True)]
+    rows = [(r.part, bytes(r.bits), bytes(r.coarse)) for r in merged.collect()]
     sent = merged.sparkSession.sparkContext.broadcast(rows)
     name = uuid.uuid4().hex
 
@@ -186,6 +187,7 @@ def broadcast_repeats(merged: DataFrame, shape: Shape, with_counts: bool) -> Cal
                     at = (block << shape.log2_block) & ((1 << shape.log2_coarse) - 1)
                     coarse[at : at + len(own)] = np.maximum(coarse[at : at + len(own)], own)
             held = _LOADED[name] = Repeats(shape, bits, coarse)
+            vars(sent).pop("_value", None)  # the packed form is not needed again
         return held
 
     return load

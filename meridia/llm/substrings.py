@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import mix64, read_table, signed, text_batches, utf8, window_hashes, word_hashes
+from meridia.llm._shared import free_shuffles, mix64, read_table, signed, text_batches, utf8, window_hashes, word_hashes
 from meridia.llm.sketch import PartitionSketch, Shape, broadcast_repeats, merge_parts
 
 WINDOW = 20
@@ -116,8 +116,8 @@ def repeated_places(docs: DataFrame, key: str, text: str, n: int = WINDOW, shape
     make the exact grouping larger, never wrong.
     """
     shape = shape or Shape()
-    parts = docs.select(text).mapInArrow(_sketch(n, shape), "part int, payload binary")
-    load = broadcast_repeats(merge_parts(parts, shape, False), shape, False)
+    load = broadcast_repeats(merge_parts(docs.select(text).mapInArrow(_sketch(n, shape), "part int, payload binary"), shape, False), shape, False)
+    free_shuffles(docs.sparkSession)
     found = docs.select(key, text).mapInArrow(_candidates(n, load), REMOVALS)
     first = Window.partitionBy("key", "check", "settled").orderBy("doc", "start")
     return found.withColumn("rank", F.rank().over(first)).where("settled or rank > 1").select("doc", "start", "run")
