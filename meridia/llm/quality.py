@@ -166,11 +166,11 @@ def held_out(key: Column) -> Column:
 
 
 def _draw(df: DataFrame, most: int) -> np.ndarray:
-    """Features of at most about ``most`` rows (binomially, by hash of key and features)."""
+    """Features of at most about ``most`` rows (binomially, by hash of key and features), in the order of their bytes."""
     rows = df.count()
     keep = 1.0 if rows <= most else most / rows
     mark = F.pmod(F.xxhash64("key", "x"), F.lit(1 << 30)) < F.lit(int(keep * (1 << 30)))
-    return as_matrix(df.where(mark).select("x").toArrow().column("x").to_pylist())
+    return as_matrix(sorted(df.where(mark).select("x").toArrow().column("x").to_pylist()))
 
 
 def score_histogram(table: DataFrame, model: Model) -> np.ndarray:

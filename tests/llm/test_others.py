@@ -1,0 +1,341 @@
+import hashlib
+import io
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from meridia.llm import embeddings, licenses, media, mixing, packing, quality, secrets, sharding
+from tests.llm.frames import corpus, frame, sha
+
+# ------------------------------------------------------------------- op2
+
+
+def test_packing_places_every_id_once(spark):
+    from tokenizers import Tokenizer
+
+    rows = corpus()
+    path = packing.default_tokenizer()
+    out = packing.pack_documents(frame(spark, rows), path).toPandas()
+    tokenizer = Tokenizer.from_file(path)
+    for d, t, *_ in {r[0]: r for r in rows if r[0] is not None}.values():
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        own = out[out.doc_id == d].drop_duplicates("start").sort_values("start")
+        assert own.length.sum() == len(ids) and (own.doc_tokens == len(ids)).all()
+        for p in own.itertuples():
+            assert zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32
+    for _, s in out.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s.offset.to_numpy() == np.append(0, s.length.cumsum().to_numpy()[:-1])).all() and s.length.sum() <= 4096
+
+
+def test_best_fit_takes_the_tightest_window():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 101, 400)
+    sequence, _ = packing.best_fit_decreasing(lengths, 100)
+    rooms, plain = [], {}
+    for i in np.argsort(-lengths, kind="stable"):
+        fit = [(room, k) for k, room in enumerate(rooms) if room >= lengths[i]]
+        k = min(fit)[1] if fit else len(rooms)
+        if not fit:
+            rooms.append(100)
+        rooms[k] -= lengths[i]
+        plain[i] = k
+    assert len(set(sequence)) == len(rooms)
+    assert sorted(np.bincount(sequence, weights=lengths)) == sorted(100 - np.array(rooms))
+
+
+def test_packing_nothing(spark):
+    assert packing.pack_documents(frame(spark, []), packing.default_tokenizer()).collect() == []
+
+
+# ------------------------------------------------------------------- op4
+
+
+def test_shards_match_brute_force(spark):
+    rows = corpus()
+    out = sharding.shard_documents(frame(spark, rows)).toPandas()
+    assert len(out) == len(rows)
+
+    def place(doc, n):
+        text = "" if doc is None else str(doc)
+        def draw(s):
+            h = xxhash.xxh64(text.encode(), seed=42).intdigest() if text else 42
+            h = xxhash.xxh64(struct.pack("<q", s), seed=h).intdigest()
+            return -np.log(((h >> 11) + 0.5) * 2.0**-53)
+        return min(range(n), key=draw)
+
+    for r in out.itertuples():
+        doc = None if np.isnan(r.doc_id) else int(r.doc_id)
+        if doc is not None:
+            assert (r.shard, r.grown_shard) == (place(doc, 24), place(doc, 25))
+    for _, s in out.groupby("shard"):
+        assert sorted(s.slot) == list(range(len(s)))
+    texts = {d: t or "" for d, t, *_ in rows}
+    assert all(r.size == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in out.dropna(subset=["doc_id"]).itertuples())
+
+
+def test_weights_and_confined_moves(spark):
+    keys = spark.range(20000).withColumnRenamed("id", "k")
+    tree = sharding.tree(12)
+    heavier = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in tree]
+    a = sharding.assign_shards(keys, "k", tree).toPandas()
+    b = sharding.assign_shards(keys, "k", heavier).toPandas()
+    assert abs((a["shard"] == 5).mean() - 1 / 12) < 0.01 and abs((b["shard"] == 5).mean() - 3 / 14) < 0.01
+    moved = a["shard"] != b["shard"]
+    assert (b["shard"][moved] == 5).all()
+
+
+def test_slots_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
+    rows = [(i % 400, f"t{i}", "en", "a") for i in range(900)]
+    out = sharding.shard_documents(frame(spark, rows)).toPandas()
+    assert all(sorted(s.slot) == list(range(len(s))) for _, s in out.groupby("shard"))
+
+
+# ------------------------------------------------------------------- op5
+
+
+def test_embeddings_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows, n = [], 0
+    for label in (0, 1, None):
+        for centre in rng.standard_normal((15, 16)):
+            for _ in range(int(rng.integers(1, 6))):
+                x = centre + 0.05 * rng.standard_normal(16)
+                rows.append((n, [float(v) for v in x], label))
+                n += 1
+    rows += [(n, rows[0][1], 0), (n + 1, [0.0] * 16, 0), (n + 2, None, 0), (n + 3, [float("nan")] * 16, 1), (n + 4, [1.0, None], 1), rows[3], (None, rows[0][1], 0), (n + 5, [], 0)]
+    frame5 = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "vec_id long, embedding array<double>, label int, rep string, filter string")
+    out = embeddings.near_duplicates(frame5).collect()
+    assert len(out) == len(rows)
+    able = [r for r in rows if r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    links, found, root = {}, 0, {r[0]: r[0] for r in able if r[0] is not None}
+    unit = {k: np.array(r[1]) / np.linalg.norm(r[1]) for k, r in enumerate(able)}
+    pairs = [(i, j) for i in unit for j in unit if i < j and able[i][2] == able[j][2] and unit[i] @ unit[j] >= 0.98]
+    for i, j in pairs:
+        for a in (i, j):
+            links[able[a][0]] = links.get(able[a][0], 0) + 1
+    for _ in range(len(able)):
+        for i, j in pairs:
+            a, b = able[i][0], able[j][0]
+            if a is not None and b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    repeats = {r[0] for r in rows if [x[0] for x in rows].count(r[0]) > 1}
+    for r in out:
+        if r.id is None:
+            assert r.component == 0
+        elif r.id not in repeats:
+            assert r.n_links <= links.get(r.id, 0)
+            found += r.n_links
+            assert r.component == root.get(r.id, r.id)
+    assert found >= 0.9 * sum(v for k, v in links.items() if k is not None and k not in repeats)
+
+
+def test_chunked_buckets_count_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(16)
+    rows = [(i, [float(v) for v in centre + 0.02 * rng.standard_normal(16)], 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    whole = {r.id: (r.n_links, r.component) for r in embeddings.near_duplicates(df).collect()}
+    monkeypatch.setattr(embeddings, "CHUNK", 7)
+    assert {r.id: (r.n_links, r.component) for r in embeddings.near_duplicates(df).collect()} == whole
+    assert all(v == (39, 0) for v in whole.values())
+
+
+def test_no_embeddings(spark):
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+# ------------------------------------------------------------------- op6
+
+
+def labelled(spark, n=600):
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.8
+        text = " ".join(rng.choice(["river", "stone", "cloud", "green"], 40)) + "."
+        rows.append((i, text if good else text.upper().replace(" ", "!! $$$ "), "en", "a"))
+        if rng.random() < 0.6:
+            labels.append((i, int(good), 0))
+    return frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rows
+
+
+def test_classifier_on_held_out_rows(spark):
+    docs, labels, rows = labelled(spark)
+    out = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert len(out) == len(rows)
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for d, r in out.items())
+    held = [(out[x.doc_id], x.quality) for x in labels.collect() if out[x.doc_id].held_out]
+    assert np.mean([r.predicted == q for r, q in held]) > 0.95
+    assert 0.6 < next(iter(out.values())).prior < 0.95
+
+
+def test_labels_of_the_held_out_fold_change_nothing(spark):
+    docs, labels, _ = labelled(spark, 200)
+    flipped = labels.withColumn("quality", quality.F.when(quality.held_out(quality.F.col("doc_id")), 1 - quality.F.col("quality")).otherwise(quality.F.col("quality")))
+    a, b = (sorted((r.doc_id, round(r.score, 9)) for r in quality.classify(docs, x).collect()) for x in (labels, flipped))
+    assert a == b
+
+
+def test_classifier_on_awkward_rows_and_without_labels(spark):
+    rows = corpus()
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in quality.classify(frame(spark, rows), none).collect()} == {0.5}
+    some = spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    assert len(quality.classify(frame(spark, rows), some).collect()) == len(rows)
+    assert quality.classify(frame(spark, []), some).collect() == []
+    assert quality.keep_good(frame(spark, rows), some).columns == frame(spark, rows).columns
+
+
+# ------------------------------------------------------------------- op7
+
+
+def test_media_round_trip(spark):
+    rows = corpus()
+    out = media.document_media(frame(spark, rows)).collect()
+    assert len(out) == len(rows)
+    texts = {d: (t or "").encode() for d, t, *_ in rows}
+    for r in out:
+        text = texts[r.doc_id]
+        payload = text.ljust(max(64, -(-len(text) // 64) * 64), b"\0")
+        if r.doc_id is not None:
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
+            assert r.tail_crc32 == zlib.crc32(payload[-64:])
+            assert r.media_sha256 == hashlib.sha256(media.text_media(text)[1]).hexdigest()
+
+
+def test_decoders():
+    assert media.decode(b"P2\n# c\n3 2\n255\n1 2 3\n4 5 6").tolist() == [[1, 2, 3], [4, 5, 6]]
+    assert media.decode(b"P1\n2 2\n1 0\n0 1").tolist() == [[0, 1], [1, 0]]
+    assert media.decode(b"P4\n9 1\n\x80\x80").tolist() == [[0, 1, 1, 1, 1, 1, 1, 1, 0]]
+    assert media.decode(b"P6 1 1 255\n\x01\x02\x03").tolist() == [[[1, 2, 3]]]
+    assert media.decode(b"P5 1 1 65535\n\x01\x02").tolist() == [[258]]
+    x = np.random.default_rng(1).integers(0, 256, (5, 7)).astype(np.uint8)
+    assert np.array_equal(media.decode(media.encode_bmp(x)), x) and np.array_equal(media.decode(media.encode_pgm(x)), x)
+    bgr = b"BM" + struct.pack("<IHHI", 62, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 1, 2, 1, 24, 0, 8, 0, 0, 0, 0) + bytes([1, 2, 3, 0, 4, 5, 6, 0])
+    assert media.decode(bgr).tolist() == [[[6, 5, 4]], [[3, 2, 1]]]
+    with pytest.raises(ValueError):
+        media.decode(b"GIF89a")
+
+
+def test_area_resize_equals_exact_boxes(monkeypatch):
+    x = np.random.default_rng(2).integers(0, 256, (37, 23)).astype(np.uint8)
+    big = np.repeat(np.repeat(x, 8, axis=0), 9, axis=1).astype(float)
+    want = big.reshape(8, 37, 9, 23).mean(axis=(1, 3))
+    assert np.allclose(media.area_resize(x, 8, 9), want)
+    monkeypatch.setattr(media, "BAND", 5)
+    assert np.allclose(media.area_resize(x, 8, 9), want)
+
+
+def test_tiles_rejoin(spark):
+    x = np.random.default_rng(3).integers(0, 256, (70, 130)).astype(np.uint8)
+    df = spark.createDataFrame([(1, bytearray(media.encode_pgm(x))), (2, None), (3, bytearray(b"P5 9"))], "id long, image binary")
+    out = media.media_tiles(df, "id", "image").collect()
+    tiles = {(r.tile_row, r.tile_column): np.load(io.BytesIO(r.npy)) for r in out if r.id == 1}
+    assert np.array_equal(np.block([[tiles[y, c] for c in range(3)] for y in range(2)]), x)
+    assert sorted(r.id for r in out if r.error) == [2, 3]
+
+
+# ------------------------------------------------------------------- op8
+
+
+def brute_license(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    found = [(i, label) for p, label in licenses.BASE_PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    starts = [i for i, _ in found]
+    return len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def test_licenses_match_brute_force(spark):
+    rows = corpus() + [(200, "GNU general-public_LICENSE gnu general public license, cc by CC-BY apache  license apache licensee", "en", "a")]
+    out = licenses.scan_licenses(frame(spark, rows)).collect()
+    assert len(out) == len(rows)
+    texts = {d: t for d, t, *_ in rows if d is not None}
+    for r in out:
+        if r.doc_id is not None:
+            assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_license(texts[r.doc_id])
+            assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+    assert licenses.scan_licenses(frame(spark, [])).collect() == []
+
+
+def test_templates_are_found_without_base_phrases(spark):
+    mit = licenses.TEMPLATES[3][1]
+    rows = [(1, "some words first. " + mit.capitalize() + " and after", "en", "a"), (2, "permission of the software to any person", "en", "a")]
+    rows += [(10 + i, "the of to any in and this software person", "en", "a") for i in range(20)]
+    out = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert out[1].labels == "mit" and out[1].n_base == 0 and out[1].score > 0.9
+    assert out[2].labels == "" and out[2].score == 0
+
+
+# ------------------------------------------------------------------- op9
+
+
+def test_raking_meets_all_margins():
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(1, 1000, 60).astype(float)
+    codes = [np.arange(60) % 5, np.arange(60) // 5 % 4, np.arange(60) // 20]
+    targets = [rng.dirichlet(np.ones(k) * 5) for k in (5, 4, 3)]
+    w = mixing.rake_arrays(tokens, codes, targets, rounds=500)
+    for c, t in zip(codes, targets, strict=True):
+        assert np.allclose(np.bincount(c, weights=w * tokens) / tokens.sum(), t, atol=1e-5)
+
+
+def test_both_rakings_agree(spark, monkeypatch):
+    rows = [(i, "word " * (1 + i % 7) + ("a | b" if i % 5 == 0 else ""), ["en", "fr"][i % 2], f"s{i % 3}") for i in range(300)]
+    one = {r.doc_id: r.probability for r in mixing.mix(frame(spark, rows)).collect()}
+    monkeypatch.setattr(mixing, "MAX_DRIVER_CELLS", 1)
+    two = {r.doc_id: r.probability for r in mixing.mix(frame(spark, rows)).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-3 for k in one)
+
+
+def test_mixing_awkward_rows(spark):
+    rows = corpus()
+    out = mixing.mix(frame(spark, rows)).collect()
+    assert len(out) == len(rows) and all(0 <= r.probability <= 1 and r.tokens >= 1 for r in out)
+    assert mixing.mix(frame(spark, [])).collect() == []
+    assert mixing.sample_mixture(frame(spark, rows)).columns == frame(spark, rows).columns
+
+
+# ------------------------------------------------------------------- op10
+
+ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute_secrets(text):
+    t = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_secrets_match_brute_force(spark):
+    rows = corpus() + [(300, "secret:token = abcdefgh; passwd='aaaaa' API_KEY=\"A.b-c=d+e\" token==abcdef", "en", "a"), (301, "token=abcdef " * 5000, "en", "a")]
+    out = secrets.scan_secrets(frame(spark, rows)).collect()
+    assert len(out) == len(rows)
+    texts = {d: t for d, t, *_ in rows if d is not None}
+    names = ["assign", "access", "hex"]
+    for r in out:
+        if r.doc_id is None:
+            continue
+        want = brute_secrets(texts[r.doc_id])
+        lines = [f"{names[k]}:{a}:{b}" for a, k, b in want]
+        assert r.base_sha256 == sha(",".join(lines))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in want) for n in range(3))
+        assert set(lines) <= set(r.spans.split(",")) | {""}
+    assert secrets.scan_secrets(frame(spark, [])).collect() == []
+
+
+def test_copied_values_differ_from_live_ones(spark):
+    example, live = "Zx81kQpL0vTn4yRb7WmC2dEf5GhJ9sAu", "q8Yt3LmZ7pXc1VbN5kRd9GhJ2wQe4SfA"
+    rows = [(i, f"key {example} here", "en", f"owner{i}") for i in range(6)] + [(9, f"key {live} here", "en", "owner1")]
+    out = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert out[9].spans == "blob:4:36" and out[9].n_live == 1
+    assert out[0].spans == "" and out[0].n_copied == 1
+    masked = {r.doc_id: r for r in secrets.mask_live(frame(spark, rows)).collect()}
+    assert masked[9].text == "key [SECRET] here" and masked[9].n_chars == len(masked[9].text) and masked[0].text == rows[0][1]
