@@ -129,7 +129,7 @@ class Repeats:
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """Estimated counts, at most 255; 1 where a hash is not repeated."""
-        places = self.shape.places(hashes, 0) & np.uint32((1 << self.shape.log2_coarse) - 1)
+        places = self.shape.places(hashes, 0) >> np.uint32(self.shape.log2_width - self.shape.log2_coarse)
         return np.where(self.repeated(hashes), np.maximum(self.coarse[places], 2), 1)
 
 
@@ -139,14 +139,14 @@ MERGED = "part int, bits binary, coarse binary"
 def merge_parts(parts: DataFrame, shape: Shape, with_counts: bool) -> DataFrame:
     """Merge rows (part, payload) into one row per block of counters; a task streams through its payloads."""
     size = 1 << shape.log2_block
-    fold = min(1 << shape.log2_coarse, size)
+    fold = 1 << (shape.log2_width - shape.log2_coarse)  # neighbouring counters share a coarse one
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, counters = None, np.zeros(0, dtype=np.uint8)
 
         def done() -> pa.RecordBatch:
             bits = np.packbits(counters >= 2, bitorder="little").tobytes()
-            coarse = np.where(counters >= 2, counters, 0).reshape(-1, fold).max(axis=0).tobytes() if with_counts else b""
+            coarse = np.where(counters >= 2, counters, 0).reshape(-1, fold).max(axis=1).tobytes() if with_counts else b""
             row = {"part": part, "bits": zlib.compress(bits, 1), "coarse": zlib.compress(coarse, 1)}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("bits", pa.binary()), ("coarse", pa.binary())]))
 
@@ -184,8 +184,7 @@ def broadcast_repeats(merged: DataFrame, shape: Shape, with_counts: bool) -> Cal
                 bits[row][block * step : (block + 1) * step] = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
                 if with_counts and row == 0:
                     own = np.frombuffer(zlib.decompress(folded), dtype=np.uint8)
-                    at = (block << shape.log2_block) & ((1 << shape.log2_coarse) - 1)
-                    coarse[at : at + len(own)] = np.maximum(coarse[at : at + len(own)], own)
+                    coarse[block * len(own) : (block + 1) * len(own)] = own
             held = _LOADED[name] = Repeats(shape, bits, coarse)
             vars(sent).pop("_value", None)  # the packed form is not needed again
         return held
