@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.plans import relational_queries  # noqa: F401  registers its queries
+from meridia.plans import relational_queries, text_queries  # noqa: F401  they register their queries
 from meridia.plans.base import ORACLES, QUERIES
 
 
