@@ -28,20 +28,26 @@ def jeffreys_mean(x: Column, n: Column) -> Column:
     return (x + 0.5) / (n + 1.0)
 
 
-def pct_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Percentile rank with average ties over the non-null values: (values below + (ties + 1) / 2) / all.
+def pct_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Percentile ranks (column -> name of its rank) with average ties: (values below + (ties + 1) / 2) / all non-null.
 
-    Values are counted first, so the one ordered pass runs over distinct values instead of rows, and the result is
-    joined back. Nulls stay null.
+    All columns' values are counted in one aggregation, so the ordered pass runs over distinct values, column by
+    column, instead of over rows; the small results are joined back. Nulls stay null.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__ties"))
-    below = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    ranked = counted.select(
-        F.col(column).alias("__value"),
-        ((F.coalesce(F.sum("__ties").over(below), F.lit(0)) + (F.col("__ties") + 1) / 2.0) / F.sum("__ties").over(everything)).alias(out),
-    )
-    return df.join(ranked, df[column] == F.col("__value"), "left").drop("__value")
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns)))
+    counted = df.select(pairs.alias("p")).where("p.value is not null").groupBy("p.column", "p.value").agg(F.count("*").alias("ties"))
+    by = Window.partitionBy("column")
+    below = by.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    rank = (F.coalesce(F.sum("ties").over(below), F.lit(0)) + (F.col("ties") + 1) / 2.0) / F.sum("ties").over(by)
+    ranked = counted.select("column", "value", rank.alias("rank"))
+    for c, out in columns.items():
+        own = ranked.where(F.col("column") == c).select(F.col("value").alias("__value"), F.col("rank").alias(out))
+        df = df.join(own, F.col(c).cast("double") == F.col("__value"), "left").drop("__value")
+    return df
+
+
+def pct_rank(df: DataFrame, column: str, out: str) -> DataFrame:
+    return pct_ranks(df, {column: out})
 
 
 def min_max(column: Column, default: float = 0.0) -> Column:
