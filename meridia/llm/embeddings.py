@@ -26,7 +26,7 @@ from meridia.llm._shared import components, read_table, settle
 MIN_COSINE = 0.98
 FILTERS = 12  # that a vector passes on average
 LEAST = 4  # that every vector gets: its best ones where fewer reach the threshold
-CHUNK = 1024
+CHUNK = 256
 
 
 @lru_cache(maxsize=8)
