@@ -20,7 +20,7 @@ def wilson(x: Column, n: Column, z: float = 1.96) -> Column:
     d = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / d
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
-    return F.struct(F.greatest(F.lit(0.0), centre - half).alias("low"), F.least(F.lit(1.0), centre + half).alias("high"))
+    return F.struct(clip01(centre - half).alias("low"), clip01(centre + half).alias("high"))
 
 
 def jeffreys_mean(x: Column, n: Column) -> Column:
@@ -69,7 +69,8 @@ def grid_cell(lat: Column, lon: Column, size: float) -> Column:
 
 
 def clip01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Into [0, 1]; null stays null (greatest and least would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def logit(p: Column) -> Column:

@@ -74,7 +74,7 @@ PAIRS = f"""SELECT p.*, round(1 - levenshtein(a.s_name, b.s_name) / greatest(len
   (l + r) % 11 = 0 AS mail, a.s_nationkey = b.s_nationkey AS pin, floor(a.s_acctbal / 500) = floor(b.s_acctbal / 500) AS city, CASE WHEN (l * r) % 3 <> 0 THEN ((l + r) % 30) / 3.0 END AS km
 FROM (WITH b AS ({_BLOCKS}), k AS (SELECT block FROM b GROUP BY 1 HAVING count(*) BETWEEN 2 AND 250) SELECT DISTINCT x.id AS l, y.id AS r FROM b x JOIN k USING (block) JOIN b y USING (block) WHERE x.id < y.id) p
 JOIN supplier a ON l = a.s_suppkey JOIN supplier b ON r = b.s_suppkey"""
-_SIGNS = [F.col(c) for c in ("name", "address", "phone", "mail", "pin", "city", "km")]
+_SIGNS = ("name", "address", "phone", "mail", "pin", "city", "km")
 _TIER = """CASE WHEN (phone AND mail AND name >= .70 AND (address >= .82 OR n05 OR (close AND address >= .45))) OR (mail AND name >= .80 AND (address >= .82 OR n05 OR (close AND address >= .45)))
  OR (phone AND name >= .84 AND (address >= .82 OR n05 OR (close AND address >= .50))) OR (name >= .94 AND address >= .82 AND local) OR (name >= .92 AND n02 AND (address >= .50 OR pin OR city)) THEN 1
  WHEN ((phone OR mail) AND name >= .70 AND (address >= .35 OR pin OR city OR n10)) OR (name >= .88 AND address >= .65 AND local) OR (name >= .86 AND n05 AND (pin OR city OR address >= .45)) OR (name >= .88 AND pin AND address >= .55) THEN 2
@@ -84,7 +84,7 @@ FROM (SELECT *, pin OR city OR coalesce(km <= 5, false) AS local, pin OR city OR
 
 
 def _tiered(spark, d):
-    return _pairs(spark, d).withColumn("tier", matching.pair_tier(*_SIGNS)).withColumn("score", matching.pair_score(*_SIGNS))
+    return _pairs(spark, d).withColumn("tier", matching.pair_tier(*map(F.col, _SIGNS))).withColumn("score", matching.pair_score(*map(F.col, _SIGNS)))
 
 
 @query("pair_tiers", f"SELECT l AS left, r AS right, tier, score FROM ({TIERED}) WHERE tier IS NOT NULL")
