@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -70,8 +71,10 @@ def drop_settled(df: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of DataFrames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round unlinks, the second one finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

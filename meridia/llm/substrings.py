@@ -52,10 +52,9 @@ def _sketch(n: int, shape: Shape):
     return run
 
 
-REMOVALS = "key long, check int, doc long, start int, run int, settled boolean"
-_REMOVALS = pa.schema(
-    [("key", pa.int64()), ("check", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("run", pa.int32()), ("settled", pa.bool_())]
-)
+# place: 32 bits of the second hash above 32 bits of the start; run: 0 where the window is still to be judged.
+REMOVALS = "key long, place long, doc long, run int"
+_REMOVALS = pa.schema([("key", pa.int64()), ("place", pa.int64()), ("doc", pa.int64()), ("run", pa.int32())])
 
 
 def _settle_batch(hashes: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -80,11 +79,9 @@ def _settle_batch(hashes: np.ndarray, check: np.ndarray, doc: np.ndarray, start:
         run = np.zeros(0, dtype=np.int64)
     columns = [
         np.concatenate([signed(hashes[first]), signed(mix64(d.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)))]),
-        np.concatenate([check[first], np.zeros(len(d), dtype=np.int32)]),
+        np.concatenate([check[first].astype(np.int64) << 32 | start[first], s]),
         np.concatenate([doc[first], d]),
-        np.concatenate([start[first], s]).astype(np.int32),
-        np.concatenate([np.ones(len(first), dtype=np.int64), run]).astype(np.int32),
-        np.concatenate([np.zeros(len(first), dtype=bool), np.ones(len(d), dtype=bool)]),
+        np.concatenate([np.zeros(len(first), dtype=np.int64), run]).astype(np.int32),
     ]
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _REMOVALS, strict=True)], schema=_REMOVALS)
 
@@ -119,8 +116,10 @@ def repeated_places(docs: DataFrame, key: str, text: str, n: int = WINDOW, shape
     load = broadcast_repeats(merge_parts(docs.select(text).mapInArrow(_sketch(n, shape), "part int, payload binary"), shape, False), shape, False)
     free_shuffles(docs.sparkSession)
     found = docs.select(key, text).mapInArrow(_candidates(n, load), REMOVALS)
-    first = Window.partitionBy("key", "check", "settled").orderBy("doc", "start")
-    return found.withColumn("rank", F.rank().over(first)).where("settled or rank > 1").select("doc", "start", "run")
+    start = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    first = Window.partitionBy("key", F.shiftright("place", 32), F.col("run") > 0).orderBy("doc", start)
+    later = found.withColumn("rank", F.rank().over(first)).where("run > 0 or rank > 1")
+    return later.select("doc", start.cast("int").alias("start"), F.greatest("run", F.lit(1)).alias("run"))
 
 
 def with_removals(docs: DataFrame, id_column: str, text_column: str, n: int = WINDOW, shape: Shape | None = None) -> DataFrame:
