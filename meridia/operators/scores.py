@@ -177,7 +177,7 @@ def conformal(df: DataFrame, key: str, posterior: str, label: str, alpha: float
 
     The score of a row is 1 - p for label 1 and p for label 0; q is the ceil((n+1)(1-a))-th smallest of n, clipped.
     """
-    half = F.crc32(F.col(key).cast("string").cast("binary")) % 2
+    half = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 1), 16, 10).cast("int") % 2
     scored = df.select(half.alias("half"), F.when(F.col(label), 1 - F.col(posterior)).otherwise(F.col(posterior)).alias("s"))
     cal = scored.where("half = 0")
     n = cal.agg(F.count("*").alias("n"))

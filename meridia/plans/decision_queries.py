@@ -243,7 +243,20 @@ def _rates(spark, d):
     )
 
 
-@query("ev_recommender")
+@query("ev_recommender", """WITH r AS (SELECT *, trusted_n / observed AS trust, review_n / observed AS review, critical_n / observed AS critical, contact_n / observed AS contact, source_n / observed AS source, plausible_n / observed AS signal,
+  capacity_n / observed AS cap, CASE district_key % 3 WHEN 0 THEN 'higher' WHEN 1 THEN 'medium' ELSE 'lower' END AS level, coalesce(anaemia, 50) / 100 AS ana, pressure / 100 AS bp, sugar / 100 AS sug, coalesce(insurance, 50) / 100 AS ins, births / 100 AS bir,
+  CAST(observed AS DOUBLE) AS n FROM {regions} x),
+w AS (SELECT *, greatest(.05, least(.85, CASE level WHEN 'lower' THEN .12 WHEN 'medium' THEN .25 ELSE .42 END + CASE WHEN n < 8 THEN .15 ELSE 0 END + CASE WHEN review >= .85 THEN .12 ELSE 0 END + CASE WHEN critical >= .75 THEN .08 ELSE 0 END
+  + CASE WHEN 2 * 1.96 * sqrt(trust * (1 - trust) / n + .9604 / (n * n)) / (1 + 3.8416 / n) >= .5 THEN .06 ELSE 0 END)) AS pw, review >= .7 OR level = 'higher' AS shaky FROM r),
+g AS (SELECT *, .6 * (1 - trust) + .4 * (1 - cap) AS g1, .5 * (1 - bir) + .3 * ana + .2 * (1 - signal) AS g2, .4 * bp + .4 * sug + .2 * (1 - signal) AS g3, 1 - ins AS g4, .5 * review + .4 * (1 - contact) + .1 * (1 - source) AS g5,
+  (.5 * review + .5 * critical) * CASE WHEN district_key % 4 = 0 OR review >= .9 THEN 1 ELSE .45 END AS g6, 1 - trust AS g7 FROM w),
+o AS (SELECT district, bp, pw, 'mobile_clinic' AS option, g1 AS gap, least(.95, .35 + .4 * g1 + CASE WHEN district_key % 4 = 1 THEN .2 ELSE 0 END) AS p, .55 AS cost, .60 AS harm, false AS flagged FROM g
+  UNION ALL SELECT district, bp, pw, 'maternal_outreach', g2, least(.95, .3 + .5 * g2), .42, .45, false FROM g UNION ALL SELECT district, bp, pw, 'chronic_care', g3, least(.95, .3 + .5 * g3), .22, .30, false FROM g
+  UNION ALL SELECT district, bp, pw, 'insurance', g4, least(.95, .25 + .55 * g4 + CASE WHEN district_key % 4 = 2 THEN .15 ELSE 0 END), .18, .25, false FROM g UNION ALL SELECT district, bp, pw, 'contact_outreach', g5, least(.95, .3 + .45 * g5), .30, .25, false FROM g
+  UNION ALL SELECT district, bp, pw, 'verify_first', g6, least(.95, .35 + .45 * g6 + CASE WHEN district_key % 4 = 0 THEN .15 ELSE 0 END), .12, .10, false FROM g UNION ALL SELECT district, bp, pw, 'telehealth', g7, least(.7, .18 + .25 * g7), .20, .40, shaky FROM g),
+e AS (SELECT district, option, flagged, p, cost, harm, least(.95, pw + CASE WHEN flagged THEN .15 ELSE 0 END) AS pw, 1.6 * least(1, .35 + .65 * bp) * least(1, .3 + .7 * gap) AS b FROM o),
+f AS (SELECT district, option, flagged, round(p * b - .6 * pw * harm - .6 * cost, 4) AS ev, round(greatest(0, least(100, 62.5 * p * b * (1 - .5 * pw))), 4) AS gain, CASE WHEN pw >= .5 OR p < .35 OR flagged THEN 'Low' WHEN pw <= .22 AND p >= .55 THEN 'High' ELSE 'Medium' END AS confidence FROM e)
+SELECT *, CAST(row_number() OVER (PARTITION BY district ORDER BY (flagged OR option = 'telehealth')::INT, ev DESC, option) AS BIGINT) AS rank FROM f""")
 def ev_recommender(spark, d):
     r = _rates(spark, d)
     c = {k: F.col(k) for k in ("trust", "review", "critical", "contact", "source", "signal", "capacity_rate", "level")}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meridia.functions import stats
+from meridia.functions import beta, stats
 from meridia.operators import relational as rel
 from meridia.operators import scores
 from meridia.plans.base import entities, query, regions, table
@@ -155,7 +155,10 @@ def provider_trust(spark, d):
     return scores.shrunk_trust(entities(spark, d).withColumn("posterior", scores.validity_posterior()), "district", "posterior", "trusted")
 
 
-@query("conformal_calibration")
+@query("conformal_calibration", f"""WITH s AS (SELECT CASE WHEN trusted THEN 1 - posterior ELSE posterior END AS s, ('0x' || substr(md5(CAST(entity_id AS VARCHAR)), 1, 1))::INT % 2 AS half FROM ({POSTERIORS})),
+c AS (SELECT s, row_number() OVER (ORDER BY s) AS k, count(*) OVER () AS n FROM s WHERE half = 0),
+q AS (SELECT max(n) AS n, least(.95, greatest(.05, min(s) FILTER (k >= ceil(least(1, ceil((n + 1) * .9) / n) * (n - 1)) + 1))) AS q, min(s) FILTER (k >= ceil(least(1, ceil((n + 1) * .95) / n) * (n - 1)) + 1) AS h FROM c)
+SELECT round(q, 6) AS q, round(least(.99, greatest(h, q + .05)), 6) AS stale_q, round(avg((s <= q)::INT), 6) AS coverage, n AS n_calibration, count(*) AS n_evaluation FROM s, q WHERE half = 1 GROUP BY q, h, n""")
 def conformal_calibration(spark, d):
     p = entities(spark, d).withColumn("posterior", scores.validity_posterior())
     out = scores.conformal(p, "entity_id", "posterior", "trusted")
@@ -249,3 +252,10 @@ def uncertainty_queue(spark, d):
 def label_agreement(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
     return table(spark, d, "labels").join(docs, "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
+
+
+@query("jeffreys_interval")
+def jeffreys_interval(spark, d):
+    """95 % Jeffreys intervals of the districts' trust rates; quantiles come from numpy in Arrow batches."""
+    j = beta.jeffreys(F.col("trusted_n"), F.col("observed"))
+    return regions(spark, d).select("district", j.alias("j")).select("district", F.round("j.low", 6).alias("low"), F.round("j.high", 6).alias("high"))

@@ -169,3 +169,37 @@ def metadata_index(records: DataFrame, keys: Sequence[str], order: str) -> DataF
     long = records.withColumn("lookup_key", F.explode(F.array_distinct(F.filter(folded, lambda x: F.coalesce(x, F.lit("")) != ""))))
     last = Window.partitionBy("lookup_key").orderBy(F.desc(order))
     return long.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+
+
+# ------------------------------------------------------------------- sinks
+
+
+def write(df: DataFrame, path: str, kind: str, mode: str = "overwrite") -> None:
+    """Parquet, CSV (header, doubled quotes), JSON lines or one text column, as many files as there are tasks."""
+    writer = df.write.mode(mode)
+    if kind == "csv":
+        writer.option("header", True).option("escape", '"').csv(path)
+    elif kind in ("parquet", "json", "text", "orc"):
+        getattr(writer, kind)(path)
+    else:
+        raise ValueError(f"no sink for {kind}")
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines, a JSON list, one object, or {"records": [...]}: one row per record."""
+    kind = schema if isinstance(schema, str) else schema.simpleString()
+    inner = kind if kind.startswith("struct<") else T._parse_datatype_string(kind).simpleString()
+    text = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
+    whole = F.when(F.col("v").startswith("["), F.from_json("v", f"array<{inner}>"))
+    nested = F.from_json("v", f"struct<records:array<{inner}>>")["records"]
+    lines = F.transform(F.filter(F.split("v", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, inner))
+    one = F.array(F.from_json("v", inner))
+    many = F.when(F.col("v").rlike(r"\}\s*\r?\n\s*\{"), lines)
+    return text.select(F.explode(F.coalesce(whole, nested, many, one)).alias("r")).select("r.*")
+
+
+def markdown(df: DataFrame, most: int = 50) -> str:
+    """A small report table as Markdown; at most ``most`` rows come to the driver."""
+    rows = [[str(v) if v is not None else "" for v in r] for r in df.limit(most).collect()]
+    lines = [df.columns, ["-"] * len(df.columns), *rows]
+    return "\n".join("|" + "|".join(x) + "|" for x in lines)

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from meridia.functions import stats, text
+from meridia.functions import beta, stats, text
 from meridia.operators import matching, profile, scores
 from meridia.operators import relational as rel
 from meridia.sources import io
@@ -115,3 +115,26 @@ def test_sequence_ratio_is_that_of_difflib(spark):
 
     r = spark.createDataFrame([("district", "distict x")], "a string, b string").select(matching.sequence_ratio("a", "b").alias("x")).first().x
     assert r == SequenceMatcher(None, "district", "distict x").ratio()
+
+
+def test_beta_quantiles():
+    import numpy as np
+
+    a, b = np.array([0.5, 1.0, 5.5, 2.0]), np.array([0.5, 1.0, 5.5, 1.0])
+    assert beta.quantile(0.025, a, b)[1] == pytest.approx(0.025, abs=1e-9)
+    assert beta.quantile(0.25, a, b)[0] == pytest.approx(math.sin(math.pi / 8) ** 2, abs=1e-9)  # the arcsine law
+    assert beta.quantile(0.5, a, b)[2] == pytest.approx(0.5, abs=1e-9)
+    assert beta.quantile(0.49, a, b)[3] == pytest.approx(0.7, abs=1e-9)
+
+
+def test_records_and_sinks(spark, tmp_path):
+    texts = {"list": '[{"a":1},{"a":2}]', "lines": '{"a":1}\n{"a":2}\n', "nested": '{"records":[{"a":1},{"a":2}]}', "one": '{"a":1}'}
+    for name, t in texts.items():
+        (tmp_path / f"{name}.json").write_text(t)
+    got = {n: sorted(r.a for r in io.read_records(spark, f"{tmp_path}/{n}.json", "struct<a:int>").collect()) for n in texts}
+    assert got == {"list": [1, 2], "lines": [1, 2], "nested": [1, 2], "one": [1]}
+    df = spark.createDataFrame([(1, 'x "y"\nz'), (2, None)], "a int, b string")
+    for kind in ("csv", "json", "parquet"):
+        io.write(df, f"{tmp_path}/{kind}", kind)
+    assert sorted(r.b or "" for r in io.read_csv(spark, f"{tmp_path}/csv").collect()) == ["", 'x "y"\nz']
+    assert io.markdown(df.select("a")) == "|a|\n|-|\n|1|\n|2|"
