@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,16 +85,30 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def text_batches(texts: list[bytes], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` bytes, whole texts each: what numpy holds at once stays bounded."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+def text_slices(column: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, end row, UTF-8 texts) of about ``limit`` bytes, whole texts each, nulls as empty.
+
+    A batch is turned into Python objects slice by slice, so what a worker holds besides the batch stays bounded.
+    """
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(column):
+        before = int(size[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + limit, side="right")))
+        yield start, end, [t or b"" for t in utf8(column.slice(start, end - start))]
+        start = end
+
+
+_OWNER: list[str] = [""]
+_KEPT: dict = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What this Python worker keeps between tasks for one owner; another owner's is dropped first."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        _KEPT.clear()
+    return _KEPT
 
 
 # --------------------------------------------------------------------------- hashing

@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm._shared import (
-    components, free_shuffles, lower_ascii, mix64, read_table, settle, signed, text_batches, utf8, window_hashes, word_hashes,
+    components, free_shuffles, lower_ascii, mix64, read_table, settle, signed, text_slices, window_hashes, word_hashes,
 )
 from meridia.llm.sketch import PartitionSketch, Repeats, Shape, broadcast_repeats, merge_parts
 from meridia.llm.substrings import document_key
 
 SHINGLE = 5
 PERCENT = 75
+SETS_AT_ONCE = 16_000_000  # bytes of sets that a task compares among themselves before it sends them
 BINS = 64  # of the suffix filter's histograms
 
 
@@ -76,17 +77,16 @@ def _digest_and_sketch(n: int, shape: Shape):
                 yield pa.RecordBatch.from_pylist([row], schema=_PASS1_ARROW)
 
         for batch in batches:
-            texts = [t or b"" for t in utf8(batch.column(1))]
             sizes, h1, h2 = [], [], []
-            for a, b in text_batches(texts):
-                sets = shingle_sets(texts[a:b], n)
+            for _, _, texts in text_slices(batch.column(1)):
+                sets = shingle_sets(texts, n)
                 for own in sets:
                     x, y = set_digest(own)
                     sizes.append(len(own))
                     h1.append(x)
                     h2.append(y)
                 yield from parts(sketch.add(np.concatenate(sets)))
-            none = pa.nulls(len(texts))
+            none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
                  none.cast(pa.int32()), none.cast(pa.binary())],
@@ -123,10 +123,10 @@ def _index(n: int, percent: int, load):
         repeats = load()
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            texts = [t or b"" for t in utf8(batch.column(1))]
             best: dict[tuple[int, int], tuple] = {}
-            for a, b in text_batches(texts):
-                for doc, own in zip(docs[a:b], shingle_sets(texts[a:b], n), strict=True):
+            held = 0
+            for a, b, texts in text_slices(batch.column(1)):
+                for doc, own in zip(docs[a:b], shingle_sets(texts, n), strict=True):
                     if not len(own):
                         continue
                     digest = set_digest(own)
@@ -137,10 +137,13 @@ def _index(n: int, percent: int, load):
                     grams, places = prefix_of(own, repeats, percent)
                     if len(grams):
                         best[digest] = (doc, len(own), *digest, signed(grams), places, own.tobytes())
-            for rows in _slices(list(best.values()), 500):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ALIVE_ARROW, strict=True)], schema=_ALIVE_ARROW
-                )
+                        held += own.nbytes
+                if held > SETS_AT_ONCE or b == len(docs):
+                    for rows in _slices(list(best.values()), 200):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ALIVE_ARROW, strict=True)], schema=_ALIVE_ARROW
+                        )
+                    best, held = {}, 0
 
     return run
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import read_table
+from meridia.llm._shared import read_table, worker_cache
 
 WINDOW = 4096
 END_ID = 2
@@ -137,9 +137,6 @@ class WordIds(dict):
             self[chunk] = b"".join([known.get(p) or piece(p) for p in _PIECE.findall(chunk)])
 
 
-_WORKER: dict[str, WordIds] = {}
-
-
 def batch_ids(texts: list[str], words: WordIds) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
     plain = [None if _OTHER.search(t) else t.lower().split() for t in texts]
@@ -155,11 +152,12 @@ def batch_ids(texts: list[str], words: WordIds) -> Iterator[bytes]:
 
 
 def load_words(path: str) -> WordIds:
-    if path not in _WORKER:
+    kept = worker_cache(f"tokenizer {path}")
+    if path not in kept:
         from tokenizers import Tokenizer
 
-        _WORKER[path] = WordIds(Tokenizer.from_file(path))
-    return _WORKER[path]
+        kept[path] = WordIds(Tokenizer.from_file(path))
+    return kept[path]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import drop_settled, read_table, settle, text_batches, utf8
+from meridia.llm._shared import drop_settled, read_table, settle, text_slices
 
 MAX_POSITIVES = 40_000  # rows that the model is fitted on at most, drawn evenly by hash
 MAX_UNLABELLED = 80_000
@@ -38,18 +38,16 @@ WIDTH = CLASSES * CLASSES + EXTRAS
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """One row per text: how often each class of byte follows each, and eight figures on words and lines."""
+    """One row per text (of a slice): how often each class of byte follows each, and eight figures on words and lines."""
     out = np.zeros((len(texts), WIDTH), dtype=np.float32)
     pairs = CLASSES * CLASSES
-    for a, b in text_batches(texts):
-        some = texts[a:b]
-        size = np.array([len(t) for t in some])
-        kinds = _CLASS[np.frombuffer(b"".join(some), dtype=np.uint8)]
-        row = np.repeat(np.arange(len(some)), size)
-        same = row[1:] == row[:-1]
-        code = (row[1:] * pairs + kinds[:-1] * CLASSES + kinds[1:])[same]
-        count = np.bincount(code, minlength=len(some) * pairs).reshape(len(some), pairs)
-        out[a:b, :pairs] = np.sqrt(count / np.maximum(1, size - 1)[:, None])
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    kinds = _CLASS[np.frombuffer(b"".join(texts), dtype=np.uint8)]
+    row = np.repeat(np.arange(len(texts)), size)
+    same = row[1:] == row[:-1]
+    code = (row[1:] * pairs + kinds[:-1] * CLASSES + kinds[1:])[same]
+    count = np.bincount(code, minlength=len(texts) * pairs).reshape(len(texts), pairs)
+    out[:, :pairs] = np.sqrt(count / np.maximum(1, size - 1)[:, None])
     for i, text in enumerate(texts):
         words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
         n, m = max(1, len(words)), max(1, len(lines))
@@ -72,10 +70,11 @@ def feature_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features([t or b"" for t in utf8(batch.column(1))]).astype(np.float16)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["key", "x"]
-            )
+            for a, b, texts in text_slices(batch.column(1)):
+                x = features(texts).astype(np.float16)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], names=["key", "x"]
+                )
 
     return docs.select(key, text).mapInArrow(run, "key long, x binary")
 
@@ -250,8 +249,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = score_column(model, features([t or b"" for t in utf8(batch.column(at))]))
-            yield batch.filter(pa.array(s >= THRESHOLD))
+            for a, b, texts in text_slices(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(score_column(model, features(texts)) >= THRESHOLD))
 
     return docs.mapInArrow(run, schema)
 

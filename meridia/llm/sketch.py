@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from meridia.llm._shared import worker_cache
 
 ROWS_AT_ONCE = 2_000_000  # hashes that a partition gathers before it sends them
 
@@ -71,7 +71,7 @@ class PartitionSketch:
 
     def __init__(self, shape: Shape):
         self.shape, self.held, self.n = shape, [], 0
-        _LOADED.clear()  # of an earlier query
+        worker_cache("counting")  # drops what earlier queries kept
 
     def add(self, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
         self.held.append(hashes)
@@ -173,9 +173,9 @@ def broadcast_repeats(merged: DataFrame, shape: Shape, with_counts: bool) -> Cal
     name = uuid.uuid4().hex
 
     def load() -> Repeats:
-        held = _LOADED.get(name)
+        kept = worker_cache(f"sketch {name}")
+        held = kept.get(name)
         if held is None:
-            _LOADED.clear()
             bits = [np.zeros(1 << (shape.log2_width - 3), dtype=np.uint8) for _ in range(shape.depth)]
             coarse = np.zeros(1 << shape.log2_coarse, dtype=np.uint8) if with_counts else None
             step = 1 << (shape.log2_block - 3)
@@ -185,12 +185,8 @@ def broadcast_repeats(merged: DataFrame, shape: Shape, with_counts: bool) -> Cal
                 if with_counts and row == 0:
                     own = np.frombuffer(zlib.decompress(folded), dtype=np.uint8)
                     coarse[block * len(own) : (block + 1) * len(own)] = own
-            held = _LOADED[name] = Repeats(shape, bits, coarse)
+            held = kept[name] = Repeats(shape, bits, coarse)
             vars(sent).pop("_value", None)  # the packed form is not needed again
         return held
 
     return load
-
-
-# The sketch that this Python worker unpacked last.
-_LOADED: dict[str, Repeats] = {}

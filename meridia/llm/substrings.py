@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import free_shuffles, mix64, read_table, signed, text_batches, utf8, window_hashes, word_hashes
+from meridia.llm._shared import free_shuffles, mix64, read_table, signed, text_slices, utf8, window_hashes, word_hashes
 from meridia.llm.sketch import PartitionSketch, Shape, broadcast_repeats, merge_parts
 
 WINDOW = 20
+SETTLED_AT_ONCE = 1_000_000  # windows that a task compares among themselves before it sends them
 
 
 def document_key(id_column: str, text_column: str) -> Column:
@@ -44,9 +45,8 @@ def _sketch(n: int, shape: Shape):
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
-            texts = [t or b"" for t in utf8(batch.column(0))]
-            for a, b in text_batches(texts):
-                yield from send(sketch.add(_windows(texts[a:b], n)[0]))
+            for _, _, texts in text_slices(batch.column(0)):
+                yield from send(sketch.add(_windows(texts, n)[0]))
         yield from send(sketch.flush())
 
     return run
@@ -91,14 +91,17 @@ def _candidates(n: int, load):
         repeats = load()
         for batch in batches:
             docs = batch.column(0).to_numpy()
-            texts = [t or b"" for t in utf8(batch.column(1))]
-            found = []
-            for a, b in text_batches(texts):
-                hashes, row, start = _windows(texts[a:b], n)
+            found, held = [], 0
+            for a, b, texts in text_slices(batch.column(1)):
+                hashes, row, start = _windows(texts, n)
                 some = np.flatnonzero(repeats.repeated(hashes))
                 if len(some):
-                    check = _windows(texts[a:b], n, 1)[0][some]
+                    check = _windows(texts, n, 1)[0][some]
                     found.append((hashes[some], signed(check).astype(np.int32), docs[a:b][row[some]], start[some]))
+                    held += len(some)
+                if found and (held > SETTLED_AT_ONCE or b == len(docs)):
+                    yield _settle_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    found, held = [], 0
             if found:
                 yield _settle_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
