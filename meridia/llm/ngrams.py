@@ -162,9 +162,14 @@ def required_overlap(n: Column, m: Column, percent: int) -> Column:
 
 
 def may_link(percent: int, n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length filter, and positional filter: a shared n-gram at places i and j leaves room for the required overlap."""
+    """Length filter, and positional filter at a shared n-gram that stands at places i and j.
+
+    At the first n-gram that two sets share, all they share stands there or later, so the rest must have room for
+    the required overlap. A pair that links passes at its first shared n-gram; whether it passes at later ones
+    does not matter.
+    """
     length = (n * 100 >= m * percent) & (m * 100 >= n * percent)
-    room = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    room = 1 + F.least(n - i - 1, m - j - 1)
     return length & (room >= required_overlap(n, m, percent))
 
 
@@ -197,10 +202,11 @@ def _class_links(alive: DataFrame, percent: int) -> DataFrame:
     thin = alive.select("doc", "n", "h1", "h2").join(classes, ["h1", "h2"]).where("doc = rep").select("rep")
     sets = alive.join(thin.distinct().withColumnRenamed("rep", "doc"), "doc", "left_semi").withColumnRenamed("doc", "rep")
     sets = settle(sets.dropDuplicates(["rep"]), "sets")
-    postings = sets.select("rep", "n", F.explode(F.arrays_zip("grams", "places")).alias("x")).select(
-        F.col("x.grams").alias("gram"), "rep", "n", F.col("x.places").cast("long").alias("at")
+    postings = sets.select("rep", "n", F.col("places")[0].cast("long").alias("lead"), F.explode(F.arrays_zip("grams", "places")).alias("x")).select(
+        F.col("x.grams").alias("gram"), "rep", "n", "lead", F.col("x.places").cast("long").alias("at")
     )
-    member = F.struct("n", "rep", "at")
+    # The pivot is the member with the fewest n-grams of its own: the text that the others are copies of, if any is.
+    member = F.struct("lead", F.negative("n").alias("less"), "rep", "n", "at")
     lists = postings.groupBy("gram").agg(F.min(member).alias("pivot"), F.count("*").alias("size")).where("size > 1")
     postings = settle(postings.join(lists, "gram"), "postings")
 
