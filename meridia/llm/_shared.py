@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import time
@@ -52,11 +54,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SETTLED: list = []
+
+
+@atexit.register
+def _clear_scratch() -> None:
+    """Delete the session's scratch tables when the driver ends; results are the caller's to write before that."""
+    for context, path in _SETTLED:
+        with contextlib.suppress(Exception):  # the session may be gone
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and no executor's loss can undo it."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/meridia-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SETTLED.append((spark.sparkContext, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
