@@ -30,6 +30,7 @@ def scored(spark, d):
     for name in ("trusted", "review", "critical", "contradicted", "plausible", "source"):
         r = r.withColumn(f"{name if name != 'trusted' else 'trust'}_rate", stats.share(F.col(f"{name}_n"), F.col("observed")))
     indicators = ["anaemia", "pressure", "sugar", "insurance", "births"]
+    r = r.cache()  # one row per district; ranking six columns reads it seven times
     r = stats.pct_ranks(r, {"observed": "count_pct"} | {c: f"{c}_pct" for c in indicators})
     return scores.district_scores(r.withColumn("need", scores.need_score(["anaemia_pct", "pressure_pct", "sugar_pct"], ["insurance_pct", "births_pct"])))
 
