@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import read_table, worker_cache
+from meridia.llm._shared import read_table, text_slices, worker_cache
 
 WINDOW = 4096
 END_ID = 2
@@ -171,16 +171,16 @@ def token_pieces(docs: DataFrame, id_column: str, text_column: str, tokenizer: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load_words(tokenizer)
         for batch in batches:
-            rows = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for key, ids in zip(batch.column(0).to_pylist(), batch_ids(texts, words), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    rows.append((key, start, len(part) // 4, zlib.crc32(part), n))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_PIECES)
+            keys = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1)):
+                rows = []
+                for key, ids in zip(keys[a:b], batch_ids([t.decode() for t in texts], words), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, window):
+                        part = ids[4 * start : 4 * (start + window)]
+                        rows.append((key, start, len(part) // 4, zlib.crc32(part), n))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_PIECES)
 
     return docs.select(id_column, text_column).mapInArrow(run, PIECES)
 
