@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import free_shuffles, mix64, read_table, signed, text_slices, utf8, window_hashes, word_hashes
+from meridia.llm._shared import free_shuffles, mix64, read_table, signed, text_slices, window_hashes, word_hashes
 from meridia.llm.sketch import PartitionSketch, Shape, broadcast_repeats, merge_parts
 
 WINDOW = 20
@@ -144,29 +144,28 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), utf8(batch.column(1))
             lists = batch.column(2)
             ends = lists.offsets.to_numpy()
-            flat = lists.values
-            starts, runs = flat.field("start").to_numpy(), flat.field("run").to_numpy()
+            starts, runs = (lists.values.field(k).to_numpy() for k in ("start", "run"))
             filled = lists.is_valid().to_numpy(zero_copy_only=False)
-            counts, removed, kept = [], [], []
-            for i, text in enumerate(texts):
-                words = text.split()
-                counts.append(len(words))
-                if filled[i] and ends[i + 1] > ends[i]:
-                    s, r = starts[ends[i] : ends[i + 1]].astype(np.int64), runs[ends[i] : ends[i + 1]].astype(np.int64)
-                    change = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(change, s, 1)
-                    np.add.at(change, np.minimum(len(words), s + r + n - 1), -1)
-                    stay = np.cumsum(change[:-1]) == 0
-                    words = [w for w, k in zip(words, stay, strict=True) if k]
-                removed.append(counts[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["id", "n_words", "n_removed", "kept"],
-            )
+            for first, last, texts in text_slices(batch.column(1)):
+                counts, removed, kept = [], [], []
+                for i, text in enumerate(texts, first):
+                    words = text.split()
+                    counts.append(len(words))
+                    if filled[i] and ends[i + 1] > ends[i]:
+                        s, r = starts[ends[i] : ends[i + 1]].astype(np.int64), runs[ends[i] : ends[i + 1]].astype(np.int64)
+                        change = np.zeros(len(words) + 1, dtype=np.int64)
+                        np.add.at(change, s, 1)
+                        np.add.at(change, np.minimum(len(words), s + r + n - 1), -1)
+                        stay = np.cumsum(change[:-1]) == 0
+                        words = [w for w, k in zip(words, stay, strict=True) if k]
+                    removed.append(counts[-1] - len(words))
+                    kept.append(b" ".join(words))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                    names=["id", "n_words", "n_removed", "kept"],
+                )
 
     return with_removals(docs, id_column, text_column, n, shape).mapInArrow(run, "id long, n_words long, n_removed long, kept string")
 
