@@ -1,8 +1,8 @@
 """License scans with a positional index of rare words.
 
 One pass counts in how many documents each word of the license templates occurs; the inverse document frequency
-ranks the words. A file's rarest template words then vote: a word at place p of the file and place q of a template
-votes for that template starting at p - q. Starts with enough distinct votes are verified: the template's words
+ranks the words and picks each template's rarest. All of those that a file holds then vote, however many templates it
+holds: a word at place p of the file and place q of a template votes for that template starting at p - q. Starts with enough distinct votes are verified: the template's words
 must line up there and its mandatory key phrases must stand in that stretch.
 """
 
@@ -53,7 +53,6 @@ TEMPLATES = [
 ]
 
 RARE_PER_TEMPLATE = 6  # words of a template that can call it up
-RARE_PER_FILE = 12  # of those in a file, the rarest vote
 MIN_COVER = 0.6  # share of a template's words that must line up
 DRIFT = 2  # places that a word may be off
 
@@ -106,7 +105,7 @@ def build_index(templates: list[tuple[str, str, list[str]]], frequency: dict[str
 
 def match_templates(words: list[bytes], index: Index) -> dict[str, float]:
     """Label -> best share of a template's words that line up, over verified templates."""
-    here = sorted(index.postings.keys() & set(words), key=lambda w: (-index.idf[w], w))[:RARE_PER_FILE]
+    here = index.postings.keys() & set(words)
     votes: dict[tuple[int, int], set[int]] = defaultdict(set)
     for w in here:
         for p in places(words, [w]):

@@ -272,6 +272,19 @@ def test_templates_are_found_without_base_phrases(spark):
     assert out[2].labels == "" and out[2].score == 0
 
 
+def test_every_notice_of_a_bundle_is_found(spark):
+    notices = {}
+    for label, notice, _ in licenses.TEMPLATES:
+        notices[label] = notice
+    plain = [(100 + i, "the of to any in and this software person", "en", "a") for i in range(20)]
+    rows = [(1, " filler ".join(t for _, t, _ in licenses.TEMPLATES), "en", "a"), (2, " filler ".join(notices[k] for k in ("bsd", "isc", "mpl", "unlicense", "lgpl")), "en", "a")]
+    out = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows + plain)).collect()}
+    assert out[1].labels == ",".join(sorted(notices))
+    assert out[2].labels == "bsd,isc,lgpl,mpl,unlicense" and out[2].n_base == 0
+    words, index = licenses.license_words(rows[0][1].encode()), licenses.build_index(licenses.TEMPLATES, {}, 0)
+    assert set(licenses.match_templates(words, index)) == set(notices)
+
+
 # ------------------------------------------------------------------- op9
 
 
