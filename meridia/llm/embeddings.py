@@ -25,7 +25,8 @@ from meridia.llm._shared import components, read_table, settle
 
 MIN_COSINE = 0.98
 FILTERS = 12  # that a vector passes on average
-LEAST = 4  # that every vector gets: its best ones where fewer reach the threshold
+LEAST = 12  # that every vector gets with codes of 16 words: its best ones where fewer reach the threshold
+MORE = 2  # by which that grows whenever the words double, as a larger code splits close pairs more often
 CHUNK = 256
 
 
@@ -40,18 +41,24 @@ def product_code(dimensions: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[0], codes[1]
 
 
+def least_filters(words: int) -> int:
+    """How many filters every vector gets; so few pairs at MIN_COSINE share none that codes of all sizes miss alike."""
+    return LEAST + MORE * max(0, words.bit_length() - 5)
+
+
 def decode_filters(x: np.ndarray, words: int) -> list[np.ndarray]:
     """For each unit vector the sorted numbers of all filters (word of half 1 * words + word of half 2) in whose cap it lies."""
     first, second = product_code(x.shape[1], words)
     half = first.shape[1]
     one, two = x[:, :half] @ first.T, x[:, half:] @ second.T
     need = math.sqrt(2) * NormalDist().inv_cdf(1 - min(0.4, FILTERS / words**2)) / math.sqrt(x.shape[1])
+    least = least_filters(words)
     out = []
     for a, b in zip(one, two, strict=True):
         order_a, order_b = np.argsort(-a), np.argsort(-b)
         a, b = a[order_a], b[order_b]
-        top = (a[: LEAST + 1, None] + b[None, : LEAST + 1]).ravel()  # the best LEAST sums are among these
-        bar = min(need, np.partition(top, -LEAST)[-LEAST]) if len(top) >= LEAST else need
+        top = (a[: least + 1, None] + b[None, : least + 1]).ravel()  # the best sums are among these
+        bar = min(need, np.partition(top, -least)[-least]) if len(top) >= least else need
         reach = np.searchsorted(-b, a - bar, side="right")  # how many words of half 2 go with each word of half 1
         k = int(np.argmin(reach > 0)) if (reach == 0).any() else len(a)
         i = np.repeat(np.arange(k), reach[:k])

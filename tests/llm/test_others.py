@@ -146,6 +146,17 @@ def test_chunked_buckets_count_the_same(spark, monkeypatch):
     assert all(v == (39, 0) for v in whole.values())
 
 
+@pytest.mark.parametrize("words", [16, 64, 256, 2048])
+def test_pairs_at_the_threshold_share_a_filter_at_every_size(words):
+    rng = np.random.default_rng(11)
+    x, y = rng.standard_normal((2, 2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    shared = [len(np.intersect1d(a, b)) > 0 for a, b in zip(embeddings.decode_filters(x, words), embeddings.decode_filters(y, words), strict=True)]
+    assert np.mean(shared) >= 0.999
+
+
 def test_no_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
