@@ -24,7 +24,11 @@ PATTERNS = [
 BASE = 3  # how many of them are the base
 
 COPIED_OWNERS = 3  # a value of so many owners is an example
-MIN_DISTINCT = 10  # characters that a random value has at least
+MIN_DISTINCT = 10  # characters that a random value without name or format has at least, with a digit
+MIN_LETTERS = 20  # the same for one of letters only, in both cases
+MIN_FORMAT = 7  # the same for hexadecimal digits, and for values whose format says what they are
+LONG = 20  # characters of a named key's value that count
+KIND = {name: k for k, (name, *_) in enumerate(PATTERNS)}
 MARK, NO_MARK = "\x01", "\x02"
 
 
@@ -86,19 +90,35 @@ def ownership(candidates: DataFrame, value_hash: str, owner: str, repository: st
     )
 
 
+def looks_live(kind: Column, value: Column) -> Column:
+    """Whether a value looks random for its kind.
+
+    The name before it speaks for an ``assign`` value, so half its characters (of the first LONG in number) being
+    distinct is enough; ``hex``, ``access`` and ``vendor`` values need MIN_FORMAT distinct ones, ``pem`` none. Only
+    ``blob`` has neither name nor format: MIN_DISTINCT with a digit, or MIN_LETTERS in both cases.
+    """
+    distinct = F.size(F.array_distinct(F.split(value, "")))
+    loose = ((distinct >= MIN_DISTINCT) & value.rlike("[0-9]")) | ((distinct >= MIN_LETTERS) & value.rlike("^[A-Za-z]+$") & value.rlike("[A-Z]") & value.rlike("[a-z]"))
+    return (
+        F.when(kind == KIND["assign"], distinct * 2 >= F.least(F.length(value), F.lit(LONG)))
+        .when(kind.isin(KIND["hex"], KIND["access"], KIND["vendor"]), distinct >= MIN_FORMAT)
+        .when(kind == KIND["pem"], F.lit(True))
+        .otherwise(loose)
+    )
+
+
 def judged_candidates(cut: DataFrame, row_id: str, owner: str, repository: str) -> DataFrame:
     """All candidates of ``cut_texts``, each with its value's ownership and verdict.
 
-    Verdicts: ``copied`` (COPIED_OWNERS owners or more), ``live`` (fewer, and MIN_DISTINCT distinct characters
-    with a digit), else ``weak``. Null owners count as one owner.
+    Verdicts: ``copied`` (COPIED_OWNERS owners or more), ``live`` (fewer, and ``looks_live``), else ``weak``. Null
+    owners count as one owner.
     """
     places = find_candidates(cut, row_id, [owner, repository])
     found = settle(places.withColumn("value_hash", F.sha2("value", 256)), "secrets")
     held = ownership(found, "value_hash", owner, repository)
-    varied = F.size(F.array_distinct(F.split("value", ""))) >= MIN_DISTINCT
     verdict = (
         F.when(F.col("n_owners") >= COPIED_OWNERS, "copied")
-        .when(varied & F.col("value").rlike("[0-9]"), "live")
+        .when(looks_live(F.col("kind"), F.col("value")), "live")
         .otherwise("weak")
     )
     return found.join(held, "value_hash").withColumn("verdict", verdict)
@@ -146,7 +166,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def mask_live(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """All rows of ``docs`` with every occurrence of their live-looking values masked; n_chars follows the text.
 
-    Texts in which no pattern matches pass as they are; only the others are joined to their values, by id and text.
+    Values shorter than MIN_DISTINCT are masked where they are not part of a longer run of letters and digits. Texts in which
+    no pattern matches pass as they are; only the others are joined to their values, by id and text.
     """
     any_pattern = F.coalesce(F.col("text").rlike("|".join(f"(?:{p})" for _, p, *_ in PATTERNS)), F.lit(False))
     key = F.xxhash64("doc_id", "text")
@@ -161,7 +182,9 @@ def mask_live(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     judged = judged_candidates(cut, "__key", "__o", "__r").where("verdict = 'live'")
     values = judged.groupBy("__key").agg(F.sort_array(F.collect_set("value"), asc=False).alias("__values"))
     masked = suspect.join(values, "__key", "left")
-    text = F.aggregate("__values", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask)))
+    whole = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), v, F.lit(r"\E(?![A-Za-z0-9])"))
+    hide = lambda t, v: F.when(F.length(v) < MIN_DISTINCT, F.regexp_replace(t, whole(v), F.lit(mask))).otherwise(F.replace(t, v, F.lit(mask)))
+    text = F.aggregate("__values", F.col("text"), hide)
     masked = masked.withColumn("text", F.coalesce(text, "text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
