@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are counted by cell (source, language, topic) over all documents. Raking scales the cells' weights until the
-weighted tokens meet the target shares of each margin in turn. A document is then drawn with a probability
-proportional to its cell's weight, by a hash of its id and text, so equal rows share their fate and reruns agree.
+weighted tokens meet the target shares of each margin in turn. No weight may pass the one at which every document of
+its cell is drawn: cells that reach it stay there and the others are raked on, so the expected sample itself meets the
+targets, as far as any can. A document is then drawn with a probability proportional to its cell's weight, by a hash
+of its id and text, so equal rows share their fate and reruns agree.
 
 Cells are few where sources are few; up to MAX_DRIVER_CELLS they are raked in memory on the driver, beyond that by
 the same steps on DataFrames.
@@ -10,6 +12,8 @@ the same steps on DataFrames.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,40 +52,68 @@ def targets_of(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return flat.crossJoin(F.broadcast(total)).select(margin, (F.col("flat") / F.col("total")).alias("target"))
 
 
-def rake_arrays(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Weights of cells so that weighted token shares meet the targets of every margin (targets of each sum to 1)."""
+def _settled(errors: list[float], before: list[float] | None, tolerance: float) -> bool:
+    """Whether raking ends: every margin meets its targets, or no margin's error moves any more."""
+    return max(errors, default=0.0) < tolerance or (before is not None and max(abs(a - b) for a, b in zip(errors, before, strict=True)) < tolerance / 100)
+
+
+def rake_arrays(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE, cap: float = math.inf) -> np.ndarray:
+    """Weights of cells, at most ``cap``, so that weighted token shares meet the targets of every margin (targets of each sum to 1).
+
+    Where a value needs more than it has, its cells at the cap stay and the others make up for them; where that
+    cannot do, all end at the cap. Ends when the targets are met or no error moves any more.
+    """
     weight = np.ones(len(tokens))
     whole = tokens.sum()
+    before = None
     for _ in range(rounds):
-        worst = 0.0
+        shares = []
         for code, target in zip(codes, targets, strict=True):
-            now = np.bincount(code, weights=weight * tokens, minlength=len(target)) / whole
-            factor = np.divide(target, now, out=np.ones(len(target)), where=now > 0)
-            worst = max(worst, float(np.abs(now - target).max(initial=0)))
-            weight *= factor[code]
-        if worst < tolerance:
+            sums = lambda x: np.bincount(code, weights=x * tokens, minlength=len(target)) / whole  # noqa: B023, E731
+            now, full = sums(weight), sums(np.where(weight >= cap, weight, 0.0))
+            shares.append((now, target))
+            more = target > now
+            free = now - np.where(more, full, 0.0)
+            factor = np.divide(target - np.where(more, full, 0.0), free, out=np.ones(len(target)), where=free > 0)
+            weight = np.where(more[code] & (weight >= cap), weight, np.minimum(cap, weight * factor[code]))
+        errors = [float(np.abs(now - target).max(initial=0)) for now, target in shares]
+        if _settled(errors, before, tolerance):
             break
+        before = errors
     return weight
 
 
-def rake_frames(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance: float = TOLERANCE) -> DataFrame:
+def rake_frames(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance: float = TOLERANCE, cap: float = math.inf) -> DataFrame:
     """The same on DataFrames: one aggregation and one join a margin, the lineage cut after every round."""
     held = settle(cells.withColumn("weight", F.lit(1.0)), "cells")
     whole = held.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
+    mass = F.col("weight") * F.col("tokens")
+    capped = F.col("weight") >= cap
+    before = None
     for _ in range(rounds):
         out = held
-        error = None
+        errors, factors = [], []
         for margin, target in targets.items():
-            now = out.groupBy(margin).agg((F.sum(F.col("weight") * F.col("tokens")) / whole).alias("now"))
-            factor = now.join(target, margin).select(margin, (F.col("target") / F.col("now")).alias("factor"), F.abs(F.col("target") - F.col("now")).alias("off"))
-            if error is None:
-                error = factor.agg(F.max("off")).first()[0] or 0.0
-            out = out.join(factor.drop("off"), margin).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            now = out.groupBy(margin).agg((F.sum(mass) / whole).alias("now"), (F.sum(F.when(capped, mass).otherwise(0.0)) / whole).alias("full"))
+            full = F.when(F.col("more"), F.col("full")).otherwise(0.0)
+            factor = settle(
+                now.join(target, margin).withColumn("more", F.col("target") > F.col("now"))
+                .withColumn("free", F.col("now") - full)
+                .select(margin, "more", F.when(F.col("free") > 0, (F.col("target") - full) / F.col("free")).otherwise(1.0).alias("factor"),
+                        F.abs(F.col("target") - F.col("now")).alias("off")),
+                "factors",
+            )
+            factors.append(factor)
+            errors.append(factor.agg(F.max("off")).first()[0] or 0.0)
+            new = F.when(F.col("more") & capped, F.col("weight")).otherwise(F.least(F.lit(cap), F.col("weight") * F.col("factor")))
+            out = out.join(factor.drop("off"), margin).withColumn("weight", new).drop("factor", "more")
         after = settle(out, "cells")
-        drop_settled(held)
+        for old in (held, *factors):
+            drop_settled(old)
         held = after
-        if error < tolerance:
+        if _settled(errors, before, tolerance):
             break
+        before = errors
     return held
 
 
@@ -89,7 +121,8 @@ def calibrate(cells: DataFrame, flatten: dict[str, float], keep: float, given: d
     """Cells with their weight and probability.
 
     ``given`` sets a margin's target shares by hand; values that it leaves out share nothing. Probabilities are
-    weight times one rate, at most 1; the rate is such that the expected tokens are the share ``keep`` of all.
+    weight times one rate, at most 1; the rate is such that the expected tokens are the share ``keep`` of all. Weights
+    stay below 1 / keep, so the drawn tokens meet the targets unless a value has fewer tokens than its target asks for.
     """
     spark = cells.sparkSession
     margins = list(flatten)
@@ -110,12 +143,12 @@ def calibrate(cells: DataFrame, flatten: dict[str, float], keep: float, given: d
             share = dict(target.toPandas().itertuples(index=False))
             codes.append(code)
             goals.append(np.array([share[k] for k in names]))
-        local["weight"] = rake_arrays(local["tokens"].to_numpy(dtype=float), codes, goals) if len(local) else []
+        local["weight"] = rake_arrays(local["tokens"].to_numpy(dtype=float), codes, goals, cap=1 / keep) if len(local) else []
         rate = _rate(local["tokens"].to_numpy(dtype=float), local["weight"].to_numpy(dtype=float), keep)
         schema = ", ".join([*(f"{m} string" for m in margins), "tokens long, weight double"])
         raked = spark.createDataFrame(local[[*margins, "tokens", "weight"]], schema) if len(local) else spark.createDataFrame([], schema)
     else:
-        raked = rake_frames(cells, {m: settle(t, "targets") for m, t in targets.items()}, ROUNDS)
+        raked = rake_frames(cells, {m: settle(t, "targets") for m, t in targets.items()}, ROUNDS, cap=1 / keep)
         rate = _rate_frames(raked, keep)
     return raked.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(rate)))
 
@@ -133,9 +166,9 @@ def _rate(tokens: np.ndarray, weight: np.ndarray, keep: float) -> float:
 
 
 def _rate_frames(cells: DataFrame, keep: float) -> float:
-    """The same, with one sum over all cells for a grid of 32 rates in each of four rounds."""
+    """The same, with one sum over all cells for a grid of 32 rates in each of eight rounds."""
     low, high = 0.0, float(cells.agg(F.max(1 / F.when(F.col("weight") > 0, F.col("weight")))).first()[0] or 1.0)
-    for _ in range(4):
+    for _ in range(8):
         grid = [low + (high - low) * (k + 1) / 32 for k in range(32)]
         drawn = cells.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.lit(g))) for g in grid)).first()
         k = next((k for k in range(32) if drawn[k + 1] >= keep * drawn[0]), 31)

@@ -309,6 +309,20 @@ def test_raking_meets_all_margins():
         assert np.allclose(np.bincount(c, weights=w * tokens) / tokens.sum(), t, atol=1e-5)
 
 
+@pytest.mark.parametrize("cells", [50_000, 1])
+def test_expected_sample_meets_targets_that_saturate_cells(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "MAX_DRIVER_CELLS", cells)
+    size = {("a", "x"): 500, ("a", "y"): 300, ("b", "x"): 150, ("b", "y"): 50}
+    df = spark.createDataFrame([(*k, n) for k, n in size.items()], "source string, lang string, tokens long")
+    want = {"source": {"a": 0.77, "b": 0.23}, "lang": {"x": 0.6, "y": 0.4}}
+    out = mixing.calibrate(df, {"source": 1.0, "lang": 1.0}, 0.8, want).toPandas()
+    drawn = out.tokens * out.probability
+    assert abs(drawn.sum() / 1000 - 0.8) < 1e-4 and out.probability.max() > 0.999
+    for margin, shares in want.items():
+        for k, share in shares.items():
+            assert abs(drawn[out[margin] == k].sum() / drawn.sum() - share) < 1e-3
+
+
 def test_both_rakings_agree(spark, monkeypatch):
     rows = [(i, "word " * (1 + i % 7) + ("a | b" if i % 5 == 0 else ""), ["en", "fr"][i % 2], f"s{i % 3}") for i in range(300)]
     one = {r.doc_id: r.probability for r in mixing.mix(frame(spark, rows)).collect()}
