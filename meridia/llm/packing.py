@@ -14,7 +14,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +23,8 @@ from meridia.llm._shared import read_table, text_slices, worker_cache
 WINDOW = 4096
 END_ID = 2
 GROUP_ROWS = 4096
-CACHE = 400_000  # words whose ids a Python worker keeps
+CACHE = 1_000_000  # words whose ids a Python worker keeps before it tidies up
+SLICE = 2_000_000  # bytes of text that a worker holds as Python objects
 
 # ------------------------------------------------------------------- packing
 
@@ -126,29 +126,28 @@ class WordIds(dict):
         self.pieces[piece] = ids
         return ids
 
-    def learn(self, chunks: set[str]) -> None:
+    def __missing__(self, chunk: str) -> bytes:
+        known, piece = self.pieces, self.piece
+        ids = self[chunk] = b"".join([known.get(p) or piece(p) for p in _PIECE.findall(chunk)])
+        return ids
+
+    def trim(self) -> None:
+        """Forget what a full memory holds of long chunks, and all of it where short ones alone fill half."""
         for held in (self, self.pieces):
             if len(held) > CACHE:  # short words are the common ones
                 short = {c: ids for c, ids in held.items() if len(c) <= 8}
                 held.clear()
                 held.update(short if len(short) <= CACHE // 2 else {})
-        known, piece = self.pieces, self.piece
-        for chunk in chunks.difference(self):
-            self[chunk] = b"".join([known.get(p) or piece(p) for p in _PIECE.findall(chunk)])
 
 
 def batch_ids(texts: list[str], words: WordIds) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
-    plain = [None if _OTHER.search(t) else t.lower().split() for t in texts]
-    chunks: set[str] = set()
-    for p in plain:
-        chunks.update(p or ())
-    words.learn(chunks)
-    for text, p in zip(texts, plain, strict=True):
-        if p is None:
+    words.trim()
+    for text in texts:
+        if _OTHER.search(text):
             yield np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         else:
-            yield b"".join(map(words.__getitem__, p))
+            yield b"".join(map(words.__getitem__, text.lower().split()))
 
 
 def load_words(path: str) -> WordIds:
@@ -172,7 +171,7 @@ def token_pieces(docs: DataFrame, id_column: str, text_column: str, tokenizer: s
         words = load_words(tokenizer)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for a, b, texts in text_slices(batch.column(1)):
+            for a, b, texts in text_slices(batch.column(1), SLICE):
                 rows = []
                 for key, ids in zip(keys[a:b], batch_ids([t.decode() for t in texts], words), strict=True):
                     ids += end
@@ -191,18 +190,19 @@ PACKED = PIECES + ", sequence_id long, offset long"
 def pack_pieces(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
     """Add sequence_id and offset to pieces of at most a window; groups are packed apart.
 
-    Sequence ids are group * 2**32 + window of the group.
+    Sequence ids are group * 2**32 + window of the group. Pieces are dealt by content and by their place in the scan,
+    so repeated rows spread over all groups.
     """
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
-        sequence, offset = best_fit_decreasing(rows["length"].to_numpy(), window)
-        rows["sequence_id"] = (rows["group"].to_numpy() << 32) + sequence
-        rows["offset"] = offset
-        return rows.drop(columns="group")
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32")])
+        sequence, offset = best_fit_decreasing(rows.column("length").to_numpy(), window)
+        first = rows.column("group")[0].as_py() << 32
+        return rows.drop_columns("group").append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(pack, PACKED)
+    place = F.monotonically_increasing_id()
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", place), F.lit(groups)))
+    return dealt.groupBy("group").applyInArrow(pack, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
