@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
+import hashlib
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -15,11 +14,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Order of null document ids: after every other id.
-NULL_ID = (1 << 63) - 1
+NULL_ID = (1 << 63) - 1  # stands for a null id in orders: after every other id, so no real id may have this value
 
 
 _SHIPPED: set[str] = set()
@@ -66,11 +64,22 @@ def _clear_scratch() -> None:
             target.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here and no executor's loss can undo it."""
+    """Write a table to the shared folder and read it back: lineage ends here and no executor's loss can undo it.
+
+    The shuffle files behind it are deleted as soon as it is written. ``df`` itself should not be used again.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/meridia-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _SETTLED.append((spark.sparkContext, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -85,12 +94,22 @@ def drop_settled(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of DataFrames that nothing refers to any more."""
-    for _ in range(2):  # what the first round unlinks, the second one finds
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def document_key(id_column: str, text_column: str) -> tuple[Column, Column]:
+    """(id, tie) that name a document: rows that share an id but not a text are different documents, in the order of
+    their texts' hashes; null ids come after all others. Rows that share both are one document."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -148,55 +167,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown when a longer text comes."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base & _MASK, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-_BYTES = (_Powers(0x9E3779B97F4A7C15), _Powers(0xD6E8FEB86659FD93))
-_WORDS = (_Powers(0xC2B2AE3D27D4EB4F), _Powers(0xA0761D6478BD642F))
+_SEED = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_LEFT = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F))
+_RIGHT = (np.uint64(0x165667B19E3779F9), np.uint64(0xE7037ED1A0B428DB))
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+_LONG_WORD = 64  # bytes; what a word has beyond them is hashed by BLAKE2
 
 
 def word_hashes(texts: list[bytes], which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and how many words each text has.
 
     A word is a longest run of bytes other than 0x20 and 0x09 to 0x0D. ``which`` picks one of two independent
-    hash functions. Sums of byte * base**place are taken over the whole batch at once; multiplying by the
-    inverse power of a word's start makes a word's sum independent of where it stands.
+    hash functions. A word's length and its bytes, eight at a time, go through a mixing chain, all words at once.
     """
-    joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    word = ~_SPACE[joined]
-    edge = np.flatnonzero(np.diff(word, prepend=False))
-    start, end = edge[0::2], edge[1::2]
-    up, down = _BYTES[which].upto(len(joined) + 1)
-    total = np.zeros(len(joined) + 1, dtype=np.uint64)
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=total[1:])
-    hashes = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    joined = np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(~_SPACE[joined], prepend=False))
+    start, size = edge[0::2], edge[1::2] - edge[0::2]
+    eight = np.ndarray(len(joined) - 7, dtype="<u8", buffer=joined, strides=(1,))  # the eight bytes from each place on
+    hashes = mix64(size.astype(np.uint64) + _SEED[which])
+    hashes = mix64(hashes ^ (eight[start] & _FIRST_BYTES[np.minimum(size, 8)]))
+    done, more = 8, np.flatnonzero(size > 8)
+    while len(more) and done < _LONG_WORD:
+        block = eight[start[more] + done] & _FIRST_BYTES[np.minimum(size[more] - done, 8)]
+        hashes[more] = mix64(hashes[more] ^ block)
+        done += 8
+        more = more[size[more] > done]
+    for k in more:
+        rest = hashlib.blake2b(joined[start[k] + done : start[k] + size[k]], digest_size=8, salt=bytes([which]))
+        hashes[k] = mix64(hashes[k : k + 1] ^ np.frombuffer(rest.digest(), dtype="<u8"))[0]
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     counts = np.diff(np.searchsorted(start, ends), prepend=0)
     return hashes, counts
 
 
 def window_hashes(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-    """Hashes of all runs of n consecutive words of the whole array (runs across texts are for the caller to skip)."""
-    if len(words) < n:
+    """Hashes of all runs of n consecutive words of the whole array (runs across texts are for the caller to skip).
+
+    Hashes of runs of 1, 2, 4, ... words come from two halves each; those of n words from the runs that n's binary
+    digits name. Every join is mixed, so no regular pattern of words cancels out.
+    """
+    total = len(words) - n + 1
+    if total < 1:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _WORDS[which].upto(len(words) + 1)
-    total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix64((total[n:] - total[:-n]) * down[: len(words) - n + 1] + np.uint64(n))
+    join = lambda a, b: mix64(a * _LEFT[which] + b * _RIGHT[which])
+    run, width, out, taken = words, 1, None, 0
+    while True:
+        if n & width:
+            piece = run[taken : taken + total]
+            out = piece if out is None else join(out, piece)
+            taken += width
+        if taken == n:
+            return mix64(out + np.uint64(n * int(_SEED[which]) & _MASK))
+        run, width = join(run[:-width], run[width:]), 2 * width
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -4,11 +4,14 @@ Rare-first prefix filtering. A merged sketch of all n-grams orders each set, unr
 estimated count, then by hash; only the first n - ceil(t n) + 1 n-grams of a set (its prefix) are indexed, and of
 those only the ones that may occur elsewhere: sets that match must share one. Any total order that all sets share
 keeps this exact, so estimates only affect speed. Sets that share a prefix n-gram pass a length and a positional
-filter, each surviving pair is verified once, after a suffix filter (hash histograms bound the difference).
+filter, then a suffix filter on small outlines of the sets (what stands before the shared n-gram differs, and
+histograms of what stands behind it bound how much of that differs). Only then do whole sets travel, and each
+pair is verified once.
 
 Equal sets are one class from the start. Within a posting list, all members are first verified against one pivot;
-components of these links come next, and only pairs from different components are verified after that. So a group
-of near copies costs its size, not its square, and no link that joins different components is lost.
+components of these links come next, and only pairs from different components that were not verified yet are
+verified after that. So a group of near copies costs its size, not its square, and no link that joins different
+components is lost.
 """
 
 from __future__ import annotations
@@ -19,17 +22,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meridia.llm._shared import (
-    components, free_shuffles, lower_ascii, mix64, read_table, settle, signed, text_slices, window_hashes, word_hashes,
+    NULL_ID, components, document_key, drop_settled, fresh, lower_ascii, mix64, read_table, settle, signed, text_slices, window_hashes, word_hashes,
 )
 from meridia.llm.sketch import PartitionSketch, Repeats, Shape, broadcast_repeats, merge_parts
-from meridia.llm.substrings import document_key
 
 SHINGLE = 5
 PERCENT = 75
 SETS_AT_ONCE = 16_000_000  # bytes of sets that a task compares among themselves before it sends them
-BINS = 64  # of the suffix filter's histograms
+BINS = 64  # of the suffix filter's histograms, by the highest bits of the hashes
+PAIR_BYTES = 8_000_000  # of outlines or sets that a verifying task holds at once
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -59,9 +63,9 @@ def set_digest(own: np.ndarray) -> tuple[int, int]:
 
 # ------------------------------------------------------------------- pass 1
 
-_PASS1 = "doc long, n long, h1 long, h2 long, part int, payload binary"
+_PASS1 = "doc long, tie long, n long, h1 long, h2 long, part int, payload binary"
 _PASS1_ARROW = pa.schema(
-    [("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())]
+    [*((x, pa.int64()) for x in ("doc", "tie", "n", "h1", "h2")), ("part", pa.int32()), ("payload", pa.binary())]
 )
 
 
@@ -73,12 +77,11 @@ def _digest_and_sketch(n: int, shape: Shape):
 
         def parts(rows) -> Iterator[pa.RecordBatch]:
             for part, payload in rows:
-                row = {"doc": None, "n": None, "h1": None, "h2": None, "part": part, "payload": payload}
-                yield pa.RecordBatch.from_pylist([row], schema=_PASS1_ARROW)
+                yield pa.RecordBatch.from_pylist([{"part": part, "payload": payload}], schema=_PASS1_ARROW)
 
         for batch in batches:
             sizes, h1, h2 = [], [], []
-            for _, _, texts in text_slices(batch.column(1)):
+            for _, _, texts in text_slices(batch.column(2)):
                 sets = shingle_sets(texts, n)
                 for own in sets:
                     x, y = set_digest(own)
@@ -88,7 +91,7 @@ def _digest_and_sketch(n: int, shape: Shape):
                 yield from parts(sketch.add(np.concatenate(sets)))
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
                  none.cast(pa.int32()), none.cast(pa.binary())],
                 schema=_PASS1_ARROW,
             )
@@ -99,46 +102,43 @@ def _digest_and_sketch(n: int, shape: Shape):
 
 # ------------------------------------------------------------------- pass 2
 
-_ALIVE = "doc long, n long, h1 long, h2 long, grams array<long>, places array<int>, own binary"
+_ALIVE = "n long, h1 long, h2 long, grams array<long>, places array<int>, front binary, own binary"
 _ALIVE_ARROW = pa.schema(
-    [("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("grams", pa.list_(pa.int64())),
-     ("places", pa.list_(pa.int32())), ("own", pa.binary())]
+    [*((x, pa.int64()) for x in ("n", "h1", "h2")), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("front", pa.binary()), ("own", pa.binary())]
 )
 
 
-def prefix_of(own: np.ndarray, repeats: Repeats, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams, places) of a set's prefix in the common order that may occur in another set."""
+def bins_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.uint8)
+
+
+def prefix_of(own: np.ndarray, repeats: Repeats, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, places) of a set's prefix in the common order that may occur in another set; the whole prefix in that order."""
     counts = repeats.counts(own)
     order = np.lexsort((own, counts))
     length = len(own) - -(-percent * len(own) // 100) + 1
     front = order[:length]
     places = np.flatnonzero(counts[front] > 1)
-    return own[front[places]], places
+    return own[front[places]], places, own[front]
 
 
 def _index(n: int, percent: int, load):
-    """The sets that may have a partner: their prefix postings and hashes; of equal sets in a batch the smallest id."""
+    """The sets that may have a partner: prefix postings, bins of the prefix and the hashes; equal sets of a lot once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = load()
         for batch in batches:
-            docs = batch.column(0).to_pylist()
             best: dict[tuple[int, int], tuple] = {}
             held = 0
-            for a, b, texts in text_slices(batch.column(1)):
-                for doc, own in zip(docs[a:b], shingle_sets(texts, n), strict=True):
-                    if not len(own):
-                        continue
-                    digest = set_digest(own)
-                    if digest in best:
-                        if doc < best[digest][0]:
-                            best[digest] = (doc, *best[digest][1:])
+            for _, b, texts in text_slices(batch.column(0)):
+                for own in shingle_sets(texts, n):
+                    if not len(own) or (digest := set_digest(own)) in best:
                         continue
-                    grams, places = prefix_of(own, repeats, percent)
+                    grams, places, front = prefix_of(own, repeats, percent)
                     if len(grams):
-                        best[digest] = (doc, len(own), *digest, signed(grams), places, own.tobytes())
+                        best[digest] = (len(own), *digest, signed(grams), places, bins_of(front).tobytes(), own.tobytes())
                         held += own.nbytes
-                if held > SETS_AT_ONCE or b == len(docs):
+                if held > SETS_AT_ONCE or b == batch.num_rows:
                     for rows in _slices(list(best.values()), 200):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ALIVE_ARROW, strict=True)], schema=_ALIVE_ARROW
@@ -173,65 +173,102 @@ def may_link(percent: int, n: Column, i: Column, m: Column, j: Column) -> Column
     return length & (room >= required_overlap(n, m, percent))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, each checked once on its two whole sets."""
+def suffix_passes(x: tuple[bytes, bytes, int], y: tuple[bytes, bytes, int], percent: int) -> bool:
+    """May two sets link, given (histogram, bins of the prefix, place of the first shared n-gram) of each?
+
+    None of what stands before their first shared n-gram is shared; behind it the sets differ by what their
+    histograms differ there, at least.
+    """
+    sizes, behind = 0, []
+    for histogram, front, place in (x, y):
+        own = np.frombuffer(histogram, dtype="<u4").astype(np.int64)
+        sizes += int(own.sum())
+        behind.append(own - np.bincount(np.frombuffer(front, dtype=np.uint8, count=place + 1), minlength=BINS))
+    differ = x[2] + y[2] + int(np.abs(behind[0] - behind[1]).sum())
+    return differ <= sizes - 2 * -(-percent * sizes // (100 + percent))
+
+
+def _jaccard(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    shared = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _filtered(pairs: DataFrame, sides: DataFrame, columns: list[str], test) -> DataFrame:
+    """The pairs (a, b) that pass ``test(row)``, each joined to ``columns`` of its two sides; row as (pair's columns, a's, b's)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, int(PAIR_BYTES * batch.num_rows / max(1, batch.nbytes)))
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                stay = [test(r) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
+    left, right = (sides.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in columns)) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, *(f"{k}_{c}" for k in "ab" for c in columns)).mapInArrow(run, "a long, b long")
+
+
+def verified(candidates: DataFrame, sets: DataFrame, percent: int, name: str, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs tried) of candidates (a, b, i, j); pairs that ``tried`` holds are left out."""
+    pairs = candidates.groupBy("a", "b").agg(F.min(F.struct("i", "j")).alias("at")).select("a", "b", "at.i", "at.j")
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    close = settle(_filtered(pairs, sets, ["histogram", "front"], lambda r: suffix_passes((r[4], r[5], r[2]), (r[6], r[7], r[3]), percent)), f"{name}-pairs")
+    return settle(_filtered(close, sets, ["own"], lambda r: _jaccard(r[2], r[3], percent)), f"{name}-links"), close
+
+
+def _with_histogram(sets: DataFrame) -> DataFrame:
+    """Add the histogram of each whole set, once a set."""
+    schema = T.StructType([*sets.schema.fields, T.StructField("histogram", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                top = np.uint64(64 - BINS.bit_length() + 1)
-                apart = np.abs(np.bincount((x >> top).astype(np.int64), minlength=BINS) - np.bincount((y >> top).astype(np.int64), minlength=BINS)).sum()
-                if apart > len(x) + len(y) - 2 * need:  # suffix filter: the sets differ by that much at least
-                    continue
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    left, right = (sets.select(F.col("rep").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
-
-
-def _class_links(alive: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between representatives of classes of equal sets, enough to connect all that are linked."""
-    classes = alive.groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
-    thin = alive.select("doc", "n", "h1", "h2").join(classes, ["h1", "h2"]).where("doc = rep").select("rep")
-    sets = alive.join(thin.distinct().withColumnRenamed("rep", "doc"), "doc", "left_semi").withColumnRenamed("doc", "rep")
-    sets = settle(sets.dropDuplicates(["rep"]), "sets")
-    postings = sets.select("rep", "n", F.col("places")[0].cast("long").alias("lead"), F.explode(F.arrays_zip("grams", "places")).alias("x")).select(
-        F.col("x.grams").alias("gram"), "rep", "n", "lead", F.col("x.places").cast("long").alias("at")
+            counts = [np.bincount(bins_of(np.frombuffer(own, dtype=np.uint64)), minlength=BINS).astype("<u4").tobytes() for own in batch.column("own").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.binary())], names=[*batch.schema.names, "histogram"])
+
+    return sets.mapInArrow(run, schema)
+
+
+def _class_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes (sets that are all different), enough to connect all that are linked."""
+    postings = sets.select("node", "n", F.col("places")[0].cast("long").alias("lead"), F.explode(F.arrays_zip("grams", "places")).alias("x")).select(
+        F.col("x.grams").alias("gram"), "node", "n", "lead", F.col("x.places").cast("long").alias("at")
     )
     # The pivot is the member with the fewest n-grams of its own: the text that the others are copies of, if any is.
-    member = F.struct("lead", F.negative("n").alias("less"), "rep", "n", "at")
+    member = F.struct("lead", F.negative("n").alias("less"), "node", "n", "at")
     lists = postings.groupBy("gram").agg(F.min(member).alias("pivot"), F.count("*").alias("size")).where("size > 1")
     postings = settle(postings.join(lists, "gram"), "postings")
 
     to_pivot = postings.where(
-        (F.col("rep") != F.col("pivot.rep")) & may_link(percent, F.col("n"), F.col("at"), F.col("pivot.n"), F.col("pivot.at"))
+        (F.col("node") != F.col("pivot.node")) & may_link(percent, F.col("n"), F.col("at"), F.col("pivot.n"), F.col("pivot.at"))
     )
-    stars = to_pivot.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
-    first = settle(verify(stars, sets, percent), "links")
+    ahead = F.col("node") < F.col("pivot.node")
+    stars = to_pivot.select(
+        F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"),
+        F.when(ahead, F.col("at")).otherwise(F.col("pivot.at")).alias("i"), F.when(ahead, F.col("pivot.at")).otherwise(F.col("at")).alias("j"),
+    )
+    first, tried = verified(stars, sets, percent, "star")
 
     groups = components(first, "stars")
-    own = F.coalesce("component", "rep")
-    placed = postings.select("gram", "rep", "n", "at").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", own)
-    placed = placed.select("gram", "rep", "n", "at", "group")
+    own = F.coalesce("component", "node")
+    placed = postings.select("gram", "node", "n", "at").join(groups, "node", "left").select("gram", "node", "n", "at", own.alias("group"))
     mixed = placed.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("gram")
     open_lists = settle(placed.join(mixed, "gram"), "open")
+    drop_settled(postings)
     left, right = open_lists.alias("l"), open_lists.alias("r")
     crossing = left.join(
         right,
         (F.col("l.gram") == F.col("r.gram"))
-        & (F.col("l.rep") < F.col("r.rep"))
+        & (F.col("l.node") < F.col("r.node"))
         & (F.col("l.group") != F.col("r.group"))
         & may_link(percent, F.col("l.n"), F.col("l.at"), F.col("r.n"), F.col("r.at")),
-    )
-    pairs = crossing.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
-    return first.union(verify(pairs, sets, percent))
+    ).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.at").alias("i"), F.col("r.at").alias("j"))
+    second, late = verified(crossing, sets, percent, "crossing", tried)
+    links = settle(first.union(second), "all-links")
+    for used in (open_lists, tried, late, first, second):
+        drop_settled(used)
+    return links
 
 
 def ngram_join(
@@ -241,31 +278,39 @@ def ngram_join(
     """(id, n_shingles, component): each row's set size and the smallest id that links reach, itself included.
 
     Two rows link when 100 * intersection >= percent * union of their sets of distinct n-word shingles. Null, empty
-    and blank texts have no shingles and no links. Rows that repeat an id and a text are one document; a row without
-    id gets an id beyond all others while joining and reports null as its own component unless a link reaches a
-    smaller id. Empty tables give no rows. Only the two columns are read.
-    With ``keep_keys`` the joining ids are returned, as doc and component, without nulls.
+    and blank texts have no shingles and no links. Rows that repeat an id and a text are one document; rows that
+    share an id but not a text are documents of their own; a row without id reports null as its own component unless
+    a link reaches an id. Empty tables give no rows. Only the two columns are read.
+    With ``keep_keys`` rows are (doc, tie, n_shingles, head): keys as in ``document_key`` and the component's first key.
     """
     shape = shape or Shape()
-    rows = docs.select(document_key(id_column, text_column).alias("doc"), F.col(text_column).alias("text"))
-    first = settle(rows.select("doc", "text").mapInArrow(_digest_and_sketch(n, shape), _PASS1), "digests")
+    doc, tie = document_key(id_column, text_column)
+    rows = docs.select(doc.alias("doc"), tie.alias("tie"), F.col(text_column).alias("text"))
+    first = settle(rows.mapInArrow(_digest_and_sketch(n, shape), _PASS1), "digests")
     load = broadcast_repeats(merge_parts(first.where("part is not null").select("part", "payload"), shape, True), shape, True)
-    free_shuffles(docs.sparkSession)
-    digests = first.where("part is null").select("doc", "n", "h1", "h2")
-    alive = settle(rows.select("doc", "text").mapInArrow(_index(n, percent, load), _ALIVE), "alive")
-
-    links = settle(_class_links(alive, percent), "all-links")
-    groups = components(links)
-    classes = digests.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
-    named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "h1", "h2", F.coalesce("component", "rep").alias("component")
+    digests = settle(first.where("part is null").select("doc", "tie", "n", "h1", "h2"), "digests")
+    drop_settled(first)
+    alive = settle(
+        rows.select("text").mapInArrow(_index(n, percent, load), _ALIVE).withColumn("node", F.monotonically_increasing_id()), "alive"
+    )  # written once, so nodes do not change any more
+    nodes = alive.groupBy("h1", "h2").agg(F.min("node").alias("node"))
+    sets = settle(_with_histogram(alive.join(nodes.select("node"), "node", "left_semi")), "sets")
+    drop_settled(alive)
+
+    groups = components(_class_links(sets, percent))
+    classes = digests.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc", "tie")).alias("head"))
+    linked = sets.select("node", "h1", "h2").join(groups, "node").join(classes, ["h1", "h2"]).select("h1", "h2", "component", "head")
+    heads = linked.groupBy("component").agg(F.min("head").alias("least"))
+    named = classes.join(linked.join(heads, "component").select("h1", "h2", "least"), ["h1", "h2"], "left").select(
+        "h1", "h2", F.coalesce("least", "head").alias("head")
     )
     out = digests.join(named, ["h1", "h2"], "left")
-    smallest = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
+    head = F.when(F.col("n") > 0, F.col("head")).otherwise(F.struct("doc", "tie"))
+    out = out.select("doc", "tie", F.col("n").alias("n_shingles"), head.alias("head"))
     if keep_keys:
-        return out.select("doc", F.col("n").alias("n_shingles"), smallest.alias("component"))
-    known = lambda c: F.when(c < F.lit(1 << 62), c)
-    return out.select(known(F.col("doc")).alias("id"), F.col("n").alias("n_shingles"), known(smallest).alias("component"))
+        return out
+    known = lambda c: F.nullif(c, F.lit(NULL_ID))
+    return out.select(known(F.col("doc")).alias("id"), "n_shingles", known(F.col("head.doc")).alias("component"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -273,11 +318,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat an id and a text one stays. Rows without any word are linked with nothing and all stay.
     """
-    heads = ngram_join(docs, keep_keys=True).where("doc = component").select("doc").distinct()
-    keyed = docs.withColumn("__doc", document_key("doc_id", "text"))
-    kept = keyed.join(heads.withColumnRenamed("doc", "__doc"), "__doc", "left_semi")
-    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return kept.where(wordless).union(kept.where(~wordless).dropDuplicates(["__doc"])).select(*docs.columns)
+    heads = ngram_join(docs, keep_keys=True).where("n_shingles > 0 and head = struct(doc, tie)").select("doc", "tie").distinct()
+    d, t, wordless = fresh(docs, "doc", "tie", "wordless")
+    doc, tie = document_key("doc_id", "text")
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.withColumns({d: doc, t: tie, wordless: blank})
+    kept = keyed.where(~F.col(wordless)).join(heads.toDF(d, t), [d, t], "left_semi").dropDuplicates([d, t])
+    return keyed.where(wordless).select(*docs.columns).union(kept.select(*docs.columns))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

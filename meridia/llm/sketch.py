@@ -19,7 +19,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from meridia.llm._shared import worker_cache
+
+from meridia.llm._shared import drop_settled, settle, worker_cache
 
 ROWS_AT_ONCE = 2_000_000  # hashes that a partition gathers before it sends them
 
@@ -168,7 +169,9 @@ def merge_parts(parts: DataFrame, shape: Shape, with_counts: bool) -> DataFrame:
 def broadcast_repeats(merged: DataFrame, shape: Shape, with_counts: bool) -> Callable[[], Repeats]:
     """Broadcast a merged sketch. At most 2 * 2**log2_width / 8 bytes pass the driver, compressed; each Python
     worker unpacks them once and keeps them for later tasks of the same query."""
+    merged = settle(merged, "sketch")
     rows = [(r.part, bytes(r.bits), bytes(r.coarse)) for r in merged.collect()]
+    drop_settled(merged)
     sent = merged.sparkSession.sparkContext.broadcast(rows)
     name = uuid.uuid4().hex
 

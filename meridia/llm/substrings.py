@@ -11,21 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import free_shuffles, mix64, read_table, signed, text_slices, window_hashes, word_hashes
+from meridia.llm._shared import document_key, mix64, read_table, signed, text_slices, window_hashes, word_hashes
 from meridia.llm.sketch import PartitionSketch, Shape, broadcast_repeats, merge_parts
 
 WINDOW = 20
 SETTLED_AT_ONCE = 1_000_000  # windows that a task compares among themselves before it sends them
 
 
-def document_key(id_column: str, text_column: str) -> Column:
-    """The id; for a null id a number beyond all ids, from the text, so that equal texts without ids are one document."""
-    return F.coalesce(F.col(id_column), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(text_column, F.lit(""))), F.lit(1 << 61)))
-
-
 def _windows(texts: list[bytes], n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, row of each, start of each) of all windows that lie within one text."""
     words, counts = word_hashes(texts, which)
@@ -52,94 +47,92 @@ def _sketch(n: int, shape: Shape):
     return run
 
 
-# place: 32 bits of the second hash above 32 bits of the start; run: 0 where the window is still to be judged.
-REMOVALS = "key long, place long, doc long, run int"
-_REMOVALS = pa.schema([("key", pa.int64()), ("place", pa.int64()), ("doc", pa.int64()), ("run", pa.int32())])
+# place: 32 bits of the second hash above the start (31 bits). Where bit 31 is set the row is settled: the windows from
+# the start on, as many as the upper 32 bits say, are removals; its key is only there to spread such rows.
+REMOVALS = "key long, place long, doc long, tie long"
+_REMOVALS = pa.schema([(x.split()[0], pa.int64()) for x in REMOVALS.split(", ")])
+_SETTLED = 1 << 31
 
 
-def _settle_batch(hashes: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """One row for the first place of each window; the later places, which are removals for sure, as runs."""
-    order = np.lexsort((start, doc, check, hashes))
-    hashes, check, doc, start = hashes[order], check[order], doc[order], start[order]
+def _settle_batch(hashes: np.ndarray, check: np.ndarray, at: np.ndarray, docs: np.ndarray, ties: np.ndarray) -> pa.RecordBatch:
+    """One row for the first place of each window; the later places, which are removals for sure, as runs.
+
+    ``at`` is a document's number << 31 | start; numbers follow the order of (docs, ties) that they stand for.
+    """
+    order = np.lexsort((at, check, hashes))
+    hashes, check, at = hashes[order], check[order], at[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])
-    group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
-    later = (doc != doc[first][group]) | (start != start[first][group])
-    d, s = doc[later], start[later]
-    order = np.lexsort((s, d))
-    d, s = d[order], s[order]
-    if len(d):
-        distinct = np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]))
-        d, s = d[distinct], s[distinct]
-        head = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)))
-        run = np.diff(np.append(head, len(d)))
-        d, s = d[head], s[head]
-    else:
-        run = np.zeros(0, dtype=np.int64)
-    columns = [
-        np.concatenate([signed(hashes[first]), signed(mix64(d.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)))]),
-        np.concatenate([check[first].astype(np.int64) << 32 | start[first], s]),
-        np.concatenate([doc[first], d]),
-        np.concatenate([np.zeros(len(first), dtype=np.int64), run]).astype(np.int32),
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _REMOVALS, strict=True)], schema=_REMOVALS)
+    later = np.unique(at[at != at[first][np.cumsum(new) - 1]])
+    head = np.flatnonzero(np.append(True, later[1:] != later[:-1] + 1)) if len(later) else np.zeros(0, dtype=np.int64)
+    run = np.diff(np.append(head, len(later)))
+    later = later[head]
+    place = np.concatenate([check[first].astype(np.int64) << 32 | at[first] & (_SETTLED - 1), run << 32 | _SETTLED | later & (_SETTLED - 1)])
+    which = np.concatenate([at[first], later]) >> 31
+    key = np.concatenate([signed(hashes[first]), signed(mix64(later.astype(np.uint64)))])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, place, docs[which], ties[which])], schema=_REMOVALS)
 
 
 def _candidates(n: int, load):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = load()
         for batch in batches:
-            docs = batch.column(0).to_numpy()
+            docs, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((ties, docs))
+            docs, ties = docs[order], ties[order]
+            new = np.ones(len(docs), dtype=bool)
+            new[1:] = (docs[1:] != docs[:-1]) | (ties[1:] != ties[:-1])
+            number = np.empty(len(docs), dtype=np.int64)  # of each row's document; repeated rows are one document
+            number[order] = np.cumsum(new) - 1
+            docs, ties = docs[new], ties[new]
             found, held = [], 0
-            for a, b, texts in text_slices(batch.column(1)):
+            for a, b, texts in text_slices(batch.column(2)):
                 hashes, row, start = _windows(texts, n)
                 some = np.flatnonzero(repeats.repeated(hashes))
                 if len(some):
-                    check = _windows(texts, n, 1)[0][some]
-                    found.append((hashes[some], signed(check).astype(np.int32), docs[a:b][row[some]], start[some]))
+                    check = signed(_windows(texts, n, 1)[0][some]).astype(np.int32)
+                    found.append((hashes[some], check, number[a:b][row[some]] << 31 | start[some]))
                     held += len(some)
-                if found and (held > SETTLED_AT_ONCE or b == len(docs)):
-                    yield _settle_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                if found and (held > SETTLED_AT_ONCE or b == batch.num_rows):
+                    yield _settle_batch(*(np.concatenate(x) for x in zip(*found, strict=True)), docs, ties)
                     found, held = [], 0
-            if found:
-                yield _settle_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
 
-def repeated_places(docs: DataFrame, key: str, text: str, n: int = WINDOW, shape: Shape | None = None) -> DataFrame:
-    """(doc, start, run): windows start .. start + run - 1 of a document whose words also start earlier.
+def repeated_places(docs: DataFrame, n: int = WINDOW, shape: Shape | None = None) -> DataFrame:
+    """(doc, tie, start, run): windows start .. start + run - 1 of a document whose words also start earlier.
 
-    ``key`` must be a long without nulls. Windows are told apart by 96 bits of two independent hashes. The sketch
-    of shape ``shape`` (128 MiB of bits by default) is all that is broadcast; more windows than it can tell apart
-    make the exact grouping larger, never wrong.
+    ``docs`` has doc and tie (``document_key``) and text, none of them null. Windows are told apart by 96 bits of two
+    independent hashes. The sketch of shape ``shape`` (128 MiB of bits by default) is all that is broadcast; more
+    windows than it can tell apart make the exact grouping larger, never wrong.
     """
     shape = shape or Shape()
-    load = broadcast_repeats(merge_parts(docs.select(text).mapInArrow(_sketch(n, shape), "part int, payload binary"), shape, False), shape, False)
-    free_shuffles(docs.sparkSession)
-    found = docs.select(key, text).mapInArrow(_candidates(n, load), REMOVALS)
-    start = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    first = Window.partitionBy("key", F.shiftright("place", 32), F.col("run") > 0).orderBy("doc", start)
-    later = found.withColumn("rank", F.rank().over(first)).where("run > 0 or rank > 1")
-    return later.select("doc", start.cast("int").alias("start"), F.greatest("run", F.lit(1)).alias("run"))
+    load = broadcast_repeats(merge_parts(docs.select("text").mapInArrow(_sketch(n, shape), "part int, payload binary"), shape, False), shape, False)
+    found = docs.select("doc", "tie", "text").mapInArrow(_candidates(n, load), REMOVALS)
+    start, settled = F.col("place").bitwiseAND(F.lit(_SETTLED - 1)), F.col("place").bitwiseAND(F.lit(_SETTLED)) != 0
+    above = F.shiftright("place", 32)
+    first = Window.partitionBy("key", above, settled).orderBy("doc", "tie", start)
+    later = found.withColumn("rank", F.rank().over(first)).where(settled | (F.col("rank") > 1))
+    return later.select("doc", "tie", start.cast("int").alias("start"), F.when(settled, above).otherwise(F.lit(1)).cast("int").alias("run"))
 
 
 def with_removals(docs: DataFrame, id_column: str, text_column: str, n: int = WINDOW, shape: Shape | None = None) -> DataFrame:
     """All rows as (id, text, removals array<struct<start, run>>); no column but the two is read."""
-    rows = docs.select(
-        document_key(id_column, text_column).alias("doc"), F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text")
-    )
-    places = repeated_places(rows, "doc", "text", n, shape)
-    lists = places.groupBy("doc").agg(F.collect_list(F.struct("start", "run")).alias("removals"))
-    return rows.join(lists, "doc", "left").select("id", "text", "removals")
+    doc, tie = document_key(id_column, text_column)
+    rows = docs.select(doc.alias("doc"), tie.alias("tie"), F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
+    places = repeated_places(rows, n, shape)
+    lists = places.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "run")).alias("removals"))
+    return rows.join(lists, ["doc", "tie"], "left").select("id", "text", "removals")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = WINDOW, shape: Shape | None = None) -> DataFrame:
     """(id, n_words, n_removed, kept): every text without its repeated passages, words joined by one space.
 
     A null text has no words; texts shorter than a window stay whole; rows that repeat an id and a text are one
-    document and keep the same words; documents without id come after all others; empty tables give no rows.
+    document and keep the same words; rows that share an id but not a text are documents of their own, in the order
+    of their texts' hashes; documents without id come after all others; empty tables give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
