@@ -1,11 +1,19 @@
 """Sharding by a hierarchical weighted hash tree (native: DataFrame functions only).
 
-The tree has three levels: region, rack, shard. Every shard draws an exponential waiting time from a hash of
-(key, shard), divided by its weight; a rack's draw is the smallest of its shards' draws and a region's draw the
-smallest of its racks'. The minimum of exponentials is exponential with the summed rate, so a node's draw is
-exactly a weighted draw at the node's total weight, and descending means taking the smallest draw at each level.
-Because draws of one node do not depend on others', a changed weight moves rows only into (more weight) or out of
-(less weight) the subtrees whose weights change; a new shard takes rows only into itself.
+The tree has three levels, region, rack and shard, with a fixed number of places in every rack and region. A key
+descends it by exponential waiting times drawn from hashes of (key, level, node), smallest first:
+
+* a region waits a draw over the number of its places;
+* among a region's racks the one with the smallest draw waits as long as the region, each other one longer by what
+  its draw exceeds the smallest; shards within a rack likewise.
+
+By the memorylessness of waiting times all places then wait independently, though only visited nodes draw. A shard
+of weight w waits 1 / w of its place's time, and the shortest wait wins. Subtrees whose shards are all there with one
+weight compete as a whole by their own draw and are descended only where they win; subtrees with missing or unequal
+shards are opened. So a key costs the regions, the children on its way and the opened subtrees, not all shards.
+
+As a place's wait never depends on other shards, a changed weight moves rows only into that shard (more weight) or out
+of it (less weight), and a new shard takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -15,9 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import read_table
+from meridia.llm._shared import fresh, read_table, settle
 
 SLOT_ROWS = 50_000  # rows that are numbered together
+PER_RACK, RACKS_PER_REGION = 4, 3
+REGION, RACK, SHARD = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -28,86 +38,98 @@ class Leaf:
     weight: float = 1.0
 
 
-def tree(shards: int, per_rack: int = 4, racks_per_region: int = 3) -> list[Leaf]:
+def tree(shards: int, per_rack: int = PER_RACK, racks_per_region: int = RACKS_PER_REGION) -> list[Leaf]:
     """Shards of equal weight, filled rack by rack and region by region; tree(n) is a prefix of tree(n + 1)."""
     return [Leaf(s // (per_rack * racks_per_region), s // per_rack, s) for s in range(shards)]
 
 
-def descend(key: Column, leaves: list[Leaf]) -> Column:
-    """struct(draw, region, rack, shard) of the smallest draw; leaves of no weight take nothing.
-
-    The tree is a constant array of regions, of racks, of shards; each level keeps its smallest child. A shard
-    waits -ln(u) / weight, u of 53 bits from the 64-bit hash of (key, shard).
-    """
-    leaves = [x for x in leaves if x.weight > 0]
-    if not leaves:
-        raise ValueError("a tree needs a shard with weight")
-    regions = {}
+def _draw(key: Column, level: int, node: Column) -> Column:
+    """An exponential waiting time of rate 1, from 53 bits of a hash."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level).cast("long"), node.cast("long")), 11)
+    return -F.log((bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-53))
+
+
+def _first_child(key: Column, level: int, first: Column, n: int) -> Column:
+    """The child with the smallest draw among n from ``first`` on."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(_draw(key, level, first + i).alias("draw"), (first + i).alias("node")))
+    return F.array_min(draws)["node"]
+
+
+def _common_weight(weights: dict[int, float], first: int, n: int) -> float | None:
+    """The weight that all shards from ``first`` on have, if they are all there."""
+    found = {weights.get(s) for s in range(first, first + n)}
+    return found.pop() if len(found) == 1 else None
+
+
+def _waits(key: Column, weights: dict[int, float], p: int, q: int) -> list[tuple[Column, int, int]]:
+    """(wait, level, node) of everything that competes: whole subtrees and, in opened ones, their parts."""
+    out = []
+    for region in sorted({s // (p * q) for s in weights}):
+        wait = _draw(key, REGION, F.lit(region)) / F.lit(float(p * q))
+        whole = _common_weight(weights, region * p * q, p * q)
+        if whole:
+            out.append((wait / whole, REGION, region))
+            continue
+        racks = range(region * q, region * q + q)
+        draws = [_draw(key, RACK, F.lit(k)) / F.lit(float(p)) for k in racks]
+        least = F.least(*draws) if q > 1 else draws[0]
+        for rack, draw in zip(racks, draws, strict=True):
+            here = [s for s in range(rack * p, rack * p + p) if s in weights]
+            rack_wait, whole = wait + (draw - least), _common_weight(weights, rack * p, p)
+            if whole:
+                out.append((rack_wait / whole, RACK, rack))
+                continue
+            shard_draws = {s: _draw(key, SHARD, F.lit(s)) for s in range(rack * p, rack * p + p)}
+            shard_least = F.least(*shard_draws.values()) if p > 1 else shard_draws[rack * p]
+            out += [((rack_wait + (shard_draws[s] - shard_least)) / weights[s], SHARD, s) for s in here]
+    return out
+
+
+def descend(key: Column, leaves: list[Leaf], per_rack: int = PER_RACK, racks_per_region: int = RACKS_PER_REGION) -> Column:
+    """struct(region, rack, shard) that a key comes to; leaves of no weight take nothing."""
     for x in leaves:
-        regions.setdefault(x.region, {}).setdefault(x.rack, []).append(x)
-    nodes = F.array(
-        *(
-            F.array(
-                *(
-                    F.array(
-                        *(
-                            F.struct(
-                                F.lit(x.region).alias("region"), F.lit(x.rack).alias("rack"),
-                                F.lit(x.shard).alias("shard"), F.lit(float(x.weight)).alias("weight"),
-                            )
-                            for x in shards
-                        )
-                    )
-                    for shards in racks.values()
-                )
-            )
-            for racks in regions.values()
-        )
-    )
-
-    def leaf_draw(x: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, x["shard"].cast("long")), 11)
-        u = (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
-        return F.struct(
-            (-F.log(u) / x["weight"]).alias("draw"), x["region"].alias("region"), x["rack"].alias("rack"),
-            x["shard"].alias("shard"),
-        )
-
-    rack_draw = lambda shards: F.array_min(F.transform(shards, leaf_draw))
-    region_draw = lambda racks: F.array_min(F.transform(racks, rack_draw))
-    return F.array_min(F.transform(nodes, region_draw))
+        if x.rack != x.shard // per_rack or x.region != x.rack // racks_per_region:
+            raise ValueError(f"{x} does not stand where trees of {racks_per_region} racks of {per_rack} have it")
+    weights = {x.shard: float(x.weight) for x in leaves if x.weight > 0}
+    if not weights:
+        raise ValueError("a tree needs a shard with weight")
+    waits = _waits(key, weights, per_rack, racks_per_region)
+    all_waits = F.array(*(F.struct(w.alias("wait"), F.lit(level).alias("level"), F.lit(node).alias("node")) for w, level, node in waits))
+    won = F.array_min(all_waits)
+    level, node = won["level"], won["node"]
+    rack = F.when(level == REGION, _first_child(key, RACK, node * racks_per_region, racks_per_region)).when(level == RACK, node).otherwise(F.floor(node / per_rack).cast("int"))
+    shard = F.when(level == SHARD, node).otherwise(_first_child(key, SHARD, rack * per_rack, per_rack))
+    return F.struct(F.floor(rack / racks_per_region).cast("int").alias("region"), rack.alias("rack"), shard.alias("shard"))
 
 
-def assign_shards(df: DataFrame, key: str, leaves: list[Leaf], prefix: str = "") -> DataFrame:
+def assign_shards(df: DataFrame, key: str, leaves: list[Leaf], prefix: str = "", per_rack: int = PER_RACK, racks_per_region: int = RACKS_PER_REGION) -> DataFrame:
     """Add region, rack and shard to every row. Null keys are one key like any other; equal keys share a shard."""
-    place = descend(F.coalesce(F.col(key).cast("string"), F.lit("")), leaves)
-    out = df.withColumn("__place", place)
+    place = descend(F.coalesce(F.col(key).cast("string"), F.lit("")), leaves, per_rack, racks_per_region)
+    (held,) = fresh(df, "place")
+    out = df.withColumn(held, place)
     for level in ("region", "rack", "shard"):
-        out = out.withColumn(prefix + level, F.col(f"__place.{level}"))
-    return out.drop("__place")
+        out = out.withColumn(prefix + level, F.col(f"{held}.{level}"))
+    return out.drop(held)
 
 
-def number_slots(df: DataFrame, shard: str, shards: int, order: list[str], slot: str, rows: int) -> DataFrame:
+def number_slots(df: DataFrame, shard: str, shards: int, slot: str, rows: int) -> DataFrame:
     """Number the rows of each shard 0, 1, ... without gaps and without one task holding a whole shard.
 
+    Equal rows are counted first and cut into lots of SLOT_ROWS at most, so they need no common task. The lots of
     ``rows`` rows in ``shards`` shards are hashed into buckets of about SLOT_ROWS rows each; a bucket is numbered by itself and
     starts where the buckets before it end. The starts come from one row per bucket.
     """
+    n, lot, bucket, start, before = fresh(df, "n", "lot", "bucket", "start", "before")
     buckets = max(1, -(-rows // (SLOT_ROWS * shards)))
-    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        dealt.groupBy(shard, "__bucket")
-        .agg(F.count("*").alias("__n"))
-        .select(shard, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    )
-    inside = Window.partitionBy(shard, "__bucket").orderBy(*order)
-    numbered = dealt.withColumn("__place", F.row_number().over(inside) - F.lit(1))
-    return (
-        numbered.join(starts, [shard, "__bucket"])
-        .withColumn(slot, (F.col("__start") + F.col("__place")).cast("long"))
-        .drop("__bucket", "__start", "__place")
-    )
+    lots = df.groupBy(*df.columns).agg(F.count("*").alias(n)).withColumn(lot, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(SLOT_ROWS).cast("long"))))
+    lots = lots.withColumn(n, F.least(F.lit(SLOT_ROWS), F.col(n) - F.col(lot))).withColumn(bucket, F.pmod(F.xxhash64(*df.columns, lot), F.lit(buckets)))
+    lots = settle(lots, "lots")
+    sofar = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = lots.groupBy(shard, bucket).agg(F.sum(n).alias(start))
+    starts = starts.withColumn(start, F.coalesce(F.sum(start).over(sofar([shard], [bucket])), F.lit(0)))
+    numbered = lots.withColumn(before, F.coalesce(F.sum(n).over(sofar([shard, bucket], [*df.columns, lot])), F.lit(0))).join(starts, [shard, bucket])
+    first = F.col(start) + F.col(before)
+    return numbered.withColumn(slot, F.explode(F.sequence(first, first + F.col(n) - 1))).select(*df.columns, slot)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -118,23 +140,15 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     an empty result. Other columns of the input are not read, so clashing names do no harm.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.count()
     thin = docs.select(
         "doc_id",
         (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    placed = assign_shards(thin, "doc_id", tree(shards))
-    grown = assign_shards(placed, "doc_id", tree(shards + 1), prefix="__grown_")
-    kept = grown.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard",
-        F.col("__grown_shard").alias("grown_shard"),
-    )
-    out = number_slots(kept, "shard", shards, ["doc_id", "text_crc32", "size"], "slot", rows)
-    return out.select(
-        "doc_id", "size", "text_crc32", "law", "region", "rack", F.col("shard").cast("int").alias("shard"), "slot",
-        F.col("grown_shard").cast("int").alias("grown_shard"),
-    )
+    placed = assign_shards(assign_shards(thin, "doc_id", tree(shards)), "doc_id", tree(shards + 1), prefix="grown_")
+    kept = placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", "grown_shard")
+    out = number_slots(kept, "shard", shards, "slot", docs.count())
+    return out.select("doc_id", "size", "text_crc32", "law", "region", "rack", "shard", "slot", "grown_shard")
 
 
 def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,12 +61,20 @@ def test_shards_match_brute_force(spark):
     assert len(out) == len(rows)
 
     def place(doc, n):
-        text = "" if doc is None else str(doc)
-        def draw(s):
-            h = xxhash.xxh64(text.encode(), seed=42).intdigest() if text else 42
-            h = xxhash.xxh64(struct.pack("<q", s), seed=h).intdigest()
+        """The smallest of all places' waits, each stated from the root: no descent."""
+        def draw(level, node):
+            h = xxhash.xxh64(str(doc).encode(), seed=42).intdigest()
+            for x in (level, node):
+                h = xxhash.xxh64(struct.pack("<q", x), seed=h).intdigest()
             return -np.log(((h >> 11) + 0.5) * 2.0**-53)
-        return min(range(n), key=draw)
+
+        def wait(s):
+            region, rack = s // 12, s // 4
+            racks = [draw(1, k) / 4 for k in range(region * 3, region * 3 + 3)]
+            shards = [draw(2, x) for x in range(rack * 4, rack * 4 + 4)]
+            return draw(0, region) / 12 + (racks[rack % 3] - min(racks)) + (shards[s % 4] - min(shards))
+
+        return min(range(n), key=wait)
 
     for r in out.itertuples():
         doc = None if np.isnan(r.doc_id) else int(r.doc_id)
@@ -89,6 +97,34 @@ def test_weights_and_confined_moves(spark):
     assert (b["shard"][moved] == 5).all()
 
 
+@pytest.mark.parametrize("n", [1, 5, 13, 26])
+def test_one_more_shard_takes_rows_only_into_itself(spark, n):
+    keys = spark.range(6000).withColumnRenamed("id", "k")
+    a, b = (sharding.assign_shards(keys, "k", sharding.tree(k)).toPandas()["shard"] for k in (n, n + 1))
+    assert (b[a != b] == n).all() and abs((b == n).mean() - 1 / (n + 1)) < 0.02
+    assert np.abs(np.bincount(a, minlength=n) / 6000 - 1 / n).max() < 0.02 + 0.1 / n
+
+
+def test_less_weight_moves_rows_only_out_and_other_fan_outs(spark):
+    keys = spark.range(8000).withColumnRenamed("id", "k")
+    whole = sharding.tree(10, per_rack=2, racks_per_region=2)
+    less = [sharding.Leaf(x.region, x.rack, x.shard, 0.25 if x.shard == 3 else 2.0 if x.region == 2 else 1.0) for x in whole]
+    doubled = [sharding.Leaf(x.region, x.rack, x.shard, 2.0 if x.region == 2 else 1.0) for x in whole]
+    a, b = (sharding.assign_shards(keys, "k", t, per_rack=2, racks_per_region=2).toPandas()["shard"] for t in (doubled, less))
+    assert (a[a != b] == 3).all() and abs((a == 8).mean() - 1 / 6) < 0.02 and abs((b == 3).mean() - 0.25 / 11.25) < 0.01
+    with pytest.raises(ValueError):
+        sharding.assign_shards(keys, "k", [sharding.Leaf(0, 3, 1)])
+    with pytest.raises(ValueError):
+        sharding.assign_shards(keys, "k", [sharding.Leaf(0, 0, 1, 0.0)])
+
+
+def test_equal_rows_are_numbered_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
+    rows = [(3, "same", "en", "a")] * 100 + [(None, "none", "en", "a")] * 30 + [(i, f"t{i}", "en", "a") for i in range(50)]
+    out = sharding.shard_documents(frame(spark, rows)).toPandas()
+    assert len(out) == 180 and all(sorted(s.slot) == list(range(len(s))) for _, s in out.groupby("shard"))
+
+
 def test_slots_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
     rows = [(i % 400, f"t{i}", "en", "a") for i in range(900)]
