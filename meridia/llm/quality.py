@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from meridia.llm._shared import drop_settled, read_table, settle, text_slices
 
-MAX_POSITIVES = 40_000  # rows that the model is fitted on at most, drawn evenly by hash
+MAX_POSITIVES = 40_000  # defaults of ``fit``: rows that weights are fitted on, drawn evenly by hash
 MAX_UNLABELLED = 80_000
 BINS = 256  # of the score histograms that the prior comes from
 THRESHOLD = 0.3
@@ -65,13 +65,18 @@ def features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def stored_features(texts: list[bytes]) -> np.ndarray:
+    """Features as they are stored and scored: 16-bit floats."""
+    return features(texts).astype(np.float16)
+
+
 def feature_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, x): the features of every text as 16-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch.column(1)):
-                x = features(texts).astype(np.float16)
+                x = stored_features(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], names=["key", "x"]
                 )
@@ -160,8 +165,8 @@ def estimate_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
 
 
 def held_out(key: Column) -> Column:
-    """Rows whose labels are never learnt from: crc32 of the id as text, modulo 5, is 0 (null ids: as empty text)."""
-    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    """Rows whose labels are never learnt from: crc32 of the id as text, modulo 5, is 0. Null ids are not held out."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _draw(df: DataFrame, most: int) -> np.ndarray:
@@ -189,9 +194,11 @@ def score_histogram(table: DataFrame, model: Model) -> np.ndarray:
     return out
 
 
-def fit(table: DataFrame, labels: DataFrame) -> Model | None:
+def fit(table: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
     """Learn from a feature table and labels (doc_id, quality); None where there is nothing to learn from.
 
+    The weights are fitted on about ``max_positives`` trusted positives and ``max_unlabelled`` other rows at most, drawn
+    evenly by hash from all; the class prior is estimated over all rows.
     Trusted positives are documents whose every label outside the held-out fold is 1; labels of 0 are not used.
     """
     trusted = (
@@ -202,7 +209,7 @@ def fit(table: DataFrame, labels: DataFrame) -> Model | None:
         .select("key")
     )
     positives = settle(table.join(trusted, "key", "left_semi"), "positives")
-    p, u = _draw(positives, MAX_POSITIVES), _draw(table, MAX_UNLABELLED)
+    p, u = _draw(positives, max_positives), _draw(table, max_unlabelled)
     if not len(p) or not len(u):
         return None
     first = fit_pu(p, u, 0.5, non_negative=False, epochs=20)
@@ -250,7 +257,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch.column(at)):
-                yield batch.slice(a, b - a).filter(pa.array(score_column(model, features(texts)) >= THRESHOLD))
+                yield batch.slice(a, b - a).filter(pa.array(score_column(model, stored_features(texts).astype(np.float32)) >= THRESHOLD))
 
     return docs.mapInArrow(run, schema)
 
