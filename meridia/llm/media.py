@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm._shared import read_table, utf8
+from meridia.llm._shared import read_table, text_slices
 
 WIDTH = 64
 TILE = 64
@@ -61,13 +61,14 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         fields.append(int(m[1]))
         at = m.end()
     width, height, top = *fields[:2], fields[2] if need == 3 else 1
+    if not (width and height and 0 < top < 65536):
+        raise ValueError("Netpbm image without samples, or with a largest value out of range")
     depth = 3 if kind in (3, 6) else 1
     if kind == 1:
         bits = re.sub(rb"#[^\n]*|\s", b"", data[at:])
-        flat = 1 - (np.frombuffer(bits, dtype=np.uint8)[: width * height] - 48)
+        flat = 1 - (np.frombuffer(bits, dtype=np.uint8)[: width * height].astype(np.int64) - 48)
     elif kind in (2, 3):
         flat = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[: width * height * depth], dtype=np.int64)
-        flat = flat.astype(np.uint8 if top < 256 else np.uint16)
     elif kind == 4:
         stride = -(-width // 8)
         packed = np.frombuffer(data, dtype=np.uint8, count=stride * height, offset=at + 1).reshape(height, stride)
@@ -75,21 +76,34 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     elif kind in (5, 6):
         sample = np.dtype(np.uint8 if top < 256 else ">u2")
         flat = np.frombuffer(data, dtype=sample, count=width * height * depth, offset=at + 1)
-        flat = flat if top < 256 else flat.astype(np.uint16)
     else:
         raise ValueError(f"no such Netpbm kind: P{kind}")
     if flat.size != width * height * depth:
         raise ValueError("Netpbm samples are missing")
+    if flat.min() < 0 or flat.max() > top:
+        raise ValueError("Netpbm samples beyond the largest value")
+    flat = flat.astype(np.uint8 if top < 256 else np.uint16, copy=False)
     return flat.reshape((height, width, 3) if depth == 3 else (height, width))
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP as (height, width) where the palette is grey, else (height, width, 3) in RGB."""
+    """Uncompressed BMP as (height, width) where the palette is grey, else (height, width, 3) in RGB.
+
+    Headers of 40 bytes and more, and the older one of 12 bytes, whose palette has three bytes a colour.
+    """
     start, size = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
-    width, height, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
+    if size == 12:
+        width, height, _, bits = struct.unpack_from("<HHHH", data, 18)
+        packing = used = 0
+    elif size >= 40:
+        width, height, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
+        used = struct.unpack_from("<I", data, 46)[0]
+    else:
+        raise ValueError(f"BMP with a header of {size} bytes is not supported")
     if packing or bits not in (1, 4, 8, 24, 32):
         raise ValueError(f"BMP with {bits} bits and compression {packing} is not supported")
-    used = struct.unpack_from("<I", data, 46)[0]
+    if width <= 0 or height == 0 or used > 1 << bits:
+        raise ValueError("BMP without samples, or with too many colours")
     rows, stride = abs(height), -(-width * bits // 32) * 4
     pixels = np.frombuffer(data, dtype=np.uint8, count=stride * rows, offset=start).reshape(rows, stride)
     if height > 0:
@@ -101,7 +115,10 @@ def decode_bmp(data: bytes) -> np.ndarray:
         split = np.unpackbits(pixels, axis=1).reshape(rows, -1, bits)
         pixels = np.packbits(split, axis=2, bitorder="big")[:, :, 0] >> (8 - bits)
     index = pixels[:, :width]
-    palette = np.frombuffer(data, dtype=np.uint8, count=4 * (used or 1 << bits), offset=14 + size).reshape(-1, 4)
+    colour = 3 if size == 12 else 4
+    palette = np.frombuffer(data, dtype=np.uint8, count=colour * (used or 1 << bits), offset=14 + size).reshape(-1, colour)
+    if index.max() >= len(palette):
+        raise ValueError("BMP samples beyond the palette")
     grey = (palette[:, 0] == palette[:, 1]).all() and (palette[:, 1] == palette[:, 2]).all()
     if grey and len(palette) == 256 and (palette[:, 0] == np.arange(256)).all():
         return index
@@ -239,19 +256,19 @@ def document_media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                text = text or b""
-                _, stored = text_media(text)
-                back, feature = media_features(stored)
-                rows.append(
-                    (key, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored),
-                     hashlib.sha256(stored).hexdigest(), feature)
+            keys = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1)):
+                rows = []
+                for key, text in zip(keys[a:b], texts, strict=True):
+                    _, stored = text_media(text)
+                    back, feature = media_features(stored)
+                    rows.append(
+                        (key, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored),
+                         hashlib.sha256(stored).hexdigest(), feature)
+                    )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), DIGEST_ARROW, strict=True)], schema=DIGEST_ARROW
                 )
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(columns, DIGEST_ARROW, strict=True)], schema=DIGEST_ARROW
-            )
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGEST_SCHEMA)
 
