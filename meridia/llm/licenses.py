@@ -2,8 +2,9 @@
 
 One pass counts in how many documents each word of the license templates occurs; the inverse document frequency
 ranks the words and picks each template's rarest. All of those that a file holds then vote, however many templates it
-holds: a word at place p of the file and place q of a template votes for that template starting at p - q. Starts with enough distinct votes are verified: the template's words
-must line up there and its mandatory key phrases must stand in that stretch.
+holds: a word at place p of the file and place q of a template votes for that template starting at p - q. Starts with
+enough distinct votes are verified: the template's words must line up there and its mandatory key phrases must stand
+in that stretch.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import read_table, utf8
+from meridia.llm._shared import read_table, text_slices
 
 # Phrases whose consecutive words give a label by themselves.
 BASE_PHRASES = {
@@ -134,9 +135,10 @@ def word_frequencies(docs: DataFrame, text_column: str, vocabulary: set[str]) ->
         seen: Counter[bytes] = Counter()
         rows = 0
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                rows += 1
-                seen.update(wanted.intersection(license_words(text or b"")))
+            for _, _, texts in text_slices(batch.column(0)):
+                rows += len(texts)
+                for text in texts:
+                    seen.update(wanted.intersection(license_words(text)))
         seen[b""] = rows
         yield pa.RecordBatch.from_pydict({"word": [w.decode() for w in seen], "n": list(seen.values())})
 
@@ -166,25 +168,25 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, list[str]]] |
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                words = license_words(text or b"")
-                starts, base = [], set()
-                for phrase, label in phrases:
-                    if found := places(words, phrase):
-                        starts += found
-                        base.add(label)
-                method = match_templates(words, index)
-                labels = sorted(base | set(method))
-                score = 1.0 if base else max(method.values(), default=0.0)
-                out.append(
-                    (key, len(words), len(starts), min(starts, default=None), max(starts, default=None),
-                     ",".join(sorted(base)), ",".join(labels), score)
+            keys = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1)):
+                out = []
+                for key, text in zip(keys[a:b], texts, strict=True):
+                    words = license_words(text)
+                    starts, base = [], set()
+                    for phrase, label in phrases:
+                        if found := places(words, phrase):
+                            starts += found
+                            base.add(label)
+                    method = match_templates(words, index)
+                    score = 1.0 if base else max(method.values(), default=0.0)
+                    out.append(
+                        (key, len(words), len(starts), min(starts, default=None), max(starts, default=None),
+                         ",".join(sorted(base)), ",".join(sorted(base | set(method))), score)
+                    )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), ARROW, strict=True)], schema=ARROW
                 )
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW
-            )
 
     return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
 
