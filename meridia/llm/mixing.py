@@ -1,13 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are counted by cell (source, language, topic) over all documents. Raking scales the cells' weights until the
-weighted tokens meet the target shares of each margin in turn. No weight may pass the one at which every document of
-its cell is drawn: cells that reach it stay there and the others are raked on, so the expected sample itself meets the
-targets, as far as any can. A document is then drawn with a probability proportional to its cell's weight, by a hash
-of its id and text, so equal rows share their fate and reruns agree.
-
-Cells are few where sources are few; up to MAX_DRIVER_CELLS they are raked in memory on the driver, beyond that by
-the same steps on DataFrames.
+weighted tokens meet the target shares of each margin in turn. A sample that keeps a share of all tokens cannot hold
+more of a value than there is, so targets beyond that are lowered to it and the others raised in proportion. No weight
+may pass the one at which every document of its cell is drawn: cells that reach it stay there and the others are raked
+on. So the expected sample itself meets the targets. A document is drawn with its cell's weight times the share to
+keep as probability, by a hash of its id and text, so equal rows share their fate and reruns agree.
+
+Up to MAX_DRIVER_CELLS cells are raked in memory on the driver, more by the same steps on DataFrames; both settle at
+the same weights but for rounding.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import drop_settled, read_table, settle
+from meridia.llm._shared import drop_settled, fresh, read_table, settle
 
 MAX_DRIVER_CELLS = 50_000
-ROUNDS = 100
+ROUNDS = 400
 TOLERANCE = 1e-6
 MARGINS = ("source", "lang", "topic")
 FLATTEN = {"source": 0.7, "lang": 0.8, "topic": 0.9}  # a target share is the present share to this power, scaled
@@ -43,13 +44,44 @@ def count_tokens(text: Column) -> Column:
     return F.greatest(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
 
 
-def targets_of(cells: DataFrame, margin: str, power: float) -> DataFrame:
-    """(margin, target): each value's share of tokens to a power, scaled to sum to 1."""
-    by = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("tokens"))
-    whole = by.agg(F.sum("tokens").alias("all"))
-    flat = by.crossJoin(F.broadcast(whole)).select(margin, F.pow(F.col("tokens") / F.col("all"), F.lit(power)).alias("flat"))
-    total = flat.agg(F.sum("flat").alias("total"))
-    return flat.crossJoin(F.broadcast(total)).select(margin, (F.col("flat") / F.col("total")).alias("target"))
+def _level(reached, goal: float = 1.0) -> float:
+    """The level (1 at least) at which an increasing function reaches the goal; ``reached`` maps levels to its values."""
+    grid = [1.0] + [2.0**k for k in range(1, 32)]
+    low = 0.0
+    for _ in range(12):
+        values = reached(grid)
+        k = next((k for k, v in enumerate(values) if v >= goal), len(grid) - 1)
+        if k == 0 and low == 0.0:
+            return grid[0]
+        low, high = grid[k - 1] if k else low, grid[k]
+        grid = [low + (high - low) * (i + 1) / 32 for i in range(32)]
+    return high
+
+
+def bound_targets(wish: np.ndarray, share: np.ndarray, keep: float) -> np.ndarray:
+    """Targets in the wishes' proportions, none above what a sample of ``keep`` of all tokens can hold."""
+    most = share / keep
+    return np.minimum(most, _level(lambda grid: [np.minimum(most, g * wish).sum() for g in grid]) * wish)
+
+
+def wishes(by: DataFrame, margin: str, power: float, given: dict[str, float] | None) -> DataFrame:
+    """(margin, share, wish): each value's share of tokens, and that share to a power or the given one, scaled to sum to 1."""
+    whole = by.agg(F.sum("tokens").cast("double").alias("all"))
+    out = by.crossJoin(F.broadcast(whole)).select(margin, (F.col("tokens") / F.col("all")).alias("share"))
+    if given is None:
+        out = out.withColumn("wish", F.pow("share", F.lit(power)))
+    else:
+        rows = by.sparkSession.createDataFrame(list(given.items()), f"{margin} string, wish double")
+        out = out.join(rows, margin, "left").fillna(0.0, ["wish"])
+    total = out.agg(F.sum("wish").alias("total"))
+    return out.crossJoin(F.broadcast(total)).select(margin, "share", F.coalesce(F.try_divide("wish", "total"), F.lit(0.0)).alias("wish"))
+
+
+def bound_target_frame(wished: DataFrame, margin: str, keep: float) -> DataFrame:
+    """(margin, target) from (margin, share, wish), as in ``bound_targets``."""
+    at = lambda g: F.least(F.col("share") / keep, g * F.col("wish"))
+    level = _level(lambda grid: [v or 0.0 for v in wished.agg(*(F.sum(at(F.lit(g))) for g in grid)).first()])
+    return wished.select(margin, at(F.lit(level)).alias("target"))
 
 
 def _settled(errors: list[float], before: list[float] | None, tolerance: float) -> bool:
@@ -78,9 +110,9 @@ def rake_arrays(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.nd
             weight = np.where(more[code] & (weight >= cap), weight, np.minimum(cap, weight * factor[code]))
         errors = [float(np.abs(now - target).max(initial=0)) for now, target in shares]
         if _settled(errors, before, tolerance):
-            break
+            return weight
         before = errors
-    return weight
+    raise RuntimeError(f"raking did not settle in {rounds} rounds; margins are off by {errors}")
 
 
 def rake_frames(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance: float = TOLERANCE, cap: float = math.inf) -> DataFrame:
@@ -112,68 +144,57 @@ def rake_frames(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, to
             drop_settled(old)
         held = after
         if _settled(errors, before, tolerance):
-            break
+            return held
         before = errors
-    return held
+    raise RuntimeError(f"raking did not settle in {rounds} rounds; margins are off by {errors}")
 
 
 def calibrate(cells: DataFrame, flatten: dict[str, float], keep: float, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Cells with their weight and probability.
+    """Cells with their weight and probability = weight * ``keep``.
 
-    ``given`` sets a margin's target shares by hand; values that it leaves out share nothing. Probabilities are
-    weight times one rate, at most 1; the rate is such that the expected tokens are the share ``keep`` of all. Weights
-    stay below 1 / keep, so the drawn tokens meet the targets unless a value has fewer tokens than its target asks for.
+    ``given`` sets a margin's wished shares by hand; values that it leaves out share nothing. Weights stay at or below
+    1 / keep, so no probability passes 1 and the drawn tokens meet the (bounded) targets. Raking that does not settle
+    raises an error.
     """
-    spark = cells.sparkSession
+    spark, given = cells.sparkSession, given or {}
     margins = list(flatten)
-    targets = {}
-    for margin in margins:
-        if given and margin in given:
-            total = sum(given[margin].values())
-            rows = [(k, v / total) for k, v in given[margin].items()]
-            targets[margin] = cells.select(margin).distinct().join(spark.createDataFrame(rows, f"{margin} string, target double"), margin, "left").fillna(0.0, ["target"])
-        else:
-            targets[margin] = targets_of(cells, margin, flatten[margin])
-    n = cells.limit(MAX_DRIVER_CELLS + 1).count()
-    if n <= MAX_DRIVER_CELLS:
+    if cells.limit(MAX_DRIVER_CELLS + 1).count() <= MAX_DRIVER_CELLS:
         local = cells.toPandas()
+        tokens = local["tokens"].to_numpy(dtype=float)
         codes, goals = [], []
-        for margin, target in targets.items():
+        for margin in margins:
             code, names = local[margin].factorize(sort=True)
-            share = dict(target.toPandas().itertuples(index=False))
+            share = np.bincount(code, weights=tokens, minlength=len(names)) / max(tokens.sum(), 1.0)
+            wish = np.array([given[margin].get(k, 0.0) for k in names]) if margin in given else share ** flatten[margin]
             codes.append(code)
-            goals.append(np.array([share[k] for k in names]))
-        local["weight"] = rake_arrays(local["tokens"].to_numpy(dtype=float), codes, goals, cap=1 / keep) if len(local) else []
-        rate = _rate(local["tokens"].to_numpy(dtype=float), local["weight"].to_numpy(dtype=float), keep)
+            goals.append(bound_targets(wish / (wish.sum() or 1.0), share, keep))
+        local["weight"] = rake_arrays(tokens, codes, goals, cap=1 / keep) if len(local) else []
         schema = ", ".join([*(f"{m} string" for m in margins), "tokens long, weight double"])
         raked = spark.createDataFrame(local[[*margins, "tokens", "weight"]], schema) if len(local) else spark.createDataFrame([], schema)
     else:
-        raked = rake_frames(cells, {m: settle(t, "targets") for m, t in targets.items()}, ROUNDS, cap=1 / keep)
-        rate = _rate_frames(raked, keep)
-    return raked.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(rate)))
-
-
-def _rate(tokens: np.ndarray, weight: np.ndarray, keep: float) -> float:
-    """The rate at which sum(tokens * min(1, rate * weight)) = keep * sum(tokens), by bisection."""
-    low, high = 0.0, 1.0
-    goal = keep * tokens.sum()
-    while len(tokens) and (tokens * np.minimum(1, high * weight)).sum() < min(goal, tokens[weight > 0].sum() * (1 - 1e-9)):
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (tokens * np.minimum(1, mid * weight)).sum() < goal else (low, mid)
-    return high
-
-
-def _rate_frames(cells: DataFrame, keep: float) -> float:
-    """The same, with one sum over all cells for a grid of 32 rates in each of eight rounds."""
-    low, high = 0.0, float(cells.agg(F.max(1 / F.when(F.col("weight") > 0, F.col("weight")))).first()[0] or 1.0)
-    for _ in range(8):
-        grid = [low + (high - low) * (k + 1) / 32 for k in range(32)]
-        drawn = cells.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.lit(g))) for g in grid)).first()
-        k = next((k for k in range(32) if drawn[k + 1] >= keep * drawn[0]), 31)
-        low, high = (grid[k - 1] if k else low), grid[k]
-    return high
+        targets = {}
+        for margin in margins:
+            by = cells.groupBy(margin).agg(F.sum("tokens").alias("tokens"))
+            wished = settle(wishes(by, margin, flatten[margin], given.get(margin)), "wishes")
+            targets[margin] = settle(bound_target_frame(wished, margin, keep), "targets")
+            drop_settled(wished)
+        raked = rake_frames(cells, targets, ROUNDS, cap=1 / keep)
+    return raked.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(keep)))
+
+
+def margin_report(cells: DataFrame, flatten: dict[str, float] | None = None, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(margin, value, present, wished, expected): shares of tokens before, as wished, and expected in the sample."""
+    flatten, given = flatten or FLATTEN, given or {}
+    fitted = settle(calibrate(cells, flatten, keep, given), "fitted")
+    drawn = F.col("tokens") * F.col("probability")
+    whole = fitted.agg(F.sum(drawn).alias("whole"))
+    out = None
+    for margin, power in flatten.items():
+        wished = wishes(fitted.groupBy(margin).agg(F.sum("tokens").alias("tokens")), margin, power, given.get(margin))
+        got = fitted.groupBy(margin).agg(F.sum(drawn).alias("drawn")).crossJoin(F.broadcast(whole)).select(margin, (F.col("drawn") / F.col("whole")).alias("expected"))
+        part = wished.join(got, margin).select(F.lit(margin).alias("margin"), F.col(margin).alias("value"), F.col("share").alias("present"), F.col("wish").alias("wished"), "expected")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def draw(key: Column, text: Column) -> Column:
@@ -208,18 +229,14 @@ def mix(docs: DataFrame, flatten: dict[str, float] | None = None, keep: float =
 
 
 def sample_mixture(docs: DataFrame, flatten: dict[str, float] | None = None, keep: float = KEEP) -> DataFrame:
-    """The drawn rows of ``docs``, all columns as they are."""
+    """The drawn rows of ``docs``, all columns as they are, whatever their names."""
     cells = settle(described(docs).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
-    fitted = calibrate(cells, flatten or FLATTEN, keep).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("probability").alias("__probability"))
+    names = fresh(docs, *MARGINS, "probability", "draw")
+    fitted = calibrate(cells, flatten or FLATTEN, keep).select(*MARGINS, "probability").toDF(*names[:-1])
     text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.withColumns(
-        {
-            "__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-            "__topic": topic(text), "__draw": draw(F.col("doc_id"), text),
-        }
-    )
-    drawn = named.join(fitted, [f"__{m}" for m in MARGINS]).where("__draw < __probability")
-    return drawn.select(*docs.columns)
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    named = docs.withColumns(dict(zip([*names[:3], names[-1]], (known("source"), known("lang"), topic(text), draw(F.col("doc_id"), text)), strict=True)))
+    return named.join(fitted, names[:3]).where(F.col(names[-1]) < F.col(names[3])).select(*docs.columns)
 
 
 def op9_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
