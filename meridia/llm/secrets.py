@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import read_table, settle
+from meridia.llm._shared import fresh, read_table, settle
 
 # Kind, pattern, least length and the group it counts in; the first three are the base.
 PATTERNS = [
@@ -24,6 +24,7 @@ PATTERNS = [
 BASE = 3  # how many of them are the base
 
 COPIED_OWNERS = 3  # a value of so many owners is an example
+COPIED_REPOSITORIES = 5  # and so is one of so many repositories, however few their owners
 MIN_DISTINCT = 10  # characters that a random value without name or format has at least, with a digit
 MIN_LETTERS = 20  # the same for one of letters only, in both cases
 MIN_FORMAT = 7  # the same for hexadecimal digits, and for values whose format says what they are
@@ -32,8 +33,29 @@ KIND = {name: k for k, (name, *_) in enumerate(PATTERNS)}
 MARK, NO_MARK = "\x01", "\x02"
 
 
-def _pieces(text: Column, pattern: str) -> Column:
-    """array(struct(len, hit)): the text cut at the matches; every second piece is a match.
+# What a text must hold before a pattern is tried at all: one of some words in lower case, or a long run and a word.
+_RUN = r"[A-Za-z0-9+/_.-]{20}"
+_NAMES = ("password", "passwd", "secret", "token", "api")
+_FORMATS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk_live_", "glpat-", "AIza", "eyJ")
+
+
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def _gates(text: Column, run: Column) -> dict[str, Column]:
+    """For each kind a cheap test that no text with a match fails; ``run``: does the text hold _RUN?"""
+    return {
+        "assign": _holds(F.lower(text), _NAMES), "access": run & _holds(text, ("AKIA",)), "hex": run, "vendor": run & _holds(text, _FORMATS),
+        "pem": _holds(text, ("-----BEGIN ",)), "blob": run,
+    }
+
+
+def _pieces(text: Column, pattern: str, gate: Column) -> Column:
+    """array(struct(len, hit)): the text cut at the matches; every second piece is a match. Null without any.
 
     Matches are set off by U+0001; U+0001 in the text is read as U+0002, which no pattern can match either, so
     places stay the same.
@@ -42,14 +64,16 @@ def _pieces(text: Column, pattern: str) -> Column:
     piece = lambda p, i: F.struct(
         F.length(p).cast("long").alias("len"), F.when(i % 2 == 1, p).alias("hit")
     )
-    return F.when(text.rlike(pattern), F.transform(cut, piece))
+    return F.when(gate & text.rlike(pattern), F.transform(cut, piece))
 
 
 def cut_texts(docs: DataFrame, row_id: str, text_column: str, keep: list[str]) -> DataFrame:
-    """``row_id``, ``keep`` and the pieces of each kind that matches: all that is needed of the texts, in one scan."""
-    text = F.translate(F.col(text_column), MARK, NO_MARK)
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), _pieces(text, p).alias("pieces")) for k, (_, p, *_) in enumerate(PATTERNS)))
-    return docs.select(row_id, *keep, F.filter(kinds, lambda x: x["pieces"].isNotNull()).alias("__kinds"))
+    """``row_id``, ``keep`` and ``kinds``, the pieces of each kind that matches: all that is needed of the texts, in one scan."""
+    text = F.translate(F.coalesce(F.col(text_column), F.lit("")), MARK, NO_MARK)
+    read = docs.select(row_id, *keep, text.alias("text"), text.rlike(_RUN).alias("run"))
+    gates = _gates(F.col("text"), F.col("run"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), _pieces(F.col("text"), p, gates[name]).alias("pieces")) for k, (name, p, *_) in enumerate(PATTERNS)))
+    return read.select(row_id, *keep, F.filter(kinds, lambda x: x["pieces"].isNotNull()).alias("kinds"))
 
 
 def find_candidates(cut: DataFrame, row_id: str, keep: list[str]) -> DataFrame:
@@ -59,7 +83,7 @@ def find_candidates(cut: DataFrame, row_id: str, keep: list[str]) -> DataFrame:
     matches costs no more than its length.
     """
     cut = (
-        cut.select(row_id, *keep, F.explode("__kinds").alias("k"))
+        cut.select(row_id, *keep, F.explode("kinds").alias("k"))
         .select(row_id, *keep, "k.kind", F.posexplode("k.pieces").alias("at", "piece"))
         .select(row_id, *keep, "kind", "at", "piece.len", "piece.hit")
     )
@@ -70,7 +94,7 @@ def find_candidates(cut: DataFrame, row_id: str, keep: list[str]) -> DataFrame:
     return (
         hits.withColumn("value", value)
         .where(F.length("value") >= least)
-        .select(row_id, *keep, "kind", (F.col("end") - F.col("len")).alias("start"), "end", "value")
+        .select(row_id, *keep, "kind", (F.col("end") - F.col("len")).alias("start"), "end", "value")  # a value ends where its match ends
     )
 
 
@@ -110,20 +134,28 @@ def looks_live(kind: Column, value: Column) -> Column:
 def judged_candidates(cut: DataFrame, row_id: str, owner: str, repository: str) -> DataFrame:
     """All candidates of ``cut_texts``, each with its value's ownership and verdict.
 
-    Verdicts: ``copied`` (COPIED_OWNERS owners or more), ``live`` (fewer, and ``looks_live``), else ``weak``. Null
-    owners count as one owner.
+    Verdicts: ``copied`` (COPIED_OWNERS owners or COPIED_REPOSITORIES repositories or more), ``live`` (fewer, and
+    ``looks_live``), else ``weak``. Null owners count as one owner.
     """
     places = find_candidates(cut, row_id, [owner, repository])
     found = settle(places.withColumn("value_hash", F.sha2("value", 256)), "secrets")
     held = ownership(found, "value_hash", owner, repository)
     verdict = (
-        F.when(F.col("n_owners") >= COPIED_OWNERS, "copied")
+        F.when((F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES), "copied")
         .when(looks_live(F.col("kind"), F.col("value")), "live")
         .otherwise("weak")
     )
     return found.join(held, "value_hash").withColumn("verdict", verdict)
 
 
+def owner_of() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
+def repository_of() -> Column:
+    return F.concat_ws("/", owner_of(), F.coalesce(F.col("lang").cast("string"), F.lit("")))
+
+
 def spans_text(spans: Column) -> Column:
     names = F.array(*(F.lit(k) for k, *_ in PATTERNS))
     text = lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
@@ -138,14 +170,13 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     The owner is the document's source, the repository its source and language. Other columns are not read.
     """
     rows = docs.select(
-        F.monotonically_increasing_id().alias("__row"), "doc_id", "text", F.coalesce("source", F.lit("")).alias("__o"),
-        F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("__r"),
+        F.monotonically_increasing_id().alias("row"), "doc_id", "text", owner_of().alias("owner"), repository_of().alias("repository"),
     )
-    cut = settle(cut_texts(rows, "__row", "text", ["doc_id", "__o", "__r"]), "pieces")
-    judged = judged_candidates(cut, "__row", "__o", "__r")
+    cut = settle(cut_texts(rows, "row", "text", ["doc_id", "owner", "repository"]), "pieces")
+    judged = judged_candidates(cut, "row", "owner", "repository")
     span = F.struct("start", "kind", "end", "verdict")
-    per_row = judged.groupBy("__row").agg(F.array_sort(F.collect_list(span)).alias("all"))
-    out = cut.select("__row", "doc_id").join(per_row, "__row", "left")
+    per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("all"))
+    out = cut.select("row", "doc_id").join(per_row, "row", "left")
     every = F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,verdict:string>>"))
     out = out.withColumn("all", every)
     base = F.filter("all", lambda s: s["kind"] < BASE)
@@ -163,33 +194,48 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_spans(text: Column, spans: Column, mask: str) -> Column:
+    """The text with every stretch that some of the spans (sorted, by start) cover put as one mask."""
+    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
+    piece = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = (s["start"] > acc["at"]) | (acc["at"] == 0)
+        added = F.when(apart, F.concat(acc["done"], piece(acc["at"], s["start"]), F.lit(mask))).otherwise(acc["done"])
+        return F.struct(added.alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+
+
 def mask_live(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """All rows of ``docs`` with every occurrence of their live-looking values masked; n_chars follows the text.
+    """All rows of ``docs``, all columns as they are, with their live-looking values masked; n_chars follows the text.
 
-    Values shorter than MIN_DISTINCT are masked where they are not part of a longer run of letters and digits. Texts in which
-    no pattern matches pass as they are; only the others are joined to their values, by id and text.
+    What the values' spans cover is masked first, then every other occurrence of the values, the longest first. There,
+    values shorter than MIN_DISTINCT are masked only where they are not part of a longer run of letters and digits.
+    Texts in which no pattern can match pass as they are; only the others are joined to their values, by two hashes
+    of the row's id, text, source and language, so rows that repeat all four are judged once and masked alike.
     """
-    any_pattern = F.coalesce(F.col("text").rlike("|".join(f"(?:{p})" for _, p, *_ in PATTERNS)), F.lit(False))
-    key = F.xxhash64("doc_id", "text")
-    suspect = docs.where(any_pattern).withColumn("__key", key)
-    cut = settle(
-        cut_texts(
-            suspect.withColumns({"__o": F.coalesce("source", F.lit("")), "__r": F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))}),
-            "__key", "text", ["__o", "__r"],
-        ).dropDuplicates(["__key"]),
-        "pieces",
-    )
-    judged = judged_candidates(cut, "__key", "__o", "__r").where("verdict = 'live'")
-    values = judged.groupBy("__key").agg(F.sort_array(F.collect_set("value"), asc=False).alias("__values"))
-    masked = suspect.join(values, "__key", "left")
-    whole = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), v, F.lit(r"\E(?![A-Za-z0-9])"))
-    hide = lambda t, v: F.when(F.length(v) < MIN_DISTINCT, F.regexp_replace(t, whole(v), F.lit(mask))).otherwise(F.replace(t, v, F.lit(mask)))
-    text = F.aggregate("__values", F.col("text"), hide)
-    masked = masked.withColumn("text", F.coalesce(text, "text"))
+    key, spans, values = fresh(docs, "key", "spans", "values")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    gates = _gates(text, text.rlike(_RUN))
+    gate = gates["assign"] | gates["pem"] | gates["hex"]  # the others need a run as well
+    whole = F.struct(F.xxhash64("doc_id", "text", "source", "lang").alias("a"), F.xxhash64("lang", "source", "text", "doc_id", F.lit(1)).alias("b"))
+    suspect = docs.where(gate).withColumn(key, whole)
+    rows = suspect.select(F.col(key).alias("row"), "text", owner_of().alias("owner"), repository_of().alias("repository"))
+    cut = settle(cut_texts(rows, "row", "text", ["owner", "repository"]).where("size(kinds) > 0").dropDuplicates(["row"]), "pieces")
+    judged = judged_candidates(cut, "row", "owner", "repository").where("verdict = 'live'")
+    span = F.struct((F.col("end") - F.length("value")).alias("start"), "end")
+    value = F.struct(F.negative(F.length("value")).alias("less"), "value")
+    found = judged.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set(value)).alias("values"))
+    masked = suspect.join(found.toDF(key, spans, values), key, "left")
+    alone = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), v, F.lit(r"\E(?![A-Za-z0-9])"))
+    hide = lambda t, v: F.when(v["less"] > -MIN_DISTINCT, F.regexp_replace(t, alone(v["value"]), F.lit(mask))).otherwise(F.replace(t, v["value"], F.lit(mask)))
+    hidden = F.aggregate(values, without_spans(F.col("text"), F.col(spans), mask), hide)
+    masked = masked.withColumn("text", F.coalesce(hidden, "text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        masked = masked.withColumn("n_chars", F.when(F.col("__values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return docs.where(~any_pattern).select(*docs.columns).unionByName(masked.select(*docs.columns))
+        masked = masked.withColumn("n_chars", F.when(F.col(values).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return docs.where(~gate).select(*docs.columns).unionByName(masked.select(*docs.columns))
 
 
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
