@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meridia.llm import oracles
 from meridia.llm.embeddings import op5_spherical_cap_dedup
 from meridia.llm.licenses import op8_license_scans
 from meridia.llm.media import op7_media_columns
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
