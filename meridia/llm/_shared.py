@@ -23,9 +23,18 @@ NULL_ID = (1 << 63) - 1  # stands for a null id in orders: after every other id,
 _SHIPPED: set[str] = set()
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000  # of texts that pass to a Python worker at once, where the session keeps Spark's default
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the session's Python workers, once: they need not find it on their own path."""
+    """Send this package to the session's Python workers, once: they need not find it on their own path.
+
+    Arrow batches are kept small, too: ten thousand texts at a time would take tens of megabytes on both sides.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
         target = Path(tempfile.mkdtemp(prefix="meridia-")) / f"{root.name}.zip"  # the driver's own; executors fetch it
@@ -67,19 +76,23 @@ def _clear_scratch() -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and no executor's loss can undo it.
 
     The shuffle files behind it are deleted as soon as it is written. ``df`` itself should not be used again.
+    ``batch_rows`` bounds the Arrow batches on the way, where rows are large.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/meridia-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _SETTLED.append((spark.sparkContext, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from meridia.llm._shared import drop_settled, settle, worker_cache
 
-ROWS_AT_ONCE = 2_000_000  # hashes that a partition gathers before it sends them
+ROWS_AT_ONCE = 1_000_000  # hashes that a partition gathers before it sends them
 
 
 @dataclass(frozen=True)

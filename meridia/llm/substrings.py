@@ -1,7 +1,7 @@
 """Exact removal of repeated passages: windows of words, a count-min prefilter, exact grouping of what it lets by.
 
 Pass 1 sketches all windows. Pass 2 groups exactly only the windows that the merged sketch estimates repeated. In
-each batch all but the first place of a window are settled on the spot, so one row for each window and batch is
+each lot of texts all but the first place of a window are settled on the spot, so one row for each window and lot is
 shuffled, however often a passage repeats. Pass 3 joins the removals to the texts.
 """
 
@@ -18,7 +18,7 @@ from meridia.llm._shared import document_key, mix64, read_table, signed, text_sl
 from meridia.llm.sketch import PartitionSketch, Shape, broadcast_repeats, merge_parts
 
 WINDOW = 20
-SETTLED_AT_ONCE = 1_000_000  # windows that a task compares among themselves before it sends them
+SETTLED_AT_ONCE = 750_000  # windows that a task compares among themselves before it sends them
 
 
 def _windows(texts: list[bytes], n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,17 +54,25 @@ _REMOVALS = pa.schema([(x.split()[0], pa.int64()) for x in REMOVALS.split(", ")]
 _SETTLED = 1 << 31
 
 
-def _settle_batch(hashes: np.ndarray, check: np.ndarray, at: np.ndarray, docs: np.ndarray, ties: np.ndarray) -> pa.RecordBatch:
+def _settle_lot(hashes: np.ndarray, check: np.ndarray, at: np.ndarray, docs: np.ndarray, ties: np.ndarray) -> pa.RecordBatch:
     """One row for the first place of each window; the later places, which are removals for sure, as runs.
 
-    ``at`` is a document's number << 31 | start; numbers follow the order of (docs, ties) that they stand for.
+    ``at`` is a row's number << 31 | start; docs and ties are the rows' keys, and rows that repeat them are one document.
     """
+    order = np.lexsort((ties, docs))
+    new = np.ones(len(docs), dtype=bool)
+    new[1:] = (np.diff(docs[order]) != 0) | (np.diff(ties[order]) != 0)
+    number = np.empty(len(docs), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    docs, ties = docs[order[new]], ties[order[new]]
+    at = number[at >> 31] << 31 | at & (_SETTLED - 1)
     order = np.lexsort((at, check, hashes))
     hashes, check, at = hashes[order], check[order], at[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])
     first = np.flatnonzero(new)
     later = np.unique(at[at != at[first][np.cumsum(new) - 1]])
+    first = first[np.argsort(at[first])]  # neighbours share their document, so shuffled rows compress
     head = np.flatnonzero(np.append(True, later[1:] != later[:-1] + 1)) if len(later) else np.zeros(0, dtype=np.int64)
     run = np.diff(np.append(head, len(later)))
     later = later[head]
@@ -77,26 +85,27 @@ def _settle_batch(hashes: np.ndarray, check: np.ndarray, at: np.ndarray, docs: n
 def _candidates(n: int, load):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = load()
+        lot, rows, held = [], 0, 0
+
+        def settled() -> pa.RecordBatch:
+            return _settle_lot(*(np.concatenate(x) for x in zip(*lot, strict=True)))
+
         for batch in batches:
             docs, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            order = np.lexsort((ties, docs))
-            docs, ties = docs[order], ties[order]
-            new = np.ones(len(docs), dtype=bool)
-            new[1:] = (docs[1:] != docs[:-1]) | (ties[1:] != ties[:-1])
-            number = np.empty(len(docs), dtype=np.int64)  # of each row's document; repeated rows are one document
-            number[order] = np.cumsum(new) - 1
-            docs, ties = docs[new], ties[new]
-            found, held = [], 0
             for a, b, texts in text_slices(batch.column(2)):
                 hashes, row, start = _windows(texts, n)
                 some = np.flatnonzero(repeats.repeated(hashes))
                 if len(some):
                     check = signed(_windows(texts, n, 1)[0][some]).astype(np.int32)
-                    found.append((hashes[some], check, number[a:b][row[some]] << 31 | start[some]))
+                    used, own = np.unique(row[some], return_inverse=True)
+                    lot.append((hashes[some], check, (rows + own) << 31 | start[some], docs[a:b][used], ties[a:b][used]))
+                    rows += len(used)
                     held += len(some)
-                if found and (held > SETTLED_AT_ONCE or b == batch.num_rows):
-                    yield _settle_batch(*(np.concatenate(x) for x in zip(*found, strict=True)), docs, ties)
-                    found, held = [], 0
+                if held > SETTLED_AT_ONCE:
+                    yield settled()
+                    lot, rows, held = [], 0, 0
+        if lot:
+            yield settled()
 
     return run
 
