@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from meridia.llm._shared import (
     NULL_ID, components, document_key, drop_settled, fresh, lower_ascii, mix64, read_table, settle, signed, text_slices, window_hashes, word_hashes,
@@ -33,7 +32,8 @@ SHINGLE = 5
 PERCENT = 75
 SETS_AT_ONCE = 16_000_000  # bytes of sets that a task compares among themselves before it sends them
 BINS = 64  # of the suffix filter's histograms, by the highest bits of the hashes
-PAIR_BYTES = 8_000_000  # of outlines or sets that a verifying task holds at once
+PAIR_ROWS = 256  # pairs with their sets that a verifying task reads at once
+OUTLINE_ROWS = 4096
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -102,9 +102,9 @@ def _digest_and_sketch(n: int, shape: Shape):
 
 # ------------------------------------------------------------------- pass 2
 
-_ALIVE = "n long, h1 long, h2 long, grams array<long>, places array<int>, front binary, own binary"
+_ALIVE = "n long, h1 long, h2 long, grams array<long>, places array<int>, front binary, histogram binary, own binary"
 _ALIVE_ARROW = pa.schema(
-    [*((x, pa.int64()) for x in ("n", "h1", "h2")), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("front", pa.binary()), ("own", pa.binary())]
+    [*((x, pa.int64()) for x in ("n", "h1", "h2")), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("front", pa.binary()), ("histogram", pa.binary()), ("own", pa.binary())]
 )
 
 
@@ -123,27 +123,31 @@ def prefix_of(own: np.ndarray, repeats: Repeats, percent: int) -> tuple[np.ndarr
 
 
 def _index(n: int, percent: int, load):
-    """The sets that may have a partner: prefix postings, bins of the prefix and the hashes; equal sets of a lot once."""
+    """The sets that may have a partner: prefix postings, outline (bins of the prefix, histogram) and hashes; equal sets of a lot once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = load()
+        best: dict[tuple[int, int], tuple] = {}
+        held = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for rows in _slices(list(best.values()), 200):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ALIVE_ARROW, strict=True)], schema=_ALIVE_ARROW)
+
         for batch in batches:
-            best: dict[tuple[int, int], tuple] = {}
-            held = 0
-            for _, b, texts in text_slices(batch.column(0)):
+            for _, _, texts in text_slices(batch.column(0)):
                 for own in shingle_sets(texts, n):
                     if not len(own) or (digest := set_digest(own)) in best:
                         continue
                     grams, places, front = prefix_of(own, repeats, percent)
                     if len(grams):
-                        best[digest] = (len(own), *digest, signed(grams), places, bins_of(front).tobytes(), own.tobytes())
+                        histogram = np.bincount(bins_of(own), minlength=BINS).astype("<u4")
+                        best[digest] = (len(own), *digest, signed(grams), places, bins_of(front).tobytes(), histogram.tobytes(), own.tobytes())
                         held += own.nbytes
-                if held > SETS_AT_ONCE or b == batch.num_rows:
-                    for rows in _slices(list(best.values()), 200):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ALIVE_ARROW, strict=True)], schema=_ALIVE_ARROW
-                        )
+                if held > SETS_AT_ONCE:
+                    yield from sent()
                     best, held = {}, 0
+        yield from sent()
 
     return run
 
@@ -199,11 +203,8 @@ def _filtered(pairs: DataFrame, sides: DataFrame, columns: list[str], test) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, int(PAIR_BYTES * batch.num_rows / max(1, batch.nbytes)))
-            for k in range(0, batch.num_rows, step):
-                part = batch.slice(k, step)
-                stay = [test(r) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-                yield part.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+            stay = [test(r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
 
     left, right = (sides.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in columns)) for k in "ab")
     return pairs.join(left, "a").join(right, "b").select(*pairs.columns, *(f"{k}_{c}" for k in "ab" for c in columns)).mapInArrow(run, "a long, b long")
@@ -214,20 +215,9 @@ def verified(candidates: DataFrame, sets: DataFrame, percent: int, name: str, tr
     pairs = candidates.groupBy("a", "b").agg(F.min(F.struct("i", "j")).alias("at")).select("a", "b", "at.i", "at.j")
     if tried is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    close = settle(_filtered(pairs, sets, ["histogram", "front"], lambda r: suffix_passes((r[4], r[5], r[2]), (r[6], r[7], r[3]), percent)), f"{name}-pairs")
-    return settle(_filtered(close, sets, ["own"], lambda r: _jaccard(r[2], r[3], percent)), f"{name}-links"), close
-
-
-def _with_histogram(sets: DataFrame) -> DataFrame:
-    """Add the histogram of each whole set, once a set."""
-    schema = T.StructType([*sets.schema.fields, T.StructField("histogram", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [np.bincount(bins_of(np.frombuffer(own, dtype=np.uint64)), minlength=BINS).astype("<u4").tobytes() for own in batch.column("own").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.binary())], names=[*batch.schema.names, "histogram"])
-
-    return sets.mapInArrow(run, schema)
+    outlined = _filtered(pairs, sets, ["histogram", "front"], lambda r: suffix_passes((r[4], r[5], r[2]), (r[6], r[7], r[3]), percent))
+    close = settle(outlined, f"{name}-pairs", OUTLINE_ROWS)
+    return settle(_filtered(close, sets, ["own"], lambda r: _jaccard(r[2], r[3], percent)), f"{name}-links", PAIR_ROWS), close
 
 
 def _class_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -294,7 +284,7 @@ def ngram_join(
         rows.select("text").mapInArrow(_index(n, percent, load), _ALIVE).withColumn("node", F.monotonically_increasing_id()), "alive"
     )  # written once, so nodes do not change any more
     nodes = alive.groupBy("h1", "h2").agg(F.min("node").alias("node"))
-    sets = settle(_with_histogram(alive.join(nodes.select("node"), "node", "left_semi")), "sets")
+    sets = settle(alive.join(nodes.select("node"), "node", "left_semi"), "sets")
     drop_settled(alive)
 
     groups = components(_class_links(sets, percent))
