@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0088
 
 
+def half_up(c: Column, places: int) -> Column:
+    """Rounded half up as a decimal, so that the last bits of a sum do not decide ties."""
+    return F.round(c.cast("decimal(24,8)"), places).cast("double")
+
+
 def share(x: Column, n: Column) -> Column:
     """x / n, null where n is 0 or null."""
     return F.try_divide(x.cast("double"), F.nullif(n, F.lit(0)).cast("double"))
@@ -60,7 +65,7 @@ def min_max(column: Column, default: float = 0.0) -> Column:
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.sin(dlat / 2) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon / 2) ** 2
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.when(a.isNotNull(), 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a))))  # least would skip a null
 
 
 def grid_cell(lat: Column, lon: Column, size: float) -> Column:

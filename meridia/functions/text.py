@@ -12,6 +12,21 @@ TRUE_WORDS = ["true", "1", "yes", "y"]
 FALSE_WORDS = ["false", "0", "no", "n"]
 
 
+# What in a claim text (in lower case) speaks for a service.
+SERVICE_SIGNALS = {
+    "maternity": "maternity|maternal|obstetric|gynae|gynec|delivery|labou?r|nicu|neonat|paediatric|pediatric",
+    "emergency": "emergency|trauma|icu|critical care|casualty|ambulance|urgent",
+    "diagnostic": "diagnostic|pathology|radiology|imaging|laborator|lab test|scan|x-?ray|mri|ct scan|ultrasound",
+    "chronic": "cardiac|cardiology|diabetes|hypertension|oncology|cancer|dialysis|nephrology|stroke",
+}
+
+
+def service_signals(c: Column) -> dict[str, Column]:
+    """For each service: does a claim text speak for it?"""
+    low = F.lower(_or_empty(c))
+    return {k: low.rlike(p) for k, p in SERVICE_SIGNALS.items()}
+
+
 def _or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

@@ -17,12 +17,16 @@ def wrong_chance(level: Column, n: Column, review: Column, critical: Column, ci_
 
 
 def candidates(c: dict[str, Column]) -> Column:
-    """array(struct(option, gap, p, cost, harm, flagged)): seven interventions as functions of a district's rates."""
+    """array(struct(option, gap, p, cost, harm, flagged)): seven interventions as functions of a district's rates.
+
+    An unknown indicator opens no gap: neither missing insurance nor missing births count against a district.
+    """
     clip, g = stats.clip01, {}
     g["mobile_clinic"] = clip(0.6 * (1 - c["trust"]) + 0.4 * (1 - c["capacity_rate"]))
-    g["maternal_outreach"] = clip(0.5 * (1 - c["births"]) + 0.3 * c["anaemia"] + 0.2 * (1 - c["signal"]))
-    g["chronic_care"] = clip(0.4 * c["pressure"] + 0.4 * c["sugar"] + 0.2 * (1 - c["signal"]))
-    g["insurance"] = clip(1 - c["insurance"])
+    known = lambda x: F.coalesce(x, F.lit(0.0))
+    g["maternal_outreach"] = clip(0.5 * known(1 - c["births"]) + 0.3 * known(c["anaemia"]) + 0.2 * (1 - c["maternity"]))
+    g["chronic_care"] = clip(0.4 * known(c["pressure"]) + 0.4 * known(c["sugar"]) + 0.2 * (1 - F.greatest(c["chronic"], c["diagnostic"])))
+    g["insurance"] = clip(known(1 - c["insurance"]))
     g["contact_outreach"] = clip(0.5 * c["review"] + 0.4 * (1 - c["contact"]) + 0.1 * (1 - c["source"]))
     fits = c["verify_fits"]
     g["verify_first"] = clip((0.5 * c["review"] + 0.5 * c["critical"]) * F.when(fits | (c["review"] >= 0.9), 1.0).otherwise(0.45))
@@ -60,64 +64,15 @@ def what_if(df: DataFrame, key: str, need: Column, trust: Column, mobile: int =
     """Five options per district under three levers, best first, cheaper first among equals."""
     deficit = stats.clip01(need * (1 - trust))
     options = [
-        ("mobile_clinic", deficit * min(1.5, 0.6 + 0.4 * max(1, mobile)), 2), ("new_capacity", deficit * 0.55 * (0.5 + min(1.0, max(0.0, capacity / 50))), 3),
-        ("telehealth", deficit * 0.50 * (0.4 + 0.6 * adoption) * (0.5 + 0.5 * trust), 1), ("transport_vouchers", deficit * 0.90 * (0.4 + 0.6 * trust), 1),
-        ("pharmacy_screening", deficit * 0.35 * 0.8, 1),
+        ("mobile_clinic", deficit * min(1.5, 0.6 + 0.4 * max(1, mobile)), 2), ("new_capacity", deficit * 0.90 * (0.5 + min(1.0, max(0.0, capacity / 50))), 3),
+        ("telehealth", deficit * 0.35 * (0.4 + 0.6 * adoption) * (0.5 + 0.5 * trust), 1), ("transport_vouchers", deficit * 0.55 * (0.4 + 0.6 * trust), 1),
+        ("pharmacy_screening", deficit * 0.50 * 0.8, 1),
     ]
     rows = F.array(*(F.struct(F.lit(k).alias("option"), F.round(stats.clip01(s), 3).alias("score"), F.lit(c).cast("long").alias("cost")) for k, s, c in options))
     long = df.select(key, F.explode(rows).alias("o")).select(key, "o.*").withColumn("band", stats.band(F.col("score"), [(0.55, "High"), (0.30, "Medium")], "Low"))
     return rank_within(long, [key], [F.desc("score"), F.asc("cost"), F.asc("option")], "rank")
 
 
-# Claim categories, what names them, and how much a wrong claim hurts.
-CLAIM_RULES = [("maternity", "maternity|obstetric", 1.0), ("emergency", "emergency|trauma", 1.0), ("imaging", "x-?ray|mri|scan", 0.7), ("licence", "licen[sc]e", 0.5), ("contact", "@", 0.3)]
-BROAD = r"\b(all|any|every|toutes?|alle|todos?)\b"
-
-
-def claim_queue(df: DataFrame, key: str, column: str, high_need: Column) -> DataFrame:
-    """(key, category, status, reasons, priority): every row against every rule; the rules are a literal array."""
-    low = F.lower(F.coalesce(F.col(column), F.lit("")))
-    rules = F.array(*(F.struct(F.lit(n).alias("category"), F.lit(w).alias("impact"), low.rlike(p).alias("hit")) for n, p, w in CLAIM_RULES))
-    broad = low.rlike(BROAD)
-    long = df.select(key, broad.alias("broad"), high_need.alias("high_need"), F.explode(rules).alias("r")).select(key, "broad", "high_need", "r.*")
-    status = F.when(F.col("hit") & F.col("broad"), "broad_or_ambiguous").when(F.col("hit"), "claimed").otherwise("missing")
-    long = long.withColumn("status", status)
-    reasons = text.codes(
-        {
-            "broad_language": F.col("status") == "broad_or_ambiguous", "high_impact_claim": F.col("hit") & (F.col("impact") >= 0.7),
-            "high_impact_missing_in_high_need_context": ~F.col("hit") & (F.col("impact") >= 0.9) & F.col("high_need"),
-        }
-    )
-    verify = F.size(reasons) > 0
-    points = (
-        F.lit(8.0) + F.when(F.col("status") != "missing", 7.0).otherwise(0.0) + F.when(F.col("status") == "broad_or_ambiguous", 10.0).otherwise(0.0) + 20.0 * F.col("impact")
-        + F.when(verify, 12.0).otherwise(0.0) + F.when(F.array_contains(reasons, "high_impact_missing_in_high_need_context"), 12.0).otherwise(0.0)
-    )
-    return long.where(verify | F.col("hit")).select(key, "category", "status", F.array_join(reasons, ",").alias("reasons"), F.round(F.least(points, F.lit(100.0)), 3).alias("priority"))
-
-
-def remediation_actions() -> Column:
-    """What would mend a record, in a fixed order."""
-    return text.codes(
-        {
-            "geocode_or_verify_location": F.col("contradicted") | F.col("geo_quality").isin("outside", "missing", "far"), "enrich_claims": F.col("gaps") >= 3,
-            "find_contact": ~F.coalesce("has_contact", F.lit(False)), "find_source": ~F.coalesce("has_source", F.lit(False)),
-            "estimate_capacity": F.col("capacity").isNull(), "refresh_recency": F.col("recency") != "valid",
-        }
-    )
-
-
-def seed_score() -> Column:
-    """Which records are most worth a human's labels."""
-    return F.round(
-        weighted(
-            [(1 - F.col("readiness"), 0.24, 0.5), (F.col("gaps") / 5.0, 0.20, 1), (1 - F.col("join_confidence"), 0.16, 0.5), (flag(F.col("contradicted")), 0.14, 0),
-             (flag(F.col("needs_review")), 0.12, 0), (1 - flag(F.col("has_source")), 0.08, 0), (1 - flag(F.col("has_contact")), 0.04, 0), (1 - flag(F.col("trusted")), 0.02, 0)]
-        ),
-        6,
-    )
-
-
 def evidence(df: DataFrame) -> DataFrame:
     """tier, posture, action, abstain reason and confidence of each record: a proxy label never counts as truth."""
     conflict, review = F.col("contradicted"), F.col("needs_review")
@@ -146,11 +101,50 @@ def geo_review_score(km: Column, state_conflict: Column, city_conflict: Column,
     )
 
 
-def geocode_outcome(status: Column, location_type: Column, partial: Column, km: Column, inside: Column) -> Column:
-    """What a geocoder's answer (an input table here) is worth."""
+def _letters(c: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")
+
+
+def geocode_matches(formatted: Column, pin: Column, state: Column, city: Column) -> dict[str, Column]:
+    """Which expected parts stand in a geocoder's formatted address: the PIN as it is, names by letters and digits."""
+    found = F.coalesce(formatted, F.lit(""))
+    said = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    named = lambda c: said(c) & F.contains(_letters(found), _letters(c))
+    return {"pin_match": said(pin) & F.contains(found, F.trim(F.coalesce(pin, F.lit("")))), "state_match": named(state), "city_match": named(city)}
+
+
+def geocode_outcome(status: Column, results: Column, location_type: Column, partial: Column, pin_match: Column, state_match: Column) -> Column:
+    """What a geocoder's answer (an input table here) is worth; the first rule that holds decides."""
     return (
-        F.when(status == "ZERO_RESULTS", "no_result").when(status != "OK", "geocoder_error").when(~F.coalesce(inside, F.lit(False)), "reject_outside_country")
-        .when(F.coalesce(partial, F.lit(False)), "manual_review_partial_match").when(location_type == "ROOFTOP", F.when(km <= 25, "accept_rooftop").otherwise("manual_review_far_rooftop"))
-        .when(location_type.isin("RANGE_INTERPOLATED", "GEOMETRIC_CENTER"), F.when(km <= 50, "accept_interpolated").otherwise("manual_review_far_interpolated"))
-        .otherwise("manual_review_approximate")
+        F.when(status == "ZERO_RESULTS", "zero_results_review")
+        .when((status != "OK") | (results == 0), F.concat(F.lit("api_"), F.coalesce(F.nullif(F.lower(status), F.lit("")), F.lit("unknown")), F.lit("_review")))
+        .when(F.coalesce(partial, F.lit(False)), "partial_match_review").when(~state_match, "state_mismatch_review").when(~pin_match, "pincode_mismatch_review")
+        .when(location_type.isin("ROOFTOP", "RANGE_INTERPOLATED"), "accept_coordinate_candidate").when(location_type == "GEOMETRIC_CENTER", "neighborhood_candidate_h3_only")
+        .when(location_type == "APPROXIMATE", "approximate_review").otherwise("provider_metadata_review")
     )
+
+
+# What an outcome leads to, with the note that goes with it; other outcomes stay in review.
+CORRECTIONS = {
+    "accept_coordinate_candidate": ("propose_replace_coordinate", "Precise Google result with admin/PIN checks; review before canonical overwrite."),
+    "neighborhood_candidate_h3_only": ("store_h3_neighborhood_candidate", "Coarse Google result; use for H3/neighborhood planning only."),
+}
+
+
+def corrections(geocoded: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """(key, outcome, action, note, km): accepted geocodes beside the records they would move; nothing is overwritten."""
+    kept = geocoded.where(F.col("outcome").isin(list(CORRECTIONS)))
+    out = kept.join(records.select(key, "lat", "lon"), key, "left")
+    pick = lambda k: F.coalesce(*(F.when(F.col("outcome") == o, F.lit(v[k])) for o, v in CORRECTIONS.items()))
+    km = stats.haversine_km(F.col("lat"), F.col("lon"), F.col("found_lat"), F.col("found_lon"))
+    return out.select(key, "outcome", pick(0).alias("action"), pick(1).alias("note"), F.round(km, 3).alias("km"))
+
+
+def place_match(name: Column, state: Column, city: Column, place_name: Column, address: Column) -> Column:
+    """struct(score, label) of a found place: .70 its name, .18 the state, .12 the city in its address."""
+    spaced = lambda c: text.key_spaced(c)
+    holds = lambda whole, part: (spaced(part) != "") & F.contains(spaced(whole), spaced(part))
+    words = lambda c: F.array_distinct(F.filter(F.split(spaced(c), " "), lambda x: x != ""))
+    shared = F.size(F.array_intersect(words(name), words(place_name))) / F.greatest(F.size(words(name)), F.lit(1))
+    score = 0.70 * F.when(holds(place_name, name), 1.0).otherwise(shared) + 0.18 * flag(holds(address, state)) + 0.12 * flag(holds(address, city))
+    return F.struct(stats.half_up(score, 3).alias("score"), stats.band(score, [(0.82, "high"), (0.62, "medium")], "low").alias("label"))

@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.operators.relational import cohort_stats
@@ -38,7 +38,7 @@ def hierarchical(df: DataFrame, value: str, usable: Column, levels: Sequence[tup
     out = out.crossJoin(F.broadcast(whole)).withColumn("__best", F.coalesce(*found, F.col("__all")))
     observed = usable & F.col(value).isNotNull()
     best = F.col("__best")
-    confidence = F.when(observed, "observed").when(best["n"] >= 50, "medium").when(best["n"] >= 10, "low").otherwise("very_low")
+    confidence = peer_confidence(observed, best["n"])
     return out.withColumns(
         {
             "estimate": F.when(observed, F.col(value)).otherwise(best["median"]), "low": F.when(observed, F.col(value)).otherwise(best["p10"]),
@@ -48,6 +48,37 @@ def hierarchical(df: DataFrame, value: str, usable: Column, levels: Sequence[tup
     ).drop("__best", "__all", *(f"__s{k}" for k in range(len(levels))))
 
 
+def peer_confidence(observed: Column, n: Column) -> Column:
+    """How far a number can be relied on: observed, or estimated from so many peers."""
+    return F.when(observed, "observed").when(n >= 50, "medium").when(n >= 10, "low_medium").otherwise("low")
+
+
+def with_peers(df: DataFrame, observed: dict[str, Column], levels: Sequence[tuple[Sequence[str], int]] = LEVELS) -> DataFrame:
+    """Add <name>_peers and <name>_confidence: how many observed values the narrowest sufficient cohort has.
+
+    Cohorts of all levels come from one count by the finest keys; only that small table is joined, once.
+    """
+    finest = list(dict.fromkeys(k for keys, _ in levels for k in keys))
+    counted = df.groupBy(*finest).agg(*(F.count_if(c).alias(f"__{name}") for name, c in observed.items()))
+    whole = Window.partitionBy()
+    sizes = counted
+    for name in observed:
+        sums = []
+        for keys, least in levels:
+            full = F.lit(True)
+            for k in keys:
+                full = full & F.col(k).isNotNull()
+            n = F.sum(f"__{name}").over(Window.partitionBy(*keys))
+            sums.append(F.when(full & (n >= least), n))
+        sizes = sizes.withColumn(f"{name}_peers", F.coalesce(*sums, F.sum(f"__{name}").over(whole)))
+    sizes = sizes.select(*(F.col(k).alias(f"__k_{k}") for k in finest), *(f"{name}_peers" for name in observed))
+    match = F.lit(True)
+    for k in finest:
+        match = match & df[k].eqNullSafe(F.col(f"__k_{k}"))
+    out = df.join(sizes, match, "left").drop(*(f"__k_{k}" for k in finest))
+    return out.withColumns({f"{name}_confidence": peer_confidence(c, F.col(f"{name}_peers")) for name, c in observed.items()})
+
+
 def design(categorical: Sequence[str], numeric: Sequence[str]) -> list:
     """Indexed one-hot categories (unknown ones kept) and median-filled numbers as one vector."""
     return [

@@ -5,6 +5,8 @@ Weights and cut-offs are fixed values of the scoring policy; each function state
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,9 +81,8 @@ def planning_category(df: DataFrame) -> DataFrame:
 
 def provider_confidence() -> Column:
     """Evidence quality of a record in [0, 1] from nine signed terms."""
-    return F.round(
-        1e-9  # ties round up, whatever the order of the sum
-        + stats.clip01(
+    return stats.half_up(
+        stats.clip01(
             weighted(
                 [(F.col("readiness"), 0.35, 0), (F.col("supply_confidence"), 0.25, 0), (F.col("semantic_quality"), 0.10, 0),
                  (flag(in_box(F.col("lat"), F.col("lon"))), 0.10, 0), (flag(F.col("has_source")), 0.05, 0), (flag(F.col("has_contact")), 0.05, 0),
@@ -119,7 +120,7 @@ def review_concern() -> Column:
 
 def app_priority() -> Column:
     """35 / 25 / 20 / 15 / 8 / 6 / 10 points of the serving side's queue."""
-    return F.round(
+    return stats.half_up(
         weighted(
             [(flag(F.col("contradicted")), 35, 0), (flag(F.col("needs_review")), 25, 0), (1 - F.col("readiness"), 20, 1), (1 - F.col("join_confidence"), 15, 1),
              (1 - flag(F.col("has_contact")), 8, 0), (1 - flag(F.col("has_source")), 6, 0),
@@ -160,50 +161,109 @@ def validity_posterior() -> Column:
 
 
 def trust_parts() -> Column:
-    """array(struct(dimension, points, most)): an additive decomposition of at most 100 points."""
-    join = F.coalesce("join_confidence", F.lit(0.0))
-    parts = [
-        ("place", F.when(F.col("geo_quality") == "plausible", 15.0).when(F.col("geo_quality") == "moderate", 8.0).otherwise(0.0), 15.0),
-        ("join", 15 * join, 15.0), ("source", F.when(F.col("has_source"), 12.0).otherwise(0.0), 12.0), ("contact", F.when(F.col("has_contact"), 10.0).otherwise(0.0), 10.0),
-        ("recency", F.when(F.col("recency") == "valid", 10.0).when(F.col("recency") == "stale", 4.0).otherwise(0.0), 10.0),
-        ("completeness", 18 * (1 - F.least(F.col("gaps"), F.lit(5)) / 5.0), 18.0), ("consistency", F.when(F.col("contradicted"), 0.0).otherwise(12.0), 12.0),
-        ("review", F.when(F.col("needs_review"), 0.0).otherwise(8.0), 8.0),
+    """array(struct(dimension, points, most, reason)): an additive decomposition of at most 100 points, in fixed steps."""
+    gaps = F.coalesce(F.col("gaps"), F.lit(5))
+    place, when_seen, sourced = F.coalesce("geo_quality", F.lit("")), F.coalesce("recency", F.lit("")), F.coalesce("has_source", F.lit(False))
+    capacity_out, doctors_out = (F.coalesce(c, F.lit(False)) for c in ("capacity_outlier", "doctors_outlier"))
+    outside = (place == "outside") | (~in_box(F.col("lat"), F.col("lon")) & (place != "missing") & (place != ""))
+    parts = [  # dimension, most, (condition, points, reason) in order, then what else holds
+        ("Data completeness", 18,
+         [(gaps <= 0, 18, "All critical supply fields present (capacity, doctors, equipment, specialties, procedure)."),
+          (gaps == 1, 13, "1 critical supply field missing or estimated."), (gaps == 2, 8, "2 critical supply fields missing or estimated.")],
+         (2, F.concat(gaps.cast("string"), F.lit(" critical supply fields missing or estimated.")))),
+        ("Evidence support", 16,
+         [(F.coalesce("trusted", F.lit(False)), 16, "Passed the pipeline's proxy supply checks; claim is corroborated by available evidence."),
+          (F.coalesce("readiness", F.lit(0.0)) >= 0.6, 10, "Partial evidence support; data readiness is moderate but proxy checks not fully passed.")],
+         (4, "Weak evidence support; claims are largely unverified.")),
+        ("Cross-field consistency", 14,
+         [(F.coalesce("contradicted", F.lit(False)), 0, "Cross-source contradiction or invalid-geo flag set."),
+          (capacity_out & doctors_out, 2, "Both capacity and doctor-count are implausible outliers."),
+          (capacity_out | doctors_out, 7, "One operational field (capacity or doctor count) is an implausible outlier.")],
+         (14, "No contradictions; capacity/doctor/type signals are mutually plausible.")),
+        ("Geographic validity", 16,
+         [(outside, 0, "Coordinates fall outside India."), (place == "missing", 5, "Coordinates missing; geography unverified."),
+          (place == "far", 6, "Coordinates far from the PIN centroid."), (place == "moderate", 11, "Coordinates a moderate distance from the PIN centroid."),
+          (place == "plausible", 16, "Coordinates plausible and inside India.")],
+         (8, "Geography partially validated.")),
+        ("Temporal validity", 10,
+         [(when_seen == "valid", 10, "Source page recency observed and valid."), (when_seen == "stale", 4, "Source last updated over 2 years ago."),
+          (when_seen.isin("invalid", "future"), 2, "Recency value is invalid or a future date (extraction artifact).")],
+         (5, "Recency unknown; freshness could not be established.")),
+        ("Provenance quality", 12,
+         [(sourced & (F.coalesce("join_confidence", F.lit(0.0)) >= 0.85), 12, "Cited source URL and a high-confidence district/PIN join."),
+          (sourced, 8, "Cited source URL present, but join confidence is moderate or low.")],
+         (2, "No source URL citation.")),
+        ("Digital trust signals", 6,
+         [(F.coalesce("has_contact", F.lit(False)), 6, "Phone/email/website present (weak supporting signal only).")], (1, "No contact evidence (phone/email/site).")),
+        ("Human review status", 8,
+         [(~F.coalesce("needs_review", F.lit(False)), 8, "Not flagged for manual review by the pipeline.")],
+         (2, "Flagged for human review (weak join, geo, missingness, or contradiction).")),
     ]
-    return F.array(*(F.struct(F.lit(n).alias("dimension"), F.round(p, 3).alias("points"), F.lit(m).alias("most")) for n, p, m in parts))
+    out = []
+    for name, most, steps, (rest, why) in parts:
+        told = F.struct(F.lit(rest).alias("points"), (F.lit(why) if isinstance(why, str) else why).alias("reason"))
+        for test, points, reason in reversed(steps):
+            told = F.when(test, F.struct(F.lit(points).alias("points"), F.lit(reason).alias("reason"))).otherwise(told)
+        out.append(F.struct(F.lit(name).alias("dimension"), told["points"].alias("points"), F.lit(most).alias("most"), told["reason"].alias("reason")))
+    return F.array(*out)
+
+
+def order_statistics(df: DataFrame, column: str, places: dict[str, int]) -> DataFrame:
+    """One row: for each name the value at that place (from 1) in ascending order; no task sorts more than a bucket.
+
+    Values are counted by bucket of their leading digits first; only the buckets that hold a wanted place are ordered.
+    """
+    keyed = df.select(F.col(column).alias("value"), F.floor(F.col(column) * 1024).alias("bucket")).where("value is not null")
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"))
+    upto = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    wanted = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(p).cast("long").alias("place")) for k, p in places.items()))
+    asked = upto.select("bucket", "before", "n", F.explode(wanted).alias("w")).where("w.place > before and w.place <= before + n").select(
+        "bucket", F.col("w.name").alias("name"), (F.col("w.place") - F.col("before")).alias("inside")
+    )
+    counted = keyed.join(F.broadcast(asked.select("bucket").distinct()), "bucket", "left_semi").groupBy("bucket", "value").agg(F.count("*").alias("ties"))
+    placed = counted.withColumn("last", F.sum("ties").over(Window.partitionBy("bucket").orderBy("value")))
+    found = placed.join(F.broadcast(asked), "bucket").where("inside <= last and inside > last - ties")
+    return found.agg(*(F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in places))
+
+
+DEFAULT_Q = 0.40  # the half-width without any calibrating row
 
 
 def conformal(df: DataFrame, key: str, posterior: str, label: str, alpha: float = 0.10) -> DataFrame:
-    """One row: q, stale_q, coverage, from a hash split into a calibrating and an evaluating half.
+    """One row: q, stale_q, coverage, n_calibration, n_evaluation, from a hash split into a calibrating and an evaluating half.
 
-    The score of a row is 1 - p for label 1 and p for label 0; q is the ceil((n+1)(1-a))-th smallest of n, clipped.
+    Only rows whose proxy label is true calibrate and evaluate; a row's score is 1 - posterior. q is the score at level
+    ceil((n + 1)(1 - alpha)) / n, taken higher between two, within [.05, .95]; stale_q the same at alpha / 2, at least
+    q + .05 and at most .99.
     """
     half = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 1), 16, 10).cast("int") % 2
-    scored = df.select(half.alias("half"), F.when(F.col(label), 1 - F.col(posterior)).otherwise(F.col(posterior)).alias("s"))
+    scored = df.where(F.coalesce(F.col(label), F.lit(False))).select(half.alias("half"), (1 - F.col(posterior)).alias("s"))
     cal = scored.where("half = 0")
-    n = cal.agg(F.count("*").alias("n"))
-    placed = cal.withColumn("place", F.row_number().over(Window.orderBy("s"))).crossJoin(F.broadcast(n))
+    n = cal.count()
 
-    def order_statistic(a: float) -> Column:
-        level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * (1 - a)) / F.col("n"))
-        return F.min(F.when(F.col("place") >= F.ceil(level * (F.col("n") - 1)) + 1, F.col("s")))
+    def place(a: float) -> int:  # of the order statistic, from 1
+        level = min(1.0, math.ceil((n + 1) * (1 - a)) / n)
+        return min(n, math.ceil(round(level * (n - 1), 9)) + 1)
 
-    q = placed.agg(order_statistic(alpha).alias("raw"), order_statistic(alpha / 2).alias("raw_half"), F.max("n").alias("n_calibration"))
-    q = q.withColumn("q", F.least(F.lit(0.95), F.greatest(F.lit(0.05), "raw")))
-    q = q.withColumn("stale_q", F.least(F.lit(0.99), F.greatest(F.col("raw_half"), F.col("q") + 0.05)))
-    held = scored.where("half = 1").crossJoin(F.broadcast(q))
-    return held.groupBy("q", "stale_q", "n_calibration").agg(F.count("*").alias("n_evaluation"), F.avg((F.col("s") <= F.col("q")).cast("double")).alias("coverage"))
+    if n:
+        raw = order_statistics(cal, "s", {"raw": place(alpha), "raw_half": place(alpha / 2)})
+    else:
+        raw = df.sparkSession.range(1).select(F.lit(DEFAULT_Q).alias("raw"), F.lit(DEFAULT_Q).alias("raw_half"))
+    q = raw.withColumn("q", F.least(F.lit(0.95), F.greatest(F.lit(0.05), "raw")))
+    q = q.withColumn("stale_q", F.least(F.lit(0.99), F.greatest(F.col("raw_half"), F.col("q") + 0.05))).withColumn("n_calibration", F.lit(n).cast("long"))
+    inside = scored.where("half = 1").crossJoin(F.broadcast(q)).agg(F.count("*").alias("n_evaluation"), F.avg((F.col("s") <= F.col("q")).cast("double")).alias("coverage"))
+    return q.crossJoin(F.broadcast(inside)).select("q", "stale_q", "n_calibration", "n_evaluation", "coverage")
 
 
-def conformal_set(posterior: Column, contradicted: Column, stale: Column, q: Column, stale_q: Column) -> Column:
-    """struct(labels, decision) of a row."""
-    s = 1 - posterior
+def conformal_set(posterior: Column, contradicted: Column, recency: Column, q: Column, stale_q: Column) -> Column:
+    """struct(labels, decision) of a row: {valid} where it is twice as near as q asks, and wider sets beyond."""
+    s = 1 - F.coalesce(posterior, F.lit(0.0))
     sound = ~F.coalesce(contradicted, F.lit(False))
-    wide = F.array_compact(
-        F.array(F.when(sound, F.lit("valid")), F.when(F.coalesce(stale, F.lit(False)) | (s >= stale_q), F.lit("stale")), F.lit("uncertain"))
-    )
-    labels = F.when((s <= q / 2) & sound, F.array(F.lit("valid"))).when((s <= q) & sound, F.array(F.lit("valid"), F.lit("uncertain"))).otherwise(wide)
-    decision = F.when((s <= q / 2) & sound, "auto_accept").when((s <= q) & sound, "review").otherwise("low_confidence")
-    return F.struct(F.array_join(labels, ",").alias("labels"), decision.alias("decision"))
+    stale = F.coalesce(recency.isin("stale", "invalid", "future"), F.lit(False)) | (s >= stale_q)
+    wide = F.array_compact(F.array(F.when(sound, F.lit("valid")), F.when(stale, F.lit("stale")), F.lit("uncertain")))
+    labels = F.when((s <= q * 0.5) & sound, F.array(F.lit("valid"))).when((s <= q) & sound, F.array(F.lit("valid"), F.lit("uncertain"))).otherwise(wide)
+    decision = F.when((s <= q * 0.5) & sound, "auto-accept").when((s <= q) & sound, "review").otherwise("low-confidence")
+    return F.struct(F.concat(F.lit("{"), F.array_join(labels, ", "), F.lit("}")).alias("labels"), decision.alias("decision"))
 
 
 def shrunk_trust(df: DataFrame, group: str, posterior: str, passed: str) -> DataFrame:
@@ -215,8 +275,93 @@ def shrunk_trust(df: DataFrame, group: str, posterior: str, passed: str) -> Data
     )
 
 
-def geo_band() -> Column:
-    """struct(low, high) of the chance that a place is right, by geo quality."""
-    low = F.when(F.col("geo_quality") == "plausible", 0.80).when(F.col("geo_quality") == "moderate", 0.55).when(F.col("geo_quality") == "far", 0.25).otherwise(0.05)
-    high = F.when(F.col("geo_quality") == "plausible", 0.97).when(F.col("geo_quality") == "moderate", 0.82).when(F.col("geo_quality") == "far", 0.60).otherwise(0.40)
-    return F.struct(low.alias("low"), high.alias("high"))
+def geo_band(place: Column, km: Column, contradicted: Column) -> Column:
+    """struct(low, high, score): how many kilometres a place may be off, and its uncertainty in [0, 1]."""
+    km = F.greatest(F.coalesce(km, F.lit(0.0)), F.lit(0.0))
+    within = lambda low, high: F.least(F.greatest(km, F.lit(low)), F.lit(high))
+    alone = F.coalesce(contradicted, F.lit(False)) & ~F.coalesce(place.isin("outside", "far", "moderate", "missing"), F.lit(False))
+    steps = [  # test, low, high, quality score
+        (alone, 5.0, within(25.0, 1000.0), 0.65), (place == "missing", 10.0, F.lit(250.0), 1.0), (place == "moderate", 2.0, within(10.0, 250.0), 0.35),
+        (place == "far", 10.0, within(50.0, 2500.0), 0.75), (place == "outside", 50.0, within(250.0, 5000.0), 1.0),
+    ]
+    band = F.struct(F.lit(0.1).alias("low"), F.lit(5.0).alias("high"), F.lit(0.0).alias("quality"))
+    for test, low, high, quality in reversed(steps):
+        band = F.when(test, F.struct(F.lit(low).alias("low"), high.alias("high"), F.lit(quality).alias("quality"))).otherwise(band)
+    score = 0.68 * band["quality"] + 0.32 * F.least(km, F.lit(250.0)) / 250.0
+    return F.struct(stats.half_up(band["low"], 2).alias("low"), stats.half_up(band["high"], 2).alias("high"), stats.half_up(stats.clip01(score), 4).alias("score"))
+
+
+def record_uncertainty(df: DataFrame) -> DataFrame:
+    """Add the active-learning scores of records: uncertainty, contradiction, leverage, total and the proxy band around trust.
+
+    Needs the derived evidence, need and priority (of the district), capacity_width and doctors_width (relative
+    widths of the estimates) and segment_n (records of the same kind, operator and state).
+    """
+    extreme = F.col("capacity_outlier") | F.col("doctors_outlier")
+    low_join, blind_date = F.coalesce(F.col("join_confidence"), F.lit(0.0)) < 0.8, F.col("recency").isin("invalid", "future", "missing")
+    geo = geo_band(F.col("geo_quality"), F.col("km"), F.col("contradicted"))
+    rarity = stats.clip01(1 - F.least(F.col("segment_n"), F.lit(50)) / 50.0)
+    need, priority = stats.clip01(F.coalesce("need", F.lit(0.5))), stats.clip01(F.coalesce("priority", F.lit(0.5)))
+    df = df.withColumns(
+        {
+            "geo_score": geo["score"], "rarity": rarity,
+            "uncertainty_score": stats.clip01(weighted(
+                [(stats.clip01(1 - F.coalesce("semantic_quality", F.lit(0.0))), 0.22, 0), (flag(F.col("capacity_status") != "observed_valid"), 0.15, 0),
+                 (flag(F.col("doctors_status") != "observed_valid"), 0.15, 0), (F.col("capacity_width"), 0.12, 0), (F.col("doctors_width"), 0.12, 0),
+                 (flag(F.col("critical_gap")), 0.10, 0), (flag(low_join), 0.08, 0), (flag(blind_date), 0.06, 0)]
+            )),
+        }
+    )
+    df = df.withColumns(
+        {
+            "contradiction_score": stats.clip01(weighted(
+                [(F.col("geo_score"), 0.35, 0), (flag(extreme), 0.25, 0), (flag(F.col("pin_ambiguous")), 0.15, 0), (flag(low_join), 0.15, 0), (flag(blind_date), 0.10, 0)]
+            )),
+            "leverage_score": stats.clip01(weighted(
+                [(priority, 0.45, 0), (need, 0.25, 0), (stats.clip01(1 - F.coalesce("supply_confidence", F.lit(0.0))), 0.20, 0), (flag(F.col("needs_review")), 0.10, 0)]
+            )),
+        }
+    )
+    total = weighted(
+        [(need, 0.30, 0), (F.col("uncertainty_score"), 0.30, 0), (F.col("contradiction_score"), 0.18, 0), (F.col("leverage_score"), 0.14, 0), (F.col("rarity"), 0.08, 0)]
+    )
+    width = F.greatest(F.lit(0.12), F.least(F.lit(0.56), 0.12 + 0.28 * F.col("uncertainty_score") + 0.16 * F.col("contradiction_score")))
+    trust = stats.clip01(F.coalesce("semantic_quality", F.lit(0.0)))
+    action = (
+        F.when(extreme | F.col("geo_quality").isin("outside", "far"), "contradiction_audit").when(F.col("critical_gap"), "semantic_missingness_enrichment")
+        .when(low_join | F.coalesce("pin_ambiguous", F.lit(False)), "join_bridge_enrichment")
+        .when((need >= 0.75) & (F.col("uncertainty_score") >= 0.45), "high_impact_uncertainty_reduction").when(F.col("rarity") >= 0.75, "sparse_segment_coverage")
+        .otherwise("uncertainty_monitor")
+    )
+    return df.withColumns(
+        {
+            "active_score": stats.half_up(stats.clip01(total), 4), "trust_low": stats.half_up(stats.clip01(trust - width / 2), 4),
+            "trust_high": stats.half_up(stats.clip01(trust + width / 2), 4), "learning_action": action,
+        }
+    )
+
+
+def external_check(place: Column, priority: Column, contradicted: Column) -> Column:
+    """What a source outside should settle about a place."""
+    return (
+        F.when(place == "outside", "replace_coordinate_with_external_geocode").when(place == "missing", "geocode_missing_coordinate")
+        .when(place == "far", "geocode_and_compare_pincode_district")
+        .when((place == "moderate") & (F.coalesce(priority, F.lit(0.5)) >= 0.6), "high_impact_geocode_precision_check")
+        .when(place == "moderate", "batch_geocode_precision_check").when(F.coalesce(contradicted, F.lit(False)), "external_source_contradiction_check")
+        .otherwise("no_external_geocode_required")
+    )
+
+
+def district_uncertainty(rates: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """(score, mean interval width) of a district from its scores, level and Wilson intervals of ``rates`` (count, of how many)."""
+    widths = []
+    for x, n in rates:
+        ci = stats.wilson(F.col(x), F.col(n))
+        widths.append(F.abs(ci["high"] - ci["low"]))
+    width = F.coalesce(mean_known(widths), F.lit(0.0))
+    level = F.when(F.col("uncertainty") == "lower", 0.1).when(F.col("uncertainty") == "medium", 0.55).otherwise(1.0)
+    score = weighted(
+        [(F.col("care_gap"), 0.24, 0), (F.col("trust_gap"), 0.22, 0), (F.col("need"), 0.18, 0), (stats.clip01(width), 0.14, 0), (level, 0.12, 0),
+         (1 - F.least(F.col("observed"), F.lit(20)) / 20.0, 0.10, 0)]
+    )
+    return stats.half_up(stats.clip01(score), 4), stats.half_up(width, 4)

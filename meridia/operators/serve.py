@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.functions import stats
+from meridia.functions import stats, text
 from meridia.operators.relational import keep_first
 
 
@@ -60,18 +60,25 @@ def competing_values(df: DataFrame, key: str, sources: dict[str, str]) -> DataFr
     return long.join(split, key, "left_semi")
 
 
-# What a geocoder's answer is worth a priori.
+# What a geocoder's answer is worth a priori, as status, kind, partial, confidence low and high, radius in km, action.
 GEOCODER_PRIORS = [
-    ("OK", "ROOFTOP", False, 0.86, 0.96, 0.10), ("OK", "RANGE_INTERPOLATED", False, 0.72, 0.88, 0.50), ("OK", "GEOMETRIC_CENTER", False, 0.55, 0.78, 2.0),
-    ("OK", "APPROXIMATE", False, 0.35, 0.62, 10.0), ("OK", "ANY", True, 0.25, 0.55, 10.0), ("ZERO_RESULTS", "ANY", False, 0.0, 0.1, None),
+    ("OK", "ROOFTOP", False, 0.86, 0.96, 0.1, "accept_if_admin_and_pincode_match"),
+    ("OK", "RANGE_INTERPOLATED", False, 0.68, 0.84, 0.5, "accept_for_planning_if_boundary_checks_pass"),
+    ("OK", "GEOMETRIC_CENTER", False, 0.48, 0.68, 3.0, "use_for_neighborhood_only_or_retry_with_landmark"),
+    ("OK", "APPROXIMATE", False, 0.2, 0.48, 25.0, "retry_with_landmark_or_alternate_provider"),
+    ("OK", "ANY", True, 0.18, 0.6, 15.0, "compare_name_admin_pincode_then_queue_if_high_impact"),
+    ("ZERO_RESULTS", "NONE", False, 0.0, 0.18, None, "search_hfr_pmjay_mappls_osm_or_mark_unknown"),
 ]
 
 
 def with_prior(df: DataFrame, status: str, location_type: str, partial: str) -> DataFrame:
-    """Add low, high and radius_km of the six-row prior table (a constant, so its broadcast is bounded)."""
-    priors = df.sparkSession.createDataFrame(GEOCODER_PRIORS, "__s string, __t string, __p boolean, low double, high double, radius_km double")
-    kind = F.when(F.col(partial) | (F.col(status) != "OK"), "ANY").otherwise(F.col(location_type))
-    return df.join(F.broadcast(priors), (F.col(status) == F.col("__s")) & (kind == F.col("__t")) & (F.col(partial) == F.col("__p")), "left").drop("__s", "__t", "__p")
+    """Add low, high, radius_km and prior_action of the six-row prior table (a constant, so its broadcast is bounded)."""
+    priors = df.sparkSession.createDataFrame(
+        GEOCODER_PRIORS, "__s string, __t string, __p boolean, low double, high double, radius_km double, prior_action string"
+    )
+    kind = F.when(F.col(status) != "OK", "NONE").when(F.col(partial), "ANY").otherwise(F.col(location_type))
+    match = (F.col(status) == F.col("__s")) & (kind == F.col("__t")) & (F.when(F.col(status) == "OK", F.col(partial)).otherwise(F.lit(False)) == F.col("__p"))
+    return df.join(F.broadcast(priors), match, "left").drop("__s", "__t", "__p")
 
 
 def reconciliation(parsed: Column, pin: Column, state: Column, similarity: Column, confidence: Column, precheck: Column) -> Column:
@@ -85,3 +92,14 @@ def reconciliation(parsed: Column, pin: Column, state: Column, similarity: Colum
 def scope(df: DataFrame, which: str, observed: str = "observed") -> DataFrame:
     """all, with_rows or zero_rows."""
     return {"all": df, "with_rows": df.where(F.col(observed) > 0), "zero_rows": df.where(F.coalesce(F.col(observed), F.lit(0)) == 0)}[which]
+
+
+def other_area_named(df: DataFrame, names: DataFrame, key: str, block: str, own: str, evidence: str, name: str) -> DataFrame:
+    """(key, name): an area of the record's own block, but not its own, that its text names as a phrase; the longest name wins.
+
+    Names meet records by their block, so a record is held against its own block's names only; shorter names than five
+    letters prove nothing.
+    """
+    long_enough = F.length(F.replace(text.key_spaced(F.col(name)), F.lit(" "), F.lit(""))) >= 5
+    said = df.join(names.where(long_enough), block).where((text.key_spaced(F.col(name)) != text.key_spaced(F.col(own))) & text.phrase_in(F.col(evidence), F.col(name)))
+    return said.groupBy(key).agg(F.max_by(name, F.struct(F.length(name), name)).alias(name))

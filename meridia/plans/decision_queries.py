@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridia.functions import stats, text
-from meridia.operators import decide, impute, matching, profile
+from meridia.operators import claims, decide, impute, matching, profile, remediate, scores, serve
 from meridia.operators import relational as rel
 from meridia.plans.base import entities, query, regions, table
+from meridia.plans.score_queries import PLACED, PLANNED, cohort_sql, placed, scored
 
 # ------------------------------------------------------------------- matching
 
@@ -111,17 +112,7 @@ def cluster_support(spark, d):
 
 # ------------------------------------------------------------------- imputation and models
 
-_COHORT = "SELECT {k}, count(*) AS n, median(capacity) AS m, quantile_cont(capacity, .1) AS lo, quantile_cont(capacity, .9) AS hi FROM k WHERE {w} GROUP BY ALL HAVING count(*) >= {n}"
-
-
-@query("hierarchical_impute", f"""WITH e AS (SELECT * FROM {{entities}} x), k AS (SELECT * FROM e WHERE capacity IS NOT NULL AND NOT capacity_outlier),
-a AS ({_COHORT.format(k='kind, operator, state', w='operator IS NOT NULL', n=5)}), b AS ({_COHORT.format(k='kind, operator', w='operator IS NOT NULL', n=10)}),
-c AS ({_COHORT.format(k='kind', w='true', n=10)}), o AS ({_COHORT.format(k='operator', w='operator IS NOT NULL', n=10)}),
-g AS (SELECT count(*) AS n, median(capacity) AS m, quantile_cont(capacity, .1) AS lo, quantile_cont(capacity, .9) AS hi FROM k)
-SELECT entity_id, round(CASE WHEN ok THEN capacity ELSE coalesce(a.m, b.m, c.m, o.m, g.m) END, 4) AS estimate, round(CASE WHEN ok THEN capacity ELSE coalesce(a.lo, b.lo, c.lo, o.lo, g.lo) END, 4) AS low,
- round(CASE WHEN ok THEN capacity ELSE coalesce(a.hi, b.hi, c.hi, o.hi, g.hi) END, 4) AS high, CASE WHEN ok THEN 'observed' WHEN a.n IS NOT NULL THEN 'kind_operator_state' WHEN b.n IS NOT NULL THEN 'kind_operator' WHEN c.n IS NOT NULL THEN 'kind'
- WHEN o.n IS NOT NULL THEN 'operator' ELSE 'global' END AS level, CASE WHEN ok THEN 'observed' WHEN coalesce(a.n, b.n, c.n, o.n, g.n) >= 50 THEN 'medium' WHEN coalesce(a.n, b.n, c.n, o.n, g.n) >= 10 THEN 'low' ELSE 'very_low' END AS confidence
-FROM (SELECT *, capacity IS NOT NULL AND NOT capacity_outlier AS ok FROM e) e LEFT JOIN a USING (kind, operator, state) LEFT JOIN b ON e.kind = b.kind AND e.operator = b.operator LEFT JOIN c ON e.kind = c.kind LEFT JOIN o ON e.operator = o.operator, g""")
+@query("hierarchical_impute", f"SELECT entity_id, round(estimate, 4) AS estimate, round(low, 4) AS low, round(high, 4) AS high, level, confidence FROM ({cohort_sql('capacity')})")
 def hierarchical_impute(spark, d):
     out = impute.hierarchical(entities(spark, d), "capacity", ~F.col("capacity_outlier"))
     return out.select("entity_id", *(F.round(c, 4).alias(c) for c in ("estimate", "low", "high")), "level", "confidence")
@@ -234,78 +225,145 @@ def missingness(spark, d):
 
 
 def _rates(spark, d):
-    r = regions(spark, d)
+    r = scores.planning_category(scored(spark, d))
     share = lambda c: stats.share(F.col(c), F.col("observed"))
     return r.withColumns(
-        {"trust": share("trusted_n"), "review": share("review_n"), "critical": share("critical_n"), "contact": share("contact_n"), "source": share("source_n"), "signal": share("plausible_n"),
-         "capacity_rate": share("capacity_n"), "level": F.when(F.col("district_key") % 3 == 0, "higher").when(F.col("district_key") % 3 == 1, "medium").otherwise("lower"),
-         "need": F.col("pressure") / 100.0}
+        {"trust": share("trusted_n"), "review": share("review_n"), "critical": share("critical_n"), "contact": share("contact_n"), "source": share("source_n"), "maternity": share("maternity_n"),
+         "chronic": share("chronic_n"), "diagnostic": share("diagnostic_n"), "capacity_rate": share("capacity_n"), "level": F.col("uncertainty")}
     )
 
 
-@query("ev_recommender", """WITH r AS (SELECT *, trusted_n / observed AS trust, review_n / observed AS review, critical_n / observed AS critical, contact_n / observed AS contact, source_n / observed AS source, plausible_n / observed AS signal,
-  capacity_n / observed AS cap, CASE district_key % 3 WHEN 0 THEN 'higher' WHEN 1 THEN 'medium' ELSE 'lower' END AS level, coalesce(anaemia, 50) / 100 AS ana, pressure / 100 AS bp, sugar / 100 AS sug, coalesce(insurance, 50) / 100 AS ins, births / 100 AS bir,
-  CAST(observed AS DOUBLE) AS n FROM {regions} x),
-w AS (SELECT *, greatest(.05, least(.85, CASE level WHEN 'lower' THEN .12 WHEN 'medium' THEN .25 ELSE .42 END + CASE WHEN n < 8 THEN .15 ELSE 0 END + CASE WHEN review >= .85 THEN .12 ELSE 0 END + CASE WHEN critical >= .75 THEN .08 ELSE 0 END
-  + CASE WHEN 2 * 1.96 * sqrt(trust * (1 - trust) / n + .9604 / (n * n)) / (1 + 3.8416 / n) >= .5 THEN .06 ELSE 0 END)) AS pw, review >= .7 OR level = 'higher' AS shaky FROM r),
-g AS (SELECT *, .6 * (1 - trust) + .4 * (1 - cap) AS g1, .5 * (1 - bir) + .3 * ana + .2 * (1 - signal) AS g2, .4 * bp + .4 * sug + .2 * (1 - signal) AS g3, 1 - ins AS g4, .5 * review + .4 * (1 - contact) + .1 * (1 - source) AS g5,
-  (.5 * review + .5 * critical) * CASE WHEN district_key % 4 = 0 OR review >= .9 THEN 1 ELSE .45 END AS g6, 1 - trust AS g7 FROM w),
-o AS (SELECT district, bp, pw, 'mobile_clinic' AS option, g1 AS gap, least(.95, .35 + .4 * g1 + CASE WHEN district_key % 4 = 1 THEN .2 ELSE 0 END) AS p, .55 AS cost, .60 AS harm, false AS flagged FROM g
-  UNION ALL SELECT district, bp, pw, 'maternal_outreach', g2, least(.95, .3 + .5 * g2), .42, .45, false FROM g UNION ALL SELECT district, bp, pw, 'chronic_care', g3, least(.95, .3 + .5 * g3), .22, .30, false FROM g
-  UNION ALL SELECT district, bp, pw, 'insurance', g4, least(.95, .25 + .55 * g4 + CASE WHEN district_key % 4 = 2 THEN .15 ELSE 0 END), .18, .25, false FROM g UNION ALL SELECT district, bp, pw, 'contact_outreach', g5, least(.95, .3 + .45 * g5), .30, .25, false FROM g
-  UNION ALL SELECT district, bp, pw, 'verify_first', g6, least(.95, .35 + .45 * g6 + CASE WHEN district_key % 4 = 0 THEN .15 ELSE 0 END), .12, .10, false FROM g UNION ALL SELECT district, bp, pw, 'telehealth', g7, least(.7, .18 + .25 * g7), .20, .40, shaky FROM g),
-e AS (SELECT district, option, flagged, p, cost, harm, least(.95, pw + CASE WHEN flagged THEN .15 ELSE 0 END) AS pw, 1.6 * least(1, .35 + .65 * bp) * least(1, .3 + .7 * gap) AS b FROM o),
-f AS (SELECT district, option, flagged, round(p * b - .6 * pw * harm - .6 * cost, 4) AS ev, round(greatest(0, least(100, 62.5 * p * b * (1 - .5 * pw))), 4) AS gain, CASE WHEN pw >= .5 OR p < .35 OR flagged THEN 'Low' WHEN pw <= .22 AND p >= .55 THEN 'High' ELSE 'Medium' END AS confidence FROM e)
+_WRONG = """greatest(.05, least(.85, CASE uncertainty WHEN 'lower' THEN .12 WHEN 'medium' THEN .25 ELSE .42 END + CASE WHEN observed < 8 THEN .15 ELSE 0 END + CASE WHEN review_n / observed >= .85 THEN .12 ELSE 0 END
+ + CASE WHEN critical_n / observed >= .75 THEN .08 ELSE 0 END + CASE WHEN 2 * 1.96 * sqrt(trusted_n / observed * (1 - trusted_n / observed) / observed + .9604 / (observed * observed)) / (1 + 3.8416 / observed) >= .5 THEN .06 ELSE 0 END))"""
+
+
+@query("ev_recommender", f"""WITH r AS (SELECT *, trusted_n / observed AS trust, review_n / observed AS review, critical_n / observed AS critical, contact_n / observed AS contact, source_n / observed AS source, capacity_n / observed AS cap, maternity_n / observed AS mat,
+  greatest(chronic_n, diagnostic_n) / observed AS signal, coalesce(anaemia, 0) / 100 AS ana, pressure / 100 AS bp, sugar / 100 AS sug, coalesce(1 - insurance / 100, 0) AS ins_gap, births / 100 AS bir, {_WRONG} AS pw,
+  category IN ('phantom_desert_or_verification_gap', 'supply_record_quality_problem') AS fits FROM (SELECT *, CAST(observed AS DOUBLE) AS obs FROM ({PLANNED}))),
+g AS (SELECT *, review >= .7 OR uncertainty = 'higher' AS shaky, .6 * (1 - trust) + .4 * (1 - cap) AS g1, .5 * (1 - bir) + .3 * ana + .2 * (1 - mat) AS g2, .4 * bp + .4 * sug + .2 * (1 - signal) AS g3, ins_gap AS g4, .5 * review + .4 * (1 - contact) + .1 * (1 - source) AS g5,
+  (.5 * review + .5 * critical) * CASE WHEN fits OR review >= .9 THEN 1 ELSE .45 END AS g6, 1 - trust AS g7 FROM r),
+o AS (SELECT district, need, pw, 'mobile_clinic' AS option, g1 AS gap, least(.95, .35 + .4 * g1 + CASE WHEN category = 'real_desert_candidate' THEN .2 ELSE 0 END) AS p, .55 AS cost, .60 AS harm, false AS flagged FROM g
+  UNION ALL SELECT district, need, pw, 'maternal_outreach', g2, least(.95, .3 + .5 * g2), .42, .45, false FROM g UNION ALL SELECT district, need, pw, 'chronic_care', g3, least(.95, .3 + .5 * g3), .22, .30, false FROM g
+  UNION ALL SELECT district, need, pw, 'insurance', g4, least(.95, .25 + .55 * g4 + CASE WHEN category = 'referral_or_capacity_candidate' THEN .15 ELSE 0 END), .18, .25, false FROM g
+  UNION ALL SELECT district, need, pw, 'contact_outreach', g5, least(.95, .3 + .45 * g5), .30, .25, false FROM g
+  UNION ALL SELECT district, need, pw, 'verify_first', g6, least(.95, .35 + .45 * g6 + CASE WHEN fits THEN .15 ELSE 0 END), .12, .10, false FROM g UNION ALL SELECT district, need, pw, 'telehealth', g7, least(.7, .18 + .25 * g7), .20, .40, shaky FROM g),
+e AS (SELECT district, option, flagged, p, cost, harm, least(.95, pw + CASE WHEN flagged THEN .15 ELSE 0 END) AS pw, 1.6 * least(1, .35 + .65 * coalesce(need, .5)) * least(1, .3 + .7 * gap) AS b FROM o),
+f AS (SELECT district, option, flagged, round(CAST(p * b - .6 * pw * harm - .6 * cost AS DECIMAL(24, 8)), 4)::DOUBLE AS ev, round(CAST(greatest(0, least(100, 62.5 * p * b * (1 - .5 * pw))) AS DECIMAL(24, 8)), 4)::DOUBLE AS gain,
+  CASE WHEN round(pw, 9) >= .5 OR round(p, 9) < .35 OR flagged THEN 'Low' WHEN round(pw, 9) <= .22 AND round(p, 9) >= .55 THEN 'High' ELSE 'Medium' END AS confidence FROM e)
 SELECT *, CAST(row_number() OVER (PARTITION BY district ORDER BY (flagged OR option = 'telehealth')::INT, ev DESC, option) AS BIGINT) AS rank FROM f""")
 def ev_recommender(spark, d):
     r = _rates(spark, d)
-    c = {k: F.col(k) for k in ("trust", "review", "critical", "contact", "source", "signal", "capacity_rate", "level")}
-    c |= {k: F.coalesce(F.col(k), F.lit(50.0)) / 100 for k in ("anaemia", "pressure", "sugar", "insurance", "births")}
-    c |= {"verify_fits": F.col("district_key") % 4 == 0, "deploy_fits": F.col("district_key") % 4 == 1, "refer_fits": F.col("district_key") % 4 == 2}
+    c = {k: F.col(k) for k in ("trust", "review", "critical", "contact", "source", "maternity", "chronic", "diagnostic", "capacity_rate", "level")}
+    c |= {k: F.col(k) / 100 for k in ("anaemia", "pressure", "sugar", "insurance", "births")}
+    category = F.col("category")
+    c |= {"verify_fits": category.isin("phantom_desert_or_verification_gap", "supply_record_quality_problem"), "deploy_fits": category == "real_desert_candidate", "refer_fits": category == "referral_or_capacity_candidate"}
     ci = stats.wilson(F.col("trusted_n"), F.col("observed"))
     pw = decide.wrong_chance(c["level"], F.col("observed"), c["review"], c["critical"], ci["high"] - ci["low"])
     return decide.recommend(r, "district", F.col("need"), decide.candidates(c), pw)
 
 
-@query("wrong_chance", """SELECT district, round(greatest(.05, least(.85, CASE district_key % 3 WHEN 0 THEN .42 WHEN 1 THEN .25 ELSE .12 END + CASE WHEN observed < 8 THEN .15 ELSE 0 END + CASE WHEN review_n / observed >= .85 THEN .12 ELSE 0 END
- + CASE WHEN critical_n / observed >= .75 THEN .08 ELSE 0 END)), 6) AS p_wrong FROM {regions} r""")
+@query("wrong_chance", f"SELECT district, round({_WRONG}, 6) AS p_wrong FROM ({PLANNED})")
 def wrong_chance(spark, d):
-    r = _rates(spark, d)
-    return r.select("district", F.round(decide.wrong_chance(F.col("level"), F.col("observed"), F.col("review"), F.col("critical"), F.lit(0.1)), 6).alias("p_wrong"))
+    ci = stats.wilson(F.col("trusted_n"), F.col("observed"))
+    wrong = decide.wrong_chance(F.col("level"), F.col("observed"), F.col("review"), F.col("critical"), ci["high"] - ci["low"])
+    return _rates(spark, d).select("district", F.round(wrong, 6).alias("p_wrong"))
 
 
-@query("whatif_comparison", """WITH b AS (SELECT district, least(1, greatest(0, pressure / 100 * (1 - trusted_n / observed))) AS f, trusted_n / observed AS t FROM {regions} r),
-o AS (SELECT district, 'mobile_clinic' AS option, least(1, f * 1.4) AS s, 2 AS cost FROM b UNION ALL SELECT district, 'new_capacity', f * .55 * .9, 3 FROM b UNION ALL SELECT district, 'telehealth', f * .50 * .58 * (.5 + .5 * t), 1 FROM b UNION ALL
- SELECT district, 'transport_vouchers', f * .90 * (.4 + .6 * t), 1 FROM b UNION ALL SELECT district, 'pharmacy_screening', f * .35 * .8, 1 FROM b)
-SELECT district, option, round(s, 3) AS score, CAST(cost AS BIGINT) AS cost, CASE WHEN round(s, 3) >= .55 THEN 'High' WHEN round(s, 3) >= .30 THEN 'Medium' ELSE 'Low' END AS band,
- CAST(row_number() OVER (PARTITION BY district ORDER BY round(s, 3) DESC, cost, option) AS BIGINT) AS rank FROM o""")
+@query("whatif_comparison", f"""WITH b AS (SELECT district, least(1, greatest(0, need * (1 - trusted_n / observed))) AS f, trusted_n / observed AS t FROM ({PLANNED})),
+o AS (SELECT district, 'mobile_clinic' AS option, least(1, f * 1.4) AS s, 2 AS cost FROM b UNION ALL SELECT district, 'new_capacity', f * .90 * .9, 3 FROM b UNION ALL SELECT district, 'telehealth', f * .35 * .58 * (.5 + .5 * t), 1 FROM b UNION ALL
+ SELECT district, 'transport_vouchers', f * .55 * (.4 + .6 * t), 1 FROM b UNION ALL SELECT district, 'pharmacy_screening', f * .50 * .8, 1 FROM b),
+u AS (SELECT district, option, round(CAST(s AS DECIMAL(24, 8)), 3)::DOUBLE AS score, CAST(cost AS BIGINT) AS cost FROM o)
+SELECT *, CASE WHEN score >= .55 THEN 'High' WHEN score >= .30 THEN 'Medium' ELSE 'Low' END AS band, CAST(row_number() OVER (PARTITION BY district ORDER BY score DESC, cost, option) AS BIGINT) AS rank FROM u""")
 def whatif_comparison(spark, d):
     r = _rates(spark, d)
     return decide.what_if(r, "district", F.col("need"), F.col("trust"), mobile=2, capacity=20.0, adoption=0.3)
 
 
-@query("claim_rules", r"""WITH r AS (SELECT * FROM (VALUES ('maternity', 'maternity|obstetric', 1.0), ('emergency', 'emergency|trauma', 1.0), ('imaging', 'x-?ray|mri|scan', 0.7), ('licence', 'licen[sc]e', 0.5), ('contact', '@', 0.3)) t(category, p, w)),
-x AS (SELECT doc_id, category, w, regexp_matches(lower(text), p) AS hit, regexp_matches(lower(text), '\b(all|any|every|toutes?|alle|todos?)\b') AS broad, doc_id % 2 = 0 AS need FROM documents, r),
-y AS (SELECT *, CASE WHEN hit AND broad THEN 'broad_or_ambiguous' WHEN hit THEN 'claimed' ELSE 'missing' END AS status, concat_ws(',', CASE WHEN hit AND broad THEN 'broad_language' END, CASE WHEN hit AND w >= .7 THEN 'high_impact_claim' END,
- CASE WHEN NOT hit AND w >= .9 AND need THEN 'high_impact_missing_in_high_need_context' END) AS reasons FROM x)
-SELECT doc_id, category, status, reasons, round(8 + CASE WHEN hit THEN 7 ELSE 0 END + CASE WHEN hit AND broad THEN 10 ELSE 0 END + 20 * w + CASE WHEN reasons <> '' THEN 12 ELSE 0 END + CASE WHEN NOT hit AND w >= .9 AND need THEN 12 ELSE 0 END, 3)::DOUBLE AS priority
-FROM y WHERE hit OR reasons <> ''""")
+def _strings(xs):
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]::VARCHAR[]"
+
+
+_RULES = ", ".join(f"('{r.category}', '{r.level}', {r.weight}e0, {_strings(r.fields)}, {_strings(r.terms)}, {_strings(r.generic)})" for r in claims.RULES)
+_BROAD = ", ".join("CASE WHEN regexp_matches(whole, '" + p.replace("'", "''") + f"') THEN '{k}' END" for k, p in claims.BROAD)
+_NORMAL = r"trim(regexp_replace(lower(regexp_replace({}, '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z0-9/+]+', ' ', 'g'))"
+_SECTIONS = _strings(claims.SECTIONS)
+_NOT_NULL = "list_filter([{}], lambda x: x IS NOT NULL)"
+
+
+@query("claim_rules", rf"""WITH p AS ({PLACED}), rules AS (SELECT * FROM (VALUES {_RULES}) t(category, level, weight, fields, terms, generic)),
+s AS (SELECT *, list_transform(range(5), lambda k: coalesce({_NORMAL.format("string_split(trim(claim_text), ' | ')[k + 1]")}, '')) AS found, coalesce(need, 0) AS n0, coalesce(priority, 0) AS p0, coalesce(has_source, false) AS src, coalesce(has_contact, false) AS con FROM p),
+b AS (SELECT entity_id, {_NOT_NULL.format(_BROAD)} AS broad FROM (SELECT entity_id, array_to_string(list_filter(found, lambda x: x <> ''), ' ') AS whole FROM s)),
+sec AS (SELECT entity_id, unnest(range(5)) AS k, unnest(found) AS t FROM s), m AS (SELECT t, category, term FROM (SELECT DISTINCT t FROM sec), (SELECT category, unnest(terms) AS term FROM rules) WHERE regexp_matches(t, '\b' || term || '\b')),
+hit AS (SELECT entity_id, category, list_sort(list_distinct(list(term))) AS keywords, list_transform(list_sort(list_distinct(list(k))), lambda k: ({_SECTIONS})[k + 1]) AS matched FROM sec JOIN m USING (t) GROUP BY 1, 2),
+a AS (SELECT s.*, r.*, broad, coalesce(keywords, []) AS keywords, coalesce(matched, []) AS matched, {_NOT_NULL.format(", ".join(f"CASE WHEN has_{c} THEN '{c}' END" for c in claims.SECTIONS))} AS said, {_NOT_NULL.format(", ".join(f"CASE WHEN {c}_items >= 50 THEN '{c}' END" for c in claims.SECTIONS))} AS capped
+  FROM s CROSS JOIN rules r JOIN b USING (entity_id) LEFT JOIN hit ON hit.entity_id = s.entity_id AND hit.category = r.category),
+st AS (SELECT *, CASE WHEN len(keywords) = 0 THEN 'missing' WHEN list_has_all(generic, keywords) OR (len(broad) > 0 AND list_has_all(['description', 'capability'], matched)) OR (list_has_any(capped, fields) AND (needs_review OR NOT trusted) AND len(broad) > 0) THEN 'broad_or_ambiguous' ELSE 'observed' END AS status,
+  level IN ('critical', 'high') AS high FROM a),
+w AS (SELECT *, list_sort(list_distinct({_NOT_NULL.format("""CASE WHEN status = 'missing' THEN 'category_not_observed_in_local_claim_text' END, CASE WHEN status = 'broad_or_ambiguous' THEN 'broad_or_ambiguous_claim_language' END, CASE WHEN needs_review THEN 'source_row_needs_human_review' END,
+  CASE WHEN NOT trusted THEN 'not_trustworthy_supply_signal' END, CASE WHEN NOT src THEN 'missing_source_url' END, CASE WHEN NOT has_website THEN 'missing_official_website' END, CASE WHEN NOT con THEN 'missing_contact_evidence' END, CASE WHEN semantic_quality < .6 THEN 'low_semantic_quality' END,
+  CASE WHEN high AND status <> 'missing' THEN 'high_impact_observed_claim_requires_verification' END, CASE WHEN high AND status = 'missing' AND (p0 >= .5 OR n0 >= .6) THEN 'high_impact_missing_in_high_need_context' END, CASE WHEN p0 >= .5 THEN 'high_medical_desert_priority' END,
+  CASE WHEN n0 >= .6 THEN 'high_health_need' END""")} || list_transform(broad[1:3], lambda x: 'broad_source:' || x) || list_transform(list_filter(fields, lambda f: NOT list_contains(said, f)), lambda f: 'missing_' || f || '_claim_field'))) AS reasons FROM st),
+v AS (SELECT *, list_contains(reasons, 'high_impact_missing_in_high_need_context') AS urgent, status = 'broad_or_ambiguous' OR (high AND status <> 'missing') OR list_contains(reasons, 'high_impact_missing_in_high_need_context')
+  OR list_has_any(reasons, ['source_row_needs_human_review', 'not_trustworthy_supply_signal', 'missing_source_url', 'missing_official_website', 'missing_contact_evidence', 'low_semantic_quality']) AS verify FROM w)
+SELECT entity_id, category, level, status, verify, CASE WHEN status = 'broad_or_ambiguous' THEN 'resolve_broad_or_ambiguous_claim' WHEN urgent THEN 'verify_or_fill_missing_high_impact_claim' WHEN verify AND high AND status <> 'missing' THEN 'verify_observed_high_impact_claim'
+  WHEN verify THEN 'verify_source_evidence' WHEN status = 'missing' THEN 'monitor_missing_local_evidence' ELSE 'accept_observed_proxy' END AS action,
+ round(CAST(least(100, greatest(0, 8 + 7 * (status <> 'missing')::INT + 10 * (status = 'broad_or_ambiguous')::INT + 20 * weight + 12 * verify::INT + 8 * needs_review::INT + 7 * (NOT trusted)::INT + 6 * (NOT src)::INT + 4 * (NOT has_website)::INT + 4 * (NOT con)::INT + 14 * p0 + 12 * n0
+  + 8 * greatest(0, 1 - semantic_quality) + 12 * urgent::INT)) AS DECIMAL(24, 8)), 3)::DOUBLE AS priority,
+ array_to_string(reasons, '|') AS reasons, array_to_string(matched, '|') AS fields, array_to_string(keywords, '|') AS keywords, array_to_string(broad, '|') AS broad FROM v""")
 def claim_rules(spark, d):
-    return decide.claim_queue(table(spark, d, "documents"), "doc_id", "text", F.col("doc_id") % 2 == 0)
-
-
-@query("remediation_actions", """SELECT entity_id, array_to_string(a, ',') AS actions, coalesce(a[1], 'none') AS first_action FROM (SELECT entity_id, list_filter([CASE WHEN contradicted OR geo_quality IN ('outside', 'missing', 'far') THEN 'geocode_or_verify_location' END,
- CASE WHEN gaps >= 3 THEN 'enrich_claims' END, CASE WHEN NOT coalesce(has_contact, false) THEN 'find_contact' END, CASE WHEN NOT coalesce(has_source, false) THEN 'find_source' END, CASE WHEN capacity IS NULL THEN 'estimate_capacity' END,
- CASE WHEN recency <> 'valid' THEN 'refresh_recency' END], lambda x: x IS NOT NULL) AS a FROM {entities} e)""")
+    """Twelve service categories against five sections of every record's claims."""
+    return claims.claim_queue(placed(spark, d), "entity_id")
+
+
+_WEAK_JOINS = ", ".join(f"'{x}'" for x in remediate.WEAK_JOINS)
+_M = """SELECT *, capacity_status <> 'observed_valid' AS capacity_incomplete, capacity_status IN ('present_unparseable', 'observed_extreme_outlier') OR capacity_outlier AS capacity_parse_or_outlier,
+  capacity_confidence IN ('low', 'low_medium') OR (capacity_status <> 'observed_valid' AND capacity_peers < 10) AS capacity_low_confidence, doctors_status <> 'observed_valid' AS doctor_incomplete,
+  doctors_status IN ('present_unparseable', 'observed_extreme_outlier') OR doctors_outlier AS doctor_parse_or_outlier, doctors_confidence IN ('low', 'low_medium') OR (doctors_status <> 'observed_valid' AND doctors_peers < 10) AS doctor_low_confidence,
+  recency = 'missing' AS recency_missing, recency IN ('stale', 'future', 'invalid') AS recency_stale_or_invalid, recency <> 'valid' AS recency_problem, lat IS NULL OR lon IS NULL OR geo_quality = 'missing' AS coords_missing,
+  geo_quality IN ('far', 'outside') AS geo_far_or_outside, geo_quality = 'moderate' AS geo_moderate, geo_quality IN ('far', 'outside', 'missing') AS severe_geo, geo_quality <> 'plausible' AS geo_issue,
+  NOT coalesce(has_source, false) OR sources = 0 AS source_missing, NOT has_website AS official_website_missing, NOT coalesce(has_contact, false) AS contact_evidence_missing, NOT has_phone OR NOT has_mail AS phone_or_email_missing,
+  NOT has_specialties AS specialties_missing, NOT has_procedure AS procedure_missing, NOT has_equipment AS equipment_missing, NOT has_capability AS capability_missing, NOT (has_specialties AND has_procedure AND has_equipment AND has_capability) AS missing_service_claim_fields,
+  join_confidence < .8 AS low_join_confidence, join_strategy IN (__WEAK__) AS fuzzy_or_fallback_join, match_score IS NULL AS missing_health_district, join_confidence < .8 OR join_strategy IN (__WEAK__) OR match_score IS NULL AS join_issue,
+  pin IS NULL AS pincode_missing, coalesce(pin_ambiguous, false) AS pincode_ambiguous, pin IS NULL OR coalesce(pin_ambiguous, false) AS pin_issue, maternity OR emergency OR diagnostic OR chronic AS high_impact_claim,
+  contradicted OR capacity_status IN ('present_unparseable', 'observed_extreme_outlier') OR doctors_status IN ('present_unparseable', 'observed_extreme_outlier') AS outlier_or_conflict, gaps >= 3 AS critical_missing_high FROM ({placed}) x"""
+MASKED = "SELECT *, high_impact_claim AND (needs_review OR outlier_or_conflict OR source_missing OR recency_problem OR join_issue OR missing_service_claim_fields) AS high_impact_claim_needs_review FROM (" + _M.replace("__WEAK__", _WEAK_JOINS).replace("{placed}", PLACED) + ")"
+_LOW_RISK = """NOT (needs_review OR contradicted OR official_website_missing OR phone_or_email_missing OR contact_evidence_missing OR recency <> 'valid' OR capacity_incomplete OR doctor_incomplete OR missing_service_claim_fields OR pincode_ambiguous) AND join_confidence >= .8
+ AND geo_quality = 'plausible' AND coalesce(has_source, false)"""
+
+
+@query("issue_masks", "WITH m AS (SELECT *, needs_review AS needs_human_review, critical_gap AS critical_supply_gap, " + _LOW_RISK + " AS low_risk FROM (" + MASKED + ")) " + " UNION ALL ".join(f"SELECT '{k}' AS mask, count(*) FILTER ({k}) AS n FROM m" for k in remediate.MASKS))
+def issue_masks(spark, d):
+    """How many records each of the reusable issue masks holds, from one pass."""
+    m = remediate.issue_masks()
+    e = placed(spark, d)
+    counts = e.agg(*(F.count_if(c).alias(k) for k, c in m.items()))
+    return rel.unpivot(counts, [], list(m), "mask", "n")
+
+
+_ACTIONS = _NOT_NULL.format("""CASE WHEN geo_issue THEN 'geocode' END, CASE WHEN outlier_or_conflict OR high_impact_claim_needs_review THEN 'claims_verification' END,
+ CASE WHEN source_missing OR official_website_missing OR recency_problem OR capacity_low_confidence OR doctor_low_confidence OR missing_service_claim_fields OR join_issue OR pin_issue THEN 'registry_source_enrichment' END,
+ CASE WHEN contact_evidence_missing OR phone_or_email_missing THEN 'phone_email_reachability_review' END, CASE WHEN capacity_incomplete OR doctor_incomplete THEN 'keep_estimate_with_interval' END""")
+_REASONS = _NOT_NULL.format("""CASE WHEN geo_issue THEN CASE WHEN coords_missing THEN 'missing_coordinates' WHEN geo_far_or_outside THEN 'severe_geo_issue' ELSE 'moderate_geo_precision_issue' END END, CASE WHEN outlier_or_conflict THEN 'conflicting_evidence_or_outlier' END,
+ CASE WHEN high_impact_claim_needs_review THEN 'high_impact_claims_need_review' END, CASE WHEN source_missing THEN 'missing_source_urls' END, CASE WHEN recency_problem THEN 'missing_stale_or_invalid_recency' END,
+ CASE WHEN missing_service_claim_fields THEN 'missing_specialty_procedure_equipment_or_capability_evidence' END, CASE WHEN join_issue THEN 'low_confidence_or_unjoined_district' END, CASE WHEN pin_issue THEN 'pin_missing_or_ambiguous' END,
+ CASE WHEN capacity_low_confidence OR doctor_low_confidence THEN 'low_confidence_peer_estimate' END, CASE WHEN contact_evidence_missing OR phone_or_email_missing THEN 'contact_evidence_missing_or_incomplete' END, CASE WHEN capacity_incomplete THEN 'capacity_missing_or_estimated' END,
+ CASE WHEN doctor_incomplete THEN 'doctor_count_missing_or_estimated' END, CASE WHEN needs_review THEN 'needs_human_review' END, CASE WHEN critical_missing_high THEN 'semantic_missing_critical_count_ge_3' END, CASE WHEN priority >= cut THEN 'high_medical_desert_priority' END,
+ CASE WHEN high_impact_claim THEN 'high_impact_claims:' || concat_ws(',', CASE WHEN maternity THEN 'maternity' END, CASE WHEN emergency THEN 'emergency' END, CASE WHEN diagnostic THEN 'diagnostic' END, CASE WHEN chronic THEN 'ncd' END) END""")
+
+
+@query("remediation_actions", f"""SELECT entity_id, CASE WHEN len(a) = 0 THEN 'no_action_low_risk' ELSE array_to_string(a, ',') END AS actions, CASE WHEN len(r) = 0 THEN 'low_risk_no_missing_data_action' ELSE array_to_string(r, ',') END AS reasons, coalesce(a[1], 'no_action_low_risk') AS first_action
+FROM (SELECT entity_id, {_ACTIONS} AS a, {_REASONS} AS r FROM (SELECT *, quantile_cont(priority, .75) OVER () AS cut FROM ({MASKED})))""")
 def remediation_actions(spark, d):
-    a = decide.remediation_actions()
-    return entities(spark, d).select("entity_id", F.array_join(a, ",").alias("actions"), F.coalesce(F.try_element_at(a, F.lit(1)), F.lit("none")).alias("first_action"))
+    out = remediate.remediation(placed(spark, d))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("entity_id", joined("actions"), joined("reasons"), F.col("primary_action").alias("first_action"))
 
 
-@query("seed_queue", """SELECT entity_id, s AS score, CAST(row_number() OVER (ORDER BY s DESC, entity_id) AS BIGINT) AS seed_rank FROM (SELECT entity_id, round(.24 * (1 - readiness) + .20 * gaps / 5 + .16 * coalesce(1 - join_confidence, .5) + .14 * contradicted::INT + .12 * needs_review::INT
- + .08 * (NOT coalesce(has_source, false))::INT + .04 * (NOT coalesce(has_contact, false))::INT + .02 * (NOT trusted)::INT, 6) AS s FROM {entities} e) ORDER BY s DESC, entity_id LIMIT 150""")
+@query("seed_queue", f"""SELECT entity_id, s AS score, CAST(row_number() OVER (ORDER BY s DESC, entity_id) AS BIGINT) AS seed_rank FROM (SELECT entity_id, round(CAST(.24 * coalesce(pct, .5) + .16 * needs_review::INT + .16 * CASE WHEN geo_far_or_outside THEN 1 WHEN coords_missing THEN .95 WHEN geo_moderate THEN .45 ELSE 0 END
+ + .16 * least(gaps / 5, 1) + .12 * outlier_or_conflict::INT + .10 * (maternity::INT + emergency::INT + diagnostic::INT + chronic::INT) / 4 + .04 * (1 - join_confidence) + .02 * (source_missing OR contact_evidence_missing)::INT AS DECIMAL(24, 8)), 6)::DOUBLE AS s
+ FROM (SELECT *, CASE WHEN priority IS NOT NULL THEN (rank() OVER (PARTITION BY priority IS NULL ORDER BY priority) + (count(*) OVER (PARTITION BY priority) - 1) / 2.0) / count(priority) OVER () END AS pct FROM ({MASKED}))) ORDER BY s DESC, entity_id LIMIT 150""")
 def seed_queue(spark, d):
-    return rel.top(entities(spark, d).select("entity_id", decide.seed_score().alias("score")), [F.desc("score"), F.asc("entity_id")], 150, "seed_rank")
+    return rel.top(remediate.seed_score(placed(spark, d)).select("entity_id", F.col("seed_score").alias("score")), [F.desc("score"), F.asc("entity_id")], 150, "seed_rank")
 
 
 @query("evidence_labels", """SELECT entity_id, CASE WHEN contradicted THEN 'conflict' ELSE 'bronze' END AS tier, CASE WHEN contradicted THEN 'contradicted_or_geo_invalid' WHEN trusted AND NOT needs_review THEN 'passed_proxy_checks' WHEN needs_review THEN 'needs_review' ELSE 'unknown' END AS posture,
@@ -322,22 +380,86 @@ def geo_review_queue(spark, d):
     return rel.top(entities(spark, d).select("entity_id", s.alias("score")), [F.desc("score"), F.asc("entity_id")], 250)
 
 
-@query("geocode_outcomes", """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN st = 'ZERO_RESULTS' THEN 'no_result' WHEN st <> 'OK' THEN 'geocoder_error' WHEN lat IS NULL THEN 'reject_outside_country' WHEN contradicted THEN 'manual_review_partial_match'
- WHEN lt = 'ROOFTOP' THEN CASE WHEN km <= 25 THEN 'accept_rooftop' ELSE 'manual_review_far_rooftop' END WHEN lt = 'GEOMETRIC_CENTER' THEN CASE WHEN km <= 50 THEN 'accept_interpolated' ELSE 'manual_review_far_interpolated' END ELSE 'manual_review_approximate' END AS outcome
- FROM (SELECT *, CASE entity_id % 13 WHEN 0 THEN 'ZERO_RESULTS' WHEN 1 THEN 'DENIED' ELSE 'OK' END AS st, CASE entity_id % 3 WHEN 0 THEN 'ROOFTOP' WHEN 1 THEN 'GEOMETRIC_CENTER' ELSE 'APPROXIMATE' END AS lt, entity_id % 71 AS km FROM {entities} e)) GROUP BY 1""")
+# Answers of a geocoder to every record, made from its key: some fail, some name another place or PIN.
+GEOCODED = """SELECT entity_id, CASE entity_id % 13 WHEN 0 THEN 'ZERO_RESULTS' WHEN 1 THEN 'REQUEST_DENIED' ELSE 'OK' END AS status, CASE WHEN entity_id % 13 > 1 AND entity_id % 51 > 0 THEN 1 ELSE 0 END AS results,
+  CASE entity_id % 5 WHEN 0 THEN 'ROOFTOP' WHEN 1 THEN 'GEOMETRIC_CENTER' WHEN 2 THEN 'RANGE_INTERPOLATED' WHEN 3 THEN 'APPROXIMATE' ELSE '' END AS location_type, entity_id % 8 = 5 AS partial, pin, state, district,
+  name || ', ' || CASE WHEN entity_id % 9 = 2 THEN 'Elsewhere' ELSE district END || ', ' || CASE WHEN entity_id % 10 = 1 THEN 'Other State' ELSE lower(state) END || ' ' || CASE WHEN entity_id % 8 = 3 THEN '' ELSE coalesce(pin, '') END AS formatted,
+  lat + CAST(entity_id % 7 AS DOUBLE) / 10 AS found_lat, lon + CAST(entity_id % 4 AS DOUBLE) / 10 AS found_lon FROM {}"""
+_ALNUM = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+CLASSIFIED = f"""SELECT *, CASE WHEN status = 'ZERO_RESULTS' THEN 'zero_results_review' WHEN status <> 'OK' OR results = 0 THEN 'api_' || lower(status) || '_review' WHEN partial THEN 'partial_match_review' WHEN NOT state_match THEN 'state_mismatch_review'
+  WHEN NOT pin_match THEN 'pincode_mismatch_review' WHEN location_type IN ('ROOFTOP', 'RANGE_INTERPOLATED') THEN 'accept_coordinate_candidate' WHEN location_type = 'GEOMETRIC_CENTER' THEN 'neighborhood_candidate_h3_only' WHEN location_type = 'APPROXIMATE' THEN 'approximate_review'
+  ELSE 'provider_metadata_review' END AS outcome FROM (SELECT *, pin IS NOT NULL AND contains(formatted, coalesce(pin, '')) AS pin_match, contains({_ALNUM.format('formatted')}, {_ALNUM.format('state')}) AS state_match, contains({_ALNUM.format('formatted')}, {_ALNUM.format('district')}) AS city_match
+  FROM ({GEOCODED.format('{entities} e')}))"""
+
+
+def _geocoded(spark, d):
+    g = spark.sql(GEOCODED.format("{e}"), e=entities(spark, d))
+    g = g.withColumns(decide.geocode_matches(F.col("formatted"), F.col("pin"), F.col("state"), F.col("district")))
+    return g.withColumn("outcome", decide.geocode_outcome(F.col("status"), F.col("results"), F.col("location_type"), F.col("partial"), F.col("pin_match"), F.col("state_match")))
+
+
+@query("geocode_outcomes", f"SELECT entity_id, pin_match, state_match, city_match, outcome FROM ({CLASSIFIED})")
 def geocode_outcomes(spark, d):
-    e = entities(spark, d)
-    st = F.when(F.col("entity_id") % 13 == 0, "ZERO_RESULTS").when(F.col("entity_id") % 13 == 1, "DENIED").otherwise("OK")
-    lt = F.when(F.col("entity_id") % 3 == 0, "ROOFTOP").when(F.col("entity_id") % 3 == 1, "GEOMETRIC_CENTER").otherwise("APPROXIMATE")
-    out = decide.geocode_outcome(st, lt, F.col("contradicted"), F.col("entity_id") % 71, F.col("lat").isNotNull())
-    return rel.value_counts(e.select(out.alias("outcome")), ["outcome"])
+    return _geocoded(spark, d).select("entity_id", "pin_match", "state_match", "city_match", "outcome")
 
 
-@query("coordinate_corrections", """SELECT entity_id, round(2 * 6371.0088 * asin(sqrt(pow(sin(radians(.1) / 2), 2) + cos(radians(lat)) * cos(radians(lat + .1)) * pow(sin(radians(.2) / 2), 2))), 3) AS km, 'propose_correction' AS action FROM {entities} e WHERE entity_id % 5 = 0 AND lat IS NOT NULL""")
+@query("coordinate_corrections", f"""SELECT entity_id, outcome, CASE outcome WHEN 'accept_coordinate_candidate' THEN 'propose_replace_coordinate' ELSE 'store_h3_neighborhood_candidate' END AS action,
+ CASE outcome WHEN 'accept_coordinate_candidate' THEN 'Precise Google result with admin/PIN checks; review before canonical overwrite.' ELSE 'Coarse Google result; use for H3/neighborhood planning only.' END AS note,
+ round(2 * 6371.0088 * asin(sqrt(pow(sin(radians(found_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(found_lat)) * pow(sin(radians(found_lon - lon) / 2), 2))), 3) AS km
+FROM ({CLASSIFIED}) g JOIN (SELECT entity_id, lat, lon FROM {{entities}} e) USING (entity_id) WHERE outcome IN ('accept_coordinate_candidate', 'neighborhood_candidate_h3_only')""")
 def coordinate_corrections(spark, d):
-    e = entities(spark, d).where("entity_id % 5 = 0 and lat is not null")
-    km = stats.haversine_km(F.col("lat"), F.col("lon"), F.col("lat") + 0.1, F.col("lon") + 0.2)
-    return e.select("entity_id", F.round(km, 3).alias("km"), F.when(km > 1, "propose_correction").otherwise("keep").alias("action"))
+    """Accepted geocodes of all records, each with what it would change."""
+    return decide.corrections(_geocoded(spark, d), entities(spark, d), "entity_id")
+
+
+@query("place_match", """SELECT entity_id, round(CAST(s AS DECIMAL(24, 8)), 3)::DOUBLE AS score, CASE WHEN round(s, 9) >= .82 THEN 'high' WHEN round(s, 9) >= .62 THEN 'medium' ELSE 'low' END AS label FROM (SELECT entity_id, .70 * CASE WHEN entity_id % 3 = 0 THEN 1.0 WHEN entity_id % 3 = 1 THEN .5 ELSE 0 END
+ + .18 * (entity_id % 4 > 0)::INT + .12 * (entity_id % 5 > 0)::INT AS s FROM {entities} e)""")
+def place_match(spark, d):
+    """A found place's name and address against the record's."""
+    k = F.col("entity_id")
+    number = F.regexp_extract("name", "#(.*)$", 1)
+    place = F.when(k % 3 == 0, F.concat(F.lit("The "), F.lower("name"), F.lit(" annex"))).when(k % 3 == 1, F.concat(F.lit("Clinic "), number)).otherwise("Something else")
+    address = F.concat_ws(", ", F.when(k % 5 > 0, F.lower("district")), F.when(k % 4 > 0, F.col("state")), F.lit("000"))
+    m = decide.place_match(F.col("name"), F.col("state"), F.col("district"), place, address)
+    return entities(spark, d).select("entity_id", m.alias("m")).select("entity_id", "m.score", "m.label")
+
+
+@query("specialty_rerank", """SELECT district, kind, n, CAST(row_number() OVER (PARTITION BY district ORDER BY (kind = 'MACHINERY') DESC, n DESC, kind) AS BIGINT) AS rank FROM (SELECT district, kind, count(*) AS n FROM {entities} e GROUP BY 1, 2)""")
+def specialty_rerank(spark, d):
+    return rel.rank_within(rel.value_counts(entities(spark, d), ["district", "kind"]), ["district"], [F.desc(F.col("kind") == "MACHINERY"), F.desc("n"), F.asc("kind")], "rank")
+
+
+@query("national_medians", "SELECT median(anaemia) AS anaemia, median(pressure) AS pressure, median(insurance) AS insurance FROM {regions} r")
+def national_medians(spark, d):
+    return regions(spark, d).agg(*(F.median(c).alias(c) for c in ("anaemia", "pressure", "insurance")))
+
+
+@query("top_conditions", """SELECT district, condition, excess, CAST(row_number() OVER (PARTITION BY district ORDER BY excess DESC, condition) AS BIGINT) AS rank FROM (SELECT district, 'pressure' AS condition, pressure - median(pressure) OVER () AS excess FROM {regions} r UNION ALL
+ SELECT district, 'sugar', sugar - median(sugar) OVER () FROM {regions} r UNION ALL SELECT district, 'births', births - median(births) OVER () FROM {regions} r) QUALIFY row_number() OVER (PARTITION BY district ORDER BY excess DESC, condition) <= 2""")
+def top_conditions(spark, d):
+    """Each district's two indicators farthest above the national median."""
+    r = regions(spark, d)
+    medians = r.agg(*(F.median(c).alias(f"m_{c}") for c in ("pressure", "sugar", "births")))
+    wide = r.crossJoin(F.broadcast(medians)).select("district", *((F.col(c) - F.col(f"m_{c}")).alias(c) for c in ("pressure", "sugar", "births")))
+    long = rel.unpivot(wide, ["district"], ["pressure", "sugar", "births"], "condition", "excess")
+    return rel.rank_within(long, ["district"], [F.desc("excess"), F.asc("condition")], "rank").where("rank <= 2")
+
+
+@query("reference_cross_check", r"""WITH e AS (SELECT entity_id, district, state, 'Serves ' || CASE WHEN entity_id % 3 = 0 THEN lower(o.n_name) ELSE 'the area' END || CASE WHEN entity_id % 6 = 0 THEN ' and NATION_1' ELSE '' END || CASE WHEN entity_id % 7 = 0 THEN ' x' || o.n_name ELSE '' END || '.' AS evidence
+  FROM {entities} e JOIN nation o ON o.n_nationkey = entity_id % 25), n AS (SELECT n_name AS other, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT entity_id, arg_max(other, (length(other), other)) AS other FROM e JOIN n USING (state) WHERE other <> district AND regexp_matches(trim(regexp_replace(lower(evidence), '[^a-z0-9]+', ' ', 'g')), '(^| )' || trim(regexp_replace(lower(other), '[^a-z0-9]+', ' ', 'g')) || '($| )')
+GROUP BY 1""")
+def reference_cross_check(spark, d):
+    """Which other district of its own state a record's evidence text names as a phrase; of several the longest name."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    names = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("other"), F.col("r_name").alias("state"))
+    e, o = entities(spark, d), n.select(F.col("n_nationkey").alias("key"), "n_name")
+    k = F.col("entity_id")
+    told = e.join(o, k % 25 == F.col("key")).select(
+        "entity_id", "district", "state",
+        F.concat(F.lit("Serves "), F.when(k % 3 == 0, F.lower("n_name")).otherwise("the area"), F.when(k % 6 == 0, " and NATION_1").otherwise(""), F.when(k % 7 == 0, F.concat(F.lit(" x"), "n_name")).otherwise(""), F.lit(".")).alias("evidence"),
+    )
+    return serve.other_area_named(told, names, "entity_id", "state", "district", "evidence", "other")
 
 
 @query("specialty_rerank", """SELECT district, kind, n, CAST(row_number() OVER (PARTITION BY district ORDER BY (kind = 'MACHINERY') DESC, n DESC, kind) AS BIGINT) AS rank FROM (SELECT district, kind, count(*) AS n FROM {entities} e GROUP BY 1, 2)""")

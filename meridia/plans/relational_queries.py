@@ -118,13 +118,17 @@ def semi_scope(spark, d):
     return rel.semi_scope(df, n.where("n_regionkey < 2").select(F.concat(F.lit(" "), F.lower("n_name")).alias("n_name")), ["n_name"])
 
 
-@query("anti_then_union_defaults", """SELECT district, observed, trusted_n FROM {regions} r WHERE district_key < 20
-UNION ALL SELECT n_name, 0, 0 FROM nation WHERE n_nationkey >= 20""")
+@query("anti_then_union_defaults", """SELECT r.r_name || '/' || s.seg AS cohort, count(c_custkey) AS observed FROM region r CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer UNION ALL SELECT 'NONE') s
+ LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_mktsegment = s.seg GROUP BY 1""")
 def anti_then_union_defaults(spark, d):
-    """Districts without supply rows join those with, counts 0."""
-    some = regions(spark, d).where("district_key < 20").select("district", "observed", "trusted_n")
-    every = table(spark, d, "nation").select(F.col("n_name").alias("district"))
-    return some.unionByName(rel.zero_supply(every, some, "district"), allowMissingColumns=True).fillna(0, ["observed", "trusted_n"])
+    """Cohorts without any record join those with, counts 0."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    name = lambda seg: F.concat_ws("/", "r_name", seg).alias("cohort")
+    placed = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    some = placed.groupBy(name("c_mktsegment")).agg(F.count("*").alias("observed"))
+    segments = c.select("c_mktsegment").distinct().unionByName(spark.createDataFrame([("NONE",)], "c_mktsegment string"))
+    every = r.crossJoin(F.broadcast(segments)).select(name("c_mktsegment"))  # as many rows as regions and segments
+    return some.unionByName(rel.zero_supply(every, some, "cohort"), allowMissingColumns=True).fillna(0, ["observed"])
 
 
 @query("coalesce_override_join", """SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN round(s_acctbal * 2, 2) ELSE s_acctbal END AS s_acctbal FROM supplier""")
@@ -261,10 +265,11 @@ def log_tombstones(spark, d):
     return io.latest(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("user_id", "event_id", "event_type")
 
 
-@query("log_union_dedup", """SELECT user_id, event_type, event_id FROM events WHERE user_id < 40 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""")
+@query("log_union_dedup", """SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""")
 def log_union_dedup(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_type", "event_id").where("user_id < 40")
-    return io.union_logs(e.where("user_id < 30"), e.where("user_id > 20"), key=["user_id", "event_type"], order="event_id")
+    """Two logs that overlap and hold all events together: the newest row of each key once."""
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    return io.union_logs(e.where("event_id % 3 < 2"), e.where("event_id % 3 > 0"), key=["user_id", "event_type"], order="event_id")
 
 
 @query("toggle_membership", """SELECT user_id, count(*) AS n_toggles, count(*) % 2 = 1 AS listed FROM events WHERE event_type = 'click' GROUP BY 1""")

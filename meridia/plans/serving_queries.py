@@ -72,11 +72,21 @@ def competing_values(spark, d):
     return serve.competing_values(e, "entity_id", {"a": "a", "b": "b"})
 
 
-@query("geocoder_priors", """SELECT location_type, partial, count(*) AS n, max(low) AS low, max(high) AS high FROM (SELECT location_type, partial, CASE WHEN partial THEN .25 WHEN location_type = 'ROOFTOP' THEN .86 ELSE .35 END AS low, CASE WHEN partial THEN .55 WHEN location_type = 'ROOFTOP' THEN .96 ELSE .62 END AS high
- FROM (SELECT CASE WHEN entity_id % 2 = 0 THEN 'ROOFTOP' ELSE 'APPROXIMATE' END AS location_type, contradicted AS partial FROM {entities} e)) GROUP BY 1, 2""")
+_PRIORS = ", ".join(f"('{s}', '{t}', {str(p).lower()}, {lo}e0, {hi}e0, {'NULL' if r is None else f'{r}e0'}, '{a}')" for s, t, p, lo, hi, r, a in [
+    ("OK", "ROOFTOP", False, 0.86, 0.96, 0.1, "accept_if_admin_and_pincode_match"), ("OK", "RANGE_INTERPOLATED", False, 0.68, 0.84, 0.5, "accept_for_planning_if_boundary_checks_pass"),
+    ("OK", "GEOMETRIC_CENTER", False, 0.48, 0.68, 3.0, "use_for_neighborhood_only_or_retry_with_landmark"), ("OK", "APPROXIMATE", False, 0.2, 0.48, 25.0, "retry_with_landmark_or_alternate_provider"),
+    ("OK", "ANY", True, 0.18, 0.6, 15.0, "compare_name_admin_pincode_then_queue_if_high_impact"), ("ZERO_RESULTS", "NONE", False, 0.0, 0.18, None, "search_hfr_pmjay_mappls_osm_or_mark_unknown")])
+
+
+@query("geocoder_priors", f"""SELECT status, location_type, partial, n, low, high, radius_km, action AS prior_action FROM (SELECT CASE entity_id % 13 WHEN 0 THEN 'ZERO_RESULTS' WHEN 1 THEN 'REQUEST_DENIED' ELSE 'OK' END AS status,
+  CASE entity_id % 4 WHEN 0 THEN 'ROOFTOP' WHEN 1 THEN 'GEOMETRIC_CENTER' WHEN 2 THEN 'RANGE_INTERPOLATED' ELSE 'APPROXIMATE' END AS location_type, contradicted AS partial, count(*) AS n FROM {{entities}} e GROUP BY ALL) x
+ LEFT JOIN (VALUES {_PRIORS}) p(s, t, q, low, high, radius_km, action) ON s = status AND ((status = 'OK' AND q = partial AND (q OR t = location_type)) OR status = 'ZERO_RESULTS')""")
 def geocoder_priors(spark, d):
-    e = entities(spark, d).select(F.lit("OK").alias("status"), F.when(F.col("entity_id") % 2 == 0, "ROOFTOP").otherwise("APPROXIMATE").alias("location_type"), F.col("contradicted").alias("partial"))
-    return serve.with_prior(e, "status", "location_type", "partial").groupBy("location_type", "partial").agg(F.count("*").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"))
+    k = F.col("entity_id")
+    status = F.when(k % 13 == 0, "ZERO_RESULTS").when(k % 13 == 1, "REQUEST_DENIED").otherwise("OK")
+    kind = F.when(k % 4 == 0, "ROOFTOP").when(k % 4 == 1, "GEOMETRIC_CENTER").when(k % 4 == 2, "RANGE_INTERPOLATED").otherwise("APPROXIMATE")
+    e = rel.value_counts(entities(spark, d).select(status.alias("status"), kind.alias("location_type"), F.col("contradicted").alias("partial")), ["status", "location_type", "partial"])
+    return serve.with_prior(e, "status", "location_type", "partial")
 
 
 @query("reconciliation_status", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN operator IS NULL THEN 'parse_missing' WHEN entity_id % 7 = 0 THEN 'parsed_pin_conflict' WHEN entity_id % 8 = 1 THEN 'parsed_state_conflict' WHEN readiness < .3 THEN 'parsed_city_district_conflict'

@@ -136,10 +136,12 @@ def ellipsis(spark, d):
     return table(spark, d, "part").select("p_partkey", text.ellipsis(F.col("p_name"), 10).alias("short"))
 
 
-@query("service_signals", r"""SELECT doc_id, regexp_matches(lower(text), 'licen[sc]e|version') AS legal, regexp_matches(lower(text), '@|phone') AS contact, regexp_matches(text, '[0-9]{3}') AS numeric FROM documents""")
+@query("service_signals", "SELECT entity_id, maternity, emergency, diagnostic, chronic FROM {entities} e UNION ALL SELECT -doc_id - 1, " + ", ".join(f"regexp_matches(lower(text), '{p}')" for p in text.SERVICE_SIGNALS.values()) + " FROM documents")
 def service_signals(spark, d):
-    low = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", low.rlike("licen[sc]e|version").alias("legal"), low.rlike("@|phone").alias("contact"), F.col("text").rlike("[0-9]{3}").alias("numeric"))
+    """Four service signals in the claims of every record, and in every text."""
+    signals = text.service_signals(F.col("text"))
+    docs = table(spark, d, "documents").select((-F.col("doc_id") - 1).alias("entity_id"), *(c.alias(k) for k, c in signals.items()))
+    return entities(spark, d).select("entity_id", *signals).unionByName(docs)
 
 
 @query("token_block_keys", r"""SELECT p_partkey, array_to_string(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ('red', 'small'))[1:2], ' ') AS block FROM part""")
