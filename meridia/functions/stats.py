@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,18 +35,37 @@ def jeffreys_mean(x: Column, n: Column) -> Column:
     return (x + 0.5) / (n + 1.0)
 
 
+def bucket_of(c: Column) -> Column:
+    """A whole number that never falls as the value grows, with some hundred values over all usual sizes.
+
+    It splits a column into ordered parts of a sixteenth of an octave, so that order statistics can be taken part by
+    part. Log2 is monotone, so equal or larger values never come into a lower part; NaN is above all.
+    """
+    x = c.cast("double")
+    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1025.0)) * 16) + 20_000
+    return F.when(F.isnan(x), F.lit(1 << 20)).when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("long")
+
+
 def pct_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Percentile ranks (column -> name of its rank) with average ties: (values below + (ties + 1) / 2) / all non-null.
 
-    All columns' values are counted in one aggregation, so the ordered pass runs over distinct values, column by
-    column, instead of over rows; the small results are joined back. Nulls stay null.
+    All columns' values are counted in one aggregation. Counts by part of a column's range say how many values lie
+    below each part, so ordered passes run over the distinct values of one part, never over a whole column. Nulls stay null.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns)))
-    counted = df.select(pairs.alias("p")).where("p.value is not null").groupBy("p.column", "p.value").agg(F.count("*").alias("ties"))
+    counted = df.select(pairs.alias("p")).where("p.value is not null").select("p.column", "p.value", bucket_of(F.col("p.value")).alias("bucket"))
+    counted = counted.groupBy("column", "bucket", "value").agg(F.count("*").alias("ties"))
+    parts = counted.groupBy("column", "bucket").agg(F.sum("ties").alias("n"))
     by = Window.partitionBy("column")
-    below = by.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    rank = (F.coalesce(F.sum("ties").over(below), F.lit(0)) + (F.col("ties") + 1) / 2.0) / F.sum("ties").over(by)
-    ranked = counted.select("column", "value", rank.alias("rank"))
+    parts = parts.select(
+        F.col("column").alias("c"), F.col("bucket").alias("b"), F.sum("n").over(by).alias("all"),
+        F.coalesce(F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )  # some hundred rows a column
+    inside = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("below", F.coalesce(F.sum("ties").over(inside), F.lit(0)))
+    ranked = placed.join(parts, (F.col("column") == F.col("c")) & (F.col("bucket") == F.col("b"))).select(
+        "column", "value", ((F.col("before") + F.col("below") + (F.col("ties") + 1) / 2.0) / F.col("all")).alias("rank")
+    )
     for c, out in columns.items():
         own = ranked.where(F.col("column") == c).select(F.col("value").alias("__value"), F.col("rank").alias(out))
         df = df.join(own, F.col(c).cast("double") == F.col("__value"), "left").drop("__value")
@@ -55,11 +76,46 @@ def pct_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     return pct_ranks(df, {column: out})
 
 
-def min_max(column: Column, default: float = 0.0) -> Column:
-    """(x - min) / (max - min) over the whole frame; ``default`` where all values are equal."""
-    whole = Window.partitionBy()
-    low, high = F.min(column).over(whole), F.max(column).over(whole)
-    return F.when(high > low, (column - low) / (high - low)).otherwise(F.lit(default))
+def quantiles(df: DataFrame, keys: Sequence[str], column: str, levels: Sequence[float]) -> DataFrame:
+    """(keys, n, q array<double>): exact quantiles of the non-null values of each group, interpolated between neighbours.
+
+    Values are counted first. Counts by part of the range tell which parts hold the wanted places, and only those are
+    ordered; no task holds a group, or even its distinct values. Null keys form groups of their own.
+    """
+    known = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("value")).withColumn("bucket", bucket_of(F.col("value")))
+    counted = known.groupBy(*keys, "bucket", "value").agg(F.count("*").alias("ties"))
+    parts = counted.groupBy(*keys, "bucket").agg(F.sum("ties").alias("part"))
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"n": F.sum("part").over(by), "before": F.coalesce(F.sum("part").over(upto), F.lit(0))})
+    wanted = F.array(
+        *(F.struct(F.lit(k).alias("level"), F.lit(float(q)).alias("q"), (F.floor(F.lit(float(q)) * (F.col("n") - 1)) + side).alias("place"), F.lit(side).alias("side"))
+          for k, q in enumerate(levels) for side in (0, 1))
+    )
+    asked = parts.select(*keys, "bucket", "before", "n", "part", F.explode(wanted).alias("w"))
+    asked = asked.where("least(w.place, n - 1) >= before and least(w.place, n - 1) < before + part").select(
+        *(F.col(k).alias(f"__{k}") for k in keys), F.col("bucket").alias("__bucket"), "before", "n", "w.*"
+    )
+    inside = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    match = F.col("bucket") == F.col("__bucket")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    used = counted.join(asked.select(*(f"__{k}" for k in keys), "__bucket").distinct(), match, "left_semi")
+    placed = used.withColumn("last", F.sum("ties").over(inside))
+    found = placed.join(asked, match).where("least(place, n - 1) - before < last and least(place, n - 1) - before >= last - ties")
+    one = found.groupBy(*keys, "level").agg(
+        F.max("n").alias("n"), F.max("q").alias("q"), F.max(F.when(F.col("side") == 0, F.col("value"))).alias("low"), F.max(F.when(F.col("side") == 1, F.col("value"))).alias("high")
+    )
+    share = F.col("q") * (F.col("n") - 1) - F.floor(F.col("q") * (F.col("n") - 1))
+    value = F.col("low") + (F.col("high") - F.col("low")) * share
+    return one.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("level", value.alias("value")))), lambda x: x["value"]).alias("q")).where("n is not null")
+
+
+def min_max(df: DataFrame, column: str, out: str, default: float = 0.0) -> DataFrame:
+    """Add (x - min) / (max - min) over the whole frame; ``default`` where all values are equal. One row is sent along."""
+    ends = df.agg(F.min(column).alias("__low"), F.max(column).alias("__high"))
+    scaled = F.when(F.col("__high") > F.col("__low"), (F.col(column) - F.col("__low")) / (F.col("__high") - F.col("__low"))).otherwise(F.lit(default))
+    return df.crossJoin(F.broadcast(ends)).withColumn(out, scaled).drop("__low", "__high")
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.operators.relational import cohort_stats
+from meridia.functions import stats
+from meridia.operators.relational import cohort_stats, pinned
 
 # Cohorts from narrow to wide, and how many values each needs.
 LEVELS = [(("kind", "operator", "state"), 5), (("kind", "operator"), 10), (("kind",), 10), (("operator",), 10)]
@@ -20,7 +21,8 @@ LEVELS = [(("kind", "operator", "state"), 5), (("kind", "operator"), 10), (("kin
 
 def hierarchical(df: DataFrame, value: str, usable: Column, levels: Sequence[tuple[Sequence[str], int]] = LEVELS) -> DataFrame:
     """Add estimate, low, high, level, n and confidence: the value itself, else the narrowest cohort's median and p10-p90."""
-    known = df.where(usable & F.col(value).isNotNull())
+    used = list(dict.fromkeys(k for keys, _ in levels for k in keys))
+    known = pinned(df.where(usable & F.col(value).isNotNull()).select(*used, value))  # every level reads it
     out, found = df, []
     for k, (keys, least) in enumerate(levels):
         own = cohort_stats(known, value, list(keys), least).select(
@@ -31,11 +33,10 @@ def hierarchical(df: DataFrame, value: str, usable: Column, levels: Sequence[tup
             match = match & (out[c] == own[f"__{k}_{c}"])
         out = out.join(own, match, "left").drop(*(f"__{k}_{c}" for c in keys))
         found.append(F.col(f"__s{k}"))
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9)))
-    whole = known.agg(p.alias("p"), F.count("*").alias("n")).select(
-        F.struct(F.col("p")[0].alias("median"), F.col("p")[1].alias("p10"), F.col("p")[2].alias("p90"), "n", F.lit("global").alias("level")).alias("__all")
-    )
-    out = out.crossJoin(F.broadcast(whole)).withColumn("__best", F.coalesce(*found, F.col("__all")))
+    whole = stats.quantiles(known, [], value, (0.5, 0.1, 0.9)).select(
+        F.struct(F.col("q")[0].alias("median"), F.col("q")[1].alias("p10"), F.col("q")[2].alias("p90"), "n", F.lit("global").alias("level")).alias("__all")
+    )  # one row, none where nothing is known
+    out = out.join(F.broadcast(whole), F.lit(True), "left").withColumn("__best", F.coalesce(*found, F.col("__all")))
     observed = usable & F.col(value).isNotNull()
     best = F.col("__best")
     confidence = peer_confidence(observed, best["n"])
@@ -109,7 +110,7 @@ def out_of_fold(df: DataFrame, key: str, target: str, categorical: Sequence[str]
     for k in range(folds):
         train, test = filled.where(F.col("__fold") != k), filled.where(F.col("__fold") == k)
         model = Pipeline(stages=[*design(categorical, numeric), GBTRegressor(labelCol="__y", maxIter=trees, maxDepth=4, seed=42)]).fit(train)
-        middle = train.agg(F.median(target).alias("baseline"))
+        middle = stats.quantiles(train, [], target, [0.5]).select(F.col("q")[0].alias("baseline"))
         part = model.transform(test).crossJoin(F.broadcast(middle)).select(
             key, target, F.greatest(F.lit(1.0), F.least(F.lit(top), F.expm1("prediction"))).alias("predicted"), "baseline"
         )

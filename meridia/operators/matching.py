@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meridia.functions import stats
+from meridia.functions import stats, text
+from meridia.operators.relational import ensure_checkpoint_dir
 
 MAX_BLOCK = 250  # members of a block that still say something; larger blocks are reported, not paired
 
@@ -20,6 +21,15 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def text_similarity(a: Column, b: Column) -> Column:
+    """The largest of the texts' sequence ratio, that of their sorted words, and the overlap of their words; 0 without a text."""
+    words = lambda c: text.tokens(c)
+    ordered = lambda c: F.array_join(F.array_sort(words(c)), " ")
+    best = F.greatest(sequence_ratio(a, b), sequence_ratio(ordered(a), ordered(b)), text.token_similarity(F.array_distinct(words(a)), F.array_distinct(words(b))))
+    empty = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
+    return F.when(empty, F.lit(0.0)).otherwise(F.round(best, 6))
+
+
 def block_keys(families: dict[str, Column]) -> Column:
     """array of "family:key", unknown keys left out."""
     return F.filter(F.array(*(F.concat(F.lit(f"{k}:"), c) for k, c in families.items())), lambda x: x.isNotNull())
@@ -102,22 +112,11 @@ def clusters(edges: DataFrame, checkpoint: bool = True, most: int = 50) -> DataF
         if not new.where("label <> old").limit(1).count():
             break
         labels = new.select("node", "label")
+    else:
+        raise RuntimeError(f"clusters did not settle in {most} rounds")
     return labels.select("node", F.col("label").alias("cluster"))
 
 
-def ensure_checkpoint_dir(df: DataFrame) -> None:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            import tempfile
-
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="meridia-")
-        spark.sparkContext.setCheckpointDir(root)
-
-
 def cluster_support(labels: DataFrame, edges: DataFrame, score: str) -> DataFrame:
     """Members, links, and least and mean score of each cluster."""
     own = edges.join(labels.withColumnRenamed("node", "left"), "left").groupBy("cluster").agg(

@@ -11,18 +11,14 @@ from meridia.functions import stats
 
 
 def distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """n, mean, sd, quartiles, p95, extremes, population skewness and excess kurtosis of each column."""
-    parts = []
-    for c in columns:
-        p = F.percentile(c, F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75, 0.95))))
-        parts.append(
-            F.struct(
-                F.lit(c).alias("column"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev(c), 6).alias("sd"),
-                F.min(c).cast("double").alias("least"), p[0].alias("p25"), p[1].alias("median"), p[2].alias("p75"), p[3].alias("p95"),
-                F.max(c).cast("double").alias("most"), F.round(F.skewness(c), 4).alias("skew"), F.round(F.kurtosis(c), 4).alias("kurtosis"),
-            ).alias(c)
-        )
-    return df.agg(*parts).select(F.explode(F.array(*(F.col(c) for c in columns))).alias("x")).select("x.*")
+    """n, mean, sd, quartiles, p95, extremes, population skewness and excess kurtosis of each column, in one long pass."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("p")).select("p.*")
+    moments = long.groupBy("column").agg(
+        F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev("x"), 6).alias("sd"), F.min("x").alias("least"), F.max("x").alias("most"),
+        F.round(F.skewness("x"), 4).alias("skew"), F.round(F.kurtosis("x"), 4).alias("kurtosis"),
+    )
+    q = stats.quantiles(long, ["column"], "x", (0.25, 0.5, 0.75, 0.95)).select("column", *(F.col("q")[k].alias(n) for k, n in enumerate(("p25", "median", "p75", "p95"))))
+    return moments.join(q, "column", "left").select("column", "n", "mean", "sd", "least", "p25", "median", "p75", "p95", "most", "skew", "kurtosis")
 
 
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:

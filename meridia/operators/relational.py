@@ -10,6 +10,25 @@ from pyspark.sql import functions as F
 from meridia.functions import stats, text
 
 
+def ensure_checkpoint_dir(df: DataFrame) -> None:
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            import tempfile
+
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="meridia-")
+        spark.sparkContext.setCheckpointDir(root)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint: for frames that several branches of a plan read, so that none computes them again."""
+    ensure_checkpoint_dir(df)
+    return df.checkpoint()
+
+
 def dominant(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, n): each key's most frequent non-blank value; ties go to the smallest."""
     counted = df.where(F.trim(F.coalesce(F.col(value).cast("string"), F.lit(""))) != "").groupBy(key, value).agg(F.count("*").alias("n"))
@@ -36,22 +55,23 @@ def with_group_size(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     return df.withColumn(out, F.count("*").over(Window.partitionBy(*keys)))
 
 
-def distinct_sample(column: str, order: str, limit: int, max_chars: int, sep: str = "; ") -> Column:
-    """First ``limit`` distinct non-blank values by ``order``, joined and cut. Use inside agg.
+def distinct_sample(df: DataFrame, key: str, column: str, order: str, limit: int, max_chars: int, sep: str = "; ") -> DataFrame:
+    """(key, sample): each key's first ``limit`` distinct non-blank values by their first place, joined and cut.
 
-    Only the first place of each value is collected, as one entry of a sorted set.
+    Every value is brought down to its first place before anything is collected, and at most ``limit`` are.
     """
-    pairs = F.array_sort(F.collect_set(F.when(F.trim(F.col(column)) != "", F.struct(F.col(order).alias("o"), F.col(column).alias("v")))))
-    return F.substring(F.array_join(F.slice(F.array_distinct(F.transform(pairs, lambda p: p["v"])), 1, limit), sep), 1, max_chars)
+    firsts = df.where(F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))) != "").groupBy(key, column).agg(F.min(order).alias("__o"))
+    kept = firsts.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__o", column))).where(F.col("__n") <= limit)
+    values = F.transform(F.array_sort(F.collect_list(F.struct("__n", F.col(column).alias("v")))), lambda x: x["v"])
+    return kept.groupBy(key).agg(F.substring(F.array_join(values, sep), 1, max_chars).alias("sample"))
 
 
 def cohort_stats(df: DataFrame, value: str, keys: Sequence[str], least: int) -> DataFrame:
     """n, median, p10, p90 per group of non-null keys that has ``least`` values."""
     for k in keys:
         df = df.where(F.col(k).isNotNull())
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), p.alias("p")).where(F.col("n") >= least)
-    return out.select(*keys, "n", F.col("p")[1].alias("median"), F.col("p")[0].alias("p10"), F.col("p")[2].alias("p90"))
+    out = stats.quantiles(df, keys, value, (0.5, 0.1, 0.9)).where(F.col("n") >= least)
+    return out.select(*keys, "n", F.col("q")[0].alias("median"), F.col("q")[1].alias("p10"), F.col("q")[2].alias("p90"))
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str, value: str) -> DataFrame:

@@ -40,13 +40,16 @@ def explain(df: DataFrame, key: str, signals: dict[str, tuple[Column, Column]])
 def worst_per_cell(df: DataFrame, cell: Column, worst: str, key: str) -> DataFrame:
     """Where several rows fall into one cell the worst stays; ``shade`` scales it over all cells."""
     out = keep_first(df.withColumn("cell", cell), ["cell"], [F.desc_nulls_last(worst), F.asc(key)])
-    return out.withColumn("shade", F.round(stats.min_max(F.col(worst), 0.5), 6))
+    return stats.min_max(out, worst, "shade", 0.5).withColumn("shade", F.round("shade", 6))
 
 
 def centre_fallback(df: DataFrame, points: DataFrame, narrow: str, wide: str) -> DataFrame:
     """Each narrow area's robust centre; of its wide area, else of everything, where it has no points."""
-    mid = lambda k: [F.median("lat").alias(f"lat_{k}"), F.median("lon").alias(f"lon_{k}")]
-    out = df.join(points.groupBy(narrow).agg(*mid("a")), narrow, "left").join(points.groupBy(wide).agg(*mid("b")), wide, "left").crossJoin(F.broadcast(points.agg(*mid("c"))))
+    def middle(keys: list[str], k: str) -> DataFrame:
+        lat, lon = (stats.quantiles(points, keys, c, [0.5]).select(*keys, F.col("q")[0].alias(f"{c}_{k}")) for c in ("lat", "lon"))
+        return lat.join(lon, keys) if keys else lat.crossJoin(lon)  # one row each without keys
+
+    out = df.join(middle([narrow], "a"), narrow, "left").join(middle([wide], "b"), wide, "left").join(F.broadcast(middle([], "c")), F.lit(True), "left")
     source = F.when(F.col("lat_a").isNotNull(), "own").when(F.col("lat_b").isNotNull(), "wide").otherwise("all")
     return out.withColumn("lat", F.coalesce("lat_a", "lat_b", "lat_c")).withColumn("lon", F.coalesce("lon_a", "lon_b", "lon_c")).withColumn("centre_source", source).drop(
         *(f"{x}_{k}" for x in ("lat", "lon") for k in "abc")

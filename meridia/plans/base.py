@@ -17,6 +17,8 @@ def query(name: str, sql: str | None = None):
     """Register a query under a name, with the SQL that states it; {entities} and {regions} stand for those tables."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql.replace("{regions}", f"({REGIONS})").replace("{entities}", f"({ENTITIES})")

@@ -122,15 +122,15 @@ def hierarchical_impute(spark, d):
 def imputer_regression(spark, d):
     """Out-of-fold error of boosted trees against the median of the training folds."""
     parts = table(spark, d, "part").withColumn("p_size", F.col("p_size").cast("double")).select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    oof = impute.out_of_fold(parts, "p_partkey", "p_retailprice", ["p_type"], ["p_size", "p_partkey"]).cache()
+    oof = rel.pinned(impute.out_of_fold(parts, "p_partkey", "p_retailprice", ["p_brand", "p_type"], ["p_size"]))
     a = impute.regression_metrics(oof, "p_retailprice", "predicted").withColumn("model", F.lit("boosted_trees"))
     return a.unionByName(impute.regression_metrics(oof, "p_retailprice", "baseline").withColumn("model", F.lit("fold_median")))
 
 
 @query("calibrated_classifier")
 def calibrated_classifier(spark, d):
-    e = entities(spark, d).select("entity_id", "kind", "operator", "readiness", "semantic_quality", (F.col("readiness") > 0.5).cast("int").alias("label"))
-    out = impute.fit_classifier(e, "entity_id", "label", ["kind", "operator"], ["readiness", "semantic_quality"])
+    e = entities(spark, d).select("entity_id", "kind", "operator", F.col("sources").cast("double").alias("sources"), "km", F.col("gaps").cast("double").alias("gaps"), F.col("trusted").cast("int").alias("label"))
+    out = impute.fit_classifier(e, "entity_id", "label", ["kind", "operator"], ["sources", "km", "gaps"])
     return impute.classification_metrics(out, "label", "score")
 
 
@@ -460,32 +460,3 @@ def reference_cross_check(spark, d):
         F.concat(F.lit("Serves "), F.when(k % 3 == 0, F.lower("n_name")).otherwise("the area"), F.when(k % 6 == 0, " and NATION_1").otherwise(""), F.when(k % 7 == 0, F.concat(F.lit(" x"), "n_name")).otherwise(""), F.lit(".")).alias("evidence"),
     )
     return serve.other_area_named(told, names, "entity_id", "state", "district", "evidence", "other")
-
-
-@query("specialty_rerank", """SELECT district, kind, n, CAST(row_number() OVER (PARTITION BY district ORDER BY (kind = 'MACHINERY') DESC, n DESC, kind) AS BIGINT) AS rank FROM (SELECT district, kind, count(*) AS n FROM {entities} e GROUP BY 1, 2)""")
-def specialty_rerank(spark, d):
-    return rel.rank_within(rel.value_counts(entities(spark, d), ["district", "kind"]), ["district"], [F.desc(F.col("kind") == "MACHINERY"), F.desc("n"), F.asc("kind")], "rank")
-
-
-@query("national_medians", "SELECT median(anaemia) AS anaemia, median(pressure) AS pressure, median(insurance) AS insurance FROM {regions} r")
-def national_medians(spark, d):
-    return regions(spark, d).agg(*(F.median(c).alias(c) for c in ("anaemia", "pressure", "insurance")))
-
-
-@query("top_conditions", """SELECT district, condition, excess, CAST(row_number() OVER (PARTITION BY district ORDER BY excess DESC, condition) AS BIGINT) AS rank FROM (SELECT district, 'pressure' AS condition, pressure - median(pressure) OVER () AS excess FROM {regions} r UNION ALL
- SELECT district, 'sugar', sugar - median(sugar) OVER () FROM {regions} r UNION ALL SELECT district, 'births', births - median(births) OVER () FROM {regions} r) QUALIFY row_number() OVER (PARTITION BY district ORDER BY excess DESC, condition) <= 2""")
-def top_conditions(spark, d):
-    """Each district's two indicators farthest above the national median."""
-    r = regions(spark, d)
-    medians = r.agg(*(F.median(c).alias(f"m_{c}") for c in ("pressure", "sugar", "births")))
-    wide = r.crossJoin(F.broadcast(medians)).select("district", *((F.col(c) - F.col(f"m_{c}")).alias(c) for c in ("pressure", "sugar", "births")))
-    long = rel.unpivot(wide, ["district"], ["pressure", "sugar", "births"], "condition", "excess")
-    return rel.rank_within(long, ["district"], [F.desc("excess"), F.asc("condition")], "rank").where("rank <= 2")
-
-
-@query("reference_cross_check", """SELECT d.doc_id, min(n.n_name) AS other FROM documents d JOIN nation n ON d.doc_id % 25 <> n.n_nationkey AND contains(d.text, 'license') AND n.n_nationkey % 5 = d.doc_id % 5 GROUP BY 1""")
-def reference_cross_check(spark, d):
-    """Texts against the other names of their own block: an equi-join first, the phrase test after it."""
-    docs = table(spark, d, "documents").where(F.col("text").contains("license")).select("doc_id", (F.col("doc_id") % 5).alias("block"), (F.col("doc_id") % 25).alias("own"))
-    names = table(spark, d, "nation").select("n_name", (F.col("n_nationkey") % 5).cast("long").alias("block"), "n_nationkey")
-    return docs.join(names, "block").where("own <> n_nationkey").groupBy("doc_id").agg(F.min("n_name").alias("other"))

@@ -151,19 +151,21 @@ def conditional_counts(spark, d):
   round(avg(l_extendedprice), 4) AS mean_price, round(median(l_extendedprice), 4) AS median_price, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95_price,
   max(l_discount) AS max_discount, round(count(*) FILTER (l_discount > .05) / count(*), 6) AS discounted_rate FROM lineitem GROUP BY 1, 2""")
 def many_measure_agg(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+    keys = ["l_returnflag", "l_linestatus"]
+    lines = table(spark, d, "lineitem").select(*keys, "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+    measures = lines.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("n_suppliers"), F.round(F.sum("l_quantity"), 2).alias("quantity"),
-        F.round(F.avg("l_extendedprice"), 4).alias("mean_price"), F.round(F.median("l_extendedprice"), 4).alias("median_price"),
-        F.round(F.percentile("l_extendedprice", 0.95), 4).alias("p95_price"), F.max("l_discount").alias("max_discount"),
+        F.round(F.avg("l_extendedprice"), 4).alias("mean_price"), F.max("l_discount").alias("max_discount"),
         F.round(stats.share(F.count_if(F.col("l_discount") > 0.05), F.count("*")), 6).alias("discounted_rate"),
     )
+    q = stats.quantiles(lines, keys, "l_extendedprice", (0.5, 0.95))
+    return measures.join(q.select(*keys, F.round(F.col("q")[0], 4).alias("median_price"), F.round(F.col("q")[1], 4).alias("p95_price")), keys)
 
 
 @query("distinct_sample", """SELECT c_nationkey, substr(string_agg(c_mktsegment, '; ' ORDER BY o), 1, 40) AS sample FROM (
   SELECT c_nationkey, c_mktsegment, min(c_custkey) AS o FROM customer GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY min(c_custkey)) <= 4) GROUP BY 1""")
 def distinct_sample(spark, d):
-    firsts = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("o"))
-    return firsts.groupBy("c_nationkey").agg(rel.distinct_sample("c_mktsegment", "o", 4, 40).alias("sample"))
+    return rel.distinct_sample(table(spark, d, "customer"), "c_nationkey", "c_mktsegment", "c_custkey", 4, 40)
 
 
 @query("first_non_null", """SELECT source, min(quality) AS quality, min(lang) AS lang, count(*) AS n, count(quality) AS n_labelled FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")

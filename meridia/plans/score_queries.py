@@ -30,7 +30,7 @@ def scored(spark, d):
     for name in ("trusted", "review", "critical", "contradicted", "plausible", "source"):
         r = r.withColumn(f"{name if name != 'trusted' else 'trust'}_rate", stats.share(F.col(f"{name}_n"), F.col("observed")))
     indicators = ["anaemia", "pressure", "sugar", "insurance", "births"]
-    r = r.cache()  # one row per district; ranking six columns reads it seven times
+    r = rel.pinned(r)  # one row per district; ranking six columns reads it several times
     r = stats.pct_ranks(r, {"observed": "count_pct"} | {c: f"{c}_pct" for c in indicators})
     return scores.district_scores(r.withColumn("need", scores.need_score(["anaemia_pct", "pressure_pct", "sugar_pct"], ["insurance_pct", "births_pct"])))
 
@@ -238,7 +238,8 @@ def wilson_by_district(spark, d):
 def haversine_buckets(spark, d):
     """Records by distance from their district's robust centre."""
     e = entities(spark, d)
-    centre = e.groupBy("district").agg(F.median("lat").alias("clat"), F.median("lon").alias("clon"))
+    lat, lon = (stats.quantiles(e, ["district"], c, [0.5]).select("district", F.col("q")[0].alias(f"c{c}")) for c in ("lat", "lon"))
+    centre = lat.join(lon, "district")
     km = stats.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
     far = e.join(centre, "district").withColumn("km", km)
     bucket = F.when(F.col("km") > 250, "far").when(F.col("km") > 50, "moderate").otherwise("plausible")
@@ -249,7 +250,7 @@ def haversine_buckets(spark, d):
  round((count(*) - min(count(*)) OVER ()) / (max(count(*)) OVER () - min(count(*)) OVER ()), 6) AS scaled FROM {entities} e WHERE lat IS NOT NULL GROUP BY 1""")
 def grid_cells(spark, d):
     cells = entities(spark, d).where("lat is not null").groupBy(stats.grid_cell(F.col("lat"), F.col("lon"), 2).alias("cell")).agg(F.count("*").alias("n"), F.round(F.avg("readiness"), 6).alias("readiness"))
-    return cells.withColumn("scaled", F.round(stats.min_max(F.col("n")), 6))
+    return stats.min_max(cells, "n", "scaled").withColumn("scaled", F.round("scaled", 6))
 
 
 @query("scenario_rows", """SELECT district, round(100 * trusted_n / observed, 4) AS before, round(least(20 * (1 - trusted_n / observed), 18), 4) AS improvement,
@@ -326,9 +327,9 @@ def uncertainty_queue(spark, d):
     """The 500 records where more evidence would reduce planning uncertainty most."""
     from meridia.operators import impute
 
-    e = placed(spark, d)
+    e = rel.pinned(placed(spark, d))
     for c in ("capacity", "doctors"):  # estimated apart, from the few columns it takes
-        known = entities(spark, d).select("entity_id", "kind", "operator", "state", c, f"{c}_outlier")
+        known = e.select("entity_id", "kind", "operator", "state", c, f"{c}_outlier")
         width = stats.relative_width(F.col("low"), F.col("high"), F.col("estimate"))
         e = e.join(impute.hierarchical(known, c, ~F.col(f"{c}_outlier")).select("entity_id", width.alias(f"{c}_width")), "entity_id")
     segment = e.groupBy("kind", "operator", "state").agg(F.count("*").alias("segment_n")).select(*(F.col(k).alias(f"s_{k}") for k in ("kind", "operator", "state")), "segment_n")

@@ -64,7 +64,7 @@ def test_posterior_bounds_and_monotony(spark):
 def test_conformal_set_of_small_samples(spark):
     df = spark.createDataFrame([(i, i / 10, True) for i in range(10)], "k int, p double, y boolean")
     r = scores.conformal(df, "k", "p", "y").first()
-    assert 0.05 <= r.q <= 0.95 and r.q + 0.05 <= r.stale_q + 1e-9 and r.n_calibration + r.n_evaluation == 10
+    assert 0.05 <= r.q <= 0.95 and min(0.99, r.q + 0.05) <= r.stale_q + 1e-9 and r.n_calibration + r.n_evaluation == 10
 
 
 def test_blocks_beyond_the_cap_are_reported(spark):
