@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm._shared import (
-    NULL_ID, components, document_key, drop_settled, fresh, lower_ascii, mix64, read_table, settle, signed, text_slices, window_hashes, word_hashes,
+    NULL_ID, components, document_key, drop_settled, fresh, lean, lower_ascii, mix64, read_table, settle, signed, text_slices, window_hashes, word_hashes,
 )
 from meridia.llm.sketch import PartitionSketch, Repeats, Shape, broadcast_repeats, merge_parts
 
@@ -72,6 +72,7 @@ _PASS1_ARROW = pa.schema(
 def _digest_and_sketch(n: int, shape: Shape):
     """Rows of two kinds: a document's digest, or a part of the partition's sketch."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = PartitionSketch(shape)
 
@@ -125,6 +126,7 @@ def prefix_of(own: np.ndarray, repeats: Repeats, percent: int) -> tuple[np.ndarr
 def _index(n: int, percent: int, load):
     """The sets that may have a partner: prefix postings, outline (bins of the prefix, histogram) and hashes; equal sets of a lot once."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = load()
         best: dict[tuple[int, int], tuple] = {}
@@ -201,6 +203,7 @@ def _jaccard(x: bytes, y: bytes, percent: int) -> bool:
 def _filtered(pairs: DataFrame, sides: DataFrame, columns: list[str], test) -> DataFrame:
     """The pairs (a, b) that pass ``test(row)``, each joined to ``columns`` of its two sides; row as (pair's columns, a's, b's)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stay = [test(r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]

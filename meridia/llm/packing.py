@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import read_table, text_slices, worker_cache
+from meridia.llm._shared import lean, read_table, text_slices, worker_cache
 
 WINDOW = 4096
 END_ID = 2
@@ -167,6 +167,7 @@ def token_pieces(docs: DataFrame, id_column: str, text_column: str, tokenizer: s
     """Every document's ids and the end id, cut into full windows and a tail: (doc_id, start, length, ids_crc32, doc_tokens)."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load_words(tokenizer)
         for batch in batches:

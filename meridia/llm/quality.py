@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import drop_settled, read_table, settle, text_slices
+from meridia.llm._shared import drop_settled, lean, read_table, settle, text_slices
 
 MAX_POSITIVES = 40_000  # defaults of ``fit``: rows that weights are fitted on, drawn evenly by hash
 MAX_UNLABELLED = 80_000
@@ -73,6 +73,7 @@ def stored_features(texts: list[bytes]) -> np.ndarray:
 def feature_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, x): the features of every text as 16-bit floats."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch.column(1)):
@@ -180,6 +181,7 @@ def _draw(df: DataFrame, most: int) -> np.ndarray:
 def score_histogram(table: DataFrame, model: Model) -> np.ndarray:
     """How many rows score in each of BINS bins of the model's logit rank, over all rows."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, dtype=np.int64)
         for batch in batches:
@@ -232,6 +234,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table = settle(feature_table(docs, "doc_id", "text"), "features")
     model = fit(table, labels)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = score_column(model, as_matrix(batch.column(1).to_pylist()))
@@ -254,6 +257,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = docs.schema
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch.column(at)):

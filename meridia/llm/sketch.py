@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meridia.llm._shared import drop_settled, settle, worker_cache
+from meridia.llm._shared import drop_settled, lean, settle, worker_cache
 
 ROWS_AT_ONCE = 1_000_000  # hashes that a partition gathers before it sends them
 
@@ -29,7 +29,7 @@ ROWS_AT_ONCE = 1_000_000  # hashes that a partition gathers before it sends them
 class Shape:
     """Two rows of 2**log2_width counters in blocks of 2**log2_block; 2 * 2**log2_width / 8 bytes of bits."""
 
-    log2_width: int = 29
+    log2_width: int = 28
     log2_block: int = 23
     depth: int = 2
     log2_coarse: int = 22
@@ -142,6 +142,7 @@ def merge_parts(parts: DataFrame, shape: Shape, with_counts: bool) -> DataFrame:
     size = 1 << shape.log2_block
     fold = 1 << (shape.log2_width - shape.log2_coarse)  # neighbouring counters share a coarse one
 
+    @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, counters = None, np.zeros(0, dtype=np.uint8)
 
@@ -170,7 +171,7 @@ def broadcast_repeats(merged: DataFrame, shape: Shape, with_counts: bool) -> Cal
     """Broadcast a merged sketch. At most 2 * 2**log2_width / 8 bytes pass the driver, compressed; each Python
     worker unpacks them once and keeps them for later tasks of the same query."""
     merged = settle(merged, "sketch")
-    rows = [(r.part, bytes(r.bits), bytes(r.coarse)) for r in merged.collect()]
+    rows = [(r.part, bytes(r.bits), bytes(r.coarse)) for r in merged.toLocalIterator()]
     drop_settled(merged)
     sent = merged.sparkSession.sparkContext.broadcast(rows)
     name = uuid.uuid4().hex

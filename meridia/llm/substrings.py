@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import document_key, mix64, read_table, signed, text_slices, window_hashes, word_hashes
+from meridia.llm._shared import document_key, lean, mix64, read_table, signed, text_slices, window_hashes, word_hashes
 from meridia.llm.sketch import PartitionSketch, Shape, broadcast_repeats, merge_parts
 
 WINDOW = 20
@@ -32,6 +32,7 @@ def _windows(texts: list[bytes], n: int, which: int = 0) -> tuple[np.ndarray, np
 
 
 def _sketch(n: int, shape: Shape):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = PartitionSketch(shape)
 
@@ -83,6 +84,7 @@ def _settle_lot(hashes: np.ndarray, check: np.ndarray, at: np.ndarray, docs: np.
 
 
 def _candidates(n: int, load):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = load()
         lot, rows, held = [], 0, 0
@@ -114,7 +116,7 @@ def repeated_places(docs: DataFrame, n: int = WINDOW, shape: Shape | None = None
     """(doc, tie, start, run): windows start .. start + run - 1 of a document whose words also start earlier.
 
     ``docs`` has doc and tie (``document_key``) and text, none of them null. Windows are told apart by 96 bits of two
-    independent hashes. The sketch of shape ``shape`` (128 MiB of bits by default) is all that is broadcast; more
+    independent hashes. The sketch of shape ``shape`` (64 MiB of bits by default) is all that is broadcast; more
     windows than it can tell apart make the exact grouping larger, never wrong.
     """
     shape = shape or Shape()
@@ -144,6 +146,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     of their texts' hashes; documents without id come after all others; empty tables give no rows.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
