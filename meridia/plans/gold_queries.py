@@ -110,10 +110,10 @@ _COUNTS = ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in MEASURES.items()
 _RATES = ", ".join(f"round({n} / observed, 6) AS {n}_rate" for n in MEASURES)
 
 
-@query("district_measures", f"SELECT *, {_RATES} FROM (SELECT district, state, count(*) AS observed, {_COUNTS}, round(avg(readiness), 6) AS mean_readiness, round(avg(supply_confidence), 6) AS mean_supply, round(avg(semantic_quality), 6) AS mean_semantic, round(avg(join_confidence), 6) AS mean_join, round(avg(gaps), 6) AS mean_gaps, max(gaps) AS most_gaps, round(avg(km), 6) AS mean_km, count(DISTINCT pin) AS n_pins, count(DISTINCT kind) AS n_kinds FROM {{entities}} e GROUP BY 1, 2)")
+@query("district_measures", f"SELECT *, {_RATES} FROM (SELECT district, state, count(*) AS observed, {_COUNTS}, round(CAST(avg(readiness) AS DECIMAL(24, 8)), 6)::DOUBLE AS mean_readiness, round(CAST(avg(supply_confidence) AS DECIMAL(24, 8)), 6)::DOUBLE AS mean_supply, round(CAST(avg(semantic_quality) AS DECIMAL(24, 8)), 6)::DOUBLE AS mean_semantic, round(CAST(avg(join_confidence) AS DECIMAL(24, 8)), 6)::DOUBLE AS mean_join, round(CAST(avg(gaps) AS DECIMAL(24, 8)), 6)::DOUBLE AS mean_gaps, max(gaps) AS most_gaps, round(CAST(avg(km) AS DECIMAL(24, 8)), 6)::DOUBLE AS mean_km, count(DISTINCT pin) AS n_pins, count(DISTINCT kind) AS n_kinds FROM {{entities}} e GROUP BY 1, 2)")
 def district_measures(spark, d):
     """Counts of all conditions on records, their rates, and means, of every district, from one aggregation."""
-    mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
+    mean = lambda c, n: stats.half_up(F.avg(c), 6).alias(n)
     out = entities(spark, d).groupBy("district", "state").agg(
         F.count("*").alias("observed"), *(F.count_if(F.expr(c)).alias(n) for n, c in MEASURES.items()), mean("readiness", "mean_readiness"), mean("supply_confidence", "mean_supply"),
         mean("semantic_quality", "mean_semantic"), mean("join_confidence", "mean_join"), mean("gaps", "mean_gaps"), F.max("gaps").alias("most_gaps"), mean("km", "mean_km"),
