@@ -148,11 +148,16 @@ def text_slices(column: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int,
         start = end
 
 
-def lean(run: Callable) -> Callable:
-    """A batch function after which the worker gives freed memory back, so that idle workers stay small."""
+def lean(run: Callable, owner: str | None = None) -> Callable:
+    """A batch function after which the worker gives freed memory back, so that idle workers stay small.
+
+    With ``owner`` it also drops what others than that owner keep in the worker, before it starts.
+    """
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if owner is not None:
+            worker_cache(owner)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim

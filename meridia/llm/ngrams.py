@@ -17,6 +17,7 @@ components is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from meridia.llm.sketch import PartitionSketch, Repeats, Shape, broadcast_repeat
 SHINGLE = 5
 PERCENT = 75
 SETS_AT_ONCE = 16_000_000  # bytes of sets that a task compares among themselves before it sends them
+SKETCH = Shape(log2_width=28)  # 64 MiB of bits: false repeats only lengthen postings here
 BINS = 64  # of the suffix filter's histograms, by the highest bits of the hashes
 PAIR_ROWS = 256  # pairs with their sets that a verifying task reads at once
 OUTLINE_ROWS = 4096
@@ -203,7 +205,7 @@ def _jaccard(x: bytes, y: bytes, percent: int) -> bool:
 def _filtered(pairs: DataFrame, sides: DataFrame, columns: list[str], test) -> DataFrame:
     """The pairs (a, b) that pass ``test(row)``, each joined to ``columns`` of its two sides; row as (pair's columns, a's, b's)."""
 
-    @lean
+    @partial(lean, owner="pairs")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stay = [test(r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
@@ -276,7 +278,7 @@ def ngram_join(
     a link reaches an id. Empty tables give no rows. Only the two columns are read.
     With ``keep_keys`` rows are (doc, tie, n_shingles, head): keys as in ``document_key`` and the component's first key.
     """
-    shape = shape or Shape()
+    shape = shape or SKETCH
     doc, tie = document_key(id_column, text_column)
     rows = docs.select(doc.alias("doc"), tie.alias("tie"), F.col(text_column).alias("text"))
     first = settle(rows.mapInArrow(_digest_and_sketch(n, shape), _PASS1), "digests")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,7 @@ def stored_features(texts: list[bytes]) -> np.ndarray:
 def feature_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, x): the features of every text as 16-bit floats."""
 
-    @lean
+    @partial(lean, owner="quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch.column(1)):
@@ -181,7 +182,7 @@ def _draw(df: DataFrame, most: int) -> np.ndarray:
 def score_histogram(table: DataFrame, model: Model) -> np.ndarray:
     """How many rows score in each of BINS bins of the model's logit rank, over all rows."""
 
-    @lean
+    @partial(lean, owner="quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, dtype=np.int64)
         for batch in batches:
@@ -234,7 +235,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table = settle(feature_table(docs, "doc_id", "text"), "features")
     model = fit(table, labels)
 
-    @lean
+    @partial(lean, owner="quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = score_column(model, as_matrix(batch.column(1).to_pylist()))
@@ -257,7 +258,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = docs.schema
     at = docs.columns.index("text")
 
-    @lean
+    @partial(lean, owner="quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch.column(at)):
