@@ -119,9 +119,13 @@ def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {n: table(spark, sf_dir, n) for n in ("customer", "nation", "region")}
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = RAW.replace("FROM customer JOIN nation ", "FROM {customer} JOIN {nation} ").replace("JOIN region ", "JOIN {region} ")
-    return evidence.derive(spark.sql(raw, **_views(spark, sf_dir)))
+    return spark.sql(raw, **_views(spark, sf_dir))
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.derive(raw_entities(spark, sf_dir))
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
