@@ -51,8 +51,8 @@ def _draw(key: Column, level: int, node: Column) -> Column:
 
 def _first_child(key: Column, level: int, first: Column, n: int) -> Column:
     """The child with the smallest draw among n from ``first`` on."""
-    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(_draw(key, level, first + i).alias("draw"), (first + i).alias("node")))
-    return F.array_min(draws)["node"]
+    draws = (F.struct(_draw(key, level, first + i).alias("draw"), (first + i).alias("node")) for i in range(n))
+    return F.array_min(F.array(*draws))["node"]
 
 
 def _common_weight(weights: dict[int, float], first: int, n: int) -> float | None:
@@ -85,8 +85,8 @@ def _waits(key: Column, weights: dict[int, float], p: int, q: int) -> list[tuple
     return out
 
 
-def descend(key: Column, leaves: list[Leaf], per_rack: int = PER_RACK, racks_per_region: int = RACKS_PER_REGION) -> Column:
-    """struct(region, rack, shard) that a key comes to; leaves of no weight take nothing."""
+def competition(key: Column, leaves: list[Leaf], per_rack: int = PER_RACK, racks_per_region: int = RACKS_PER_REGION) -> Column:
+    """struct(wait, level, node) of what waits least; leaves of no weight take nothing."""
     for x in leaves:
         if x.rack != x.shard // per_rack or x.region != x.rack // racks_per_region:
             raise ValueError(f"{x} does not stand where trees of {racks_per_region} racks of {per_rack} have it")
@@ -94,22 +94,23 @@ def descend(key: Column, leaves: list[Leaf], per_rack: int = PER_RACK, racks_per
     if not weights:
         raise ValueError("a tree needs a shard with weight")
     waits = _waits(key, weights, per_rack, racks_per_region)
-    all_waits = F.array(*(F.struct(w.alias("wait"), F.lit(level).alias("level"), F.lit(node).alias("node")) for w, level, node in waits))
-    won = F.array_min(all_waits)
-    level, node = won["level"], won["node"]
-    rack = F.when(level == REGION, _first_child(key, RACK, node * racks_per_region, racks_per_region)).when(level == RACK, node).otherwise(F.floor(node / per_rack).cast("int"))
-    shard = F.when(level == SHARD, node).otherwise(_first_child(key, SHARD, rack * per_rack, per_rack))
-    return F.struct(F.floor(rack / racks_per_region).cast("int").alias("region"), rack.alias("rack"), shard.alias("shard"))
+    return F.array_min(F.array(*(F.struct(w.alias("wait"), F.lit(level).alias("level"), F.lit(node).alias("node")) for w, level, node in waits)))
 
 
 def assign_shards(df: DataFrame, key: str, leaves: list[Leaf], prefix: str = "", per_rack: int = PER_RACK, racks_per_region: int = RACKS_PER_REGION) -> DataFrame:
-    """Add region, rack and shard to every row. Null keys are one key like any other; equal keys share a shard."""
-    place = descend(F.coalesce(F.col(key).cast("string"), F.lit("")), leaves, per_rack, racks_per_region)
-    (held,) = fresh(df, "place")
-    out = df.withColumn(held, place)
-    for level in ("region", "rack", "shard"):
-        out = out.withColumn(prefix + level, F.col(f"{held}.{level}"))
-    return out.drop(held)
+    """Add region, rack and shard to every row. Null keys are one key like any other; equal keys share a shard.
+
+    Each level is a projection of its own, so a row draws for its own nodes only, once.
+    """
+    won, name = fresh(df, "won", "name")
+    out = df.withColumn(name, F.coalesce(F.col(key).cast("string"), F.lit("")))
+    out = out.withColumn(won, competition(F.col(name), leaves, per_rack, racks_per_region))
+    level, node = F.col(f"{won}.level"), F.col(f"{won}.node")
+    inside = _first_child(F.col(name), RACK, node * racks_per_region, racks_per_region)
+    out = out.withColumn(prefix + "rack", F.when(level == REGION, inside).when(level == RACK, node).otherwise(F.floor(node / per_rack).cast("int")))
+    inside = _first_child(F.col(name), SHARD, F.col(prefix + "rack") * per_rack, per_rack)
+    out = out.withColumn(prefix + "shard", F.when(level == SHARD, node).otherwise(inside))
+    return out.withColumn(prefix + "region", F.floor(F.col(prefix + "rack") / racks_per_region).cast("int")).drop(won, name)
 
 
 def number_slots(df: DataFrame, shard: str, shards: int, slot: str, rows: int) -> DataFrame:
