@@ -196,3 +196,36 @@ def geo_precheck(city: Column, district: Column, state: Column, pin_state: Colum
     }
     reasons = text.codes(checks)
     return {"reasons": F.array_join(reasons, ";"), "status": F.coalesce(F.get(reasons, F.lit(0)), F.lit("fuzzy_ok"))}
+
+
+def queue_summary(df: DataFrame, by: Sequence[str], value: str, levels: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """(part, name, n, q): how many rows of a queue each code has, for several columns of codes, and the quantiles of its priority."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("part"), F.col(c).cast("string").alias("name")) for c in by))).alias("x")).select("x.*")
+    counts = long.groupBy("part", "name").agg(F.count("*").alias("n"))
+    spread = stats.quantiles(df, [], value, levels).select(F.lit(value).alias("part"), F.lit("quantiles").alias("name"), "n", F.transform("q", lambda x: F.round(x, 6)).alias("q"))
+    return counts.unionByName(spread, allowMissingColumns=True)
+
+
+def field_facts(sections: dict[str, Column]) -> Column:
+    """array(struct(field, items, length, status)): how much each text field says."""
+    facts = []
+    for name, c in sections.items():
+        items = F.size(text.semantic_items(c)).cast("long")
+        facts.append(
+            F.struct(F.lit(name).alias("field"), items.alias("items"), F.length(F.coalesce(c, F.lit(""))).cast("long").alias("length"),
+                     F.when(items > 0, "observed_claim").otherwise("missing_semantic").alias("status"))
+        )
+    return F.array(*facts)
+
+
+def list_facts(c: Column) -> dict[str, Column]:
+    """How many values a list written as text has, and its first."""
+    values = text.parse_list(c)
+    return {"n_values": F.size(values).cast("long"), "first_value": F.get(values, F.lit(0))}
+
+
+def by_either_key(df: DataFrame, areas: DataFrame, known: Column, first: Column, second: Column, area_key: str, columns: Sequence[str]) -> DataFrame:
+    """Left join to ``areas`` by one of two names: the first where it is known, else the second; both folded."""
+    folded = areas.select(text.key_compact(F.col(area_key)).alias("__area"), *columns)
+    key = text.key_compact(F.when(known, first).otherwise(second))
+    return df.withColumn("__area", key).join(folded, "__area", "left").drop("__area")

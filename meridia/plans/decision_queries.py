@@ -290,7 +290,7 @@ _SECTIONS = _strings(claims.SECTIONS)
 _NOT_NULL = "list_filter([{}], lambda x: x IS NOT NULL)"
 
 
-@query("claim_rules", rf"""WITH p AS ({PLACED}), rules AS (SELECT * FROM (VALUES {_RULES}) t(category, level, weight, fields, terms, generic)),
+CLAIMS = rf"""WITH p AS ({PLACED}), rules AS (SELECT * FROM (VALUES {_RULES}) t(category, level, weight, fields, terms, generic)),
 s AS (SELECT *, list_transform(range(5), lambda k: coalesce({_NORMAL.format("string_split(trim(claim_text), ' | ')[k + 1]")}, '')) AS found, coalesce(need, 0) AS n0, coalesce(priority, 0) AS p0, coalesce(has_source, false) AS src, coalesce(has_contact, false) AS con FROM p),
 b AS (SELECT entity_id, {_NOT_NULL.format(_BROAD)} AS broad FROM (SELECT entity_id, array_to_string(list_filter(found, lambda x: x <> ''), ' ') AS whole FROM s)),
 sec AS (SELECT entity_id, unnest(range(5)) AS k, unnest(found) AS t FROM s), m AS (SELECT t, category, term FROM (SELECT DISTINCT t FROM sec), (SELECT category, unnest(terms) AS term FROM rules) WHERE regexp_matches(t, '\b' || term || '\b')),
@@ -309,7 +309,10 @@ SELECT entity_id, category, level, status, verify, CASE WHEN status = 'broad_or_
   WHEN verify THEN 'verify_source_evidence' WHEN status = 'missing' THEN 'monitor_missing_local_evidence' ELSE 'accept_observed_proxy' END AS action,
  round(CAST(least(100, greatest(0, 8 + 7 * (status <> 'missing')::INT + 10 * (status = 'broad_or_ambiguous')::INT + 20 * weight + 12 * verify::INT + 8 * needs_review::INT + 7 * (NOT trusted)::INT + 6 * (NOT src)::INT + 4 * (NOT has_website)::INT + 4 * (NOT con)::INT + 14 * p0 + 12 * n0
   + 8 * greatest(0, 1 - semantic_quality) + 12 * urgent::INT)) AS DECIMAL(24, 8)), 3)::DOUBLE AS priority,
- array_to_string(reasons, '|') AS reasons, array_to_string(matched, '|') AS fields, array_to_string(keywords, '|') AS keywords, array_to_string(broad, '|') AS broad FROM v""")
+ array_to_string(reasons, '|') AS reasons, array_to_string(matched, '|') AS fields, array_to_string(keywords, '|') AS keywords, array_to_string(broad, '|') AS broad FROM v"""
+
+
+@query("claim_rules", CLAIMS)
 def claim_rules(spark, d):
     """Twelve service categories against five sections of every record's claims."""
     return claims.claim_queue(placed(spark, d), "entity_id")

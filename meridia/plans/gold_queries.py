@@ -8,9 +8,9 @@ from meridia.functions import stats
 from meridia.operators import relational as rel
 from meridia.operators import remediate, reports, scores
 from meridia.plans.base import entities, query, table
-from meridia.plans.decision_queries import _LOW_RISK, MASKED, ev_recommender
+from meridia.plans.decision_queries import _LOW_RISK, CLAIMS, MASKED, TIERED, _tiered, claim_rules, ev_recommender
 from meridia.plans.measures import MEASURES
-from meridia.plans.score_queries import _CONF, _PRIORITY, POSTERIORS, SCORED, placed, scored
+from meridia.plans.score_queries import _CONF, _PRIORITY, PLANNED, POSTERIORS, SCORED, placed, scored
 
 _SUMMARY_CASES = ", ".join(f"('{d}', '{i}', '{m}', '{a}', '{s}')" for d, i, m, a, s in reports.SUMMARY)
 _SUMMARY_SQL = (
@@ -165,3 +165,58 @@ def geo_candidates(spark, d):
 def blank_to_null(spark, d):
     e = entities(spark, d).select("entity_id", F.split("claim_text", r" \| ")[0].alias("description"))
     return reports.blank_to_null(e).agg(F.count("*").alias("n"), F.count("description").alias("described"))
+
+
+@query("claim_summary", f"""WITH q AS (SELECT * FROM ({CLAIMS})) SELECT 'status' AS part, status AS name, count(*) AS n, NULL::DOUBLE[] AS q FROM q GROUP BY 2 UNION ALL SELECT 'action', action, count(*), NULL FROM q GROUP BY 2 UNION ALL SELECT 'level', level, count(*), NULL FROM q GROUP BY 2
+ UNION ALL SELECT 'priority', 'quantiles', count(*), list_transform(quantile_cont(priority, [0, .25, .5, .75, 1]), lambda x: round(x, 6)) FROM q""")
+def claim_summary(spark, d):
+    """Counts by status, action and level of the claim queue, and the spread of its priorities."""
+    return reports.queue_summary(rel.pinned(claim_rules(spark, d)), ["status", "action", "level"], "priority")
+
+
+@query("field_facts", r"""SELECT entity_id, u.field AS field, CAST(u.t <> '' AS INT)::BIGINT AS items, length(u.t) AS length, CASE WHEN u.t <> '' THEN 'observed_claim' ELSE 'missing_semantic' END AS status FROM (
+ SELECT entity_id, unnest([{'field': 'description', 't': p[1]}, {'field': 'specialties', 't': p[2]}, {'field': 'equipment', 't': p[4]}]) AS u FROM (SELECT entity_id, string_split(claim_text, ' | ') AS p FROM {entities} e))""")
+def field_facts(spark, d):
+    part = lambda k: F.get(F.split("claim_text", r" \| "), F.lit(k))
+    facts = reports.field_facts({"description": part(0), "specialties": part(1), "equipment": part(3)})
+    return entities(spark, d).select("entity_id", F.explode(facts).alias("f")).select("entity_id", "f.*")
+
+
+@query("list_facts", """SELECT entity_id, CASE entity_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END::BIGINT AS n_values, CASE entity_id % 3 WHEN 0 THEN kind WHEN 1 THEN 'a' END AS first_value FROM {entities} e""")
+def list_facts(spark, d):
+    k = F.col("entity_id")
+    written = F.when(k % 3 == 0, F.concat(F.lit('["'), "kind", F.lit('", "b"]'))).when(k % 3 == 1, "a, b; 'c'").otherwise("")
+    return entities(spark, d).select("entity_id", *(c.alias(n) for n, c in reports.list_facts(written).items()))
+
+
+@query("coalesced_join", """SELECT entity_id, n_nationkey AS area_key FROM (SELECT entity_id, CASE WHEN pin_known THEN district ELSE CASE WHEN entity_id % 2 = 0 THEN upper(replace(district, '_', ' ')) ELSE 'nowhere' END END AS k FROM {entities} e)
+ LEFT JOIN nation ON regexp_replace(lower(n_name), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(k), '[^a-z0-9]+', '', 'g')""")
+def coalesced_join(spark, d):
+    """Records joined to their area by the PIN's name where the PIN is known, else by the address's, and back to rows."""
+    address = F.when(F.col("entity_id") % 2 == 0, F.upper(F.replace("district", F.lit("_"), F.lit(" ")))).otherwise("nowhere")
+    areas = table(spark, d, "nation").select("n_name", F.col("n_nationkey").alias("area_key"))
+    return reports.by_either_key(entities(spark, d), areas, F.col("pin_known"), F.col("district"), address, "n_name", ["area_key"]).select("entity_id", "area_key")
+
+
+@query("verifiable_deserts", f"""WITH p AS (SELECT *, CASE WHEN category = 'real_desert_candidate' THEN 'deploy' WHEN category IN ('phantom_desert_or_verification_gap', 'supply_record_quality_problem') THEN 'verify' ELSE 'other' END AS subset FROM ({PLANNED}))
+SELECT subset, district, round(care_gap, 6) AS care_gap, CAST(place AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY care_gap DESC, district) AS place FROM p) WHERE place <= 5""")
+def verifiable_deserts(spark, d):
+    """The five widest gaps of districts to deploy in, to verify first, and of the rest."""
+    category = F.col("category")
+    subset = F.when(category == "real_desert_candidate", "deploy").when(category.isin("phantom_desert_or_verification_gap", "supply_record_quality_problem"), "verify").otherwise("other")
+    p = scores.planning_category(scored(spark, d)).select(subset.alias("subset"), "district", "care_gap")
+    placed_rows = rel.rank_within(p, ["subset"], [F.desc("care_gap"), F.asc("district")], "place").where("place <= 5")
+    return placed_rows.select("subset", "district", F.round("care_gap", 6).alias("care_gap"), "place")
+
+
+@query("monitoring_rates", f"""SELECT round(avg(needs_review::INT), 6) AS review_rate, round(avg((c < .4)::INT), 6) AS low_confidence_rate, round(avg(trusted::INT), 6) AS passed_rate FROM (SELECT needs_review, trusted, {_CONF} AS c FROM {{entities}} e)""")
+def monitoring_rates(spark, d):
+    rate = lambda c, n: F.round(F.avg(c.cast("double")), 6).alias(n)
+    return entities(spark, d).agg(rate(F.col("needs_review"), "review_rate"), rate(scores.provider_confidence() < 0.4, "low_confidence_rate"), rate(F.col("trusted"), "passed_rate"))
+
+
+@query("tiered_pairs", f"SELECT l AS left, r AS right, tier, score, CAST(row_number() OVER (ORDER BY tier, score DESC, l, r) AS BIGINT) AS place FROM ({TIERED}) WHERE tier IS NOT NULL ORDER BY tier, score DESC, l, r LIMIT 100")
+def tiered_pairs(spark, d):
+    """The surest candidate pairs: tier first, then score, then ids."""
+    pairs = _tiered(spark, d).where("tier is not null").select("left", "right", "tier", "score")
+    return rel.top(pairs, [F.asc("tier"), F.desc("score"), F.asc("left"), F.asc("right")], 100, "place")
