@@ -23,7 +23,8 @@ from meridia.llm._shared import lean, read_table, text_slices, worker_cache
 WINDOW = 4096
 END_ID = 2
 GROUP_ROWS = 4096
-CACHE = 1_000_000  # words whose ids a Python worker keeps before it tidies up
+CACHE = 400_000  # words whose ids a Python worker keeps before it tidies up
+LONGEST = 24  # characters of a word that is worth remembering
 SLICE = 2_000_000  # bytes of text that a worker holds as Python objects
 
 # ------------------------------------------------------------------- packing
@@ -123,12 +124,15 @@ class WordIds(dict):
     def piece(self, piece: str) -> bytes:
         signs = piece if piece.isascii() else "".join(map(_SIGNS.__getitem__, piece.encode()))
         ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-        self.pieces[piece] = ids
+        if len(piece) <= LONGEST:
+            self.pieces[piece] = ids
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
         known, piece = self.pieces, self.piece
-        ids = self[chunk] = b"".join([known.get(p) or piece(p) for p in _PIECE.findall(chunk)])
+        ids = b"".join([known.get(p) or piece(p) for p in _PIECE.findall(chunk)])
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
         return ids
 
     def trim(self) -> None:
