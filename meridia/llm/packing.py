@@ -110,7 +110,7 @@ _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[
 
 
 class WordIds(dict):
-    """Ids of chunks without white space, remembered.
+    """Ids of chunks without white space, and of their pieces (a piece's ids are those of a chunk of that piece alone), remembered.
 
     The tokenizer composes (NFC), lower-cases, drops white space, cuts at class changes and merges within each
     piece by itself. So a plain text's ids are those of its chunks' pieces in turn, each merged by the tokenizer's
@@ -119,29 +119,31 @@ class WordIds(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.model, self.pieces = tokenizer, tokenizer.model, {}
+        self.tokenizer, self.model = tokenizer, tokenizer.model
 
     def piece(self, piece: str) -> bytes:
         signs = piece if piece.isascii() else "".join(map(_SIGNS.__getitem__, piece.encode()))
         ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
         if len(piece) <= LONGEST:
-            self.pieces[piece] = ids
+            self[piece] = ids
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        known, piece = self.pieces, self.piece
-        ids = b"".join([known.get(p) or piece(p) for p in _PIECE.findall(chunk)])
+        parts = _PIECE.findall(chunk)
+        if len(parts) == 1:
+            return self.piece(chunk)
+        known, piece = self.get, self.piece
+        ids = b"".join([known(p) or piece(p) for p in parts])
         if len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
 
     def trim(self) -> None:
-        """Forget what a full memory holds of long chunks, and all of it where short ones alone fill half."""
-        for held in (self, self.pieces):
-            if len(held) > CACHE:  # short words are the common ones
-                short = {c: ids for c, ids in held.items() if len(c) <= 8}
-                held.clear()
-                held.update(short if len(short) <= CACHE // 2 else {})
+        """Forget what a full memory holds of long words, and all of it where short ones alone fill half."""
+        if len(self) > CACHE:  # short words are the common ones
+            short = {c: ids for c, ids in self.items() if len(c) <= 8}
+            self.clear()
+            self.update(short if len(short) <= CACHE // 2 else {})
 
 
 def batch_ids(texts: list[str], words: WordIds) -> Iterator[bytes]:
