@@ -84,7 +84,7 @@ def evidence(df: DataFrame) -> DataFrame:
             "posture": F.when(conflict, "contradicted_or_geo_invalid").when(F.col("trusted") & ~review, "passed_proxy_checks").when(review, "needs_review").otherwise("unknown"),
             "action": F.when(conflict, "verify_location_before_use").when(review, "source_enrichment_or_manual_review").otherwise("use_as_proxy_only"),
             "abstain": F.when(conflict, "source_or_geography_conflict").otherwise("no_tier_a_or_b_corroborated_label"),
-            "confidence": F.round(stats.clip01(confidence) + 1e-9, 4),
+            "confidence": stats.half_up(stats.clip01(confidence), 4),
         }
     )
 

@@ -51,10 +51,15 @@ def block_report(spark, d):
     return matching.block_report(table(spark, d, "supplier"), _supplier_blocks(), 5)
 
 
-@query("shared_contacts", r"""WITH c AS (SELECT DISTINCT doc_id AS id, lower(unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1))) AS contact FROM documents)
+@query("shared_contacts", r"""WITH c AS (SELECT doc_id AS id, lower(unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1))) AS contact FROM documents UNION
+ SELECT -entity_id, CASE WHEN entity_id % 7 = 0 THEN 'info@registry.example' ELSE 'desk' || entity_id // 3 || '@clinic.example' END FROM {entities} e)
 SELECT id, contact FROM c WHERE contact IN (SELECT contact FROM c GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20)""")
 def shared_contacts(spark, d):
-    return matching.shared_contacts(table(spark, d, "documents"), "doc_id", text.emails(F.col("text")))
+    """Mail addresses in texts and of records that a few share; one that many share says nothing."""
+    k = F.col("entity_id")
+    mail = F.when(k % 7 == 0, "Write to Info@registry.example").otherwise(F.concat(F.lit("Desk"), F.floor(k / 3).cast("string"), F.lit("@clinic.example")))
+    told = table(spark, d, "documents").select("doc_id", "text").unionByName(entities(spark, d).select((-k).alias("doc_id"), mail.alias("text")))
+    return matching.shared_contacts(told, "doc_id", text.emails(F.col("text")))
 
 
 def _pairs(spark, d):
@@ -371,7 +376,7 @@ def seed_queue(spark, d):
 
 @query("evidence_labels", """SELECT entity_id, CASE WHEN contradicted THEN 'conflict' ELSE 'bronze' END AS tier, CASE WHEN contradicted THEN 'contradicted_or_geo_invalid' WHEN trusted AND NOT needs_review THEN 'passed_proxy_checks' WHEN needs_review THEN 'needs_review' ELSE 'unknown' END AS posture,
  CASE WHEN contradicted THEN 'verify_location_before_use' WHEN needs_review THEN 'source_enrichment_or_manual_review' ELSE 'use_as_proxy_only' END AS action, CASE WHEN contradicted THEN 'source_or_geography_conflict' ELSE 'no_tier_a_or_b_corroborated_label' END AS abstain,
- round(least(1, greatest(0, (.42 * readiness + .30 * coalesce(join_confidence, 0) + .28 * semantic_quality) * CASE WHEN contradicted THEN .45 ELSE 1 END * CASE WHEN needs_review THEN .75 ELSE 1 END)) + 1e-9, 4) AS confidence FROM {entities} e""")
+ round(CAST(least(1, greatest(0, (.42 * readiness + .30 * coalesce(join_confidence, 0) + .28 * semantic_quality) * CASE WHEN contradicted THEN .45 ELSE 1 END * CASE WHEN needs_review THEN .75 ELSE 1 END)) AS DECIMAL(24, 8)), 4)::DOUBLE AS confidence FROM {entities} e""")
 def evidence_labels(spark, d):
     return decide.evidence(entities(spark, d)).select("entity_id", "tier", "posture", "action", "abstain", "confidence")
 

@@ -128,8 +128,8 @@ def provider_candidates(spark, d):
     return rel.rank_within(e, ["district"], order, "place").where("place <= 3").select("district", "entity_id", "place")
 
 
-@query("weighted_policy", """SELECT entity_id, s AS score, CASE WHEN s >= .70 THEN 'high' WHEN s >= .40 THEN 'medium' ELSE 'low' END AS band FROM (SELECT entity_id, round(1e-9 + least(1, greatest(0, .25 * trusted::INT + .20 * coalesce(has_source, false)::INT + .15 * coalesce(has_contact, false)::INT
- + .15 * (geo_quality = 'plausible')::INT + .10 * least(sources / 3.0, 1) - .10 * (recency <> 'valid')::INT - .05 * contradicted::INT)), 4) AS s FROM {entities} e)""")
+@query("weighted_policy", """SELECT entity_id, s AS score, CASE WHEN s >= .70 THEN 'high' WHEN s >= .40 THEN 'medium' ELSE 'low' END AS band FROM (SELECT entity_id, round(CAST(least(1, greatest(0, .25 * trusted::INT + .20 * coalesce(has_source, false)::INT + .15 * coalesce(has_contact, false)::INT
+ + .15 * (geo_quality = 'plausible')::INT + .10 * least(sources / 3.0, 1) - .10 * (recency <> 'valid')::INT - .05 * contradicted::INT)) AS DECIMAL(24, 8)), 4)::DOUBLE AS s FROM {entities} e)""")
 def weighted_policy(spark, d):
     """A versioned rule policy: weights as data, evaluated by the same function as every score."""
     from meridia.operators.scores import flag, weighted
@@ -138,7 +138,7 @@ def weighted_policy(spark, d):
         [(flag(F.col("trusted")), 0.25, 0), (flag(F.col("has_source")), 0.20, 0), (flag(F.col("has_contact")), 0.15, 0), (flag(F.col("geo_quality") == "plausible"), 0.15, 0),
          (F.least(F.col("sources") / 3.0, F.lit(1.0)), 0.10, 0), ((F.col("recency") != "valid").cast("double"), -0.10, 1), (flag(F.col("contradicted")), -0.05, 0)]
     )
-    out = entities(spark, d).select("entity_id", F.round(stats.clip01(s) + 1e-9, 4).alias("score"))
+    out = entities(spark, d).select("entity_id", stats.half_up(stats.clip01(s), 4).alias("score"))
     return out.withColumn("band", stats.band(F.col("score"), [(0.70, "high"), (0.40, "medium")], "low"))
 
 
