@@ -116,9 +116,9 @@ def claim_queue(df: DataFrame, key: str) -> DataFrame:
         key, sections(F.col("claim_text")).alias("found"), F.array_compact(observed).alias("observed_fields"), F.array_compact(capped).alias("capped"),
         *(c.alias(f) for f, c in known.items()), F.coalesce("semantic_quality", F.lit(1.0)).alias("quality"), F.coalesce("need", F.lit(0.0)).alias("need"),
         F.coalesce("priority", F.lit(0.0)).alias("desert"),
-    ).withColumn("broad", broad_labels(F.col("found")))
+    ).withColumns({"broad": broad_labels(F.col("found")), "padded": F.transform("found", _padded)})  # once a record, not once a rule
     long = base.withColumn("r", F.explode(rule_table()))
-    hits = F.transform(F.col("found"), lambda s: F.filter(F.col("r.terms"), lambda t: F.contains(_padded(s), F.concat(F.lit(" "), t, F.lit(" ")))))
+    hits = F.transform("padded", lambda s: F.filter(F.col("r.terms"), lambda t: F.contains(s, F.concat(F.lit(" "), t, F.lit(" ")))))
     names = F.array(*(F.lit(s) for s in SECTIONS))
     long = long.withColumn("hits", hits).withColumns(
         {
