@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meridia.llm import oracles
+from meridia.llm.dominance import op11_dominance_packing
 from meridia.llm.embeddings import op5_spherical_cap_dedup
 from meridia.llm.licenses import op8_license_scans
 from meridia.llm.media import op7_media_columns
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scans": op8_license_scans,
         "op9_raked_mixing": op9_raked_mixing,
         "op10_secret_ownership": op10_secret_ownership,
+        "op11_dominance_packing": op11_dominance_packing,
     }
 
 
