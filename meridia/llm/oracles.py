@@ -96,8 +96,29 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM docs LEFT JOIN whole USING (doc_id)"""
 
 
+# CRC-32 byte by byte, from a table of its 256 remainders.
+OP12 = f"""WITH remainders AS (SELECT list(r ORDER BY i) AS table_of FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) AS r FROM range(256) t(i))),
+turns AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY i) AS w FROM turns GROUP BY c),
+headed AS (SELECT c, w, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+  lambda a, b: xor(a >> 8, table_of[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h FROM own, remainders),
+built AS (SELECT o.c, list_concat(coalesce(b.w, [])[1:h], o.w[h + 1:]) AS w FROM headed o LEFT JOIN own b ON b.c = o.c - o.c % 20),
+prefixes AS (SELECT c, d, w[1:d] AS p, len(w) = d AS ends FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM built)),
+nodes AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY p, d),
+named AS (SELECT c, prefixes.d, conv_id FROM prefixes JOIN nodes USING (p, d)),
+parents AS (SELECT n.conv_id, n.d, u.conv_id AS parent_conv_id FROM nodes n JOIN named u ON u.c = n.conv_id AND u.d = n.d - 1),
+children AS (SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n FROM parents GROUP BY ALL),
+heaviest AS (SELECT conv_id, d FROM nodes JOIN parents USING (conv_id, d) QUALIFY row_number() OVER (PARTITION BY parent_conv_id, d ORDER BY n_convs DESC, conv_id) = 1),
+valued AS (SELECT n.conv_id, d, n_convs, coalesce(n, 0) AS n_children, ends_sha256, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[-1].x, {_WORD})) END AS saved
+  FROM nodes n LEFT JOIN children USING (conv_id, d)),
+sums AS (SELECT a.conv_id, a.d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM valued v JOIN named a ON a.c = v.conv_id AND a.d <= v.d GROUP BY a.conv_id, a.d)
+SELECT v.conv_id, v.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256, h.conv_id IS NOT NULL AS heavy
+FROM valued v JOIN sums USING (conv_id, d) LEFT JOIN parents USING (conv_id, d) LEFT JOIN heaviest h ON h.conv_id = v.conv_id AND h.d = v.d"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": OP1, "op3_substring_dedup": OP3, "op5_spherical_cap_dedup": OP5, "op8_license_scans": _licenses(),
-        "op10_secret_ownership": _secrets(),
+        "op10_secret_ownership": _secrets(), "op12_heavy_path_trie": OP12,
     }

@@ -18,6 +18,7 @@ from meridia.llm.quality import op6_quality_classifier
 from meridia.llm.secrets import op10_secret_ownership
 from meridia.llm.sharding import op4_hash_tree_sharding
 from meridia.llm.substrings import op3_substring_dedup
+from meridia.llm.trie import op12_heavy_path_trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_raked_mixing": op9_raked_mixing,
         "op10_secret_ownership": op10_secret_ownership,
         "op11_dominance_packing": op11_dominance_packing,
+        "op12_heavy_path_trie": op12_heavy_path_trie,
     }
 
 
