@@ -117,8 +117,22 @@ SELECT v.conv_id, v.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, s
 FROM valued v JOIN sums USING (conv_id, d) LEFT JOIN parents USING (conv_id, d) LEFT JOIN heaviest h ON h.conv_id = v.conv_id AND h.d = v.d"""
 
 
+OP13 = rf"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+runs AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 5) t(m)),
+counts AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM runs GROUP BY ALL HAVING f >= 30),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1),
+longer AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS most FROM (SELECT lang, w, a, m, s, unnest(range(1, m - s + 2)) AS i FROM candidates, range(2, 4) t(s) WHERE s < m) GROUP BY ALL),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT lang, phrase, a, w, unnest(range(1, m)) AS k FROM candidates)),
+scored AS (SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f::HUGEINT + r.f))::BIGINT AS score FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = first
+  JOIN counts r ON r.lang = c.lang AND r.phrase = rest QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored LEFT JOIN longer USING (lang, phrase) JOIN totals USING (lang) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": OP1, "op3_substring_dedup": OP3, "op5_spherical_cap_dedup": OP5, "op8_license_scans": _licenses(),
-        "op10_secret_ownership": _secrets(), "op12_heavy_path_trie": OP12,
+        "op10_secret_ownership": _secrets(), "op12_heavy_path_trie": OP12, "op13_hashed_collocations": OP13,
     }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meridia.llm import oracles
+from meridia.llm.collocations import op13_hashed_collocations
 from meridia.llm.dominance import op11_dominance_packing
 from meridia.llm.embeddings import op5_spherical_cap_dedup
 from meridia.llm.licenses import op8_license_scans
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_ownership": op10_secret_ownership,
         "op11_dominance_packing": op11_dominance_packing,
         "op12_heavy_path_trie": op12_heavy_path_trie,
+        "op13_hashed_collocations": op13_hashed_collocations,
     }
 
 

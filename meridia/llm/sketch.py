@@ -137,8 +137,11 @@ class Repeats:
 MERGED = "part int, bits binary, coarse binary"
 
 
-def merge_parts(parts: DataFrame, shape: Shape, with_counts: bool) -> DataFrame:
-    """Merge rows (part, payload) into one row per block of counters; a task streams through its payloads."""
+def merge_parts(parts: DataFrame, shape: Shape, with_counts: bool, least: int = 2) -> DataFrame:
+    """Merge rows (part, payload) into one row per block of counters; a task streams through its payloads.
+
+    A bit is set where its counter reaches ``least`` (at most 255); 2 tells what may be repeated.
+    """
     size = 1 << shape.log2_block
     fold = 1 << (shape.log2_width - shape.log2_coarse)  # neighbouring counters share a coarse one
 
@@ -147,7 +150,7 @@ def merge_parts(parts: DataFrame, shape: Shape, with_counts: bool) -> DataFrame:
         part, counters = None, np.zeros(0, dtype=np.uint8)
 
         def done() -> pa.RecordBatch:
-            bits = np.packbits(counters >= 2, bitorder="little").tobytes()
+            bits = np.packbits(counters >= least, bitorder="little").tobytes()
             coarse = np.where(counters >= 2, counters, 0).reshape(-1, fold).max(axis=1).tobytes() if with_counts else b""
             row = {"part": part, "bits": zlib.compress(bits, 1), "coarse": zlib.compress(coarse, 1)}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("bits", pa.binary()), ("coarse", pa.binary())]))
