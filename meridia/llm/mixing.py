@@ -4,7 +4,9 @@ Tokens are counted by cell (source, language, topic) over all documents. Raking
 weighted tokens meet the target shares of each margin in turn. A sample that keeps a share of all tokens cannot hold
 more of a value than there is, so targets beyond that are lowered to it and the others raised in proportion. No weight
 may pass the one at which every document of its cell is drawn: cells that reach it stay there and the others are raked
-on. So the expected sample itself meets the targets. A document is drawn with its cell's weight times the share to
+on. So the expected sample itself meets the targets, wherever some weights can. Where none can (cells that are empty or
+at their cap may tie margins together), all margins are scaled at once by roots of their factors, which settles between
+them, and the best fit seen is kept; ``margin_report`` tells what stays off. A document is drawn with its cell's weight times the share to
 keep as probability, by a hash of its id and text, so equal rows share their fate and reruns agree.
 
 Up to MAX_DRIVER_CELLS cells are raked in memory on the driver, more by the same steps on DataFrames; both settle at
@@ -93,26 +95,35 @@ def rake_arrays(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.nd
     """Weights of cells, at most ``cap``, so that weighted token shares meet the targets of every margin (targets of each sum to 1).
 
     Where a value needs more than it has, its cells at the cap stay and the others make up for them; where that
-    cannot do, all end at the cap. Ends when the targets are met or no error moves any more.
+    cannot do, all end at the cap. Ends when the targets are met or no error moves any more. If margin by margin does
+    not get there in ``rounds``, as many rounds follow that scale all margins at once. The best weights are returned.
     """
     weight = np.ones(len(tokens))
     whole = tokens.sum()
-    before = None
-    for _ in range(rounds):
-        shares = []
+    best, least, before = weight, math.inf, None
+    for k in range(2 * rounds):
+        alone = k < rounds
+        errors, factors, entry = [], np.ones(len(tokens)), weight
         for code, target in zip(codes, targets, strict=True):
             sums = lambda x: np.bincount(code, weights=x * tokens, minlength=len(target)) / whole  # noqa: B023, E731
             now, full = sums(weight), sums(np.where(weight >= cap, weight, 0.0))
-            shares.append((now, target))
+            errors.append(float(np.abs(now - target).max(initial=0)))
             more = target > now
             free = now - np.where(more, full, 0.0)
             factor = np.divide(target - np.where(more, full, 0.0), free, out=np.ones(len(target)), where=free > 0)
-            weight = np.where(more[code] & (weight >= cap), weight, np.minimum(cap, weight * factor[code]))
-        errors = [float(np.abs(now - target).max(initial=0)) for now, target in shares]
+            moved = np.where(more[code] & (weight >= cap), 1.0, factor[code])
+            if alone:
+                weight = np.minimum(cap, weight * moved)
+            else:
+                factors *= moved
+        if not alone:
+            weight = np.minimum(cap, entry * factors ** (1 / max(len(codes), 1)))
+            if max(errors, default=0.0) < least:
+                best, least = entry, max(errors, default=0.0)
         if _settled(errors, before, tolerance):
-            return weight
-        before = errors
-    raise RuntimeError(f"raking did not settle in {rounds} rounds; margins are off by {errors}")
+            return weight if alone else best
+        before = errors if k != rounds - 1 else None
+    return best
 
 
 def rake_frames(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance: float = TOLERANCE, cap: float = math.inf) -> DataFrame:
@@ -121,9 +132,10 @@ def rake_frames(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, to
     whole = held.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
     mass = F.col("weight") * F.col("tokens")
     capped = F.col("weight") >= cap
-    before = None
-    for _ in range(rounds):
-        out = held
+    best, least, before = None, math.inf, None
+    for k in range(2 * rounds):
+        alone = k < rounds
+        out = held.withColumn("together", F.lit(1.0))
         errors, factors = [], []
         for margin, target in targets.items():
             now = out.groupBy(margin).agg((F.sum(mass) / whole).alias("now"), (F.sum(F.when(capped, mass).otherwise(0.0)) / whole).alias("full"))
@@ -137,24 +149,31 @@ def rake_frames(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, to
             )
             factors.append(factor)
             errors.append(factor.agg(F.max("off")).first()[0] or 0.0)
-            new = F.when(F.col("more") & capped, F.col("weight")).otherwise(F.least(F.lit(cap), F.col("weight") * F.col("factor")))
-            out = out.join(factor.drop("off"), margin).withColumn("weight", new).drop("factor", "more")
-        after = settle(out, "cells")
-        for old in (held, *factors):
+            moved = F.when(F.col("more") & capped, 1.0).otherwise(F.col("factor"))
+            changed = {"weight": F.least(F.lit(cap), F.col("weight") * moved)} if alone else {"together": F.col("together") * moved}
+            out = out.join(factor.drop("off"), margin).withColumns(changed).drop("factor", "more")
+        if not alone:
+            out = out.withColumn("weight", F.least(F.lit(cap), F.col("weight") * F.pow("together", F.lit(1 / max(len(targets), 1)))))
+        after = settle(out.drop("together"), "cells")
+        better = not alone and max(errors, default=0.0) < least
+        unused = [*factors, best if better else None, None if better else held if held is not best else None]
+        if better:
+            best, least = held, max(errors, default=0.0)
+        for old in filter(lambda x: x is not None, unused):
             drop_settled(old)
         held = after
         if _settled(errors, before, tolerance):
-            return held
-        before = errors
-    raise RuntimeError(f"raking did not settle in {rounds} rounds; margins are off by {errors}")
+            return held if alone else best
+        before = errors if k != rounds - 1 else None
+    return best
 
 
 def calibrate(cells: DataFrame, flatten: dict[str, float], keep: float, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Cells with their weight and probability = weight * ``keep``.
 
     ``given`` sets a margin's wished shares by hand; values that it leaves out share nothing. Weights stay at or below
-    1 / keep, so no probability passes 1 and the drawn tokens meet the (bounded) targets. Raking that does not settle
-    raises an error.
+    1 / keep, so no probability passes 1 and the drawn tokens meet the (bounded) targets, or come as close to them as
+    the cells let them.
     """
     spark, given = cells.sparkSession, given or {}
     margins = list(flatten)
@@ -168,7 +187,7 @@ def calibrate(cells: DataFrame, flatten: dict[str, float], keep: float, given: d
             wish = np.array([given[margin].get(k, 0.0) for k in names]) if margin in given else share ** flatten[margin]
             codes.append(code)
             goals.append(bound_targets(wish / (wish.sum() or 1.0), share, keep))
-        local["weight"] = rake_arrays(tokens, codes, goals, cap=1 / keep) if len(local) else []
+        local["weight"] = rake_arrays(tokens, codes, goals, ROUNDS, cap=1 / keep) if len(local) else []
         schema = ", ".join([*(f"{m} string" for m in margins), "tokens long, weight double"])
         raked = spark.createDataFrame(local[[*margins, "tokens", "weight"]], schema) if len(local) else spark.createDataFrame([], schema)
     else:
@@ -183,16 +202,21 @@ def calibrate(cells: DataFrame, flatten: dict[str, float], keep: float, given: d
 
 
 def margin_report(cells: DataFrame, flatten: dict[str, float] | None = None, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """(margin, value, present, wished, expected): shares of tokens before, as wished, and expected in the sample."""
+    """(margin, value, present, wished, target, expected, off): shares of tokens before, as wished, as bounded by what there
+    is, and expected in the sample; ``off`` is how far the last two stay apart."""
     flatten, given = flatten or FLATTEN, given or {}
     fitted = settle(calibrate(cells, flatten, keep, given), "fitted")
     drawn = F.col("tokens") * F.col("probability")
     whole = fitted.agg(F.sum(drawn).alias("whole"))
     out = None
     for margin, power in flatten.items():
-        wished = wishes(fitted.groupBy(margin).agg(F.sum("tokens").alias("tokens")), margin, power, given.get(margin))
+        wished = settle(wishes(fitted.groupBy(margin).agg(F.sum("tokens").alias("tokens")), margin, power, given.get(margin)), "wishes")
         got = fitted.groupBy(margin).agg(F.sum(drawn).alias("drawn")).crossJoin(F.broadcast(whole)).select(margin, (F.col("drawn") / F.col("whole")).alias("expected"))
-        part = wished.join(got, margin).select(F.lit(margin).alias("margin"), F.col(margin).alias("value"), F.col("share").alias("present"), F.col("wish").alias("wished"), "expected")
+        goal = bound_target_frame(wished, margin, keep)
+        part = wished.join(got, margin).join(goal, margin).select(
+            F.lit(margin).alias("margin"), F.col(margin).alias("value"), F.col("share").alias("present"), F.col("wish").alias("wished"), "target", "expected",
+            F.abs(F.col("target") - F.col("expected")).alias("off"),
+        )
         out = part if out is None else out.union(part)
     return out
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from meridia.llm.licenses import BASE_PHRASES, DRIFT, MIN_COVER, RARE_PER_TEMPLATE, TEMPLATES
-from meridia.llm.secrets import COPIED_OWNERS, COPIED_REPOSITORIES, LONG, MIN_DISTINCT, MIN_FORMAT, MIN_LETTERS
+from meridia.llm.secrets import COPIED_OWNERS, COPIED_REPOSITORIES, COPIED_TEXTS, GOES_ON, LONG, MIN_DISTINCT, MIN_FORMAT, MIN_LETTERS, PLAIN_WORDS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -77,17 +77,17 @@ _KINDS = [
 
 def _secrets() -> str:
     found = " UNION ALL ".join(
-        f"SELECT doc_id, owner, repository, {k} AS kind, '{name}' AS name, '{front}' AS front, {least} AS least, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits FROM docs"
+        f"SELECT doc_id, text, owner, repository, {k} AS kind, '{name}' AS name, '{front}' AS front, {least} AS least, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits FROM docs"
         for k, name, pattern, front, least in _KINDS
     )
-    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repository FROM documents),
+    return rf"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repository FROM documents),
 cut AS ({found}),
-hits AS (SELECT doc_id, owner, repository, kind, name, front, least, unnest(range(1, len(hits) + 1)) AS i, gaps, hits FROM cut),
-placed AS (SELECT doc_id, owner, repository, kind, name, least, CASE WHEN front = '' THEN hits[i] ELSE regexp_replace(hits[i], front, '') END AS value, length(hits[i]) AS n,
+hits AS (SELECT doc_id, text, owner, repository, kind, name, front, least, unnest(range(1, len(hits) + 1)) AS i, gaps, hits FROM cut),
+placed AS (SELECT doc_id, text, owner, repository, kind, name, least, hits[i] AS hit, gaps[i + 1] AS after, CASE WHEN front = '' THEN hits[i] ELSE regexp_replace(hits[i], front, '') END AS value, length(hits[i]) AS n,
   list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start FROM hits),
-spans AS (SELECT *, name || ':' || start || ':' || (start + n) AS span, len(list_distinct(string_split(value, ''))) AS chars FROM placed WHERE length(value) >= least),
-held AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM spans GROUP BY value),
-judged AS (SELECT spans.*, CASE WHEN owners >= {COPIED_OWNERS} OR repositories >= {COPIED_REPOSITORIES} THEN 'copied' WHEN CASE kind WHEN 0 THEN chars * 2 >= least(length(value), {LONG}) WHEN 4 THEN true
+spans AS (SELECT *, kind = 0 AND regexp_matches(left(hit, length(hit) - length(value)), ':\x20*$') AND regexp_matches(value, '{PLAIN_WORDS}') AND regexp_matches(coalesce(after, ''), '{GOES_ON}') AS prose, name || ':' || start || ':' || (start + n) AS span, len(list_distinct(string_split(value, ''))) AS chars FROM placed WHERE length(value) >= least),
+held AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories, count(DISTINCT text) AS texts FROM spans GROUP BY value),
+judged AS (SELECT spans.*, CASE WHEN owners >= {COPIED_OWNERS} OR repositories >= {COPIED_REPOSITORIES} OR texts >= {COPIED_TEXTS} THEN 'copied' WHEN prose THEN 'weak' WHEN CASE kind WHEN 0 THEN chars * 2 >= least(length(value), {LONG}) WHEN 4 THEN true
   WHEN 5 THEN (chars >= {MIN_DISTINCT} AND regexp_matches(value, '[0-9]')) OR (chars >= {MIN_LETTERS} AND regexp_matches(value, '^[A-Za-z]+$') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]'))
   ELSE chars >= {MIN_FORMAT} END THEN 'live' ELSE 'weak' END AS verdict FROM spans JOIN held USING (value)),
 whole AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
