@@ -13,6 +13,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -25,8 +26,8 @@ from meridia.llm._shared import lean, read_table, settle, text_slices, worker_ca
 
 WINDOW = 1024
 END_ID = 2
-CACHE = 300_000  # chunks whose ids a Python worker keeps before it tidies up
-LONGEST = 24  # characters of a chunk that is worth remembering
+CACHE = 150_000  # chunks whose ids a Python worker keeps before it tidies up
+LONGEST = 16  # characters of a chunk that is worth remembering
 SLICE = 2_000_000  # bytes of text that a worker holds as Python objects
 
 # ------------------------------------------------------------------- sets of lengths
@@ -240,9 +241,10 @@ class ChunkIds(dict):
 
     def trim(self) -> None:
         if len(self) > CACHE:  # short chunks are the common ones
-            short = {c: ids for c, ids in self.items() if len(c) <= 8}
-            self.clear()
-            self.update(short if len(short) <= CACHE // 2 else {})
+            for chunk in [c for c in self if len(c) > 6]:
+                del self[chunk]
+            if len(self) > CACHE // 2:
+                self.clear()
 
 
 def load_chunks(tokenizer: str, ranks: str | None) -> ChunkIds:
@@ -298,7 +300,7 @@ def deal(numbered: DataFrame, table: dict[str, np.ndarray]) -> DataFrame:
     sent = numbered.sparkSession.sparkContext.broadcast(table)
     names = [x.split()[0] for x in PACKED.split(", ")]
 
-    @lean
+    @partial(lean, owner="dealing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value
         begin = np.searchsorted(t["length"], np.arange(int(t["length"].max(initial=0)) + 2))
