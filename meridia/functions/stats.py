@@ -35,35 +35,40 @@ def jeffreys_mean(x: Column, n: Column) -> Column:
     return (x + 0.5) / (n + 1.0)
 
 
-def bucket_of(c: Column) -> Column:
-    """A whole number that never falls as the value grows, with some hundred values over all usual sizes.
+PARTS = 64  # ordered parts that a column's distinct values are cut into
+
+
+def cut_points(values: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """One row per group of ``by``: ``cuts``, values that split the group's rows into PARTS parts of nearly equal size."""
+    share = [(k + 1) / PARTS for k in range(PARTS - 1)]
+    return values.groupBy(*by).agg(F.percentile_approx(value, share, 20 * PARTS).alias("cuts"))
 
-    It splits a column into ordered parts of a sixteenth of an octave, so that order statistics can be taken part by
-    part. Log2 is monotone, so equal or larger values never come into a lower part; NaN is above all.
-    """
-    x = c.cast("double")
-    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1025.0)) * 16) + 20_000
-    return F.when(F.isnan(x), F.lit(1 << 20)).when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("long")
+
+def part_of(value: Column, cuts: Column) -> Column:
+    """How many cuts lie below a value: never falls as the value grows, whatever the cuts are."""
+    return F.size(F.filter(cuts, lambda c: c < value))
 
 
 def pct_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Percentile ranks (column -> name of its rank) with average ties: (values below + (ties + 1) / 2) / all non-null.
 
-    All columns' values are counted in one aggregation. Counts by part of a column's range say how many values lie
-    below each part, so ordered passes run over the distinct values of one part, never over a whole column. Nulls stay null.
+    All columns' values are counted in one aggregation. Each column's distinct values are cut into parts at sampled
+    quantiles; counts by part say how many values lie below each, so ordered passes run over the distinct values of
+    one part, never over a whole column, however its values are spread. Nulls stay null.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns)))
-    counted = df.select(pairs.alias("p")).where("p.value is not null").select("p.column", "p.value", bucket_of(F.col("p.value")).alias("bucket"))
-    counted = counted.groupBy("column", "bucket", "value").agg(F.count("*").alias("ties"))
-    parts = counted.groupBy("column", "bucket").agg(F.sum("ties").alias("n"))
+    counted = df.select(pairs.alias("p")).where("p.value is not null").select("p.column", "p.value").groupBy("column", "value").agg(F.count("*").alias("ties"))
+    cuts = cut_points(counted, ["column"]).select(F.col("column").alias("of"), "cuts")  # one row a column
+    counted = counted.join(F.broadcast(cuts), F.col("column") == F.col("of")).withColumn("part", part_of(F.col("value"), F.col("cuts"))).drop("of", "cuts")
+    parts = counted.groupBy("column", "part").agg(F.sum("ties").alias("n"))
     by = Window.partitionBy("column")
     parts = parts.select(
-        F.col("column").alias("c"), F.col("bucket").alias("b"), F.sum("n").over(by).alias("all"),
-        F.coalesce(F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-    )  # some hundred rows a column
-    inside = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        F.col("column").alias("c"), F.col("part").alias("b"), F.sum("n").over(by).alias("all"),
+        F.coalesce(F.sum("n").over(by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )  # PARTS rows a column at most
+    inside = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("below", F.coalesce(F.sum("ties").over(inside), F.lit(0)))
-    ranked = placed.join(parts, (F.col("column") == F.col("c")) & (F.col("bucket") == F.col("b"))).select(
+    ranked = placed.join(F.broadcast(parts), (F.col("column") == F.col("c")) & (F.col("part") == F.col("b"))).select(
         "column", "value", ((F.col("before") + F.col("below") + (F.col("ties") + 1) / 2.0) / F.col("all")).alias("rank")
     )
     for c, out in columns.items():
@@ -72,37 +77,47 @@ def pct_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df
 
 
+def few_pct_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The same for tables of one row per region: one window a column, which one task sees whole."""
+    for c, out in columns.items():
+        known, same = Window.partitionBy(F.col(c).isNull()), Window.partitionBy(c)
+        below = F.rank().over(known.orderBy(c)) - 1
+        df = df.withColumn(out, F.when(F.col(c).isNotNull(), (below + (F.count("*").over(same) + 1) / 2.0) / F.count(c).over(known)))
+    return df
+
+
 def pct_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     return pct_ranks(df, {column: out})
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], column: str, levels: Sequence[float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], column: str, levels: Sequence[float], ties: str | None = None) -> DataFrame:
     """(keys, n, q array<double>): exact quantiles of the non-null values of each group, interpolated between neighbours.
 
-    Values are counted first. Counts by part of the range tell which parts hold the wanted places, and only those are
-    ordered; no task holds a group, or even its distinct values. Null keys form groups of their own.
+    Values are counted first (``ties``: a column that says how often each stands). The distinct values of all groups are
+    cut into parts at sampled quantiles; counts by part tell which parts hold the wanted places, and only those are
+    ordered; no task holds a group, or even its distinct values, however they are spread. Null keys form groups of
+    their own.
     """
-    known = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("value")).withColumn("bucket", bucket_of(F.col("value")))
-    counted = known.groupBy(*keys, "bucket", "value").agg(F.count("*").alias("ties"))
-    parts = counted.groupBy(*keys, "bucket").agg(F.sum("ties").alias("part"))
+    known = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("value"), *([F.col(ties).alias("ties")] if ties else []))
+    counted = known.groupBy(*keys, "value").agg((F.sum("ties") if ties else F.count("*")).alias("ties"))
+    counted = counted.crossJoin(F.broadcast(cut_points(counted, []))).withColumn("part_no", part_of(F.col("value"), F.col("cuts"))).drop("cuts")  # one row is sent
+    parts = counted.groupBy(*keys, "part_no").agg(F.sum("ties").alias("part"))
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    upto = by.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumns({"n": F.sum("part").over(by), "before": F.coalesce(F.sum("part").over(upto), F.lit(0))})
     wanted = F.array(
         *(F.struct(F.lit(k).alias("level"), F.lit(float(q)).alias("q"), (F.floor(F.lit(float(q)) * (F.col("n") - 1)) + side).alias("place"), F.lit(side).alias("side"))
           for k, q in enumerate(levels) for side in (0, 1))
     )
-    asked = parts.select(*keys, "bucket", "before", "n", "part", F.explode(wanted).alias("w"))
-    asked = asked.where("least(w.place, n - 1) >= before and least(w.place, n - 1) < before + part").select(
-        *(F.col(k).alias(f"__{k}") for k in keys), F.col("bucket").alias("__bucket"), "before", "n", "w.*"
-    )
-    inside = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    match = F.col("bucket") == F.col("__bucket")
+    here = F.filter(wanted, lambda w: (F.least(w["place"], F.col("n") - 1) >= F.col("before")) & (F.least(w["place"], F.col("n") - 1) < F.col("before") + F.col("part")))
+    asked = parts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("part_no").alias("__part"), "before", "n", here.alias("asked")).where("size(asked) > 0")
+    inside = Window.partitionBy(*keys, "part_no").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    match = F.col("part_no") == F.col("__part")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    used = counted.join(asked.select(*(f"__{k}" for k in keys), "__bucket").distinct(), match, "left_semi")
-    placed = used.withColumn("last", F.sum("ties").over(inside))
-    found = placed.join(asked, match).where("least(place, n - 1) - before < last and least(place, n - 1) - before >= last - ties")
+    placed = counted.join(asked, match).withColumn("last", F.sum("ties").over(inside))
+    found = placed.select(*keys, "value", "ties", "before", "n", "last", F.explode("asked").alias("w")).select(*keys, "value", "ties", "before", "n", "last", "w.*")
+    found = found.where("least(place, n - 1) - before < last and least(place, n - 1) - before >= last - ties")
     one = found.groupBy(*keys, "level").agg(
         F.max("n").alias("n"), F.max("q").alias("q"), F.max(F.when(F.col("side") == 0, F.col("value"))).alias("low"), F.max(F.when(F.col("side") == 1, F.col("value"))).alias("high")
     )

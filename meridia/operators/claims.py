@@ -5,6 +5,7 @@ The categories, terms, weights and codes are fixed values of the review policy.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -103,17 +104,18 @@ def broad_labels(found: Column) -> Column:
     return text.codes({k: whole.rlike(p) for k, p in BROAD})
 
 
-def claim_queue(df: DataFrame, key: str) -> DataFrame:
+def claim_queue(df: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
     """Every record against every rule: status, evidence, reasons, priority and action; one scan, the rules are a literal.
 
     ``df`` has claim_text, has_<section> and <section>_items of the five sections, needs_review, trusted, has_source,
     has_website, has_contact, semantic_quality, and need and priority of the record's district. Null flags are false.
+    Columns of ``keep`` are passed on.
     """
     known = {f: F.coalesce(F.col(f), F.lit(False)) for f in ("needs_review", "trusted", "has_source", "has_website", "has_contact")}
     observed = F.array(*(F.when(F.col(f"has_{s}"), F.lit(s)) for s in SECTIONS))
     capped = F.array(*(F.when(F.col(f"{s}_items") >= CAPPED_ITEMS, F.lit(s)) for s in SECTIONS))
     base = df.select(
-        key, sections(F.col("claim_text")).alias("found"), F.array_compact(observed).alias("observed_fields"), F.array_compact(capped).alias("capped"),
+        key, *keep, sections(F.col("claim_text")).alias("found"), F.array_compact(observed).alias("observed_fields"), F.array_compact(capped).alias("capped"),
         *(c.alias(f) for f, c in known.items()), F.coalesce("semantic_quality", F.lit(1.0)).alias("quality"), F.coalesce("need", F.lit(0.0)).alias("need"),
         F.coalesce("priority", F.lit(0.0)).alias("desert"),
     ).withColumns({"broad": broad_labels(F.col("found")), "padded": F.transform("found", _padded)})  # once a record, not once a rule
@@ -165,7 +167,7 @@ def claim_queue(df: DataFrame, key: str) -> DataFrame:
     )
     joined = lambda c: F.array_join(c, "|")
     return long.select(
-        key, F.col("r.category").alias("category"), F.col("r.level").alias("level"), "status", "verify", action.alias("action"),
+        key, *keep, F.col("r.category").alias("category"), F.col("r.level").alias("level"), "status", "verify", action.alias("action"),
         stats.half_up(F.least(F.greatest(points, F.lit(0.0)), F.lit(100.0)), 3).alias("priority"), joined("reasons").alias("reasons"),
         joined("matched").alias("fields"), joined("keywords").alias("keywords"), joined("broad").alias("broad"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -13,30 +14,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import stats
-from meridia.operators.relational import cohort_stats, pinned
 
 # Cohorts from narrow to wide, and how many values each needs.
 LEVELS = [(("kind", "operator", "state"), 5), (("kind", "operator"), 10), (("kind",), 10), (("operator",), 10)]
 
 
 def hierarchical(df: DataFrame, value: str, usable: Column, levels: Sequence[tuple[Sequence[str], int]] = LEVELS) -> DataFrame:
-    """Add estimate, low, high, level, n and confidence: the value itself, else the narrowest cohort's median and p10-p90."""
+    """Add estimate, low, high, level, n and confidence: the value itself, else the narrowest cohort's median and p10-p90.
+
+    Values are counted once by the finest cohort; the counts are spread to cohorts of all levels, whose quantiles are
+    taken together. Each finest cohort then picks its level, and only that table is joined to the rows.
+    """
     used = list(dict.fromkeys(k for keys, _ in levels for k in keys))
-    known = pinned(df.where(usable & F.col(value).isNotNull()).select(*used, value))  # every level reads it
-    out, found = df, []
-    for k, (keys, least) in enumerate(levels):
-        own = cohort_stats(known, value, list(keys), least).select(
-            *(F.col(c).alias(f"__{k}_{c}") for c in keys), F.struct("median", "p10", "p90", "n", F.lit("_".join(keys)).alias("level")).alias(f"__s{k}")
-        )
-        match = F.lit(True)
-        for c in keys:
-            match = match & (out[c] == own[f"__{k}_{c}"])
-        out = out.join(own, match, "left").drop(*(f"__{k}_{c}" for c in keys))
-        found.append(F.col(f"__s{k}"))
-    whole = stats.quantiles(known, [], value, (0.5, 0.1, 0.9)).select(
-        F.struct(F.col("q")[0].alias("median"), F.col("q")[1].alias("p10"), F.col("q")[2].alias("p90"), "n", F.lit("global").alias("level")).alias("__all")
-    )  # one row, none where nothing is known
-    out = out.join(F.broadcast(whole), F.lit(True), "left").withColumn("__best", F.coalesce(*found, F.col("__all")))
+    names = [f"__{k}" for k in used]
+    known = df.where(usable & F.col(value).isNotNull()).groupBy(*(F.col(k).alias(n) for k, n in zip(used, names, strict=True)), F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__ties"))
+    every = [*levels, ((), 1)]
+    cohorts = F.explode(F.array(*(
+        F.struct(F.lit(k).alias("__level"), *(F.col(n).alias(n) if c in keys else F.lit(None).cast(df.schema[c].dataType).alias(n) for c, n in zip(used, names, strict=True)),
+                 reduce(lambda a, c: a & F.col(f"__{c}").isNotNull(), keys, F.lit(True)).alias("full"))
+        for k, (keys, _) in enumerate(every)
+    ))).alias("c")
+    spread = known.select("__v", "__ties", cohorts).where("c.full").select("__v", "__ties", "c.__level", *(f"c.{n}" for n in names))
+    stated = stats.quantiles(spread, ["__level", *names], "__v", (0.5, 0.1, 0.9), "__ties")
+    enough = F.element_at(F.array(*(F.lit(least) for _, least in every)), F.col("__level") + 1)
+    named = F.element_at(F.array(*(F.lit("_".join(keys) or "global") for keys, _ in every)), F.col("__level") + 1)
+    stated = stated.where(F.col("n") >= enough).select(
+        "__level", *(F.col(n).alias(f"{n}_of") for n in names), F.struct(F.col("__level").alias("k"), F.col("q")[0].alias("median"), F.col("q")[1].alias("p10"), F.col("q")[2].alias("p90"), "n", named.alias("level")).alias("best")
+    )
+    asked = df.select(*(F.col(k).alias(n) for k, n in zip(used, names, strict=True))).distinct()  # the finest cohorts: no more than rows, most often few
+    tried = asked.select(F.struct(*names).alias("own"), cohorts).where("c.full").select("own", "c.__level", *(f"c.{n}" for n in names))
+    match = tried["__level"] == stated["__level"]
+    for n in names:
+        match = match & tried[n].eqNullSafe(stated[f"{n}_of"])
+    chosen = tried.join(stated, match).groupBy("own").agg(F.min("best").alias("__best")).select(*(F.col(f"own.{n}").alias(n) for n in names), "__best")
+    match = F.lit(True)
+    for k, n in zip(used, names, strict=True):
+        match = match & df[k].eqNullSafe(chosen[n])
+    out = df.join(chosen, match, "left").drop(*names)
     observed = usable & F.col(value).isNotNull()
     best = F.col("__best")
     confidence = peer_confidence(observed, best["n"])
@@ -46,7 +60,7 @@ def hierarchical(df: DataFrame, value: str, usable: Column, levels: Sequence[tup
             "high": F.when(observed, F.col(value)).otherwise(best["p90"]), "level": F.when(observed, "observed").otherwise(best["level"]),
             "n": F.when(observed, F.lit(1)).otherwise(best["n"]).cast("long"), "confidence": confidence,
         }
-    ).drop("__best", "__all", *(f"__s{k}" for k in range(len(levels))))
+    ).drop("__best")
 
 
 def peer_confidence(observed: Column, n: Column) -> Column:
@@ -81,13 +95,14 @@ def with_peers(df: DataFrame, observed: dict[str, Column], levels: Sequence[tupl
 
 
 def design(categorical: Sequence[str], numeric: Sequence[str]) -> list:
-    """Indexed one-hot categories (unknown ones kept) and median-filled numbers as one vector."""
-    return [
-        StringIndexer(inputCols=list(categorical), outputCols=[f"{c}_ix" for c in categorical], handleInvalid="keep"),
-        OneHotEncoder(inputCols=[f"{c}_ix" for c in categorical], outputCols=[f"{c}_hot" for c in categorical]),
-        Imputer(inputCols=list(numeric), outputCols=[f"{c}_full" for c in numeric], strategy="median"),
-        VectorAssembler(inputCols=[f"{c}_hot" for c in categorical] + [f"{c}_full" for c in numeric], outputCol="features"),
-    ]
+    """Indexed one-hot categories (unknown ones kept) and median-filled numbers as one vector; either may be none."""
+    stages = []
+    if categorical:
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=[f"{c}_ix" for c in categorical], handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=[f"{c}_ix" for c in categorical], outputCols=[f"{c}_hot" for c in categorical]))
+    if numeric:
+        stages.append(Imputer(inputCols=list(numeric), outputCols=[f"{c}_full" for c in numeric], strategy="median"))
+    return [*stages, VectorAssembler(inputCols=[f"{c}_hot" for c in categorical] + [f"{c}_full" for c in numeric], outputCol="features")]
 
 
 def usable_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[list[str], list[str]]:

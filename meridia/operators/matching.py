@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meridia.functions import stats, text
-from meridia.operators.relational import ensure_checkpoint_dir
+from meridia.operators.relational import pinned
 
 MAX_BLOCK = 250  # members of a block that still say something; larger blocks are reported, not paired
 
@@ -96,19 +96,18 @@ def clusters(edges: DataFrame, checkpoint: bool = True, most: int = 50) -> DataF
     """(node, cluster) of undirected (left, right): cluster is the smallest node.
 
     Every node takes the smallest label around it, then the label of its label, until nothing changes; lineage is
-    cut by checkpoints in the session's shared folder.
+    cut by tables in the session's shared folder.
     """
     both = edges.select(F.col("left").alias("a"), F.col("right").alias("b")).union(edges.select("right", "left")).distinct()
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
     if checkpoint:
-        ensure_checkpoint_dir(edges)
-        both, labels = both.checkpoint(), labels.checkpoint()
+        both, labels = pinned(both), pinned(labels)
     for _ in range(most):
         around = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = labels.join(around, "node").join(hop, "label").select("node", F.least("label", "near", "next").alias("label"), F.col("label").alias("old"))
         if checkpoint:
-            new = new.checkpoint()
+            new = pinned(new)
         if not new.where("label <> old").limit(1).count():
             break
         labels = new.select("node", "label")

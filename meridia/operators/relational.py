@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,23 +14,37 @@ from pyspark.sql import functions as F
 from meridia.functions import stats, text
 
 
-def ensure_checkpoint_dir(df: DataFrame) -> None:
+_WRITTEN: list = []
+
+
+@atexit.register
+def _clear_written() -> None:
+    """Delete what ``pinned`` wrote when the driver ends; results are the caller's to write before that."""
+    for spark, path in _WRITTEN:
+        with contextlib.suppress(Exception):  # the session may be gone
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch_folder(df: DataFrame) -> str:
+    """The shared folder that the cluster names; a folder of our own only in a local session that names none."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            import tempfile
-
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="meridia-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="meridia-")
         spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint: for frames that several branches of a plan read, so that none computes them again."""
-    ensure_checkpoint_dir(df)
-    return df.checkpoint()
+    """The same rows from a table in the shared folder: for frames that several branches of a plan read, so that none
+    computes them again. Runs a job at once; the table goes when the driver ends."""
+    path = f"{scratch_folder(df)}/meridia-pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dominant(df: DataFrame, key: str, value: str) -> DataFrame:

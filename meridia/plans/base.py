@@ -128,7 +128,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.derive(raw_entities(spark, sf_dir))
 
 
-def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, nation = entities(spark, sf_dir), table(spark, sf_dir, "nation")
+def regions(spark: SparkSession, sf_dir: str, e: DataFrame | None = None) -> DataFrame:
+    """One row per district; ``e``: the derived records, where a query has them already."""
+    e, nation = e if e is not None else entities(spark, sf_dir), table(spark, sf_dir, "nation")
     sql = REGIONS.replace(f"({ENTITIES})", "{entities}").replace("e JOIN nation ON", "e JOIN {nation} ON")
     return spark.sql(sql, entities=e, nation=nation)

@@ -27,7 +27,7 @@ SELECT state, district, observed, trusted_n, round(rate, 6) AS trust_rate, round
 FROM s ORDER BY round(gap, 6) DESC, district LIMIT 15""")
 def region_gap_leaderboard(spark, d):
     """Supply, its trust rate with an interval, need and gap of the worst districts."""
-    r = stats.pct_ranks(regions(spark, d), {"observed": "count_pct", "pressure": "need"})
+    r = stats.few_pct_ranks(regions(spark, d), {"observed": "count_pct", "pressure": "need"})
     rate = stats.share(F.col("trusted_n"), F.col("observed"))
     ci = stats.wilson(F.col("trusted_n"), F.col("observed"))
     gap = stats.clip01(0.55 * F.col("need") + 0.25 * (1 - F.col("count_pct")) + 0.20 * (1 - F.coalesce(rate, F.lit(0.0))))

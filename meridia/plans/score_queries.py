@@ -25,13 +25,12 @@ SELECT *, {_pct("anaemia")} AS ra, {_pct("pressure")} AS rp, {_pct("sugar")} AS
   plausible_n / observed AS plausible_rate, source_n / observed AS source_rate FROM {{regions}} r))"""
 
 
-def scored(spark, d):
-    r = regions(spark, d)
+def scored(spark, d, e=None):
+    r = regions(spark, d, e)
     for name in ("trusted", "review", "critical", "contradicted", "plausible", "source"):
         r = r.withColumn(f"{name if name != 'trusted' else 'trust'}_rate", stats.share(F.col(f"{name}_n"), F.col("observed")))
     indicators = ["anaemia", "pressure", "sugar", "insurance", "births"]
-    r = rel.pinned(r)  # one row per district; ranking six columns reads it several times
-    r = stats.pct_ranks(r, {"observed": "count_pct"} | {c: f"{c}_pct" for c in indicators})
+    r = stats.few_pct_ranks(r, {"observed": "count_pct"} | {c: f"{c}_pct" for c in indicators})
     return scores.district_scores(r.withColumn("need", scores.need_score(["anaemia_pct", "pressure_pct", "sugar_pct"], ["insurance_pct", "births_pct"])))
 
 
@@ -304,8 +303,9 @@ PLACED = f"SELECT e.*, s.need, CASE WHEN e.match_score IS NOT NULL THEN s.priori
 
 
 def placed(spark, d):
-    s = scored(spark, d).select("district", "need", "priority")
-    return entities(spark, d).join(s, "district").withColumn("priority", F.when(F.col("match_score").isNotNull(), F.col("priority")))
+    e = rel.pinned(entities(spark, d))  # derived once; both branches read it
+    s = scored(spark, d, e).select("district", "need", "priority")
+    return e.join(s, "district").withColumn("priority", F.when(F.col("match_score").isNotNull(), F.col("priority")))
 
 
 _WIDTH = "coalesce(CASE WHEN estimate <> 0 THEN ((high - low) / abs(estimate)) / (1 + (high - low) / abs(estimate)) END, 0)"
@@ -316,15 +316,23 @@ FROM (SELECT g.*, need, CASE WHEN match_score IS NOT NULL THEN priority END AS p
   FROM ({GEO_BAND}) g JOIN (SELECT district, need, priority FROM ({SCORED})) USING (district) JOIN ({cohort_sql('capacity')}) a USING (entity_id) JOIN ({cohort_sql('doctors')}) b USING (entity_id))"""
 
 
-@query("uncertainty_queue", f"""SELECT entity_id, s AS score, round(u, 6) AS uncertainty, round(c, 6) AS contradiction, round(l, 6) AS leverage, action, check_outside, CAST(row_number() OVER (ORDER BY s DESC, entity_id) AS BIGINT) AS queue_rank FROM (
+UNCERTAIN = f"""SELECT entity_id, s AS score, round(u, 6) AS uncertainty, round(c, 6) AS contradiction, round(l, 6) AS leverage, action, check_outside, CAST(row_number() OVER (ORDER BY s DESC, entity_id) AS BIGINT) AS queue_rank FROM (
 SELECT *, round(CAST(least(1, greatest(0, .30 * coalesce(need, .5) + .30 * u + .18 * c + .14 * l + .08 * r)) AS DECIMAL(24, 8)), 4)::DOUBLE AS s,
  CASE WHEN capacity_outlier OR doctors_outlier OR geo_quality IN ('outside', 'far') THEN 'contradiction_audit' WHEN critical_gap THEN 'semantic_missingness_enrichment' WHEN join_confidence < .8 OR coalesce(pin_ambiguous, false) THEN 'join_bridge_enrichment'
   WHEN need >= .75 AND u >= .45 THEN 'high_impact_uncertainty_reduction' WHEN r >= .75 THEN 'sparse_segment_coverage' ELSE 'uncertainty_monitor' END AS action,
  CASE geo_quality WHEN 'outside' THEN 'replace_coordinate_with_external_geocode' WHEN 'missing' THEN 'geocode_missing_coordinate' WHEN 'far' THEN 'geocode_and_compare_pincode_district'
   WHEN 'moderate' THEN CASE WHEN coalesce(priority, .5) >= .6 THEN 'high_impact_geocode_precision_check' ELSE 'batch_geocode_precision_check' END ELSE CASE WHEN contradicted THEN 'external_source_contradiction_check' ELSE 'no_external_geocode_required' END END AS check_outside
-FROM ({_RECORDS})) ORDER BY s DESC, entity_id LIMIT 500""")
+FROM ({_RECORDS}))"""
+
+
+@query("uncertainty_queue", f"{UNCERTAIN} ORDER BY queue_rank LIMIT 500")
 def uncertainty_queue(spark, d):
     """The 500 records where more evidence would reduce planning uncertainty most."""
+    return rel.top(uncertain_records(spark, d), [F.desc("score"), F.asc("entity_id")], 500, "queue_rank")
+
+
+def uncertain_records(spark, d):
+    """How much more evidence would tell, and what to do, for every record."""
     from meridia.operators import impute
 
     e = rel.pinned(placed(spark, d))
@@ -338,11 +346,10 @@ def uncertainty_queue(spark, d):
         match = match & e[k].eqNullSafe(F.col(f"s_{k}"))
     out = scores.record_uncertainty(e.join(segment, match))
     check = scores.external_check(F.col("geo_quality"), F.col("priority"), F.col("contradicted"))
-    q = out.select(
+    return out.select(
         "entity_id", F.col("active_score").alias("score"), F.round("uncertainty_score", 6).alias("uncertainty"), F.round("contradiction_score", 6).alias("contradiction"),
         F.round("leverage_score", 6).alias("leverage"), F.col("learning_action").alias("action"), check.alias("check_outside"),
     )
-    return rel.top(q, [F.desc("score"), F.asc("entity_id")], 500, "queue_rank")
 
 
 _CI = lambda x: f"(2 * 1.96 * sqrt({x} / observed * (1 - {x} / observed) / observed + .9604 / (observed * observed)) / (1 + 3.8416 / observed))"
