@@ -126,6 +126,29 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, levels: Sequence[
     return one.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("level", value.alias("value")))), lambda x: x["value"]).alias("q")).where("n is not null")
 
 
+def normality(n: Column, skew: Column, kurtosis: Column) -> Column:
+    """struct(k2, p): D'Agostino and Pearson's test of normality from a sample's size, population skewness and excess kurtosis.
+
+    Both are transformed to nearly standard normal scores; k2, the sum of their squares, has a chi-square tail of two
+    degrees, exp(-k2 / 2). Null below 20 values, or where the moments are not numbers.
+    """
+    n = n.cast("double")
+    y = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (beta2 - 1)) - 1
+    alpha = F.sqrt(2 / (w2 - 1))
+    z1 = F.asinh(y / alpha) / F.sqrt(F.log(w2) / 2)
+    mean = 3 * (n - 1) / (n + 1)
+    var = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    x = (kurtosis + 3 - mean) / F.sqrt(var)
+    third = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / third * (2 / third + F.sqrt(1 + 4 / (third * third)))
+    down = 1 + x * F.sqrt(2 / (a - 4))
+    z2 = ((1 - 2 / (9 * a)) - F.signum(down) * F.pow((1 - 2 / a) / F.abs(down), F.lit(1 / 3.0))) / F.sqrt(2 / (9 * a))
+    k2 = F.when(n >= 20, z1 * z1 + z2 * z2)
+    return F.struct(k2.alias("k2"), F.exp(-k2 / 2).alias("p"))
+
+
 def min_max(df: DataFrame, column: str, out: str, default: float = 0.0) -> DataFrame:
     """Add (x - min) / (max - min) over the whole frame; ``default`` where all values are equal. One row is sent along."""
     ends = df.agg(F.min(column).alias("__low"), F.max(column).alias("__high"))

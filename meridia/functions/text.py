@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from meridia.functions.workers import ship
 
 # Tokens that mean "nothing said", and phrases that say there is no evidence.
 NULLISH = ["", "na", "n/a", "nan", "none", "null", "nil", "-", "--", "unknown", "not available", "[]", "{}"]
@@ -66,6 +74,45 @@ def fold_accents(c: Column) -> Column:
     return F.translate(F.lower(_or_empty(c)), _ACCENTED, _PLAIN)
 
 
+@cache
+def _ascii_of() -> tuple[str, str, str]:
+    """(characters that NFKD turns into one ASCII character, those characters, characters that it turns into several)."""
+    one, become, several = [], [], []
+    for code in range(128, sys.maxunicode + 1):
+        if not 0xD800 <= code < 0xE000:
+            left = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if x < "\x80")
+            if len(left) == 1:
+                one.append(chr(code))
+                become.append(left)
+            elif left:
+                several.append(chr(code))
+    return "".join(one), "".join(become), "".join(several)
+
+
+@F.pandas_udf(T.StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+
+
+def ascii_fold(c: Column) -> Column:
+    """Compatibility decomposition, then ASCII only: accents, ligatures, widths, styled letters and circled numbers fold.
+
+    The tables come from the Unicode data of the Python that plans the query. Characters that become one letter are
+    translated in generated code; only texts with one of the few that become several pass to Python, in Arrow batches.
+    """
+    ship()
+    one, become, several = _ascii_of()
+    text = _or_empty(c)
+    plain = F.translate(text, one, become)
+    rare = F.length(F.translate(plain, several, "")) < F.length(plain)
+    return F.coalesce(_decomposed(F.when(rare, text)), F.regexp_replace(plain, r"[^\x00-\x7F]+", ""))
+
+
+def key_words(c: Column) -> Column:
+    """Folded to ASCII, lower case, & as "and", runs of letters and digits between single spaces; null as empty."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(ascii_fold(c)), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
+
+
 def first_pin(c: Column) -> Column:
     """The first run of six digits that does not begin with 0 and is no part of a longer number."""
     return _found(_or_empty(c), r"(?<![0-9])([1-9][0-9]{5})(?![0-9])")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meridia.functions import stats, text
+from meridia.functions.workers import ship
 from meridia.operators.relational import pinned
 
 MAX_BLOCK = 250  # members of a block that still say something; larger blocks are reported, not paired
@@ -23,6 +24,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def text_similarity(a: Column, b: Column) -> Column:
     """The largest of the texts' sequence ratio, that of their sorted words, and the overlap of their words; 0 without a text."""
+    ship()
     words = lambda c: text.tokens(c)
     ordered = lambda c: F.array_join(F.array_sort(words(c)), " ")
     best = F.greatest(sequence_ratio(a, b), sequence_ratio(ordered(a), ordered(b)), text.token_similarity(F.array_distinct(words(a)), F.array_distinct(words(b))))

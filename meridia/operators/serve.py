@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import stats, text
@@ -106,3 +109,58 @@ def other_area_named(df: DataFrame, names: DataFrame, key: str, block: str, own:
     long_enough = F.length(F.replace(text.key_spaced(F.col(name)), F.lit(" "), F.lit(""))) >= 5
     said = df.join(names.where(long_enough), block).where((text.key_spaced(F.col(name)) != text.key_spaced(F.col(own))) & text.phrase_in(F.col(evidence), F.col(name)))
     return said.groupBy(key).agg(F.max_by(name, F.struct(F.length(name), name)).alias(name))
+
+
+def scoped_examples(asked: DataFrame, records: DataFrame, scopes: Sequence[str], key: str, order: Sequence[Column], n: int, prefer: Column | None = None, narrow_only: Column | None = None) -> DataFrame:
+    """(asked columns, scope, key, place): the first ``n`` records of each asked area's narrowest scope that has any.
+
+    ``scopes`` are columns from narrow to wide (a district and its state: ["district", "state"]), a scope being equal in
+    a column and all wider ones; beyond the last there is the whole table. Where a scope has records that ``prefer``
+    holds for, only these count there. ``narrow_only``: records it holds for are not used in the narrowest scope.
+    Each scope keeps n records before areas meet it, so an area costs n rows a scope however many records there are.
+    """
+    prefer = F.lit(True) if prefer is None else F.coalesce(prefer, F.lit(False))
+    barred = F.lit(False) if narrow_only is None else F.coalesce(narrow_only, F.lit(False))
+    marked = records.withColumns({"__prefer": prefer, "__barred": barred})
+    order = [F.desc("__prefer"), *order]
+    out = None
+    for level in range(len(scopes) + 1):
+        keys = list(scopes[level:])
+        own = marked.where("not __barred") if level == 0 else marked
+        if keys:
+            own = own.dropna(subset=keys).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n)
+        else:
+            first = own.orderBy(*order).limit(n)
+            own = first.withColumn("__n", F.row_number().over(Window.orderBy(*order)))  # of n rows
+        own = own.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(key).alias("__key"), "__n", "__prefer")
+        match = reduce(lambda a, k: a & (F.col(k) == F.col(f"__{k}")), keys, F.lit(True))
+        part = asked.join(own if keys else F.broadcast(own), match).select(*asked.columns, F.lit(level).alias("__level"), "__key", "__n", "__prefer")
+        out = part if out is None else out.unionByName(part)
+    area = Window.partitionBy(*asked.columns)
+    kept = out.withColumn("__first", F.min("__level").over(area)).where("__level = __first").withColumn("__some", F.max("__prefer").over(area)).where("__prefer = __some")
+    names = F.element_at(F.array(*(F.lit(x) for x in (*scopes, "all"))), F.col("__level") + 1)
+    return kept.select(*asked.columns, names.alias("scope"), F.col("__key").alias(key), F.col("__n").cast("long").alias("place"))
+
+
+def supply_intervals(records: DataFrame, area: str, trusted: str, observed: str, estimate: str, low: str, high: str) -> DataFrame:
+    """(area, scenario, facilities, capacity, low, high): best, likely and worst supply of each area, from its records.
+
+    best: all records, and the largest of observed numbers, estimates and upper ends summed. worst: trusted records
+    only and their lower ends; where these sum to nothing, the trusted share of all lower ends; never above best.
+    likely: between the two in numbers, midway in capacity. ``observed`` is null where a number is not observed.
+    """
+    known = lambda c: F.coalesce(F.sum(F.greatest(F.col(c), F.lit(0.0))), F.lit(0.0))
+    sums = records.groupBy(area).agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce(trusted, F.lit(False))).alias("sure"), known(observed).alias("seen"), known(estimate).alias("mid"), known(high).alias("top"), known(low).alias("bottom"),
+        F.coalesce(F.sum(F.when(F.col(trusted), F.greatest(F.col(low), F.lit(0.0)))), F.lit(0.0)).alias("sure_bottom"),
+    )
+    best = F.greatest("seen", "mid", "top")
+    share = F.col("sure") / F.col("n")
+    worst = F.least(F.when(F.col("sure_bottom") > 0, F.col("sure_bottom")).otherwise(F.col("bottom") * share), best)
+    likely_n = F.least(F.col("n"), F.greatest(F.col("sure"), F.round(F.col("n") * share).cast("long")))
+    rows = F.array(*(
+        F.struct(F.lit(name).alias("scenario"), count.cast("long").alias("facilities"), stats.half_up(capacity, 1).alias("capacity"), stats.half_up(lo, 1).alias("low"), stats.half_up(hi, 1).alias("high"))
+        for name, count, capacity, lo, hi in (
+            ("best", F.col("n"), best, worst, best), ("likely", likely_n, (best + worst) / 2, worst, best), ("worst", F.col("sure"), worst, worst, worst))
+    ))
+    return sums.select(area, F.explode(rows).alias("x")).select(area, "x.*")

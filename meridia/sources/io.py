@@ -284,14 +284,31 @@ def union_logs(*logs: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     return whole.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n").orderBy(F.desc(order))
 
 
+def _folded(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c.cast("string")), r"[^\p{L}\p{N}]", "")
+
+
 def metadata_index(records: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """(key, record columns): records by any of their alternate keys, folded; of equal keys the last record wins."""
-    folded = F.array(*(F.regexp_replace(F.lower(F.col(k).cast("string")), r"[^\p{L}\p{N}]", "") for k in keys))
+    folded = F.array(*(_folded(F.col(k)) for k in keys))
     long = records.withColumn("lookup_key", F.explode(F.array_distinct(F.filter(folded, lambda x: F.coalesce(x, F.lit("")) != ""))))
     last = Window.partitionBy("lookup_key").orderBy(F.desc(order))
     return long.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 
 
+def lookup_any(df: DataFrame, key: str, tries: Sequence[Column], index: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(key, place, columns): what ``index`` (of ``lookup_key``) holds for the first of a row's keys that it knows.
+
+    ``tries`` are the row's alternate keys, the best first; ``place`` tells which one met. All keys of all rows meet the
+    index in one equality join and the smallest place wins, so there is no join by "or". Rows that meet nothing are
+    left out; blank and null keys meet nothing.
+    """
+    told = F.array(*(F.struct(F.lit(i).alias("place"), _folded(c).alias("lookup_key")) for i, c in enumerate(tries)))
+    long = df.select(key, F.explode(F.filter(told, lambda x: F.coalesce(x["lookup_key"], F.lit("")) != "")).alias("t")).select(key, "t.*")
+    met = long.join(index.select("lookup_key", *columns), "lookup_key")
+    return met.groupBy(key).agg(F.min(F.struct("place", *columns)).alias("m")).select(key, "m.*")
+
+
 # ------------------------------------------------------------------- sinks
 
 
