@@ -3,6 +3,7 @@
 A filter is a direction; a vector passes it when their inner product reaches a threshold, that is, when it lies in
 a spherical cap. Directions are all pairs of words from two small random codes, one for each half of the
 dimensions, so a vector's filters are list-decoded from two short lists of inner products instead of one long one.
+Below SMALL dimensions random caps miss pairs, so there the caps are the cells of a grid, which miss none.
 Vectors that share a filter are compared exactly, and a pair counts at its smallest common filter only. Equal
 vectors are one class with a multiplicity; buckets beyond CHUNK members are compared chunk by chunk. Sorted buckets
 stream through a task and many small ones are multiplied at once. Per member only a count and one link go on, so
@@ -28,7 +29,9 @@ MIN_COSINE = 0.98
 FILTERS = 12  # that a vector passes on average
 LEAST = 12  # that every vector gets with codes of 16 words: its best ones where fewer reach the threshold
 MORE = 2  # by which that grows whenever the words double, as a larger code splits close pairs more often
-CHUNK = 256
+CHUNK = 1024  # members of a bucket that are compared at once with as many others
+STEP = 256  # vectors that are decoded at once
+SMALL = 8  # dimensions below which caps are cells of a grid: every pair shares one
 BEST = 32  # words of each half whose sums are looked at together; what else reaches the bar is found one by one
 PAIRS_AT_ONCE = 100_000
 
@@ -68,8 +71,8 @@ def decode_filters(x: np.ndarray, words: int) -> list[np.ndarray]:
     least = least_filters(words)
     best = min(words, max(BEST, least + 1))  # the ``least`` best sums are among these words'
     out: list[np.ndarray] = []
-    for k in range(0, len(x), CHUNK):
-        one, two = x[k : k + CHUNK, :half] @ first.T, x[k : k + CHUNK, half:] @ second.T
+    for k in range(0, len(x), STEP):
+        one, two = x[k : k + STEP, :half] @ first.T, x[k : k + STEP, half:] @ second.T
         top = [np.argpartition(-y, best - 1, axis=1)[:, :best] for y in (one, two)]
         a, b = (np.take_along_axis(y, t, 1) for y, t in zip((one, two), top, strict=True))
         sums = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
@@ -83,6 +86,22 @@ def decode_filters(x: np.ndarray, words: int) -> list[np.ndarray]:
     return out
 
 
+def code_words(dimensions: int, words: int) -> int:
+    """Words of a code for so many dimensions, ``words`` at most: caps of few dimensions must not shrink below close pairs."""
+    return min(words, 4 ** (dimensions // 2 - 1))
+
+
+def grid_filters(x: np.ndarray) -> list[np.ndarray]:
+    """For each unit vector of few dimensions the sorted numbers of the grid cells around it, on its first three coordinates.
+
+    Vectors at MIN_COSINE are at most a cell's width apart in each coordinate, so each one's cell is around the other.
+    """
+    width = math.sqrt(2 - 2 * MIN_COSINE) + 1e-9
+    own = np.floor(x[:, :3] / width).astype(np.int64) + 32  # coordinates are in [-1, 1], so cells are in 26 .. 37
+    around = np.stack(np.meshgrid(*[(-1, 0, 1)] * own.shape[1], indexing="ij"), axis=-1).reshape(-1, own.shape[1])
+    return list(np.sort((own[:, None, :] + around) @ (64 ** np.arange(own.shape[1])), axis=1))
+
+
 _READ = "vec long, id long, label long, digest string, unit binary"
 _READ_ARROW = pa.schema([("vec", pa.int64()), ("id", pa.int64()), ("label", pa.int64()), ("digest", pa.string()), ("unit", pa.binary())])
 
@@ -112,7 +131,8 @@ def _filters(words: int):
             found: list = [None] * len(units)
             for size in {len(u) for u in units}:
                 where = [i for i, u in enumerate(units) if len(u) == size]
-                for i, f in zip(where, decode_filters(np.stack([units[i] for i in where]), words), strict=True):
+                x = np.stack([units[i] for i in where])
+                for i, f in zip(where, grid_filters(x) if size < SMALL else decode_filters(x, code_words(size, words)), strict=True):
                     found[i] = f
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(u) for u in units], pa.int32()), pa.array(found, pa.list_(pa.int64()))],

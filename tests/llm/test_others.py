@@ -193,6 +193,39 @@ def test_pairs_at_the_threshold_share_a_filter_at_every_size(words):
     assert np.mean(shared) >= 0.999
 
 
+def threshold_pairs(dimensions, n, seed=11):
+    """Pairs of unit vectors whose cosine is exactly at the threshold or a hair above it."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.standard_normal((2, n, dimensions))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    return x, 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dimensions", [2, 3, 4, 5, 6, 7])
+def test_grids_of_few_dimensions_miss_no_pair(dimensions):
+    x, y = threshold_pairs(dimensions, 3000)
+    assert all(len(np.intersect1d(a, b)) > 0 for a, b in zip(embeddings.grid_filters(x), embeddings.grid_filters(y), strict=True))
+    assert len(embeddings.grid_filters(np.array([[1.0], [-1.0]]))) == 2
+
+
+@pytest.mark.parametrize(("dimensions", "words"), [(8, 64), (8, 4096), (9, 4096), (10, 4096), (12, 4096), (16, 64), (32, 1024), (256, 256), (768, 64)])
+def test_codes_of_more_dimensions_find_nearly_all_pairs(dimensions, words):
+    x, y = threshold_pairs(dimensions, 600)
+    words = embeddings.code_words(dimensions, words)
+    shared = [len(np.intersect1d(a, b)) > 0 for a, b in zip(embeddings.decode_filters(x, words), embeddings.decode_filters(y, words), strict=True)]
+    assert np.mean(shared) >= 0.99
+
+
+def test_vectors_of_few_dimensions_link_exactly(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.standard_normal(1 + i % 3)], 1) for i in range(240)]
+    out = {r.id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    for i, a in enumerate(unit):
+        assert out[i] == sum(len(a) == len(b) and a @ b >= 0.98 for j, b in enumerate(unit) if j != i)
+
+
 def test_no_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
