@@ -148,7 +148,7 @@ def confidence_bins(df: DataFrame, column: str) -> DataFrame:
 
 def source_matches(df: DataFrame, key: str) -> DataFrame:
     """One row for each record itself, and one more for its PIN's directory entry where it has a PIN; no match promotes a label."""
-    own = F.struct(F.lit("fdr_cleaned_facility").alias("system"), F.lit("C").alias("tier"), F.col(key).cast("string").alias("record"), F.lit("self_seed").alias("kind"),
+    own = F.struct(F.lit("cleaned_records").alias("system"), F.lit("C").alias("tier"), F.col(key).cast("string").alias("record"), F.lit("self_seed").alias("kind"),
                    F.lit(1.0).alias("score"), F.lit("claim_seed").alias("agreement"))
     post = F.struct(F.lit("india_post_pincode_bridge").alias("system"), F.lit("A").alias("tier"), F.col("pin").alias("record"), F.lit("admin_geography_context").alias("kind"),
                     F.col("join_confidence").alias("score"), F.lit("admin_context_only").alias("agreement"))

@@ -88,10 +88,10 @@ def with_prior(df: DataFrame, status: str, location_type: str, partial: str) ->
 
 
 def reconciliation(parsed: Column, pin: Column, state: Column, similarity: Column, confidence: Column, precheck: Column) -> Column:
-    """First rule that holds decides whether a parsed address may go to a geocoder."""
+    """First rule that holds decides whether a parsed address may go to a geocoder; a parse without confidence is none."""
     return (
-        F.when(~parsed, "parse_missing").when(pin == "conflict", "parsed_pin_conflict").when(state == "conflict", "parsed_state_conflict").when(similarity < 0.72, "parsed_city_district_conflict")
-        .when(F.coalesce(confidence, F.lit(0.0)) < 0.65, "low_parse_confidence").when(precheck != "fuzzy_ok", "pre_geocoder_review").otherwise("ready_for_geocoder")
+        F.when(~parsed | confidence.isNull(), "llm_parse_missing").when(pin == "conflict", "parsed_pin_conflict").when(state == "conflict", "parsed_state_conflict").when(similarity < 0.72, "parsed_city_district_conflict")
+        .when(confidence < 0.65, "low_llm_parse_confidence").when(precheck != "fuzzy_ok", "pre_geocoder_review").otherwise("ready_for_geocoder")
     )
 
 

@@ -109,6 +109,7 @@ SELECT state, district, n_nationkey AS district_key,
   CAST(sum(CASE WHEN maternity THEN 1 ELSE 0 END) AS BIGINT) AS maternity_n, CAST(sum(CASE WHEN diagnostic THEN 1 ELSE 0 END) AS BIGINT) AS diagnostic_n, CAST(sum(CASE WHEN chronic THEN 1 ELSE 0 END) AS BIGINT) AS chronic_n,
   CASE WHEN n_nationkey % 8 = 7 THEN NULL ELSE CAST((n_nationkey * 37) % 100 AS DOUBLE) END AS anaemia,
   CAST((n_nationkey * 53) % 100 AS DOUBLE) AS pressure, CAST((n_nationkey * 29) % 60 AS DOUBLE) AS sugar,
+  CASE WHEN n_nationkey % 11 = 4 THEN NULL ELSE CAST((n_nationkey * 31) % 90 AS DOUBLE) END AS pressure_men, CAST((n_nationkey * 23) % 55 AS DOUBLE) AS sugar_men,
   CASE WHEN n_nationkey % 9 = 5 THEN NULL ELSE CAST((n_nationkey * 71) % 100 AS DOUBLE) END AS insurance,
   CAST(20 + (n_nationkey * 43) % 80 AS DOUBLE) AS births
 FROM ({ENTITIES}) e JOIN nation ON e.district = n_name GROUP BY state, district, n_nationkey

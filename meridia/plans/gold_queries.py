@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from meridia.functions import stats
 from meridia.operators import relational as rel
 from meridia.operators import remediate, reports, scores
-from meridia.plans.base import entities, query, table
+from meridia.plans.base import ORACLES, entities, query, table
 from meridia.plans.decision_queries import _LOW_RISK, CLAIMS, MASKED, TIERED, _tiered, claim_rules, ev_recommender
 from meridia.plans.measures import MEASURES
 from meridia.plans.score_queries import _CONF, _PRIORITY, PLANNED, POSTERIORS, SCORED, placed, scored
@@ -62,7 +62,9 @@ def confidence_fallback(spark, d):
     return reports.confidence_rows(entities(spark, d), "entity_id")
 
 
-@query("recommendation_summary")
+@query("recommendation_summary", f"""WITH r AS ({ORACLES["ev_recommender"]}), n AS (SELECT NULL::DOUBLE AS low, NULL::DOUBLE AS middle, NULL::DOUBLE AS high)
+SELECT 'leading' AS kind, option AS name, count(*) AS n, low, middle, high FROM r, n WHERE rank = 1 GROUP BY ALL UNION ALL SELECT 'option', option, count(*), low, middle, high FROM r, n GROUP BY ALL
+UNION ALL SELECT 'confidence', confidence, count(*), low, middle, high FROM r, n GROUP BY ALL UNION ALL SELECT 'ev', 'ev', count(*), round(min(ev), 6), round(median(ev), 6), round(max(ev), 6) FROM r""")
 def recommendation_summary(spark, d):
     ranked = rel.pinned(ev_recommender(spark, d))
     return reports.recommendation_summary(ranked, "option", "rank", "ev", "confidence")
@@ -92,7 +94,7 @@ def confidence_bins(spark, d):
     return reports.confidence_bins(entities(spark, d), "readiness")
 
 
-@query("source_matches", """SELECT entity_id, 'fdr_cleaned_facility' AS system, 'C' AS tier, CAST(entity_id AS VARCHAR) AS record, 'self_seed' AS kind, 1.0::DOUBLE AS score, 'claim_seed' AS agreement, false AS can_promote FROM {entities} e
+@query("source_matches", """SELECT entity_id, 'cleaned_records' AS system, 'C' AS tier, CAST(entity_id AS VARCHAR) AS record, 'self_seed' AS kind, 1.0::DOUBLE AS score, 'claim_seed' AS agreement, false AS can_promote FROM {entities} e
 UNION ALL SELECT entity_id, 'india_post_pincode_bridge', 'A', pin, 'admin_geography_context', join_confidence, 'admin_context_only', false FROM {entities} e WHERE pin IS NOT NULL""")
 def source_matches(spark, d):
     """Each record's own seed row, and one for its PIN, from one scan."""

@@ -66,11 +66,12 @@ def care_gap_breakdown(spark, d):
     return rel.unpivot(s, ["district"], ["need", "few_records", "low_trust"], "part", "points").withColumn("points", F.round("points", 6))
 
 
-@query("condition_burden", """SELECT district, round((coalesce(anaemia, 0) + pressure + sugar + (100 - coalesce(insurance, 0)) + (100 - births)) / 5, 6) AS burden FROM {regions} r""")
+@query("condition_burden", """SELECT district, round((coalesce(anaemia, 0) + pressure + coalesce(pressure_men, 0) + sugar + sugar_men + (100 - coalesce(insurance, 0)) + (100 - births)) / 7, 6) AS burden FROM {regions} r""")
 def condition_burden(spark, d):
+    """Mean of seven burdens: anaemia, both sexes' pressure and sugar, and what lacks in insurance and births; unknown counts as 0."""
     known = lambda c: F.coalesce(c, F.lit(0.0))
-    burden = (known("anaemia") + known("pressure") + known("sugar") + (100 - known("insurance")) + (100 - known("births"))) / 5
-    return regions(spark, d).select("district", F.round(burden, 6).alias("burden"))
+    burden = sum(map(known, ("anaemia", "pressure", "pressure_men", "sugar", "sugar_men")), F.lit(0.0)) + (100 - known("insurance")) + (100 - known("births"))
+    return regions(spark, d).select("district", F.round(burden / 7, 6).alias("burden"))
 
 
 @query("fit_scores_long", f"""WITH s AS (SELECT district, need, trust_rate AS t, care_gap, coalesce(insurance, 50) / 100 AS ins, coalesce(anaemia, 0) / 100 AS ncd, quality FROM ({SCORED})),

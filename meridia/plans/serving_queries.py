@@ -89,13 +89,13 @@ def geocoder_priors(spark, d):
     return serve.with_prior(e, "status", "location_type", "partial")
 
 
-@query("reconciliation_status", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN operator IS NULL THEN 'parse_missing' WHEN entity_id % 7 = 0 THEN 'parsed_pin_conflict' WHEN entity_id % 8 = 1 THEN 'parsed_state_conflict' WHEN readiness < .3 THEN 'parsed_city_district_conflict'
- WHEN coalesce(join_confidence, 0) < .65 THEN 'low_parse_confidence' WHEN needs_review THEN 'pre_geocoder_review' ELSE 'ready_for_geocoder' END AS status FROM {entities} e) GROUP BY 1""")
+@query("reconciliation_status", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN operator IS NULL OR match_score IS NULL THEN 'llm_parse_missing' WHEN entity_id % 7 = 0 THEN 'parsed_pin_conflict' WHEN entity_id % 8 = 1 THEN 'parsed_state_conflict' WHEN readiness < .3 THEN 'parsed_city_district_conflict'
+ WHEN match_score * join_confidence < .65 THEN 'low_llm_parse_confidence' WHEN needs_review THEN 'pre_geocoder_review' ELSE 'ready_for_geocoder' END AS status FROM {entities} e) GROUP BY 1""")
 def reconciliation_status(spark, d):
     conflict = lambda c: F.when(c, "conflict").otherwise("match")
     adjusted = F.when(F.col("readiness") < 0.3, 0.5).otherwise(0.9)
     s = serve.reconciliation(
-        F.col("operator").isNotNull(), conflict(F.col("entity_id") % 7 == 0), conflict(F.col("entity_id") % 8 == 1), adjusted, F.col("join_confidence"),
+        F.col("operator").isNotNull(), conflict(F.col("entity_id") % 7 == 0), conflict(F.col("entity_id") % 8 == 1), adjusted, F.col("match_score") * F.col("join_confidence"),
         F.when(F.col("needs_review"), "conflict").otherwise("fuzzy_ok"),
     )
     return rel.value_counts(entities(spark, d).select(s.alias("status")), ["status"])
