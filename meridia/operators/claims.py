@@ -27,43 +27,43 @@ class Rule:
     generic: tuple[str, ...] = ()  # terms that say too little by themselves
 
 
-def _terms(line: str) -> tuple[str, ...]:
-    return tuple(t.strip() for t in line.split(","))
-
-
 _ALL = ("specialties", "procedure", "equipment", "capability")
 
 # The rules, in order.
 RULES = [
     Rule("maternity", "critical", 1.0, ("specialties", "procedure", "capability"),
-         _terms("maternity, maternal, obstetrics, obstetric, gynecology, gynaecology, normal delivery, caesarean, cesarean, c section, labour room, labor room,"
-                "neonatology, neonatal, perinatal, fetal, foetal, ivf, infertility, reproductive")),
+         ("maternity", "maternal", "obstetrics", "obstetric", "gynecology", "gynaecology", "normal delivery", "caesarean", "cesarean", "c section",
+          "labour room", "labor room", "neonatology", "neonatal", "perinatal", "fetal", "foetal", "ivf", "infertility", "reproductive")),
     Rule("emergency", "critical", 1.0, _ALL,
-         _terms("emergency, emergency medicine, pediatric emergency, paediatric emergency, trauma, casualty, urgent care, accident, ambulance, disaster response")),
+         ("emergency", "emergency medicine", "pediatric emergency", "paediatric emergency", "trauma", "casualty", "urgent care", "accident", "ambulance",
+          "disaster response")),
     Rule("diagnostic", "high", 0.85, _ALL,
-         _terms("diagnostic, diagnostics, screening, ct scan, mri, pet ct, ultrasound, sonography, x ray, xray, endoscopy, biopsy, echo, tmt, ecg, ekg"),
+         ("diagnostic", "diagnostics", "screening", "ct scan", "mri", "pet ct", "ultrasound", "sonography", "x ray", "xray", "endoscopy", "biopsy", "echo",
+          "tmt", "ecg", "ekg"),
          ("diagnostic", "diagnostics", "screening")),
     Rule("surgery", "high", 0.85, ("specialties", "procedure", "capability"),
-         _terms("surgery, surgical, operating theatre, operation theatre, operating room, ot, laparoscopic, robotic surgery, transplant, reconstruction, hysterectomy,"
-                "cholecystectomy, hernia repair, craniotomy, laminectomy, angioplasty"), ("surgery", "surgical", "ot")),
+         ("surgery", "surgical", "operating theatre", "operation theatre", "operating room", "ot", "laparoscopic", "robotic surgery", "transplant",
+          "reconstruction", "hysterectomy", "cholecystectomy", "hernia repair", "craniotomy", "laminectomy", "angioplasty"), ("surgery", "surgical", "ot")),
     Rule("cardiology", "high", 0.8, _ALL,
-         _terms("cardiology, cardiac, cardiothoracic, heart, coronary, angioplasty, angiogram, cath lab, echocardiography, echo, tmt, ecg, ekg")),
+         ("cardiology", "cardiac", "cardiothoracic", "heart", "coronary", "angioplasty", "angiogram", "cath lab", "echocardiography", "echo", "tmt", "ecg",
+          "ekg")),
     Rule("oncology", "high", 0.82, _ALL,
-         _terms("oncology, oncological, onco, cancer, tumor, tumour, radiotherapy, radiation therapy, chemotherapy, bone marrow transplant, bmt, hematology oncology,"
-                "haematology oncology")),
+         ("oncology", "oncological", "onco", "cancer", "tumor", "tumour", "radiotherapy", "radiation therapy", "chemotherapy", "bone marrow transplant", "bmt",
+          "hematology oncology", "haematology oncology")),
     Rule("ophthalmology", "standard", 0.55, _ALL,
-         _terms("ophthalmology, eye, cataract, cornea, retina, vitreoretinal, glaucoma, oculoplastics, orbital surgery")),
+         ("ophthalmology", "eye", "cataract", "cornea", "retina", "vitreoretinal", "glaucoma", "oculoplastics", "orbital surgery")),
     Rule("dental", "standard", 0.5, _ALL,
-         _terms("dental, dentistry, dentist, oral medicine, oral and maxillofacial, orthodontics, periodontics, endodontics, prosthodontics, implantology")),
+         ("dental", "dentistry", "dentist", "oral medicine", "oral and maxillofacial", "orthodontics", "periodontics", "endodontics", "prosthodontics",
+          "implantology")),
     Rule("pharmacy", "standard", 0.5, ("equipment", "capability"),
-         _terms("pharmacy, pharmaceutical, drug store, dispensary, medicines, medication, drug dispensing"), ("medicines", "medication")),
+         ("pharmacy", "pharmaceutical", "drug store", "dispensary", "medicines", "medication", "drug dispensing"), ("medicines", "medication")),
     Rule("lab/imaging", "high", 0.8, _ALL,
-         _terms("laboratory, lab, pathology, radiology, imaging, diagnostic radiology, ct scan, mri, pet ct, ultrasound, sonography, x ray, xray, nuclear medicine,"
-                "histopathology, microbiology, biochemistry"), ("lab", "laboratory", "imaging")),
+         ("laboratory", "lab", "pathology", "radiology", "imaging", "diagnostic radiology", "ct scan", "mri", "pet ct", "ultrasound", "sonography", "x ray",
+          "xray", "nuclear medicine", "histopathology", "microbiology", "biochemistry"), ("lab", "laboratory", "imaging")),
     Rule("blood bank", "critical", 0.95, ("procedure", "equipment", "capability"),
-         _terms("blood bank, blood storage, blood transfusion, transfusion medicine, blood product, blood products")),
+         ("blood bank", "blood storage", "blood transfusion", "transfusion medicine", "blood product", "blood products")),
     Rule("ICU/critical care", "critical", 1.0, ("specialties", "equipment", "capability"),
-         _terms("icu, intensive care, critical care, ccu, nicu, picu, hdu, ventilator, ventilation")),
+         ("icu", "intensive care", "critical care", "ccu", "nicu", "picu", "hdu", "ventilator", "ventilation")),
 ]
 
 # Language that promises much or speaks of others.

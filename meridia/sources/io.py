@@ -124,17 +124,29 @@ def save_keyed(df: DataFrame, table: str, keys: Sequence[str], comment: str = ""
 
 # What each serving view shows of its gold table.
 VIEWS = {
-    "v_risk_map": "geography_id, geography_name, state, district, medical_desert_risk_score, risk_band, top_risk_drivers, provider_gap_score, travel_burden_score, vulnerability_score, "
-    "confidence_score, provider_count_total, trustworthy_provider_count, district_uncertainty_level, planning_category, model_version, scored_at",
-    "v_intervention_recommender": "geography_id, state, district, rank, intervention_type, expected_impact_score, expected_access_gain, implementation_complexity_score, "
-    "recommendation_confidence, p_addresses_need, p_wrong, trigger_signals, why_recommended, data_limitations, not_recommended_flag, not_recommended_reason, model_version, created_at",
-    "v_provider_confidence": "canonical_provider_id, provider_name, facility_type, state, district, latitude, longitude, source_count, has_source_urls, has_contact_evidence, geo_valid_flag, "
-    "pin_district_consistent_flag, contradicted_flag, needs_human_review, provider_confidence_score, confidence_band, validity_posterior, validity_action, conformal_set, conformal_decision, "
-    "conflict_summary, last_verified_or_seen, source_urls",
-    "v_scenario_simulator": "scenario_id, geography_id, state, district, intervention_type, assumptions_json, risk_score_before, risk_score_after, access_improvement_score, "
-    "estimated_population_helped, confidence_band, model_version, created_at",
-    "v_review_queue": "canonical_provider_id, facility_name, facility_type, state, district, review_priority, primary_concern, confidence_band, provider_confidence_score, geo_quality, "
-    "officialPhone, email, officialWebsite, source_urls, model_version, created_at",
+    "v_risk_map": (
+        "geography_id", "geography_name", "state", "district", "medical_desert_risk_score", "risk_band", "top_risk_drivers", "provider_gap_score", "travel_burden_score",
+        "vulnerability_score", "confidence_score", "provider_count_total", "trustworthy_provider_count", "district_uncertainty_level", "planning_category", "model_version",
+        "scored_at",
+    ),
+    "v_intervention_recommender": (
+        "geography_id", "state", "district", "rank", "intervention_type", "expected_impact_score", "expected_access_gain", "implementation_complexity_score",
+        "recommendation_confidence", "p_addresses_need", "p_wrong", "trigger_signals", "why_recommended", "data_limitations", "not_recommended_flag", "not_recommended_reason",
+        "model_version", "created_at",
+    ),
+    "v_provider_confidence": (
+        "canonical_provider_id", "provider_name", "facility_type", "state", "district", "latitude", "longitude", "source_count", "has_source_urls", "has_contact_evidence",
+        "geo_valid_flag", "pin_district_consistent_flag", "contradicted_flag", "needs_human_review", "provider_confidence_score", "confidence_band", "validity_posterior",
+        "validity_action", "conformal_set", "conformal_decision", "conflict_summary", "last_verified_or_seen", "source_urls",
+    ),
+    "v_scenario_simulator": (
+        "scenario_id", "geography_id", "state", "district", "intervention_type", "assumptions_json", "risk_score_before", "risk_score_after", "access_improvement_score",
+        "estimated_population_helped", "confidence_band", "model_version", "created_at",
+    ),
+    "v_review_queue": (
+        "canonical_provider_id", "facility_name", "facility_type", "state", "district", "review_priority", "primary_concern", "confidence_band", "provider_confidence_score",
+        "geo_quality", "officialPhone", "email", "officialWebsite", "source_urls", "model_version", "created_at",
+    ),
 }
 VIEW_ORDER = {"v_review_queue": "review_priority"}
 
@@ -143,7 +155,7 @@ def create_views(spark: SparkSession, gold: dict[str, DataFrame]) -> list[str]:
     """The serving views over gold frames that are at hand (view -> frame); columns that a frame lacks are null."""
     made = []
     for name, df in gold.items():
-        columns = VIEWS[name].split(", ")
+        columns = VIEWS[name]
         out = df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
         if name in VIEW_ORDER:
             out = out.orderBy(F.desc(VIEW_ORDER[name]))

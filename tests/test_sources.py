@@ -33,7 +33,7 @@ def test_views_show_their_columns(spark):
     df = spark.createDataFrame([(1, 3.0, "x"), (2, 9.0, "y")], "canonical_provider_id int, review_priority double, extra string")
     assert io.create_views(spark, {"v_review_queue": df}) == ["v_review_queue"]
     out = spark.table("v_review_queue")
-    assert out.columns == io.VIEWS["v_review_queue"].split(", ") and [r.canonical_provider_id for r in out.collect()] == [2, 1]
+    assert out.columns == list(io.VIEWS["v_review_queue"]) and [r.canonical_provider_id for r in out.collect()] == [2, 1]
     assert len(io.VIEWS) == 5
 
 
