@@ -7,7 +7,6 @@ next stage's docs. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meridia.llm import mixing, ngrams, packing, quality, secrets
 from meridia.llm._shared import read_table, settle, ship
@@ -50,7 +49,8 @@ STAGES = [
     ("packing", sequence_packing),
 ]
 
-# Stages fit a model, rake weights and tokenise: SQL cannot state them; tests/llm/test_pipeline.py does it by brute force.
+# Stages fit a model, rake weights and tokenise: SQL cannot state them; tests/llm/test_pipeline.py states each
+# stage plainly on a small table (the classifier itself is stated in test_edges.py).
 ORACLE_SQL = None
 
 
@@ -59,14 +59,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def count_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stage, rows, characters) after each stage that keeps documents: what a run report shows."""
-    docs = read_table(spark, sf_dir, "documents")
-    report = None
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
-        line = docs.agg(F.lit(name).alias("stage"), F.count("*").alias("rows"), F.sum(F.length("text")).alias("characters"))
-        report = line if report is None else report.union(line)
-    return report
