@@ -148,6 +148,13 @@ def text_slices(column: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int,
         start = end
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, so that a process that is done with large arrays is small again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run: Callable, owner: str | None = None) -> Callable:
     """A batch function after which the worker gives freed memory back, so that idle workers stay small.
 
@@ -159,9 +166,7 @@ def lean(run: Callable, owner: str | None = None) -> Callable:
         if owner is not None:
             worker_cache(owner)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return wrapped
 

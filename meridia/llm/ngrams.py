@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from meridia.llm._shared import (
     NULL_ID, components, document_key, drop_settled, fresh, lean, lower_ascii, mix64, read_table, settle, signed, text_slices, window_hashes, word_hashes,
 )
-from meridia.llm.sketch import PartitionSketch, Repeats, Shape, broadcast_repeats, merge_parts
+from meridia.llm.sketch import PartitionSketch, Repeats, Shape, broadcast_repeats, drop_repeats, merge_parts
 
 SHINGLE = 5
 PERCENT = 75
@@ -299,6 +299,7 @@ def ngram_join(
     named = classes.join(linked.join(heads, "component").select("h1", "h2", "least"), ["h1", "h2"], "left").select(
         "h1", "h2", F.coalesce("least", "head").alias("head")
     )
+    drop_repeats(load)
     out = digests.join(named, ["h1", "h2"], "left")
     head = F.when(F.col("n") > 0, F.col("head")).otherwise(F.struct("doc", "tie"))
     out = out.select("doc", "tie", F.col("n").alias("n_shingles"), head.alias("head"))

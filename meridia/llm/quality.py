@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm._shared import drop_settled, lean, read_table, settle, text_slices
+from meridia.llm._shared import drop_settled, give_back, lean, read_table, settle, text_slices
 
 MAX_POSITIVES = 40_000  # defaults of ``fit``: rows that weights are fitted on, drawn evenly by hash
 MAX_UNLABELLED = 80_000
@@ -117,7 +117,9 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, non_negat
     overfitting that caused it. Without ``non_negative`` it is plain positives against unlabelled rows.
     """
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 0.02
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    p, u = positive - mean, unlabelled - mean
+    for x in (p, u):  # in place: the driver holds the drawn rows once more, not twice
+        x /= scale
     rng = np.random.default_rng(seed)
     w, b = np.zeros(p.shape[1]), 0.0
     moment, square, step = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
@@ -218,7 +220,10 @@ def fit(table: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES,
     first = fit_pu(p, u, 0.5, non_negative=False, epochs=20)
     prior = estimate_prior(score_histogram(table, first), score_histogram(positives, first))
     drop_settled(positives)
-    return fit_pu(p, u, prior)
+    model = fit_pu(p, u, prior)
+    del p, u
+    give_back()
+    return model
 
 
 def score_column(model: Model | None, x: np.ndarray) -> np.ndarray:

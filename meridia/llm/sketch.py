@@ -196,4 +196,10 @@ def broadcast_repeats(merged: DataFrame, shape: Shape, with_counts: bool) -> Cal
             vars(sent).pop("_value", None)  # the packed form is not needed again
         return held
 
+    load.sent = sent
     return load
+
+
+def drop_repeats(load: Callable[[], Repeats]) -> None:
+    """Free a broadcast sketch on the driver and the executors, once everything made with it is written down."""
+    load.sent.destroy()
