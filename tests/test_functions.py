@@ -46,6 +46,29 @@ def test_wilson(spark):
     assert got[3] == pytest.approx((0.2366, 0.7634), abs=1e-4)
 
 
+def test_round_scaled_is_that_of_sql(spark):
+    import duckdb
+
+    money = [k / 100 for k in range(-99999, 999999, 4321)]
+    rows = [(1 - abs(a - b) / 1000,) for a in money[:60] for b in money[-60:]] + [(k / 2000,) for k in range(-2001, 2001)] + [(0.49999999999999994,), (None,)]
+    got = [r.x for r in spark.createDataFrame(rows, "v double").select(stats.round_scaled(F.col("v"), 3).alias("x")).collect()]
+    con = duckdb.connect()
+    assert got == [con.execute("SELECT round(?::DOUBLE, 3)", r).fetchone()[0] for r in rows]
+
+
+def test_pair_similarity_of_money_next_to_a_half(spark, tmp_path):
+    from meridia.plans.decision_queries import PAIRS, _pairs
+
+    import duckdb
+
+    rows = [(k, f"Supplier#{k:09d}", k % 2, cents / 100) for k, cents in enumerate(range(1017, 5517, 50))]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in _pairs(spark, str(tmp_path)).select("left", "right", "name", "address").collect())
+    assert got == sorted(con.execute(f"SELECT l, r, name, address FROM ({PAIRS})").fetchall())
+
+
 def test_pct_rank(spark):
     df = spark.createDataFrame([(1, 10.0), (2, 10.0), (3, 30.0), (4, 40.0), (5, None)], "i int, v double")
     got = {r.i: r.p for r in stats.pct_rank(df, "v", "p").collect()}
