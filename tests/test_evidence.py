@@ -209,3 +209,15 @@ def test_service_signals(spark):
     got = spark.createDataFrame([("Maternity and NICU ward",), ("24x7 casualty; CT scan",), (None,)], "t string").select(*(c.alias(k) for k, c in text.service_signals(F.col("t")).items())).collect()
     assert [tuple(r) for r in got] == [(True, True, False, False), (False, True, True, False), (False, False, False, False)]  # "nicu" holds "icu"
     assert datetime.date.fromisoformat(evidence.AS_OF)
+
+
+def test_records_are_dealt_over_tasks(spark, tmp_path):
+    from meridia.plans import base
+
+    small = "/root/testdata/sf0.001"
+    many = spark.range(25_000).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "CAST(id % 25 AS INT) AS c_nationkey", "1e0 AS c_acctbal", "'k' AS c_mktsegment")
+    many.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for t in ("nation", "region"):
+        spark.read.parquet(f"{small}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    sizes = base.raw_entities(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 3 and sum(r["count"] for r in sizes) == 25_000 and max(r["count"] for r in sizes) < 10_000
