@@ -221,3 +221,23 @@ def test_records_are_dealt_over_tasks(spark, tmp_path):
         spark.read.parquet(f"{small}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     sizes = base.raw_entities(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 3 and sum(r["count"] for r in sizes) == 25_000 and max(r["count"] for r in sizes) < 10_000
+
+
+def test_terms_are_those_of_their_section(spark):
+    """Against a plain search; all terms are looked for once in the whole text, so sections must not join to make one."""
+    texts = [
+        "x | blood | bank | normal | delivery", "blood bank | c | section, C-section | MRI/PET CT; x-ray | heart | beat", "eye", "pet | ct scan | ct | labour | room",
+        "a | critical care | ICU+HDU; pediatric emergency medicine | blood products | imaging (lab)", None, "a|b| | lab | |  |", " ".join(t for r in claims.RULES for t in r.terms),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, claim_text string")
+    flags = ["needs_review", "trusted", "has_source", "has_website", "has_contact", *(f"has_{s}" for s in claims.SECTIONS)]
+    df = df.withColumns({f: F.lit(True) for f in flags} | {f"{s}_items": F.lit(1) for s in claims.SECTIONS} | {c: F.lit(0.5) for c in ("semantic_quality", "need", "priority")})
+    queue = claims.claim_queue(df, "id")
+    found = {r.id: list(r.s) for r in df.select("id", claims.sections(F.col("claim_text")).alias("s")).collect()}
+    padded = lambda s: " " + s.replace("/", " / ").replace("+", " + ") + " "
+    for r in queue.collect():
+        rule = next(x for x in claims.RULES if x.category == r.category)
+        hits = [(t, n) for t in rule.terms for n, s in zip(claims.SECTIONS, found[r.id], strict=True) if f" {t} " in padded(s)]
+        assert r.keywords == "|".join(sorted({t for t, _ in hits})) and r.fields == "|".join(n for n in claims.SECTIONS if n in {m for _, m in hits})
+    exploded = [line for line in queue._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Project" in line and "hits" in line]
+    assert exploded and all("found" not in line for line in exploded)  # rows of a rule go on without the sections
