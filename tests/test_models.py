@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import stats
 from meridia.operators import impute, models, ranks
+from meridia.operators import relational as rel
 
 
 def test_global_ranks_have_no_gaps(spark):
@@ -150,3 +151,50 @@ def test_platt_matches_a_plain_fit(spark):
     loss = lambda p, q: -(t * np.log(1 / (1 + np.exp(-(p * m[:, 1] + q)))) + (1 - t) * np.log(1 - 1 / (1 + np.exp(-(p * m[:, 1] + q))))).sum()
     least = loss(a[1], b[1])
     assert all(least <= loss(a[1] + u, b[1] + v) for u in (-0.01, 0.01, 0) for v in (-0.01, 0.01, 0))
+
+
+def counted(spark, df):
+    """``df`` and an accumulator of how often its rows are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn("x", F.udf(see, "double")("x")), seen
+
+
+def test_ranks_compute_rows_once(spark):
+    df, seen = counted(spark, spark.range(500).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x"))
+    got = ranks.global_ranks(df, [F.desc("x"), F.asc("id")], "place").orderBy("place").collect()
+    assert [(r.x, r.id) for r in got] == sorted(((float(i % 7), i) for i in range(500)), key=lambda r: (-r[0], r[1])) and [r.place for r in got] == list(range(1, 501))
+    assert seen.value == 500
+
+
+def test_fits_read_rows_that_are_computed_once_and_dealt(spark, monkeypatch):
+    df = spark.range(25_000).coalesce(1).selectExpr("id", "CAST(id % 5 AS STRING) AS c", "CAST(id % 11 AS DOUBLE) AS x", "1e0 + id % 13 AS y", "CAST(id % 11 > 4 AND id % 3 > 0 AS INT) AS label")
+    parts = []
+    monkeypatch.setattr(impute, "pinned", lambda d: parts.append(d.rdd.getNumPartitions()) or rel.pinned(d))
+    impute.out_of_fold(df, "id", "y", ["c"], ["x"], folds=2, trees=1)
+    assert parts == [3]
+    once, seen = counted(spark, df.where("id < 2000"))
+    assert impute.fit_classifier(once, "id", "label", ["c"], ["x"]).count() and seen.value <= 4000  # by the test's own look at the plan at most once more
+
+
+def test_median_error_and_no_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (5.0, 5.5), (None, 1.0), (9.0, 5.0)], "y double, p double")
+    assert impute.regression_metrics(df, "y", "p").first().median_ae == 1.0
+    none = impute.regression_metrics(df.where("y > 100"), "y", "p").collect()
+    assert len(none) == 1 and none[0].n == 0 and none[0].median_ae is None
+
+
+def test_categories_are_joined_without_dealing_rows_by_them(spark):
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = models.common_categories(spark.range(100).selectExpr("id", "CASE WHEN id > 0 THEN id % 2 END || 'x' AS c"), ["c"])
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.c: r["count"] for r in df.groupBy("c").count().collect()} == {"0x": 49, "1x": 50, "missing": 1}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
