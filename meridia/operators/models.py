@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import stats
 from meridia.operators import impute
-from meridia.operators.relational import pinned
+from meridia.operators.relational import pinned, spread
 
 LEAST, MOST = 1.0, 5000.0  # Fixed values: the range of an imputed number
 FOLDS = 5
@@ -76,7 +76,7 @@ def fit_imputer(
     keys = list(dict.fromkeys(k for names, _ in cohorts for k in names))
     columns = list(dict.fromkeys([key, target, *categorical, *numeric, *keys]))
     known = df.where(usable & (F.col(target) > 0)).select(*columns)
-    known = pinned(known.fillna("missing", list(categorical)).withColumns({"__fold": impute.fold(key, folds), "__y": F.log1p(F.col(target).cast("double"))}))
+    known = pinned(spread(known, key).fillna("missing", list(categorical)).withColumns({"__fold": impute.fold(key, folds), "__y": F.log1p(F.col(target).cast("double"))}))
     stages = lambda: [*impute.design(categorical, numeric), _regressor(trees)]
     guessed = []
     for k in range(folds):
