@@ -219,7 +219,8 @@ def fit_task(rows: DataFrame, task: str, folds: int = 3) -> TaskModel:
     classes, whole = [c for c, _ in counts], sum(n for _, n in counts)
     place = F.create_map(*(x for k, c in enumerate(classes) for x in (F.lit(c), F.lit(float(k)))))
     weight = F.create_map(*(x for c, n in counts for x in (F.lit(c), F.lit(whole / (len(classes) * n)))))
-    ready = rows.select("features", place[F.col("label")].alias("label_at"), weight[F.col("label")].alias("__w"), F.pmod("__key_hash", F.lit(folds)).alias("__fold"))
+    ready = spread(rows, "__key_hash", whole).select("features", place[F.col("label")].alias("label_at"), weight[F.col("label")].alias("__w"), F.pmod("__key_hash", F.lit(folds)).alias("__fold"))
+    ready = pinned(ready)  # this task's rows alone, which every fold reads several times
     fit = lambda df: LogisticRegression(labelCol="label_at", weightCol="__w", family="multinomial", regParam=1.0 / max(whole, 1), maxIter=60).fit(df)
     margins = []
     for k in range(folds):
@@ -261,10 +262,14 @@ REPORT = (
 
 
 def common_categories(df: DataFrame, categorical: Sequence[str], least: int = RARE) -> DataFrame:
-    """``df`` with categories of fewer than ``least`` rows as "rare" and nulls as "missing"; each column's counts are joined back."""
+    """``df`` with categories of fewer than ``least`` rows as "rare" and nulls as "missing"; each column's counts are joined back.
+
+    Common categories are few (each becomes a feature, whose names the driver holds); dealt by category, rows would meet in
+    as few tasks.
+    """
     for c in categorical:
         common = df.groupBy(c).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(F.col(c).alias("__c"), F.lit(True).alias("__common"))
-        df = df.join(common, F.col(c) == F.col("__c"), "left").withColumn(c, F.when(F.col(c).isNull(), "missing").when(F.col("__common"), F.col(c)).otherwise("rare")).drop("__c", "__common")
+        df = df.join(F.broadcast(common), F.col(c) == F.col("__c"), "left").withColumn(c, F.when(F.col(c).isNull(), "missing").when(F.col("__common"), F.col(c)).otherwise("rare")).drop("__c", "__common")
     return df
 
 
@@ -275,12 +280,13 @@ def fit_tasks(features: DataFrame, labels: DataFrame, key: str, categorical: Seq
     medians, scales and categories come from the others. Each task is fitted on its own rows.
     """
     spark = features.sparkSession
+    features = pinned(features.select(*dict.fromkeys([key, *numeric, *categorical])))  # counted by column and by category before they are used
     used_numeric, used_categorical = impute.usable_features(features, numeric, categorical)
     if not used_numeric and not used_categorical:
         rows = [(t, "skipped", "no usable feature columns", n, *[None] * 14) for t, (n, _) in skip_reasons(labels, tasks, least).items()]
         return spark.createDataFrame(rows, REPORT), {}, features.limit(0)
     hashed = common_categories(features.select(key, *used_categorical, *(F.col(c).cast("double").alias(c) for c in used_numeric)), used_categorical)
-    hashed = pinned(hashed.withColumn("__key_hash", F.crc32(F.col(key).cast("string").cast("binary"))))
+    hashed = pinned(spread(hashed, key, features.count()).withColumn("__key_hash", F.crc32(F.col(key).cast("string").cast("binary"))))
     held = F.pmod("__key_hash", F.lit(HOLDOUT)) == 0
     design = Pipeline(stages=impute.design(used_categorical, used_numeric)).fit(hashed.where(~held))
     prepared = pinned(design.transform(hashed).select(key, "__key_hash", "features"))
