@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from meridia.functions import stats, text
 from meridia.operators import claims, decide, evidence, impute, matching, remediate, scores, serve
 from meridia.operators import relational as rel
+from meridia.plans import base, registry
 
 RAW = """entity_id long, kind string, operator string, state string, lat double, lon double, km double, pin string, pin_known boolean, pin_ambiguous boolean, match_score double,
 capacity_raw string, doctors_raw string, year_raw string, page_date string, has_description boolean, has_specialties boolean, has_procedure boolean, has_equipment boolean, has_capability boolean,
@@ -241,3 +242,24 @@ def test_terms_are_those_of_their_section(spark):
         assert r.keywords == "|".join(sorted({t for t, _ in hits})) and r.fields == "|".join(n for n in claims.SECTIONS if n in {m for _, m in hits})
     exploded = [line for line in queue._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Project" in line and "hits" in line]
     assert exploded and all("found" not in line for line in exploded)  # rows of a rule go on without the sections
+
+
+def test_claim_summary_counts_the_queue_once(spark, monkeypatch):
+    """The queue is neither kept nor read again: what is written has each status, action, level and priority once, and no reasons are made."""
+    kept, pinned = [], rel.pinned
+    monkeypatch.setattr(rel, "pinned", lambda d: kept.append((d, pinned(d))) or kept[-1][1])
+    got = registry.queries()["claim_summary"](spark, "/root/testdata/sf0.001").collect()
+    n = sum(r.n for r in got if r.part == "level")
+    assert n == 12 * base.table(spark, "/root/testdata/sf0.001", "customer").count()
+    plan, counted = kept[-1]
+    assert counted.columns == ["status", "action", "level", "priority", "ties"] and counted.agg(F.sum("ties")).first()[0] == n
+    assert counted.count() == counted.select("status", "action", "level", "priority").distinct().count() < n
+    assert "broad_source:" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_are_dealt_over_tasks_by_number(spark, monkeypatch):
+    """What few tasks wrote is dealt anew before each record meets twelve rules."""
+    monkeypatch.setattr(rel, "PART_ROWS", 10)
+    n = base.table(spark, "/root/testdata/sf0.001", "customer").count()
+    sizes = registry.queries()["claim_rules"](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 12 * n and max(r["count"] for r in sizes) < 12 * 30
